@@ -65,7 +65,7 @@ def portfolio_listing(holdings: DataFrame, user_id=None) -> DataFrame:
     h = holdings if user_id is None else holdings.filter(F.col("user_id") == F.lit(user_id))
     w = Window.partitionBy("tenant_id", "user_id").orderBy(F.col("created_at").desc_nulls_first(),
                                                            F.col("asset_type"))
-    return h.withColumn("listing_pos", F.row_number().over(w))
+    return h.withColumn("listing_pos", F.row_number().over(w).cast("bigint"))
 
 
 # --------------------------------------------------------------------- A-03

@@ -256,7 +256,7 @@ FROM (VALUES ('UPI', TRUE, 0.50, 0.00, 0.00, NULL),
 # Holdings by ordered replay, written as a recursive walk over each key's
 # completed BUY/SELL history (independent of the window closed form).
 _t("ledger_seq", ["tx"], """
-SELECT tenant_id, user_id, asset_type, transaction_type, quantity, created_at, order_id, line_no,
+SELECT tenant_id, user_id, asset_type, transaction_type, quantity, price, created_at, order_id, line_no,
        partkey, suppkey, ext,
        row_number() OVER (PARTITION BY tenant_id, user_id, asset_type
                           ORDER BY created_at, order_id, line_no, partkey, suppkey, ext, quantity,
@@ -315,3 +315,48 @@ def with_tables(names, query: str) -> str:
         return query
     ctes = ",\n".join(f"{n} AS ({TABLES[n][1].strip()})" for n in order)
     return f"WITH {ctes}\n{query.strip()}"
+
+
+_t("gate_walk", ["ledger_seq"], """
+SELECT * FROM (
+  WITH RECURSIVE g(tenant_id, user_id, asset_type, rn, bal, admitted) AS (
+    SELECT tenant_id, user_id, asset_type, rn,
+           CAST(CASE WHEN transaction_type = 'BUY' THEN quantity ELSE 0 END AS DECIMAL(20,8)),
+           transaction_type = 'BUY'
+    FROM ledger_seq WHERE rn = 1
+    UNION ALL
+    SELECT s.tenant_id, s.user_id, s.asset_type, s.rn,
+           CAST(CASE WHEN s.transaction_type = 'BUY' THEN g.bal + s.quantity
+                     WHEN g.bal > 0 AND g.bal >= s.quantity THEN g.bal - s.quantity
+                     ELSE g.bal END AS DECIMAL(20,8)),
+           s.transaction_type = 'BUY' OR (g.bal > 0 AND g.bal >= s.quantity)
+    FROM g JOIN ledger_seq s
+      ON s.tenant_id = g.tenant_id AND s.user_id = g.user_id AND s.asset_type = g.asset_type
+     AND s.rn = g.rn + 1
+  ) SELECT * FROM g) x""")
+
+_t("holdings0", ["tx"], """
+SELECT tenant_id, user_id, asset_type, CAST(SUM(quantity) AS DECIMAL(20,8)) AS quantity,
+       max(created_at) AS updated_at
+FROM tx WHERE status = 'completed' AND transaction_type = 'BUY' AND created_at < TIMESTAMP '2000-01-01 00:00:00'
+GROUP BY tenant_id, user_id, asset_type""")
+
+_t("late_buys", ["tx"], """
+SELECT * FROM tx WHERE status = 'completed' AND transaction_type = 'BUY'
+  AND created_at >= TIMESTAMP '2000-01-01 00:00:00'""")
+
+_t("late_sells", ["tx"], """
+SELECT * FROM tx WHERE status = 'completed' AND transaction_type = 'SELL'
+  AND created_at >= TIMESTAMP '2000-01-01 00:00:00'""")
+
+_t("avg_cost", ["tx"], """
+SELECT tenant_id, user_id, asset_type, bv AS buy_value, bq AS buy_quantity,
+       CAST(CAST((2 * CAST(CAST(bv AS DECIMAL(38,2)) * 100 AS HUGEINT) * 100000000
+                  + CAST(CAST(bq AS DECIMAL(38,8)) * 100000000 AS HUGEINT))
+                 // (2 * CAST(CAST(bq AS DECIMAL(38,8)) * 100000000 AS HUGEINT)) AS DECIMAL(18,0)) * 0.01
+            AS DECIMAL(15,2))
+         AS average_purchase_price
+FROM (SELECT tenant_id, user_id, asset_type, CAST(SUM(total_value) AS DECIMAL(18,2)) AS bv,
+             CAST(SUM(quantity) AS DECIMAL(18,8)) AS bq
+      FROM tx WHERE status = 'completed' AND transaction_type = 'BUY'
+      GROUP BY tenant_id, user_id, asset_type) a""")

@@ -32,6 +32,15 @@ TX_COLS_SQL = ("tenant_id, user_id, order_id, line_no, transaction_type, asset_t
                "partkey, suppkey, ext, linestatus")
 
 
+def tx_cols_sql(alias: str) -> str:
+    """TX_COLS_SQL with every column qualified by ``alias``."""
+    out = []
+    for part in TX_COLS_SQL.split(", "):
+        m = part.replace("CAST(", "CAST(" + alias + ".") if part.startswith("CAST(") else f"{alias}.{part}"
+        out.append(m)
+    return ", ".join(out)
+
+
 def holdings_valued(fx: Fixtures):
     return H.mark_to_market(H.holdings_from_ledger(fx.tx), dims.asset_types(fx.spark))
 
@@ -256,7 +265,7 @@ def _a17(fx):
 
 
 @register("tier_quota", "A-18", W(["tenants", "users"], """
-SELECT t.tenant_id, t.tier, COUNT(u.user_id) AS customers, c.user_cap,
+SELECT t.tenant_id, t.tier, COUNT(u.user_id) AS customers, CAST(c.user_cap AS DOUBLE) AS user_cap,
        COALESCE(COUNT(u.user_id) > c.user_cap, FALSE) AS over_cap
 FROM tenants t
 LEFT JOIN users u ON t.tenant_id = u.tenant_id
@@ -264,19 +273,21 @@ LEFT JOIN (VALUES ('lite', 50), ('pro', 500), ('startup', 500), ('growth', 5000)
   AS c(tier, user_cap) ON t.tier = c.tier
 GROUP BY t.tenant_id, t.tier, c.user_cap"""))
 def _a18(fx):
-    return A.tier_quota(fx.tenants, fx.users, dims.tier_caps(fx.spark, Decimal("0.5")))
+    r = A.tier_quota(fx.tenants, fx.users, dims.tier_caps(fx.spark, Decimal("0.5")))
+    return r.withColumn("user_cap", F.col("user_cap").cast("double"))
 
 
 @register("tier_billing", "A-19", W(["tenants"], f"""
 SELECT g.tier, g.tenants, {D("p.fee")} AS monthly_fee, {D("p.cost")} AS monthly_cost,
        {D("p.fee - p.cost")} AS margin,
-       CAST(round((p.fee - p.cost) * 100 / p.fee) AS INTEGER) AS margin_pct,
+       CAST(round((p.fee - p.cost) * 100 / p.fee) AS DOUBLE) AS margin_pct,
        {D("p.fee * g.tenants")} AS monthly_revenue, {D("(p.fee - p.cost) * g.tenants")} AS monthly_profit
 FROM (SELECT tier, COUNT(*) AS tenants FROM tenants GROUP BY tier) g
 LEFT JOIN (VALUES ('lite', 17500.00, 10000.00), ('pro', 75000.00, 36000.00),
                   ('enterprise', 350000.00, 63000.00)) AS p(tier, fee, cost) ON g.tier = p.tier"""))
 def _a19(fx):
-    return A.tier_billing(fx.tenants, dims.tier_price_list(fx.spark))
+    r = A.tier_billing(fx.tenants, dims.tier_price_list(fx.spark))
+    return r.withColumn("margin_pct", F.col("margin_pct").cast("double"))
 
 
 @register("error_rate", "A-20", W(["users"], f"""
