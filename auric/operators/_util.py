@@ -1,0 +1,24 @@
+"""Small planning helpers shared by operators."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# A side is broadcast only when the optimizer's size estimate proves it small.
+BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
+
+
+def estimated_bytes(df: DataFrame) -> int | None:
+    """Catalyst's size estimate of the optimized plan (no job is run)."""
+    try:
+        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    except Exception:  # noqa: BLE001  (e.g. Spark Connect has no JVM handle)
+        return None
+
+
+def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
+    """Hint a broadcast only behind a checked bound; otherwise leave the join
+    to Catalyst/AQE (shuffle join, re-planned at runtime from real sizes)."""
+    n = estimated_bytes(df)
+    return F.broadcast(df) if n is not None and n <= limit else df
