@@ -127,5 +127,7 @@ def leaky_bucket(requests: DataFrame, rate, burst: int,
     schema = ev.drop("ts_us").schema.add("refused", T.BooleanType()).add("excess_scaled", T.LongType())
     folded = _sorted_by_key(ev, ["client"], list(order)).mapInPandas(
         _bucket_fold(rate_num, rate_den_us, burst_units), schema)
-    exc = (F.col("excess_scaled").cast("decimal(38,0)") / F.lit(rate_den_us)).cast("decimal(20,6)")
+    # excess in requests, rounded half up to 6 places with integer arithmetic
+    micro = F.floor((F.col("excess_scaled").cast("decimal(38,0)") * 2000000 + rate_den_us) / (2 * rate_den_us))
+    exc = (micro.cast("decimal(38,0)") * F.lit(Decimal("0.000001"))).cast("decimal(20,6)")
     return folded.select("client", *order, "refused", exc.alias("excess"))
