@@ -92,7 +92,7 @@ def _bucket_fold(rate_num: int, rate_den_us: int, burst_units: int):
                     new = 0
                 else:
                     # excess' = max(0, excess - rate*dt + 1), scaled by rate_den_us
-                    new = max(0, excess - rate_num * (t - last)) + rate_den_us
+                    new = max(0, excess - rate_num * (t - last) + rate_den_us)
                 if new > burst_units:
                     refused.append(True)
                     exc_out.append(excess if excess is not None else 0)

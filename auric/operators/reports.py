@@ -16,7 +16,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 MONEY = "decimal(15,2)"
-ZERO = F.lit(0).cast(MONEY)
+
+
+def _zero() -> Column:
+    return F.lit(0).cast(MONEY)
 
 
 def _count_if(cond: Column) -> Column:
@@ -55,7 +58,7 @@ def portfolio_summary(users: DataFrame, holdings_valued: DataFrame) -> DataFrame
     )
     out = users.select("tenant_id", "user_id").join(per_user, ["tenant_id", "user_id"], "left")
     return out.select("tenant_id", "user_id",
-                      *[F.coalesce(F.col(c), ZERO).alias(c)
+                      *[F.coalesce(F.col(c), _zero()).alias(c)
                         for c in ("total_value", "gold_value", "silver_value", "platinum_value")])
 
 
@@ -87,8 +90,8 @@ def trading_metrics(tx: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("total_transactions"),
         _count_if(t == "BUY").alias("buy_orders"),
         _count_if(t == "SELL").alias("sell_orders"),
-        F.coalesce(_sum_if(t == "BUY", v), ZERO).alias("total_buy_volume"),
-        F.coalesce(_sum_if(t == "SELL", v), ZERO).alias("total_sell_volume"),
+        F.coalesce(_sum_if(t == "BUY", v), _zero()).alias("total_buy_volume"),
+        F.coalesce(_sum_if(t == "SELL", v), _zero()).alias("total_sell_volume"),
     )
 
 
@@ -139,7 +142,7 @@ def transaction_summary(tenants: DataFrame, tx: DataFrame) -> DataFrame:
         "tenant_id", "company_name",
         *[F.coalesce(F.col(c), zero_n).alias(c)
           for c in ("total_transactions", "buy_transactions", "sell_transactions")],
-        *[F.coalesce(F.col(c), ZERO).alias(c)
+        *[F.coalesce(F.col(c), _zero()).alias(c)
           for c in ("total_buy_volume", "total_sell_volume", "total_volume")],
     )
 
@@ -182,7 +185,7 @@ def daily_metrics(users: DataFrame, tx_fees: DataFrame) -> DataFrame:
                  *[F.coalesce(F.col(c), n0).alias(c) for c in
                    ("new_users", "new_verified", "active_users", "total_transactions",
                     "buy_transactions", "sell_transactions")],
-                 *[F.coalesce(F.col(c), ZERO).cast(MONEY).alias(c) for c in
+                 *[F.coalesce(F.col(c), _zero()).cast(MONEY).alias(c) for c in
                    ("total_volume", "gold_volume", "silver_volume", "platinum_volume", "revenue")])
     w = Window.partitionBy("tenant_id").orderBy("metric_date").rowsBetween(Window.unboundedPreceding, 0)
     return j.select(
@@ -204,8 +207,8 @@ def period_volume(tx: DataFrame, as_of) -> DataFrame:
     m = completed(tx).filter((F.col("created_at") >= start) & (F.col("created_at") < end))
     v = F.col("total_value")
     r = m.rollup("tenant_id", "asset_type").agg(
-        F.coalesce(_sum_if(_day("created_at") == d, v), ZERO).alias("today_volume"),
-        F.coalesce(F.sum(v), ZERO).alias("month_volume"),
+        F.coalesce(_sum_if(_day("created_at") == d, v), _zero()).alias("today_volume"),
+        F.coalesce(F.sum(v), _zero()).alias("month_volume"),
         F.grouping_id().alias("gid"))
     return (r.filter(F.col("gid") < 2)
              .select("tenant_id",
@@ -237,7 +240,7 @@ def payment_fees(tx: DataFrame, methods: DataFrame) -> DataFrame:
     return j.select(
         *tx.columns,
         fee.alias("fee"),
-        F.when(priced, v < F.coalesce(F.col("min_amount"), ZERO)).alias("below_min"),
+        F.when(priced, v < F.coalesce(F.col("min_amount"), _zero())).alias("below_min"),
         F.when(priced, F.coalesce(v > F.col("max_amount"), F.lit(False))).alias("above_max"))
 
 
@@ -245,7 +248,7 @@ def payment_fees(tx: DataFrame, methods: DataFrame) -> DataFrame:
 def revenue(tx_fees: DataFrame) -> DataFrame:
     return completed(tx_fees).groupBy("tenant_id", _day("created_at").alias("metric_date")).agg(
         F.count(F.lit(1)).alias("n"),
-        F.coalesce(F.sum("fee"), ZERO).alias("revenue"))
+        F.coalesce(F.sum("fee"), _zero()).alias("revenue"))
 
 
 # --------------------------------------------------------------------- A-14

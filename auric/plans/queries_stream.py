@@ -43,11 +43,11 @@ walk AS (SELECT * FROM (
     SELECT client, rn, CAST(0 AS HUGEINT), t, FALSE FROM seq WHERE rn = 1
     UNION ALL
     SELECT s.client, s.rn,
-           CASE WHEN greatest(0, w.ex - {RATE[0]} * (s.t - w.last_t)) + {DEN} > {BURST * DEN} THEN w.ex
-                ELSE greatest(0, w.ex - {RATE[0]} * (s.t - w.last_t)) + {DEN} END,
-           CASE WHEN greatest(0, w.ex - {RATE[0]} * (s.t - w.last_t)) + {DEN} > {BURST * DEN} THEN w.last_t
+           CASE WHEN greatest(0, w.ex - {RATE[0]} * (s.t - w.last_t) + {DEN}) > {BURST * DEN} THEN w.ex
+                ELSE greatest(0, w.ex - {RATE[0]} * (s.t - w.last_t) + {DEN}) END,
+           CASE WHEN greatest(0, w.ex - {RATE[0]} * (s.t - w.last_t) + {DEN}) > {BURST * DEN} THEN w.last_t
                 ELSE s.t END,
-           greatest(0, w.ex - {RATE[0]} * (s.t - w.last_t)) + {DEN} > {BURST * DEN}
+           greatest(0, w.ex - {RATE[0]} * (s.t - w.last_t) + {DEN}) > {BURST * DEN}
     FROM w JOIN seq s ON s.client = w.client AND s.rn = w.rn + 1
   ) SELECT * FROM w) x)
 SELECT s.client, s.ts, s.event_id, w.refused,

@@ -128,7 +128,7 @@ def leaky_bucket_stream(requests: DataFrame, rate=(1, 21600), burst: int = 1) ->
                 else (pdf["ts"].astype("int64")).tolist()
             refused = []
             for t in ts_us:
-                new = 0 if excess is None else max(0, excess - a * (t - last)) + den
+                new = 0 if excess is None else max(0, excess - a * (t - last) + den)
                 if new > burst_units:
                     refused.append(True)
                 else:
