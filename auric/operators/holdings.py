@@ -49,13 +49,20 @@ def _chunk(created_at: Column, chunk: str) -> Column:
 
 
 # --------------------------------------------------------------------- H-03
-def ledger_balances(tx: DataFrame, chunk: str = "day") -> DataFrame:
+def ledger_balances(tx: DataFrame, chunk: str = "day", extra=()) -> DataFrame:
     """Per completed BUY/SELL row: the clamped balance after it (``balance``).
 
-    Output keeps the ledger identity columns plus ``chunk``; see module doc."""
-    ev = _trades(tx).select(*TX_KEY, *[c for c in TX_ORDER if c not in TX_KEY], "price",
+    Output keeps the ledger identity columns, ``chunk`` and any ``extra``
+    columns. Both branches of the plan (rows and chunk summaries) shuffle the
+    same columns, so Spark reuses one exchange instead of scanning twice."""
+    extra = list(extra)
+    ev = _trades(tx).select(*TX_KEY, *[c for c in TX_ORDER if c not in TX_KEY], *extra,
                             _signed().alias("dq"))
     ev = ev.withColumn("chunk", _chunk(F.col("created_at"), chunk))
+    # NULL keys cannot take part in the join back; saying so up front gives both
+    # plan branches the same filters, so their shuffles are recognised as equal
+    ev = ev.filter(F.col("tenant_id").isNotNull() & F.col("user_id").isNotNull()
+                   & F.col("asset_type").isNotNull() & F.col("chunk").isNotNull())
     wl = (Window.partitionBy(*TX_KEY, "chunk").orderBy(*TX_ORDER)
           .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     ev = ev.withColumn("ls", F.sum("dq").over(wl).cast(RUN))
@@ -66,7 +73,7 @@ def ledger_balances(tx: DataFrame, chunk: str = "day") -> DataFrame:
     s = (F.col("offset") + F.col("ls")).cast(RUN)
     m = F.least(F.coalesce(F.col("prior_min"), F.col("offset") + F.col("lmin")), F.col("offset") + F.col("lmin"))
     bal = (s - F.least(F.lit(0).cast(RUN), m)).cast(QTY)
-    return j.select(*TX_KEY, *[c for c in TX_ORDER if c not in TX_KEY], "price", "chunk",
+    return j.select(*TX_KEY, *[c for c in TX_ORDER if c not in TX_KEY], *extra, "chunk",
                     bal.alias("balance"))
 
 

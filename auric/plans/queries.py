@@ -313,4 +313,4 @@ SELECT s.tenant_id, s.user_id, s.asset_type, s.created_at, s.order_id, s.line_no
 FROM ledger_seq s JOIN ledger_walk w
   ON s.tenant_id = w.tenant_id AND s.user_id = w.user_id AND s.asset_type = w.asset_type AND s.rn = w.rn"""))
 def _h03b(fx):
-    return H.ledger_balances(fx.tx).drop("chunk", "price")
+    return H.ledger_balances(fx.tx).drop("chunk")

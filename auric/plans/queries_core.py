@@ -343,7 +343,7 @@ FROM holdings h JOIN (SELECT tenant_id, user_id, asset_type, arg_max(price, rn)
                       FROM ledger_seq GROUP BY tenant_id, user_id, asset_type) p
   ON h.tenant_id = p.tenant_id AND h.user_id = p.user_id AND h.asset_type = p.asset_type"""))
 def _h04(fx):
-    bal = H.ledger_balances(fx.tx)
+    bal = H.ledger_balances(fx.tx, extra=["price"])
     last_price = bal.groupBy(*TX_KEY).agg(
         F.max_by("price", F.struct("created_at", "order_id", "line_no", "partkey", "suppkey", "ext",
                                    "quantity", "transaction_type")).alias("current_price"))
