@@ -62,11 +62,20 @@ def alert_daily_limit(tx: DataFrame, tenants: DataFrame, default_limit) -> DataF
 # --------------------------------------------------------------------- M-04
 def alert_velocity(tx: DataFrame, n: int, span_seconds: int) -> DataFrame:
     """SUSPICIOUS_PATTERN: a trade that is the n-th or later within the
-    trailing ``span_seconds`` (inclusive) of the same user. NTZ time is cast
-    to epoch seconds for the range frame."""
+    trailing ``span_seconds`` (inclusive) of the same user.
+
+    A range window per user would put a very active user in one task. Rows
+    are bucketed by ``floor(t / span)``; every row is also copied, as context,
+    into the next bucket. Everything in ``[t − span, t]`` then lies in a row's
+    own bucket or the previous one, so a window per (user, bucket) counts
+    exactly, and a hot user is spread over one task per bucket."""
     secs = F.unix_seconds(F.col("created_at").cast("timestamp"))
-    w = Window.partitionBy("tenant_id", "user_id").orderBy(secs).rangeBetween(-span_seconds, 0)
-    t = tx.withColumn("n_recent", F.count(F.lit(1)).over(w)).filter(F.col("n_recent") >= n)
+    base = tx.withColumn("_t", secs).withColumn("_b", F.floor(F.col("_t") / F.lit(span_seconds)))
+    rows = base.withColumn("_own", F.lit(True)).unionByName(
+        base.withColumn("_b", F.col("_b") + 1).withColumn("_own", F.lit(False)))
+    w = Window.partitionBy("tenant_id", "user_id", "_b").orderBy("_t").rangeBetween(-span_seconds, 0)
+    t = (rows.withColumn("n_recent", F.count(F.lit(1)).over(w))
+         .filter(F.col("_own") & (F.col("n_recent") >= n)))
     return _alert(t, "SUSPICIOUS_PATTERN", _tx_ref(), F.col("total_value"), F.col("created_at"))
 
 

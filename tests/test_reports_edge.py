@@ -64,3 +64,32 @@ def test_regulatory_report_json(spark, fx_small):
     import json
     d = json.loads(row.report_data)
     assert d["type"] == "FIU" and d["n"] == row.n and Decimal(str(d["amount"])) == row.amount
+
+
+def test_velocity_buckets_match_brute_force(spark):
+    """A very active user across many 7-day buckets: exact trailing counts."""
+    import random
+    rnd = random.Random(3)
+    base = dt.datetime(2000, 1, 1)
+    rows, times = [], []
+    for i in range(400):
+        t = base + dt.timedelta(hours=rnd.randint(0, 24 * 200))
+        rows.append((1, 1, i, 1, 1, 1, Decimal("1.00"), t))
+        times.append(t)
+    tx = spark.createDataFrame(rows, "tenant_id long, user_id long, order_id long, line_no int, partkey long, "
+                                     "suppkey long, total_value decimal(15,2), created_at timestamp_ntz")
+    span = 7 * 86400
+    got = sorted(r.ref for r in M.alert_velocity(tx, 5, span).collect())
+    want = sorted(f"{i}|1|1|1" for i, t in enumerate(times)
+                  if sum(1 for u in times if 0 <= (t - u).total_seconds() <= span) >= 5)
+    assert got == want and len(want) > 50
+
+
+def test_page_engagement_gap_crosses_midnight(spark):
+    from auric.operators import series as Q
+    web = spark.createDataFrame(
+        [(1, 1, "landing", dt.datetime(2024, 1, 1, 23, 50)), (2, 1, "pricing", dt.datetime(2024, 1, 2, 0, 5)),
+         (3, 1, "form", dt.datetime(2024, 1, 2, 3, 0))],
+        "event_id long, user_id long, step string, ts timestamp_ntz")
+    r = {x.step: x.avg_seconds for x in Q.page_engagement(web, 1800).collect()}
+    assert r == {"landing": 900.0}  # the 2 h 55 min gap after 'pricing' exceeds the cap
