@@ -93,3 +93,11 @@ def test_page_engagement_gap_crosses_midnight(spark):
         "event_id long, user_id long, step string, ts timestamp_ntz")
     r = {x.step: x.avg_seconds for x in Q.page_engagement(web, 1800).collect()}
     assert r == {"landing": 900.0}  # the 2 h 55 min gap after 'pricing' exceeds the cap
+
+
+def test_price_alert_banded_join_equals_broadcast(spark, fx_small):
+    from auric.operators import series as Q
+    key = lambda r: (r.user_id, r.event_id, r.threshold, r.direction)
+    a = sorted(map(key, Q.price_alert(fx_small.ticks, fx_small.price_thresholds).collect()))
+    b = sorted(map(key, Q.price_alert(fx_small.ticks, fx_small.price_thresholds, band_width=7).collect()))
+    assert a == b and len(a) > 0
