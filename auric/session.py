@@ -21,6 +21,39 @@ BASE_CONF = {
 }
 
 
+def cluster_conf(total_cores: int, target_partition_mb: int = 256) -> dict:
+    """SQL settings for a large cluster (e.g. 1000 executors reading ~100 TB).
+
+    Start from about four shuffle partitions per core and let AQE coalesce them
+    to ~``target_partition_mb`` each. Split scans at the same size, split
+    skewed join partitions, broadcast only what the optimizer proves small
+    (dimensions and tenant tables), and keep the Arrow batches of the two
+    folds small enough to stay cache-resident. All are session-settable, see
+    :func:`apply_conf`."""
+    mb = f"{target_partition_mb}m"
+    return {
+        "spark.sql.shuffle.partitions": str(4 * total_cores),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": mb,
+        "spark.sql.files.maxPartitionBytes": mb,
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": mb,
+        "spark.sql.autoBroadcastJoinThreshold": "64m",
+        "spark.sql.execution.arrow.maxRecordsPerBatch": "10000",
+        "spark.sql.sources.partitionOverwriteMode": "dynamic",
+        "spark.sql.session.timeZone": "UTC",
+        "spark.sql.ansi.enabled": "true",
+    }
+
+
+def apply_conf(spark: SparkSession, conf: dict) -> SparkSession:
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    return spark
+
+
 def get_spark(app: str = "auric", cores: str | int = "*", shuffle_partitions: int = 8,
               extra: dict | None = None) -> SparkSession:
     """Local session for tests and benchmarks. On a cluster the session is
