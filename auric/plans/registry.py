@@ -35,6 +35,10 @@ def register(name: str, survey_id: str, oracle: str | None):
 
 
 def run(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Event times are TIMESTAMP_NTZ; pin the session zone so NTZ → instant casts
+    # (watermarks, epoch arithmetic) cannot shift across daylight-saving changes.
+    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
     return present(REGISTRY[name].build(Fixtures(spark, sf_dir)))
 
 
