@@ -49,12 +49,16 @@ def _chunk(created_at: Column, chunk: str) -> Column:
 
 
 # --------------------------------------------------------------------- H-03
-def ledger_balances(tx: DataFrame, chunk: str = "day", extra=()) -> DataFrame:
+def ledger_balances(tx: DataFrame, chunk: str = "day", extra=(), initial: DataFrame | None = None) -> DataFrame:
     """Per completed BUY/SELL row: the clamped balance after it (``balance``).
 
     Output keeps the ledger identity columns, ``chunk`` and any ``extra``
     columns. Both branches of the plan (rows and chunk summaries) shuffle the
-    same columns, so Spark reuses one exchange instead of scanning twice."""
+    same columns, so Spark reuses one exchange instead of scanning twice.
+
+    ``initial`` (key, s0, m0) continues a replay from a stored state: ``s0`` is
+    the running signed sum so far and ``m0`` = min(0, lowest running sum so
+    far). Keys without a row start from zero (the streaming W-05 uses this)."""
     extra = list(extra)
     ev = _trades(tx).select(*TX_KEY, *[c for c in TX_ORDER if c not in TX_KEY], *extra,
                             _signed().alias("dq"))
@@ -68,7 +72,7 @@ def ledger_balances(tx: DataFrame, chunk: str = "day", extra=()) -> DataFrame:
     ev = ev.withColumn("ls", F.sum("dq").over(wl).cast(RUN))
     ev = ev.withColumn("lmin", F.min("ls").over(wl))
     summary = chunk_offsets(ev.groupBy(*TX_KEY, "chunk").agg(F.sum("dq").cast(RUN).alias("csum"),
-                                                              F.min("ls").alias("cmin")))
+                                                              F.min("ls").alias("cmin")), initial)
     j = ev.join(summary.select(*TX_KEY, "chunk", "offset", "prior_min"), [*TX_KEY, "chunk"])
     s = (F.col("offset") + F.col("ls")).cast(RUN)
     m = F.least(F.coalesce(F.col("prior_min"), F.col("offset") + F.col("lmin")), F.col("offset") + F.col("lmin"))
@@ -77,22 +81,37 @@ def ledger_balances(tx: DataFrame, chunk: str = "day", extra=()) -> DataFrame:
                     bal.alias("balance"))
 
 
-def chunk_offsets(summary: DataFrame) -> DataFrame:
+def chunk_offsets(summary: DataFrame, initial: DataFrame | None = None) -> DataFrame:
     """Exclusive prefix over a key's chunks: offset (sum of earlier chunk sums)
-    and prior_min (minimum running sum reached in earlier chunks)."""
+    and prior_min (minimum running sum reached in earlier chunks), optionally
+    continuing from a stored (s0, m0) per key."""
     ws = Window.partitionBy(*TX_KEY).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    s = summary.withColumn("offset", F.coalesce(F.sum("csum").over(ws), F.lit(0)).cast(RUN))
+    if initial is not None:
+        summary = summary.join(initial.select(*TX_KEY, "s0", "m0"), TX_KEY, "left")
+        s0, m0 = F.coalesce(F.col("s0"), F.lit(0)), F.col("m0")
+    else:
+        s0, m0 = F.lit(0), F.lit(None)
+    s = summary.withColumn("offset", (s0 + F.coalesce(F.sum("csum").over(ws), F.lit(0))).cast(RUN))
     s = s.withColumn("gmin", (F.col("offset") + F.col("cmin")).cast(RUN))
-    return s.withColumn("prior_min", F.min("gmin").over(ws))
+    return s.withColumn("prior_min", F.least(F.min("gmin").over(ws), m0.cast(RUN)))
 
 
 def holdings_from_ledger(tx: DataFrame, chunk: str = "day", balances: DataFrame | None = None) -> DataFrame:
     """H-03: one row per (tenant, user, asset) with a positive replayed balance.
 
     ``created_at`` is the first event after the balance was last zero. The
-    quantity comes straight from the chunk summaries; the zero bookkeeping
-    uses the per-row balances, reduced per chunk before the per-key step."""
+    zero bookkeeping uses the per-row balances, reduced per chunk before the
+    per-key step."""
     b = balances if balances is not None else ledger_balances(tx, chunk)
+    k = key_state(b)
+    return (k.filter(F.col("quantity") > 0)
+            .select(*TX_KEY, F.col("quantity").cast(QTY).alias("quantity"), "created_at"))
+
+
+def key_state(b: DataFrame) -> DataFrame:
+    """Per key from per-row balances: last balance (``quantity``), whether any
+    row reached zero (``any_zero``) and the first row after the last zero
+    (``created_at``; the first row when none reached zero)."""
     # Within a chunk: the first row that has no zero balance at or after it.
     rev = (Window.partitionBy(*TX_KEY, "chunk").orderBy(*[F.col(c).desc() for c in TX_ORDER])
            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
@@ -111,10 +130,36 @@ def holdings_from_ledger(tx: DataFrame, chunk: str = "day", balances: DataFrame
             .when(F.col("chunk") == F.col("lzc"), F.col("first_after")))
     per_key = pc.groupBy(*TX_KEY).agg(
         F.max_by(F.col("last_balance"), F.col("last_ord")).alias("quantity"),
+        F.max("has_zero").alias("any_zero"),
         F.min(cand).alias("c"))
-    return (per_key.filter(F.col("quantity") > 0)
-            .select(*TX_KEY, F.col("quantity").cast(QTY).alias("quantity"),
-                    F.col("c.t").alias("created_at")))
+    return per_key.select(*TX_KEY, "quantity", "any_zero", F.col("c.t").alias("created_at"))
+
+
+def advance_state(events: DataFrame, prev: DataFrame | None, chunk: str = "day") -> DataFrame:
+    """Fold a batch of ledger rows onto a stored per-key replay state.
+
+    State per key: ``s`` (running signed sum), ``m`` (= min(0, lowest running
+    sum)), ``quantity`` (= s − m, the clamped balance) and ``created_at``.
+    Only the batch is read; the result has one new state row per touched key.
+    Rows of a key must arrive in order (later batches never precede earlier)."""
+    ev = _trades(events)
+    init = None if prev is None else prev.select(*TX_KEY, F.col("s").alias("s0"), F.col("m").alias("m0"),
+                                                 F.col("created_at").alias("prev_created"))
+    b = ledger_balances(ev, chunk, initial=init)
+    k = key_state(b)
+    tot = ev.groupBy(*TX_KEY).agg(F.sum(_signed()).cast(RUN).alias("batch_sum"))
+    j = k.join(tot, TX_KEY)
+    if init is not None:
+        j = j.join(init, TX_KEY, "left")
+        s0, prev_created = F.coalesce(F.col("s0"), F.lit(0)), F.col("prev_created")
+    else:
+        s0, prev_created = F.lit(0), F.lit(None).cast("timestamp_ntz")
+    s_new = (s0 + F.col("batch_sum")).cast(RUN)
+    created = (F.when(F.col("quantity") == 0, F.lit(None).cast("timestamp_ntz"))
+               .when(~F.col("any_zero") & prev_created.isNotNull(), prev_created)
+               .otherwise(F.col("created_at")))
+    return j.select(*TX_KEY, s_new.alias("s"), (s_new - F.col("quantity")).cast(RUN).alias("m"),
+                    F.col("quantity").cast(QTY).alias("quantity"), created.alias("created_at"))
 
 
 # --------------------------------------------------------------------- H-01

@@ -96,3 +96,18 @@ def test_w06_stream_static_alerts_equal_batch(spark, fx_small, scratch):
     got = sorted(key(r) for r in spark.read.parquet(out).collect())
     want = sorted(key(r) for r in Wj.live_alerts(tx, fx_small.users, 45000, caps).collect())
     assert got == want
+
+
+def test_w05_incremental_state_equals_h03(spark, fx_small, scratch):
+    tx = fx_small.tx
+    src = _files_by(tx, "created_at", "yyyy", f"{scratch}/tx5i")
+    stream = _stream_dirs(spark, src, tx.schema)
+    state = f"{scratch}/w05_state_{uuid.uuid4().hex}"
+    Wj.run_available_now(stream, f"w05i_{uuid.uuid4().hex}", Wj.live_holdings_state_writer(state),
+                         output_mode="append")
+    assert spark.read.parquet(state).select("batch_id").distinct().count() > 3
+    got = {(r.tenant_id, r.user_id, r.asset_type, r.quantity, r.created_at)
+           for r in Wj.current_holdings(spark, state).collect()}
+    want = {(r.tenant_id, r.user_id, r.asset_type, r.quantity, r.created_at)
+            for r in H.holdings_from_ledger(tx).collect()}
+    assert got == want
