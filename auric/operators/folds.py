@@ -32,11 +32,12 @@ def _sell_gate_fold(batches):
     for pdf in batches:
         keys = list(zip(pdf["tenant_id"].tolist(), pdf["user_id"].tolist(), pdf["asset_type"].tolist()))
         qs = pdf["q_units"].tolist()
+        starts = pdf["start_units"].tolist()
         buys = (pdf["transaction_type"] == "BUY").tolist()
         admitted, after = [], []
-        for k, q, is_buy in zip(keys, qs, buys):
+        for k, q, is_buy, b0 in zip(keys, qs, buys, starts):
             if k != cur_key:
-                cur_key, bal = k, 0
+                cur_key, bal = k, b0
             if is_buy:
                 bal += q
                 admitted.append(True)
@@ -46,22 +47,35 @@ def _sell_gate_fold(batches):
             else:
                 admitted.append(False)
             after.append(bal)
-        out = pdf.drop(columns=["q_units"])
+        out = pdf.drop(columns=["q_units", "start_units"])
         out["admitted"] = admitted
         out["bal_units"] = after
         yield out
 
 
-def sell_gate(tx: DataFrame, key=("tenant_id", "user_id", "asset_type"), order=None) -> DataFrame:
+def sell_gate(tx: DataFrame, key=("tenant_id", "user_id", "asset_type"), order=None,
+              snapshot: DataFrame | None = None) -> DataFrame:
     """Replay completed BUY/SELL requests in total order; a SELL is admitted
     iff a holding exists and covers the quantity. Returns every request with
-    ``admitted`` and the ``balance`` after it."""
+    ``admitted`` and the ``balance`` after it.
+
+    One key's replay is sequential by nature (see module doc). ``snapshot``
+    (key…, balance) bounds the work: each key's fold starts from its stored
+    balance, so ``tx`` need only hold the rows after the snapshot."""
     from ..sources.fixtures import TX_ORDER
     order = list(order or [c for c in TX_ORDER if c not in key])
     ev = tx.filter((F.col("status") == "completed") & F.col("transaction_type").isin("BUY", "SELL"))
     cols = list(dict.fromkeys([*key, *order, "transaction_type", "quantity"]))
     ev = ev.select(*cols, (F.col("quantity") * F.lit(UNITS)).cast("bigint").alias("q_units"))
-    schema = ev.drop("q_units").schema.add("admitted", T.BooleanType()).add("bal_units", T.LongType())
+    if snapshot is not None:
+        snap = snapshot.select(*key, (F.col("balance") * F.lit(UNITS)).cast("bigint").alias("start_units"))
+        ev = ev.join(snap, list(key), "left")
+        ev = ev.withColumn("start_units", F.coalesce(F.col("start_units"), F.lit(0).cast("bigint")))
+    else:
+        ev = ev.withColumn("start_units", F.lit(0).cast("bigint"))
+    ev = ev.select(*cols, "q_units", "start_units")
+    schema = (ev.drop("q_units", "start_units").schema.add("admitted", T.BooleanType())
+              .add("bal_units", T.LongType()))
     folded = _sorted_by_key(ev, list(key), order).mapInPandas(_sell_gate_fold, schema)
     bal = (F.col("bal_units").cast("decimal(28,0)") * F.lit(UNIT)).cast("decimal(20,8)")
     return folded.select(*cols, "admitted", bal.alias("balance"))
