@@ -3,7 +3,6 @@ no Python UDFs on the batch paths."""
 
 import uuid
 
-from pyspark.sql import functions as F
 
 from auric.operators import filters as P
 from auric.operators import orders as K

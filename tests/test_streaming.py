@@ -1,7 +1,6 @@
 """Streaming jobs (availableNow over files arriving in time order) equal
 their batch twins."""
 
-import os
 import uuid
 
 import pytest
@@ -111,3 +110,17 @@ def test_w05_incremental_state_equals_h03(spark, fx_small, scratch):
     want = {(r.tenant_id, r.user_id, r.asset_type, r.quantity, r.created_at)
             for r in H.holdings_from_ledger(tx).collect()}
     assert got == want
+
+
+def test_w02_sliding_failures_stream_equals_batch(spark, fx_small, scratch):
+    audit = fx_small.audit_logs
+    src = _files_by(audit, "created_at", "yyyy-MM-dd", f"{scratch}/audit")
+    stream = _stream_dirs(spark, src, audit.schema)
+    log = f"{scratch}/w02_{uuid.uuid4().hex}"
+    Wj.run_available_now(Wj.login_failure_counts_stream(stream, "1 day", "6 hours"), f"w02_{uuid.uuid4().hex}",
+                         Wj.changelog_writer(log))
+    cur = Wj.latest_by_key(spark, log, ["user_id", "window_start"]).filter("failures >= 2")
+    got = {(r.user_id, r.window_start.replace(tzinfo=None), r.failures) for r in cur.collect()}
+    want = {(r.user_id, r.window_start, r.failures)
+            for r in Wj.login_failures(audit, "1 day", "6 hours", 2).collect()}
+    assert got == want and len(want) > 0
