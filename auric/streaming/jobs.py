@@ -60,6 +60,20 @@ def latest_by_key(spark: SparkSession, path: str, keys: Iterable[str]) -> DataFr
     return log.withColumn("_rk", F.row_number().over(w)).filter("_rk = 1").drop("_rk", "batch_id")
 
 
+def compact_changelog(spark: SparkSession, path: str, keys: Iterable[str], upto_batch: int, out: str) -> None:
+    """Fold a changelog's batches ≤ ``upto_batch`` into one base snapshot at
+    ``out`` (one row per key, tagged with ``upto_batch`` as its batch id).
+    Readers then take the latest row per key over the base plus newer
+    batches, so each read stays proportional to the live keys, not to the
+    number of triggers. The write goes to a new location; the old log stays
+    until the caller switches over, so a failure midway loses nothing."""
+    log = spark.read.parquet(path).filter(F.col("batch_id") <= upto_batch)
+    w = Window.partitionBy(*keys).orderBy(F.col("batch_id").desc())
+    base = log.withColumn("_rk", F.row_number().over(w)).filter("_rk = 1").drop("_rk")
+    (base.withColumn("batch_id", F.lit(upto_batch).cast("bigint"))
+     .write.mode("overwrite").partitionBy("batch_id").parquet(out))
+
+
 def run_available_now(df: DataFrame, name: str, write_fn, output_mode: str = "update") -> str:
     """Run a streaming DataFrame over everything available, then stop."""
     spark = df.sparkSession

@@ -124,3 +124,14 @@ def test_w02_sliding_failures_stream_equals_batch(spark, fx_small, scratch):
     want = {(r.user_id, r.window_start, r.failures)
             for r in Wj.login_failures(audit, "1 day", "6 hours", 2).collect()}
     assert got == want and len(want) > 0
+
+
+def test_changelog_compaction_keeps_latest_state(spark, scratch):
+    log, base = f"{scratch}/cl_{uuid.uuid4().hex}", f"{scratch}/base_{uuid.uuid4().hex}"
+    w = Wj.changelog_writer(log)
+    w(spark.createDataFrame([(1, 10), (2, 20)], "k long, v long"), 0)
+    w(spark.createDataFrame([(1, 11)], "k long, v long"), 1)
+    w(spark.createDataFrame([(3, 30)], "k long, v long"), 2)
+    Wj.compact_changelog(spark, log, ["k"], 1, base)
+    assert {(r.k, r.v) for r in spark.read.parquet(base).collect()} == {(1, 11), (2, 20)}
+    assert {(r.k, r.v) for r in Wj.latest_by_key(spark, log, ["k"]).collect()} == {(1, 11), (2, 20), (3, 30)}
