@@ -98,10 +98,12 @@ def _bucket_fold(rate_num: int, rate_den_us: int, burst_units: int):
         for pdf in batches:
             clients = pdf["client"].tolist()
             ts = pdf["ts_us"].tolist()
+            ex0, last0 = pdf["ex0"].tolist(), pdf["last0"].tolist()
             refused, exc_out = [], []
-            for c, t in zip(clients, ts):
+            for c, t, e0, l0 in zip(clients, ts, ex0, last0):
                 if c != cur:
-                    cur, excess, last = c, None, None
+                    cur = c
+                    excess, last = (None, None) if e0 < 0 else (e0, l0)  # -1: no stored state
                 if excess is None:
                     new = 0
                 else:
@@ -114,7 +116,7 @@ def _bucket_fold(rate_num: int, rate_den_us: int, burst_units: int):
                     excess, last = new, t
                     refused.append(False)
                     exc_out.append(new)
-            out = pdf.drop(columns=["ts_us"])
+            out = pdf.drop(columns=["ts_us", "ex0", "last0"])
             out["refused"] = refused
             out["excess_scaled"] = exc_out
             yield out
@@ -122,14 +124,19 @@ def _bucket_fold(rate_num: int, rate_den_us: int, burst_units: int):
 
 
 def leaky_bucket(requests: DataFrame, rate, burst: int,
-                 client_col: str = "client", order=("ts", "event_id")) -> DataFrame:
+                 client_col: str = "client", order=("ts", "event_id"),
+                 snapshot: DataFrame | None = None) -> DataFrame:
     """W-03 batch: per client, ``excess = max(0, excess − rate·Δt + 1)`` (first
     request 0); a request is refused when the new excess exceeds ``burst`` and
     a refused request changes no state. Integer microseconds throughout: the
     rate is held as an exact fraction so no float rounding enters.
 
     ``rate`` is requests per second, or a ``(requests, seconds)`` pair such as
-    ``(10, 1)`` for the API limit or ``(1, 21600)`` for one per six hours."""
+    ``(10, 1)`` for the API limit or ``(1, 21600)`` for one per six hours.
+
+    ``snapshot`` (client, excess_scaled, last_us), e.g. from
+    :func:`bucket_state`, starts each client from its stored state so that
+    ``requests`` need only hold the newer rows (snapshot + delta)."""
     if isinstance(rate, tuple):
         a, b = int(rate[0]), int(rate[1])
     else:
@@ -138,10 +145,29 @@ def leaky_bucket(requests: DataFrame, rate, burst: int,
     burst_units = int(burst) * rate_den_us
     ev = requests.select(F.col(client_col).alias("client"), *[c for c in order],
                          F.unix_micros(F.col(order[0]).cast("timestamp")).alias("ts_us"))
-    schema = ev.drop("ts_us").schema.add("refused", T.BooleanType()).add("excess_scaled", T.LongType())
+    if snapshot is not None:
+        ev = ev.join(snapshot.select("client", F.col("excess_scaled").alias("ex0"),
+                                     F.col("last_us").alias("last0")), "client", "left")
+        # keep the columns integral in Arrow/pandas: -1 marks "no stored state"
+        ev = (ev.withColumn("ex0", F.coalesce(F.col("ex0"), F.lit(-1).cast("long")))
+                .withColumn("last0", F.coalesce(F.col("last0"), F.lit(-1).cast("long"))))
+    else:
+        ev = ev.withColumn("ex0", F.lit(-1).cast("long")).withColumn("last0", F.lit(-1).cast("long"))
+    schema = ev.drop("ts_us", "ex0", "last0").schema.add("refused", T.BooleanType()).add(
+        "excess_scaled", T.LongType())
     folded = _sorted_by_key(ev, ["client"], list(order)).mapInPandas(
         _bucket_fold(rate_num, rate_den_us, burst_units), schema)
     # excess in requests, rounded half up to 6 places with integer arithmetic
     micro = F.floor((F.col("excess_scaled").cast("decimal(38,0)") * 2000000 + rate_den_us) / (2 * rate_den_us))
     exc = (micro.cast("decimal(38,0)") * F.lit(Decimal("0.000001"))).cast("decimal(20,6)")
-    return folded.select("client", *order, "refused", exc.alias("excess"))
+    return folded.select("client", *order, "refused", exc.alias("excess"), "excess_scaled")
+
+
+def bucket_state(bucketed: DataFrame, order=("ts", "event_id")) -> DataFrame:
+    """Per client: the state after its last accepted request (for snapshot +
+    delta): scaled excess and that request's time in microseconds."""
+    acc = bucketed.filter(~F.col("refused"))
+    o = F.struct(*order)
+    return acc.groupBy("client").agg(
+        F.max_by("excess_scaled", o).alias("excess_scaled"),
+        F.max_by(F.unix_micros(F.col(order[0]).cast("timestamp")), o).alias("last_us"))

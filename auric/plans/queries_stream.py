@@ -54,7 +54,7 @@ SELECT s.client, s.ts, s.event_id, w.refused,
        {D(f"CAST((2 * w.ex * 1000000 + {DEN}) // (2 * {DEN}) AS DECIMAL(38,0)) * 0.000001")} AS excess
 FROM seq s JOIN walk w ON s.client = w.client AND s.rn = w.rn"""))
 def _w03(fx):
-    return folds.leaky_bucket(fx.requests, RATE, BURST)
+    return folds.leaky_bucket(fx.requests, RATE, BURST).drop("excess_scaled")
 
 
 @register("live_metrics", "W-04", W(["tx"], f"""

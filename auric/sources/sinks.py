@@ -61,3 +61,17 @@ def report_export(report: DataFrame, path: str, fmt: str = "json", period_col: s
         w.json(path)
     else:
         raise ValueError(fmt)
+
+
+# --------------------------------------------------------------- A-09 store
+def write_daily_metrics(metrics: DataFrame, path: str) -> None:
+    """Persist A-09 by day with dynamic partition overwrite. Recomputing a
+    window of days (for example the last few, after late trades) replaces only
+    those day partitions, and the table keeps one row per (tenant, day)."""
+    spark = metrics.sparkSession
+    prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
+    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    try:
+        metrics.write.mode("overwrite").partitionBy("metric_date").parquet(path)
+    finally:
+        spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
