@@ -37,7 +37,7 @@ def alert_kyc_limit(tx: DataFrame, users: DataFrame, caps: DataFrame) -> DataFra
     """Trades above the cap of the user's KYC level (NULL cap = unlimited).
     ``caps`` is a (kyc_level, cap) table of at most four rows."""
     u = users.select("tenant_id", "user_id", "kyc_level")
-    j = tx.join(u, ["tenant_id", "user_id"]).join(F.broadcast(caps), "kyc_level")
+    j = tx.join(u, ["tenant_id", "user_id"]).join(broadcast_if_small(caps), "kyc_level")
     t = j.filter(F.col("total_value") > F.col("cap"))
     return _alert(t, "KYC_LIMIT", _tx_ref(), F.col("total_value"), F.col("created_at"))
 

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..sources.fixtures import TX_KEY, TX_ORDER
+from ._util import broadcast_if_small
 
 QTY = "decimal(20,8)"
 RUN = "decimal(38,8)"
@@ -191,7 +192,7 @@ def holding_value(holdings: DataFrame, price_col: str = "current_price") -> Data
 def mark_to_market(holdings: DataFrame, assets: DataFrame) -> DataFrame:
     """Refresh current_price from the (seeded, 3-row) asset dimension, then H-04."""
     a = assets.select(F.col("code").alias("asset_type"), "current_price")
-    h = holdings.drop("current_price", "total_value").join(F.broadcast(a), "asset_type", "left")
+    h = holdings.drop("current_price", "total_value").join(broadcast_if_small(a), "asset_type", "left")
     return holding_value(h).select(*TX_KEY, "quantity", "current_price", "total_value",
                                    *[c for c in holdings.columns
                                      if c not in (*TX_KEY, "quantity", "current_price", "total_value")])

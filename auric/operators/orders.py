@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..sources import dims
 from .folds import sell_gate, sell_gate_final  # noqa: F401  (K-02 re-exported)
+from ._util import broadcast_if_small
 
 MONEY = "decimal(15,2)"
 KYC_REQUIRED = "KYC verification required"
@@ -66,7 +67,7 @@ def tx_type_rules(tx: DataFrame, tx_types: DataFrame) -> DataFrame:
     flagged ``type_active = false``. The type table is a fixed seed: broadcast."""
     t = tx_types.select(F.col("code").alias("transaction_type"), "requires_kyc", "requires_payment",
                         F.col("is_active").alias("type_active"))
-    j = tx.join(F.broadcast(t), "transaction_type", "left")
+    j = tx.join(broadcast_if_small(t), "transaction_type", "left")
     return j.withColumn("type_active", F.coalesce(F.col("type_active"), F.lit(False)))
 
 
