@@ -113,14 +113,15 @@ def key_state(b: DataFrame) -> DataFrame:
     """Per key from per-row balances: last balance (``quantity``), whether any
     row reached zero (``any_zero``) and the first row after the last zero
     (``created_at``; the first row when none reached zero)."""
-    # Within a chunk: the first row that has no zero balance at or after it.
-    rev = (Window.partitionBy(*TX_KEY, "chunk").orderBy(*[F.col(c).desc() for c in TX_ORDER])
-           .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    b = b.withColumn("zeros_after", F.sum(F.when(F.col("balance") == 0, 1).otherwise(0)).over(rev))
+    # Within a chunk: the last row at zero (an unordered window over the chunk,
+    # which the join output is already partitioned and sorted for), then the
+    # first row after it.
     ordv = F.struct(*TX_ORDER)
+    b = b.withColumn("last_zero", F.max(F.when(F.col("balance") == 0, ordv))
+                     .over(Window.partitionBy(*TX_KEY, "chunk")))
     per_chunk = b.groupBy(*TX_KEY, "chunk").agg(
         F.max(F.col("balance") == 0).alias("has_zero"),
-        F.min(F.when(F.col("zeros_after") == 0, F.struct(ordv.alias("o"), F.col("created_at").alias("t"))))
+        F.min(F.when(ordv > F.col("last_zero"), F.struct(ordv.alias("o"), F.col("created_at").alias("t"))))
          .alias("first_after"),
         F.min(F.struct(ordv.alias("o"), F.col("created_at").alias("t"))).alias("first_event"),
         F.max_by(F.col("balance"), ordv).alias("last_balance"),
