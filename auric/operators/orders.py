@@ -13,7 +13,7 @@ from .folds import sell_gate, sell_gate_final  # noqa: F401  (K-02 re-exported)
 from ._util import broadcast_if_small
 
 MONEY = "decimal(15,2)"
-KYC_REQUIRED = "KYC verification required"
+KYC_REQUIRED = dims.KYC_REQUIRED_MESSAGE
 
 
 # --------------------------------------------------------------------- K-01

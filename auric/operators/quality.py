@@ -44,7 +44,7 @@ def check_domain(df: DataFrame, table: str, key_cols, rules: dict) -> DataFrame:
     return _violations(df, table, key_cols, checks)
 
 
-# Domains declared by the schema's CHECK constraints.
+# The domains declared by the schema's CHECK constraints.
 DOMAIN_RULES = {
     "tenants": {"tier": ["lite", "pro", "startup", "growth", "enterprise"],
                 "status": ["active", "suspended", "cancelled"]},

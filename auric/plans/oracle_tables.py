@@ -7,6 +7,8 @@ from FIXTURES.md §2, not generated from the Spark adapter.
 
 from __future__ import annotations
 
+from ..sources.dims import WELCOME_TEMPLATE
+
 # name -> (dependencies, body)
 TABLES: dict[str, tuple[tuple[str, ...], str]] = {}
 
@@ -205,11 +207,9 @@ SELECT c_custkey AS user_id,
 FROM customer WHERE c_acctbal > 9900""")
 
 _t("notification_templates", ["tenants"], """
-SELECT tenant_id, 'WELCOME_EMAIL' AS template_code, 'Welcome Email' AS template_name,
-       'Welcome to {{companyName}}' AS subject,
-       'Welcome to {{companyName}}! Your account has been created successfully.' AS content,
-       'email' AS template_type, tenant_id % 6 <> 0 AS is_active
-FROM tenants""")
+SELECT tenant_id, '{0}' AS template_code, '{1}' AS template_name, '{2}' AS subject, '{3}' AS content,
+       '{4}' AS template_type, tenant_id % 6 <> 0 AS is_active
+FROM tenants""".format(*WELCOME_TEMPLATE))
 
 _t("registrations", [], """
 SELECT o.o_orderkey AS registration_id, CAST(c.c_nationkey AS BIGINT) AS tenant_id,

@@ -51,6 +51,11 @@ TIER_PRICE_LIST = [
 ]
 # KYC level transaction caps from the README (None = unlimited).
 KYC_LEVEL_CAP_DOC = {0: Decimal("0"), 1: Decimal("50000"), 2: Decimal("1000000"), 3: None}
+# Seeded welcome template: code, name, subject, content, type.
+WELCOME_TEMPLATE = ("WELCOME_EMAIL", "Welcome Email", "Welcome to {{companyName}}",
+                    "Welcome to {{companyName}}! Your account has been created successfully.", "email")
+# Refusal message of the buy path when KYC is not verified.
+KYC_REQUIRED_MESSAGE = "KYC verification required"
 # ---------------------------------------------------------------------------
 
 # Payment method configuration. UPI is the seed row; the others are ours.

@@ -328,13 +328,14 @@ class Fixtures:
 
     @cached_property
     def notification_templates(self) -> DataFrame:
+        code, name, subject, content, kind = dims.WELCOME_TEMPLATE
         return self.tenants.select(
             "tenant_id",
-            F.lit("WELCOME_EMAIL").alias("template_code"),
-            F.lit("Welcome Email").alias("template_name"),
-            F.lit("Welcome to {{companyName}}").alias("subject"),
-            F.lit("Welcome to {{companyName}}! Your account has been created successfully.").alias("content"),
-            F.lit("email").alias("template_type"),
+            F.lit(code).alias("template_code"),
+            F.lit(name).alias("template_name"),
+            F.lit(subject).alias("subject"),
+            F.lit(content).alias("content"),
+            F.lit(kind).alias("template_type"),
             (F.pmod(F.col("tenant_id"), F.lit(6)) != 0).alias("is_active"),
         )
 
