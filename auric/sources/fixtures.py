@@ -17,8 +17,6 @@ from pyspark.sql.window import Window
 
 from . import dims
 
-RAW_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
-
 QTY = "decimal(20,8)"
 MONEY = "decimal(15,2)"
 
@@ -133,11 +131,6 @@ class Fixtures:
         last = self.tx.groupBy("user_id").agg(F.max("created_at").alias("last_login_at"))
         return self.users.join(last, "user_id", "left")
 
-    @cached_property
-    def customer_names(self) -> DataFrame:
-        return self.raw("customer").select(F.col("c_custkey").alias("user_id"),
-                                           F.col("c_name").alias("name"))
-
     # ----------------------------------------------------------------------- tx
     @cached_property
     def tx(self) -> DataFrame:
