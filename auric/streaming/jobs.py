@@ -5,11 +5,11 @@ Conventions shared by every job:
 * Event time arrives as ``TIMESTAMP_NTZ``; ``withWatermark`` refuses NTZ, so
   it is cast to ``TIMESTAMP`` (session zone pinned to UTC) first.
 * Late data: 10-minute watermark by default; rows later than that are dropped.
-* Sinks are upserts by key written through ``foreachBatch`` as an append-only
-  changelog ``(…key, …values, batch_id)``; the current table is the latest
-  row per key (:func:`latest_by_key`). Each micro-batch write is idempotent on
-  retry (the batch id is part of the output), so a lost executor or a restarted
-  query replays a batch without double counting.
+* Sinks are upserts by key written through ``foreachBatch`` as a changelog
+  with one ``batch_id=N`` directory per micro-batch; the current table is the
+  latest row per key (:func:`latest_by_key`). A batch overwrites its own
+  directory, so a replay after a lost executor or a restarted query replaces
+  the earlier attempt and nothing is counted twice.
 * Checkpoints go to the shared ``spark.checkpoint.dir`` (see
   :func:`auric.session.checkpoint_dir`), never a machine-local folder.
 """
@@ -45,11 +45,17 @@ def file_stream(spark: SparkSession, path: str, schema: T.StructType, max_files:
 
 
 # --------------------------------------------------------------- sink helpers
+def _batch_dir(path: str, batch_id: int) -> str:
+    return f"{path.rstrip('/')}/batch_id={batch_id}"
+
+
 def changelog_writer(path: str):
-    """foreachBatch function appending the batch's updated rows + batch id."""
+    """foreachBatch function writing the batch's updated rows into its own
+    ``batch_id=N`` partition with overwrite: a replayed batch (after a lost
+    executor or a restart) replaces its earlier attempt instead of adding to
+    it, so the sink is idempotent."""
     def write(batch: DataFrame, batch_id: int):
-        (batch.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
-         .write.mode("append").partitionBy("batch_id").parquet(path))
+        batch.write.mode("overwrite").parquet(_batch_dir(path, batch_id))
     return write
 
 
@@ -69,9 +75,8 @@ def compact_changelog(spark: SparkSession, path: str, keys: Iterable[str], upto_
     until the caller switches over, so a failure midway loses nothing."""
     log = spark.read.parquet(path).filter(F.col("batch_id") <= upto_batch)
     w = Window.partitionBy(*keys).orderBy(F.col("batch_id").desc())
-    base = log.withColumn("_rk", F.row_number().over(w)).filter("_rk = 1").drop("_rk")
-    (base.withColumn("batch_id", F.lit(upto_batch).cast("bigint"))
-     .write.mode("overwrite").partitionBy("batch_id").parquet(out))
+    base = log.withColumn("_rk", F.row_number().over(w)).filter("_rk = 1").drop("_rk", "batch_id")
+    base.write.mode("overwrite").parquet(_batch_dir(out, upto_batch))
 
 
 def run_available_now(df: DataFrame, name: str, write_fn, output_mode: str = "update") -> str:
@@ -192,7 +197,7 @@ def live_metrics_stream(tx: DataFrame, width: str = "1 day", watermark: str = WA
 
 # --------------------------------------------------------------------- W-05
 def live_holdings_writer(ledger_path: str, holdings_log: str):
-    """foreachBatch for W-05: append the batch to the ledger store, then
+    """foreachBatch for W-05: write the batch into the ledger store, then
     re-fold only the keys the batch touched (H-03 over their whole history,
     found by a semi join) and upsert them into the holdings changelog. A key
     that fell to zero gets a tombstone row (quantity 0). No Python per row."""
@@ -200,19 +205,15 @@ def live_holdings_writer(ledger_path: str, holdings_log: str):
 
     def write(batch: DataFrame, batch_id: int):
         spark = batch.sparkSession
-        batch.withColumn("batch_id", F.lit(batch_id).cast("bigint")).write.mode("append") \
-            .partitionBy("batch_id").parquet(ledger_path)
-        ledger = spark.read.parquet(ledger_path)
-        # a replayed batch (retry after failure) appears twice in the store: keep one copy
-        ledger = ledger.filter(F.col("batch_id") <= batch_id).drop("batch_id").dropDuplicates()
+        batch.write.mode("overwrite").parquet(_batch_dir(ledger_path, batch_id))
+        ledger = spark.read.parquet(ledger_path).filter(F.col("batch_id") <= batch_id).drop("batch_id")
         touched = batch.filter((F.col("status") == "completed") & F.col("transaction_type").isin("BUY", "SELL")) \
             .select(*keys).distinct()
         hist = ledger.join(touched, keys, "left_semi")
         h = H.holdings_from_ledger(hist)
         upd = touched.join(h, keys, "left").select(
             *keys, F.coalesce(F.col("quantity"), F.lit(0).cast("decimal(20,8)")).alias("quantity"), "created_at")
-        upd.withColumn("batch_id", F.lit(batch_id).cast("bigint")).write.mode("append") \
-            .partitionBy("batch_id").parquet(holdings_log)
+        upd.write.mode("overwrite").parquet(_batch_dir(holdings_log, batch_id))
     return write
 
 
@@ -235,8 +236,7 @@ def live_holdings_state_writer(state_log: str):
         except AnalysisException:  # first batch: no state written yet
             prev = None
         new = H.advance_state(batch, prev)
-        new.withColumn("batch_id", F.lit(batch_id).cast("bigint")).write.mode("append") \
-            .partitionBy("batch_id").parquet(state_log)
+        new.write.mode("overwrite").parquet(_batch_dir(state_log, batch_id))
     return write
 
 

@@ -135,3 +135,11 @@ def test_changelog_compaction_keeps_latest_state(spark, scratch):
     Wj.compact_changelog(spark, log, ["k"], 1, base)
     assert {(r.k, r.v) for r in spark.read.parquet(base).collect()} == {(1, 11), (2, 20)}
     assert {(r.k, r.v) for r in Wj.latest_by_key(spark, log, ["k"]).collect()} == {(1, 11), (2, 20), (3, 30)}
+
+
+def test_replayed_batch_replaces_its_earlier_attempt(spark, scratch):
+    log = f"{scratch}/idem_{uuid.uuid4().hex}"
+    w = Wj.changelog_writer(log)
+    w(spark.createDataFrame([(1, 10), (2, 20)], "k long, v long"), 0)
+    w(spark.createDataFrame([(1, 10), (2, 20)], "k long, v long"), 0)  # replay of batch 0
+    assert spark.read.parquet(log).count() == 2
