@@ -71,15 +71,22 @@ def get_spark(app: str = "auric", cores: str | int = "*", shuffle_partitions: in
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder for lineage cuts.
+    """Shared folder for lineage cuts and streaming checkpoints.
 
-    The cluster names it in ``spark.checkpoint.dir``; only when that is unset
-    (local tests) do we create one under the system temp folder."""
+    The cluster names it in ``spark.checkpoint.dir`` (a static setting, read
+    from the session, never changed at runtime). Only when it is unset (local
+    tests) is a temporary folder created and registered with the context."""
     d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = tempfile.mkdtemp(prefix="auric-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
+    if d:
+        if not spark.sparkContext.getCheckpointDir():
+            spark.sparkContext.setCheckpointDir(d)
+        return d
+    existing = getattr(spark.sparkContext, "_auric_ckpt", None)
+    if existing:
+        return existing
+    d = tempfile.mkdtemp(prefix="auric-ckpt-")
     spark.sparkContext.setCheckpointDir(d)
+    spark.sparkContext._auric_ckpt = d
     return d
 
 

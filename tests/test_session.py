@@ -10,13 +10,37 @@ def test_cluster_conf_sizes_partitions_from_cores():
     assert c["spark.sql.files.maxPartitionBytes"] == "256m"
 
 
-def test_checkpoint_dir_respects_the_cluster_setting(spark, tmp_path):
-    prev = spark.conf.get("spark.checkpoint.dir", None)
-    try:
-        spark.conf.set("spark.checkpoint.dir", str(tmp_path / "shared"))
-        assert session.checkpoint_dir(spark) == str(tmp_path / "shared")
-    finally:
-        if prev:
-            spark.conf.set("spark.checkpoint.dir", prev)
-        else:
-            spark.conf.unset("spark.checkpoint.dir")
+def test_checkpoint_dir_reads_the_cluster_setting(spark):
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    got = session.checkpoint_dir(spark)
+    if configured:
+        assert got == configured
+    assert spark.sparkContext.getCheckpointDir()
+
+
+class _Conf:
+    def get(self, key, default=None):
+        return default
+
+
+class _Ctx:
+    def __init__(self):
+        self.dirs = []
+
+    def setCheckpointDir(self, d):
+        self.dirs.append(d)
+
+    def getCheckpointDir(self):
+        return self.dirs[-1] if self.dirs else None
+
+
+class _Session:
+    def __init__(self):
+        self.conf, self.sparkContext = _Conf(), _Ctx()
+
+
+def test_checkpoint_dir_when_unset_registers_a_folder_without_setting_static_conf():
+    s = _Session()
+    d1 = session.checkpoint_dir(s)
+    d2 = session.checkpoint_dir(s)
+    assert d1 == d2 and s.sparkContext.dirs == [d1]
