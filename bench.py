@@ -53,15 +53,23 @@ def main():
         run(n, spark, sf_dir).write.format("noop").mode("overwrite").save()
         return time.perf_counter() - t0
 
+    errors = {}
     for n in names:  # warm-up pass (JIT, Python workers, file listing caches)
-        once(n)
+        try:
+            once(n)
+        except Exception as e:  # noqa: BLE001  (report, keep benchmarking the rest)
+            errors[n] = str(e).splitlines()[0][:200]
     times = {}
     for n in names:
+        if n in errors:
+            times[n] = None
+            continue
         times[n] = round(statistics.median(once(n) for _ in range(repeat)), 3)
     m = re.search(r"sf([0-9.]+)", sf_dir)
     print(json.dumps({
-        "metric": "sum_of_median_query_seconds", "value": round(sum(times.values()), 3), "unit": "sec",
-        "queries": times, "sf": float(m.group(1)) if m else sf_dir,
+        "metric": "sum_of_median_query_seconds",
+        "value": round(sum(t for t in times.values() if t is not None), 3), "unit": "sec",
+        "queries": times, "errors": errors, "sf": float(m.group(1)) if m else sf_dir,
         "cpus": int(cpus), "repeat": repeat, "spark": spark.version,
         "shuffle_partitions": spark.conf.get("spark.sql.shuffle.partitions"),
     }))
