@@ -61,12 +61,20 @@ def append_ledger(orders: DataFrame, path: str) -> None:
 
 
 # --------------------------------------------------------------------- S-05
-def tenant_layout(df: DataFrame, path: str, sort_cols=("created_at",)) -> None:
+def tenant_layout(df: DataFrame, path: str, sort_cols=("created_at",), month_col: str | None = None) -> None:
     """One directory per tenant (the reference's per-tenant tables, done as
     partitions): a tenant filter on read becomes partition pruning, and rows
-    sorted by time within files give tight min/max statistics."""
-    (df.repartition("tenant_id").sortWithinPartitions("tenant_id", *sort_cols)
-     .write.mode("overwrite").partitionBy("tenant_id").parquet(path))
+    sorted by time within files give tight min/max statistics.
+
+    With ``month_col`` (e.g. ``"created_at"``) the layout is tenant × month,
+    the time partitioning the platform claims for its transactions. A filter
+    on ``month`` then prunes whole months as well."""
+    parts = ["tenant_id"]
+    if month_col is not None:
+        df = df.withColumn("month", F.date_format(F.col(month_col), "yyyy-MM"))
+        parts.append("month")
+    (df.repartition(*parts).sortWithinPartitions(*parts, *sort_cols)
+     .write.mode("overwrite").partitionBy(*parts).parquet(path))
 
 
 # --------------------------------------------------------------------- S-06

@@ -81,3 +81,15 @@ def test_hot_key_is_spread_over_partitions(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     assert hot_parts >= 4  # 1,000 hot rows over ~125 days land in many partitions
+
+
+def test_tenant_month_layout_prunes_months(spark, fx_small, tmp_path):
+    from pyspark.sql import functions as F
+    path = str(tmp_path / f"txm_{uuid.uuid4().hex}")
+    sinks.tenant_layout(fx_small.tx, path, month_col="created_at")
+    df = spark.read.parquet(path).filter((F.col("tenant_id") == 7) & (F.col("month") == "1998-03"))
+    p = plan(df)
+    assert "PartitionFilters" in p and "1998-03" in p.split("PartitionFilters")[1]
+    want = fx_small.tx.filter((F.col("tenant_id") == 7)
+                              & (F.date_format("created_at", "yyyy-MM") == "1998-03")).count()
+    assert df.count() == want
