@@ -239,11 +239,12 @@ def payment_fees(tx: DataFrame, methods: DataFrame) -> DataFrame:
     v = F.col("total_value")
     fee = (v * F.col("fee_percentage") * F.lit("0.01").cast("decimal(3,2)") + F.col("fee_fixed")).cast(MONEY)
     priced = F.col("fee_percentage").isNotNull()
+    # a row no fee rule applies to (disabled or missing method) is not flagged
     return j.select(
         *tx.columns,
         fee.alias("fee"),
-        F.when(priced, v < F.coalesce(F.col("min_amount"), _zero())).alias("below_min"),
-        F.when(priced, F.coalesce(v > F.col("max_amount"), F.lit(False))).alias("above_max"))
+        (priced & (v < F.coalesce(F.col("min_amount"), _zero()))).alias("below_min"),
+        (priced & F.coalesce(v > F.col("max_amount"), F.lit(False))).alias("above_max"))
 
 
 # --------------------------------------------------------------------- A-13

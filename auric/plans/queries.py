@@ -155,8 +155,8 @@ def _a08(fx):
 
 FEES_SQL = """
 SELECT x.*, CAST(x.total_value * m.fee_percentage * 0.01 + m.fee_fixed AS DECIMAL(15,2)) AS fee,
-       CASE WHEN m.code IS NOT NULL THEN x.total_value < COALESCE(m.min_amount, 0) END AS below_min,
-       CASE WHEN m.code IS NOT NULL THEN COALESCE(x.total_value > m.max_amount, FALSE) END AS above_max
+       COALESCE(m.code IS NOT NULL AND x.total_value < COALESCE(m.min_amount, 0), FALSE) AS below_min,
+       COALESCE(m.code IS NOT NULL AND x.total_value > m.max_amount, FALSE) AS above_max
 FROM tx x LEFT JOIN (SELECT * FROM payment_methods WHERE is_enabled) m ON x.payment_method = m.code"""
 
 
