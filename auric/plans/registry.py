@@ -12,6 +12,7 @@ from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import ship_package
 from ..sources.fixtures import Fixtures
 from .present import present
 
@@ -39,6 +40,7 @@ def run(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     # (watermarks, epoch arithmetic) cannot shift across daylight-saving changes.
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+    ship_package(spark)
     return present(REGISTRY[name].build(Fixtures(spark, sf_dir)))
 
 

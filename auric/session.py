@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -74,8 +76,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for lineage cuts and streaming checkpoints.
 
     The cluster names it in ``spark.checkpoint.dir`` (a static setting, read
-    from the session, never changed at runtime). Only when it is unset (local
-    tests) is a temporary folder created and registered with the context."""
+    from the session, never changed at runtime). Only a local master may leave
+    it unset (tests): then a temporary folder is created and registered."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if d:
         if not spark.sparkContext.getCheckpointDir():
@@ -84,12 +86,27 @@ def checkpoint_dir(spark: SparkSession) -> str:
     existing = getattr(spark.sparkContext, "_auric_ckpt", None)
     if existing:
         return existing
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir is not set; on a cluster it must name a shared folder")
     d = tempfile.mkdtemp(prefix="auric-ckpt-")
     spark.sparkContext.setCheckpointDir(d)
     spark.sparkContext._auric_ckpt = d
     return d
 
 
-def scratch_table_path(spark: SparkSession, name: str) -> str:
-    """Location for an intermediate table written to cut lineage."""
-    return os.path.join(checkpoint_dir(spark), "tables", name)
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors once per context, as ``--py-files``
+    would, so that Python functions can be unpickled there."""
+    sc = spark.sparkContext
+    if getattr(sc, "_auric_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="auric-pkg-"), "auric.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(root):
+            for n in sorted(names):
+                if n.endswith(".py"):
+                    full = os.path.join(folder, n)
+                    z.write(full, os.path.join("auric", os.path.relpath(full, root)))
+    sc.addPyFile(path)
+    sc._auric_shipped = True
