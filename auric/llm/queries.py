@@ -6,11 +6,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, shared_path
 from .exact_dedup import exact_dedup
+from .packing import pack_documents
 from .quality_rules import quality_rules
 from .secret_scan import secret_spans
 from .simhash import simhash_classes
+from .token_files import id_kind, read_token_files, write_token_files
+from .tokens import default_path
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +33,12 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         text(spans).alias("spans"), count("literal").alias("n_literal"))
 
 
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    shards = write_token_files(docs, shared_path(spark, "token-files"), default_path(), end_id=2)
+    return read_token_files(spark, shards, id_kind(docs))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_classes(documents(spark, sf_dir)).select(
         "doc_id", "fingerprint", "component_id", "class_size")
@@ -39,12 +48,18 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir))
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(documents(spark, sf_dir), default_path(), end_id=0, window=1024).select(
+        "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir)).select(
         "doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op4_simhash, op5_quality_rules, op9_exact_dedup)}
+QUERIES = {f.__name__: f for f in (
+    op1_secret_scan, op2_token_files, op4_simhash, op5_quality_rules, op7_packing, op9_exact_dedup)}
 
 ORACLES = {
     "op9_exact_dedup": r"""
