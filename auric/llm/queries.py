@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 
 from .common import documents, shared_path
 from .exact_dedup import exact_dedup
+from .mixing import mix
 from .packing import pack_documents
 from .quality_rules import quality_rules
 from .secret_scan import secret_spans
 from .simhash import simhash_classes
 from .token_files import id_kind, read_token_files, write_token_files
+from .token_count import token_counts
 from .tokens import default_path
 
 
@@ -39,6 +41,10 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, shards, id_kind(docs))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_classes(documents(spark, sf_dir)).select(
         "doc_id", "fingerprint", "component_id", "class_size")
@@ -48,6 +54,12 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_counts(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), default_path(), end_id=0, window=1024).select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
@@ -59,7 +71,8 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_secret_scan, op2_token_files, op4_simhash, op5_quality_rules, op7_packing, op9_exact_dedup)}
+    op1_secret_scan, op2_token_files, op3_mixing, op4_simhash, op5_quality_rules, op6_token_counts,
+    op7_packing, op9_exact_dedup)}
 
 ORACLES = {
     "op9_exact_dedup": r"""
