@@ -7,12 +7,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, shared_path
+from .ctw import ctw_scores
 from .exact_dedup import exact_dedup
 from .mixing import mix
 from .packing import pack_documents
 from .quality_rules import quality_rules
 from .secret_scan import secret_spans
 from .simhash import simhash_classes
+from .suffix_dedup import suffix_dedup
 from .token_files import id_kind, read_token_files, write_token_files
 from .token_count import token_counts
 from .tokens import default_path
@@ -65,6 +67,16 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op8_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw_scores(documents(spark, sf_dir)).select(
+        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+
+
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(documents(spark, sf_dir)).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir)).select(
         "doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -72,7 +84,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_secret_scan, op2_token_files, op3_mixing, op4_simhash, op5_quality_rules, op6_token_counts,
-    op7_packing, op9_exact_dedup)}
+    op7_packing, op8_context_tree, op9_exact_dedup, op10_suffix_dedup)}
 
 ORACLES = {
     "op9_exact_dedup": r"""
