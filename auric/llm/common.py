@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..session import checkpoint_dir, ship_package
 
@@ -42,7 +43,7 @@ def text_of(col: str = "text") -> Column:
 
 
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
-                schema: str) -> DataFrame:
+                schema: str | StructType) -> DataFrame:
     """``mapInArrow`` with this package available on the executors. A batch is
     bounded in rows and bytes by ``spark.sql.execution.arrow.max*PerBatch``."""
     ship_package(df.sparkSession)

@@ -25,6 +25,7 @@ gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -34,6 +35,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import kind_of, map_batches, stage, text_of, to_bytes
 
@@ -208,3 +210,48 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         select, f"id {kind}, source string, size long, source_size long, target double, taken long, "
                 "cuts array<struct<words:bigint,copies:bigint>>")
     return out.withColumnRenamed("id", id_col)
+
+
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+
+
+def copies_of(text: str, cuts: list[dict]) -> list[str]:
+    """The copies of a text that the mix takes: copy k has the words taken k
+    times or more; words that follow each other keep the space between them."""
+    data = to_bytes(text)
+    if len({c["copies"] for c in cuts}) == 1:
+        return [text] * cuts[0]["copies"]
+    spans = [m.span() for m in _WORD.finditer(data)]
+    out = []
+    for k in range(1, max(c["copies"] for c in cuts) + 1):
+        parts, at, begin = [], 0, None
+        for c in [*cuts, {"words": 0, "copies": 0}]:
+            if c["copies"] >= k and begin is None:
+                begin = at
+            elif c["copies"] < k and begin is not None:
+                parts.append(data[spans[begin][0]:spans[at - 1][1]])
+                begin = None
+            at += c["words"]
+        out.append(b"\n".join(parts).decode("utf-8", "surrogatepass"))
+    return out
+
+
+def cut_copies(docs: DataFrame, schema: StructType) -> DataFrame:
+    """Rows of documents with ``cuts`` -> one row per copy, columns of ``schema``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            owner, texts = [], []
+            for i, (t, c) in enumerate(zip(b.column("text"), b.column("cuts"))):
+                for x in copies_of(t.as_py() or "", c.as_py()):
+                    owner.append(i)
+                    texts.append(x)
+            for lo in range(0, len(owner), 1000):
+                part = b.take(pa.array(owner[lo:lo + 1000], pa.int64()))
+                got = texts[lo:lo + 1000]
+                new = {"text": pa.array(got, pa.string()), "n_chars": pa.array([len(x) for x in got], pa.int64())}
+                yield pa.RecordBatch.from_arrays(
+                    [new[f.name].cast(part.schema.field(f.name).type) if f.name in new else part.column(f.name)
+                     for f in schema], [f.name for f in schema])
+
+    return map_batches(docs.select(*schema.names, "cuts"), run, schema)
