@@ -15,6 +15,7 @@ from ..session import checkpoint_dir, ship_package
 # The white-space set of all contracts, as a regular expression
 # class (bytes.split() without arguments splits on the same six characters).
 SPACE_CLASS = r"[\x20\x09-\x0D]"
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,9 +33,18 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     Cuts the lineage with replicated storage (a lost executor costs no
     recomputation) and gives later joins a plain scan, so that AQE can split
     skewed partitions on both sides."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, shared_path(df.sparkSession, name)
+    # The table replaces the job's shuffle files: have them removed when the write ends.
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(SHUFFLE_CLEANUP)
+        else:
+            spark.conf.set(SHUFFLE_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def text_of(col: str = "text") -> Column:

@@ -25,6 +25,7 @@ gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
+import heapq
 import re
 import zlib
 from collections.abc import Iterator
@@ -66,7 +67,7 @@ def targets(sizes: list[int], max_epochs: int) -> list[float]:
 def apportion(weights: np.ndarray, seats: int, most: np.ndarray) -> np.ndarray:
     """Sainte-Lague: seats by highest quotient weight / (2 s + 1), at most
     ``most`` each, ties to the first. The quotient of the last seat is found by
-    bisection; the seats at that quotient go in order."""
+    bisection."""
     weights, most = np.asarray(weights, float), np.asarray(most, np.int64)
     seats = int(min(seats, most[weights > 0].sum()))
     if seats <= 0:
@@ -85,15 +86,14 @@ def apportion(weights: np.ndarray, seats: int, most: np.ndarray) -> np.ndarray:
             low = mid
         else:
             high = mid
-    got = above(high)
-    open_ = np.flatnonzero((got < most) & (weights > 0))
-    order = open_[np.argsort(-(weights[open_] / (2 * got[open_] + 1)), kind="stable")]
-    left = seats - int(got.sum())
-    while left > 0:  # one round unless capped
-        for i in order[:left]:
-            got[i] += 1
-        left = seats - int(got.sum())
-        order = order[got[order] < most[order]]
+    got = above(high * (1 + 1e-9))  # clear of rounding; the few seats left go one by one
+    heap = [(-weights[i] / (2 * got[i] + 1), i) for i in np.flatnonzero((got < most) & (weights > 0)).tolist()]
+    heapq.heapify(heap)
+    for _ in range(seats - int(got.sum())):
+        _, i = heapq.heappop(heap)
+        got[i] += 1
+        if got[i] < most[i]:
+            heapq.heappush(heap, (-weights[i] / (2 * got[i] + 1), i))
     return got
 
 
