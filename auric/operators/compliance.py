@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._util import broadcast_if_small
 
 MONEY = "decimal(15,2)"
 ALERT_COLS = ("tenant_id", "user_id", "alert_type", "ref", "amount", "created_at")
@@ -33,12 +32,19 @@ def alert_high_amount(tx: DataFrame, threshold) -> DataFrame:
 
 
 # --------------------------------------------------------------------- M-02
-def alert_kyc_limit(tx: DataFrame, users: DataFrame, caps: DataFrame) -> DataFrame:
-    """Trades above the cap of the user's KYC level (NULL cap = unlimited).
-    ``caps`` is a (kyc_level, cap) table of at most four rows."""
+def _with_cap(tx: DataFrame, users: DataFrame, caps: DataFrame) -> DataFrame:
+    """Trades with the cap of their user's KYC level. An unknown user is level
+    0; a level that is not listed has no clearance (cap 0). NULL = unlimited."""
     u = users.select("tenant_id", "user_id", "kyc_level")
-    j = tx.join(u, ["tenant_id", "user_id"]).join(broadcast_if_small(caps), "kyc_level")
-    t = j.filter(F.col("total_value") > F.col("cap"))
+    c = caps.select("kyc_level", F.struct("cap").alias("_c"))
+    j = tx.join(u, ["tenant_id", "user_id"], "left").withColumn("kyc_level", F.coalesce("kyc_level", F.lit(0)))
+    cap = F.when(F.col("_c").isNull(), F.lit(0).cast(MONEY)).otherwise(F.col("_c.cap"))
+    return j.join(c, "kyc_level", "left").withColumn("cap", cap)
+
+
+def alert_kyc_limit(tx: DataFrame, users: DataFrame, caps: DataFrame) -> DataFrame:
+    """Trades above the cap of the user's KYC level (see :func:`_with_cap`)."""
+    t = _with_cap(tx, users, caps).filter(F.col("total_value") > F.col("cap"))
     return _alert(t, "KYC_LIMIT", _tx_ref(), F.col("total_value"), F.col("created_at"))
 
 
@@ -52,7 +58,7 @@ def alert_daily_limit(tx: DataFrame, tenants: DataFrame, default_limit) -> DataF
          .groupBy("tenant_id", "user_id", day.alias("day")).agg(F.sum("total_value").alias("day_value")))
     lim = tenants.select("tenant_id", F.get_json_object("brand_config", "$.features.maxDailyLimit")
                          .cast("decimal(18,2)").alias("tenant_limit"))
-    j = d.join(broadcast_if_small(lim), "tenant_id", "left")
+    j = d.join(lim, "tenant_id", "left")
     limit = F.coalesce(F.col("tenant_limit"), F.lit(default_limit).cast("decimal(18,2)"))
     t = j.filter(F.col("day_value") > limit)
     return _alert(t, "DAILY_LIMIT", F.col("day").cast("string"), F.col("day_value"),
@@ -65,33 +71,54 @@ def alert_velocity(tx: DataFrame, n: int, span_seconds: int) -> DataFrame:
     trailing ``span_seconds`` (inclusive) of the same user.
 
     A range window per user would put a very active user in one task. Rows
-    are bucketed by ``floor(t / span)``; every row is also copied, as context,
-    into the next bucket. Everything in ``[t − span, t]`` then lies in a row's
-    own bucket or the previous one, so a window per (user, bucket) counts
-    exactly, and a hot user is spread over one task per bucket."""
-    secs = F.unix_seconds(F.col("created_at").cast("timestamp"))
-    base = tx.withColumn("_t", secs).withColumn("_b", F.floor(F.col("_t") / F.lit(span_seconds)))
-    rows = base.withColumn("_own", F.lit(True)).unionByName(
-        base.withColumn("_b", F.col("_b") + 1).withColumn("_own", F.lit(False)))
-    w = Window.partitionBy("tenant_id", "user_id", "_b").orderBy("_t").rangeBetween(-span_seconds, 0)
-    t = (rows.withColumn("n_recent", F.count(F.lit(1)).over(w))
-         .filter(F.col("_own") & (F.col("n_recent") >= n)))
+    are bucketed by ``floor(t / span)``, and every row is exploded into its own
+    and, as context, the next bucket. Everything in ``[t − span, t]`` then lies
+    in a row's own bucket, so a window per (user, bucket) counts exactly; a hot
+    user is spread over one task per bucket and the ledger is read once."""
+    t = _velocity(tx, span_seconds).filter(F.col("n_recent") >= n)
     return _alert(t, "SUSPICIOUS_PATTERN", _tx_ref(), F.col("total_value"), F.col("created_at"))
 
 
+def _velocity(tx: DataFrame, span_seconds: int) -> DataFrame:
+    """Trades with ``n_recent``, the user's trades in the trailing span."""
+    base = tx.withColumn("_t", F.unix_seconds(F.col("created_at").cast("timestamp")))
+    b = F.floor(F.col("_t") / F.lit(span_seconds))
+    copies = F.array(F.struct(b.alias("b"), F.lit(True).alias("own")), F.struct((b + 1).alias("b"), F.lit(False).alias("own")))
+    rows = base.withColumn("_x", F.explode(copies)).select("*", F.col("_x.b").alias("_b"), F.col("_x.own").alias("_own"))
+    w = Window.partitionBy("tenant_id", "user_id", "_b").orderBy("_t").rangeBetween(-span_seconds, 0)
+    return rows.withColumn("n_recent", F.count(F.lit(1)).over(w)).filter("_own").drop("_x", "_t", "_b", "_own")
+
+
+# --------------------------------------------------------- M-01, M-02, M-04
+def trade_alerts(tx: DataFrame, users: DataFrame, caps: DataFrame, threshold, n: int, span_seconds: int) -> DataFrame:
+    """The three rules on single trades (M-01, M-02, M-04) in one pass: each
+    trade gets its cap and its recent count, and explodes into the rules that
+    fired. Equal to the union of the three operators; the ledger is read once."""
+    t = _with_cap(_velocity(tx, span_seconds), users, caps)
+    v = F.col("total_value")
+    fired = F.array(F.when(v >= F.lit(threshold).cast(MONEY), "HIGH_AMOUNT"),
+                    F.when(v > F.col("cap"), "KYC_LIMIT"),
+                    F.when(F.col("n_recent") >= n, "SUSPICIOUS_PATTERN"))
+    return t.select("tenant_id", "user_id", F.explode(F.array_compact(fired)).alias("alert_type"),
+                    _tx_ref().alias("ref"), v.cast("decimal(18,2)").alias("amount"), "created_at")
+
+
 # --------------------------------------------------------------------- M-05
 def normalise_name(c: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(c, "[^A-Za-z0-9]+", " ")))
 
 
-def alert_watchlist(users: DataFrame, watchlist: DataFrame) -> DataFrame:
+def alert_watchlist(users: DataFrame, watchlist: DataFrame, screened_at=None) -> DataFrame:
     """PEP_MATCH: the user's normalised full name equals a listed name. A user
-    with an unknown name part has no full name and cannot match."""
+    with an unknown name part has no full name and cannot match. The alert is
+    raised at ``screened_at``, the time of the screening run (default: sign-up,
+    the first screening), so a later run reports users of any age."""
     full = F.concat(F.col("first_name"), F.lit(" "), F.col("last_name"))
     u = users.withColumn("nname", normalise_name(full))
     wl = watchlist.select(normalise_name(F.col("name")).alias("nname")).distinct()
-    t = u.join(broadcast_if_small(wl), "nname", "left_semi")
-    return _alert(t, "PEP_MATCH", F.col("nname"), F.lit(None), F.col("created_at"))
+    t = u.join(wl, "nname", "left_semi")
+    at = F.col("created_at") if screened_at is None else F.lit(screened_at).cast("timestamp_ntz")
+    return _alert(t, "PEP_MATCH", F.col("nname"), F.lit(None), at)
 
 
 # --------------------------------------------------------------------- M-06
@@ -147,7 +174,8 @@ def regulatory_report(tx: DataFrame, alerts: DataFrame, start, end, cash_thresho
 
 # --------------------------------------------------------------------- M-08
 def audit_diff(audit: DataFrame) -> DataFrame:
-    """Keys added, removed or changed between old_values and new_values."""
+    """Keys added, removed or changed between old_values and new_values, by
+    presence of the key: a JSON null is a value."""
     m = "map<string,string>"
     empty = F.create_map().cast(m)
     o = F.coalesce(F.from_json("old_values", m), empty)
@@ -155,8 +183,8 @@ def audit_diff(audit: DataFrame) -> DataFrame:
     d = audit.select("id", "tenant_id", "user_id", "created_at", o.alias("o"), n.alias("n"))
     d = d.select("*", F.explode(F.array_union(F.map_keys("o"), F.map_keys("n"))).alias("key"))
     ov, nv = F.col("o")[F.col("key")], F.col("n")[F.col("key")]
-    kind = (F.when(ov.isNull(), "added").when(nv.isNull(), "removed")
-            .when(~ov.eqNullSafe(nv), "changed"))
+    had, has = F.map_contains_key("o", F.col("key")), F.map_contains_key("n", F.col("key"))
+    kind = F.when(~had, "added").when(~has, "removed").when(~ov.eqNullSafe(nv), "changed")
     return (d.select("id", "tenant_id", "user_id", "created_at", "key", ov.alias("old_value"),
                      nv.alias("new_value"), kind.alias("kind"))
               .filter(F.col("kind").isNotNull()))
@@ -164,16 +192,20 @@ def audit_diff(audit: DataFrame) -> DataFrame:
 
 # --------------------------------------------------------------------- R-01
 def payment_reconciliation(tx: DataFrame, payments: DataFrame) -> DataFrame:
-    """Ledger totals per order against payments: matched, amount_mismatch,
-    missing_payment, orphan_payment. Refunds are netted in ``net_received``."""
-    led = tx.groupBy("order_id").agg(F.sum("total_value").cast("decimal(18,2)").alias("ledger_total"))
-    p = payments.select("order_id", F.col("amount").cast("decimal(18,2)").alias("amount"),
-                        F.col("refund_amount").cast("decimal(18,2)").alias("refund_amount"))
-    j = led.join(p, "order_id", "full_outer")
+    """Ledger totals per (tenant, order) against the money received: matched,
+    amount_mismatch, missing_payment, orphan_payment. Only completed payments
+    count, summed per order, so failed attempts and retries change nothing;
+    refunds are netted in ``net_received``."""
+    key = ["tenant_id", "order_id"]
+    led = tx.groupBy(*key).agg(F.sum("total_value").cast("decimal(18,2)").alias("ledger_total"))
+    p = payments.filter(F.col("status") == "completed").groupBy(*key).agg(
+        F.sum("amount").cast("decimal(18,2)").alias("amount"),
+        F.sum("refund_amount").cast("decimal(18,2)").alias("refund_amount"))
+    j = led.join(p, key, "full_outer")
     state = (F.when(F.col("amount").isNull(), "missing_payment")
              .when(F.col("ledger_total").isNull(), "orphan_payment")
              .when(F.col("amount") == F.col("ledger_total"), "matched").otherwise("amount_mismatch"))
-    return j.select("order_id", "ledger_total", "amount", "refund_amount",
+    return j.select(*key, "ledger_total", "amount", "refund_amount",
                     (F.col("amount") - F.col("refund_amount")).alias("net_received"),
                     (F.col("amount") - F.col("ledger_total")).alias("difference"),
                     state.alias("state"))

@@ -70,19 +70,25 @@ def feature_tokens_explode(tenants: DataFrame) -> DataFrame:
 
 
 # --------------------------------------------------------------------- P-07
-def duplicate_registration(incoming: DataFrame, users: DataFrame,
-                           keys=("tenant_id", "email")) -> tuple[DataFrame, DataFrame]:
-    """Split incoming sign-ups into (new, already registered) by the unique
-    (tenant, email) key."""
-    existing = users.select(*keys)
-    return (incoming.join(existing, list(keys), "left_anti"),
-            incoming.join(existing, list(keys), "left_semi"))
+def flag_registrations(incoming: DataFrame, users: DataFrame, keys=("tenant_id", "email"),
+                       order=("created_at", "registration_id")) -> DataFrame:
+    """Incoming sign-ups with ``is_duplicate``: the unique (tenant, email) key
+    is taken by a user, or by an earlier sign-up of the same batch. NULL keys
+    never collide, as in a unique index."""
+    keys = list(keys)
+    taken = users.select(*keys).distinct().withColumn("_taken", F.lit(True))
+    first = incoming.dropna(subset=keys).groupBy(*keys).agg(F.min(F.struct(*order)).alias("_first"))
+    j = incoming.join(taken, keys, "left").join(first, keys, "left")
+    dup = F.coalesce(F.col("_taken"), F.lit(False)) | F.coalesce(F.struct(*order) > F.col("_first"), F.lit(False))
+    return j.select(*incoming.columns, dup.alias("is_duplicate"))
 
 
-def flag_registrations(incoming: DataFrame, users: DataFrame, keys=("tenant_id", "email")) -> DataFrame:
-    new, dup = duplicate_registration(incoming, users, keys)
-    return (new.withColumn("is_duplicate", F.lit(False))
-            .unionByName(dup.withColumn("is_duplicate", F.lit(True))))
+def duplicate_registration(incoming: DataFrame, users: DataFrame,
+                           keys=("tenant_id", "email")) -> tuple[DataFrame, DataFrame]:
+    """Split incoming sign-ups into (new, already registered)."""
+    f = flag_registrations(incoming, users, keys)
+    return (f.filter(~F.col("is_duplicate")).drop("is_duplicate"),
+            f.filter(F.col("is_duplicate")).drop("is_duplicate"))
 
 
 # --------------------------------------------------------------------- P-08

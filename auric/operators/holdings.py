@@ -10,8 +10,9 @@ single task. We therefore scan in two levels:
    get the local running sum and local running minimum;
 2. a tiny per-(key, chunk) summary (chunk sum, chunk minimum) is prefix-scanned
    per key to give each chunk its offset and the minimum of all earlier chunks;
-3. the summary is joined back on (key, chunk), which is already the
-   partitioning of step 1, so the big side is not shuffled again.
+3. holdings (H-03) follow from the summaries alone; only the balance of every
+   row (:func:`ledger_balances`) joins them back on (key, chunk), which is
+   already the partitioning of step 1.
 
 A hot key is thus spread over as many tasks as it has active chunks.
 """
@@ -23,7 +24,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..sources.fixtures import TX_KEY, TX_ORDER
-from ._util import broadcast_if_small
 
 QTY = "decimal(20,8)"
 RUN = "decimal(38,8)"
@@ -39,7 +39,8 @@ def _signed() -> Column:
     return F.when(F.col("transaction_type") == "BUY", q).otherwise(-q)
 
 
-def _chunk(created_at: Column, chunk: str) -> Column:
+def time_chunk(created_at: Column, chunk: str) -> Column:
+    """Calendar bucket that spreads one key's rows over tasks."""
     if chunk == "day":
         return F.to_date(created_at)
     if chunk == "month":
@@ -63,18 +64,14 @@ def ledger_balances(tx: DataFrame, chunk: str = "day", extra=(), initial: DataFr
     extra = list(extra)
     ev = _trades(tx).select(*TX_KEY, *[c for c in TX_ORDER if c not in TX_KEY], *extra,
                             _signed().alias("dq"))
-    ev = ev.withColumn("chunk", _chunk(F.col("created_at"), chunk))
-    # NULL keys cannot take part in the join back; saying so up front gives both
-    # plan branches the same filters, so their shuffles are recognised as equal
-    ev = ev.filter(F.col("tenant_id").isNotNull() & F.col("user_id").isNotNull()
-                   & F.col("asset_type").isNotNull() & F.col("chunk").isNotNull())
+    ev = ev.withColumn("chunk", _chunk_of(chunk))
     wl = (Window.partitionBy(*TX_KEY, "chunk").orderBy(*TX_ORDER)
           .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     ev = ev.withColumn("ls", F.sum("dq").over(wl).cast(RUN))
     ev = ev.withColumn("lmin", F.min("ls").over(wl))
     summary = chunk_offsets(ev.groupBy(*TX_KEY, "chunk").agg(F.sum("dq").cast(RUN).alias("csum"),
                                                               F.min("ls").alias("cmin")), initial)
-    j = ev.join(summary.select(*TX_KEY, "chunk", "offset", "prior_min"), [*TX_KEY, "chunk"])
+    j = join_nullsafe(ev, summary.select(*TX_KEY, "chunk", "offset", "prior_min"), [*TX_KEY, "chunk"])
     s = (F.col("offset") + F.col("ls")).cast(RUN)
     m = F.least(F.coalesce(F.col("prior_min"), F.col("offset") + F.col("lmin")), F.col("offset") + F.col("lmin"))
     bal = (s - F.least(F.lit(0).cast(RUN), m)).cast(QTY)
@@ -82,13 +79,28 @@ def ledger_balances(tx: DataFrame, chunk: str = "day", extra=(), initial: DataFr
                     bal.alias("balance"))
 
 
+def _chunk_of(chunk: str) -> Column:
+    """Chunk of a ledger row; rows without a time sort first, in a chunk of their own."""
+    c = time_chunk(F.col("created_at"), chunk)
+    return F.coalesce(c, F.lit("0001-01-01").cast("timestamp_ntz" if chunk == "hour" else "date"))
+
+
+def join_nullsafe(left: DataFrame, right: DataFrame, keys, how: str = "inner") -> DataFrame:
+    """Equi-join in which NULL keys match, as in grouping; right's key columns go."""
+    r = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
+    return left.join(r, cond, how).drop(*[f"_r_{k}" for k in keys])
+
+
 def chunk_offsets(summary: DataFrame, initial: DataFrame | None = None) -> DataFrame:
     """Exclusive prefix over a key's chunks: offset (sum of earlier chunk sums)
     and prior_min (minimum running sum reached in earlier chunks), optionally
     continuing from a stored (s0, m0) per key."""
     ws = Window.partitionBy(*TX_KEY).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     if initial is not None:
-        summary = summary.join(initial.select(*TX_KEY, "s0", "m0"), TX_KEY, "left")
+        summary = join_nullsafe(summary, initial.select(*TX_KEY, "s0", "m0"), TX_KEY, "left")
         s0, m0 = F.coalesce(F.col("s0"), F.lit(0)), F.col("m0")
     else:
         s0, m0 = F.lit(0), F.lit(None)
@@ -97,71 +109,71 @@ def chunk_offsets(summary: DataFrame, initial: DataFrame | None = None) -> DataF
     return s.withColumn("prior_min", F.least(F.min("gmin").over(ws), m0.cast(RUN)))
 
 
-def holdings_from_ledger(tx: DataFrame, chunk: str = "day", balances: DataFrame | None = None) -> DataFrame:
+def chunk_summary(tx: DataFrame, chunk: str = "day") -> DataFrame:
+    """One row per (key, chunk) with all that the replay needs of its rows:
+    ``csum`` and ``cmin`` (sum and lowest running sum), the chunk's first event,
+    and the first event after its last lowest point. Whether that point was a
+    zero balance depends on earlier chunks only through (offset, minimum), so
+    the rows themselves are never joined back: the ledger is shuffled once."""
+    ev = _trades(tx).select(*TX_KEY, *[c for c in TX_ORDER if c not in TX_KEY], _signed().alias("dq"))
+    ev = ev.withColumn("chunk", _chunk_of(chunk))
+    whole = Window.partitionBy(*TX_KEY, "chunk")
+    upto = whole.orderBy(*TX_ORDER).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    o = F.struct(*TX_ORDER)
+    at = F.struct(o.alias("o"), F.col("created_at").alias("t"))
+    ev = ev.withColumn("ls", F.sum("dq").over(upto).cast(RUN)).withColumn("cmin", F.min("ls").over(whole))
+    ev = ev.withColumn("low", F.max(F.when(F.col("ls") == F.col("cmin"), o)).over(whole))
+    return ev.groupBy(*TX_KEY, "chunk").agg(
+        F.sum("dq").cast(RUN).alias("csum"), F.min("ls").alias("cmin"),
+        F.min(at).alias("first_event"), F.min(F.when(o > F.col("low"), at)).alias("first_after"))
+
+
+def fold_chunks(summary: DataFrame, initial: DataFrame | None = None) -> DataFrame:
+    """Per key from chunk summaries: ``s`` (running signed sum), ``m`` (= min(0,
+    lowest running sum)), ``quantity`` (= s − m, the clamped balance), whether
+    any row reached zero, and the first event after the last zero. ``initial``
+    (key, s0, m0) continues from a stored state."""
+    c = chunk_offsets(summary, initial)
+    c = c.withColumn("zero", F.col("gmin") <= F.least(F.lit(0).cast(RUN), F.col("prior_min")))
+    # The last chunk with a zero counts from after that zero; later chunks from their start.
+    last_zero = F.max(F.when(F.col("zero"), F.col("chunk"))).over(Window.partitionBy(*TX_KEY))
+    c = c.withColumn("lzc", last_zero)
+    begin = (F.when(F.col("lzc").isNull() | (F.col("chunk") > F.col("lzc")), F.col("first_event"))
+             .when(F.col("chunk") == F.col("lzc"), F.col("first_after")))
+    k = c.groupBy(*TX_KEY).agg(
+        F.max_by((F.col("offset") + F.col("csum")).cast(RUN), "chunk").alias("s"),
+        F.least(F.lit(0).cast(RUN), F.min(F.least("gmin", "prior_min"))).alias("m"),
+        F.max("zero").alias("any_zero"), F.min(begin).alias("begin"))
+    return k.select(*TX_KEY, "s", "m", (F.col("s") - F.col("m")).cast(QTY).alias("quantity"), "any_zero",
+                    F.col("begin.t").alias("created_at"))
+
+
+def holdings_from_ledger(tx: DataFrame, chunk: str = "day") -> DataFrame:
     """H-03: one row per (tenant, user, asset) with a positive replayed balance.
-
-    ``created_at`` is the first event after the balance was last zero. The
-    zero bookkeeping uses the per-row balances, reduced per chunk before the
-    per-key step."""
-    b = balances if balances is not None else ledger_balances(tx, chunk)
-    k = key_state(b)
-    return (k.filter(F.col("quantity") > 0)
-            .select(*TX_KEY, F.col("quantity").cast(QTY).alias("quantity"), "created_at"))
-
-
-def key_state(b: DataFrame) -> DataFrame:
-    """Per key from per-row balances: last balance (``quantity``), whether any
-    row reached zero (``any_zero``) and the first row after the last zero
-    (``created_at``; the first row when none reached zero)."""
-    # Within a chunk: the last row at zero (an unordered window over the chunk,
-    # which the join output is already partitioned and sorted for), then the
-    # first row after it.
-    ordv = F.struct(*TX_ORDER)
-    b = b.withColumn("last_zero", F.max(F.when(F.col("balance") == 0, ordv))
-                     .over(Window.partitionBy(*TX_KEY, "chunk")))
-    per_chunk = b.groupBy(*TX_KEY, "chunk").agg(
-        F.max(F.col("balance") == 0).alias("has_zero"),
-        F.min(F.when(ordv > F.col("last_zero"), F.struct(ordv.alias("o"), F.col("created_at").alias("t"))))
-         .alias("first_after"),
-        F.min(F.struct(ordv.alias("o"), F.col("created_at").alias("t"))).alias("first_event"),
-        F.max_by(F.col("balance"), ordv).alias("last_balance"),
-        F.max(ordv).alias("last_ord"))
-    wk = Window.partitionBy(*TX_KEY)
-    pc = per_chunk.withColumn("lzc", F.max(F.when(F.col("has_zero"), F.col("chunk"))).over(wk))
-    cand = (F.when(F.col("lzc").isNull() | (F.col("chunk") > F.col("lzc")), F.col("first_event"))
-            .when(F.col("chunk") == F.col("lzc"), F.col("first_after")))
-    per_key = pc.groupBy(*TX_KEY).agg(
-        F.max_by(F.col("last_balance"), F.col("last_ord")).alias("quantity"),
-        F.max("has_zero").alias("any_zero"),
-        F.min(cand).alias("c"))
-    return per_key.select(*TX_KEY, "quantity", "any_zero", F.col("c.t").alias("created_at"))
+    ``created_at`` is the first event after the balance was last zero. NULL
+    keys are keys of their own, as in grouping."""
+    k = fold_chunks(chunk_summary(tx, chunk))
+    return k.filter(F.col("quantity") > 0).select(*TX_KEY, "quantity", "created_at")
 
 
 def advance_state(events: DataFrame, prev: DataFrame | None, chunk: str = "day") -> DataFrame:
     """Fold a batch of ledger rows onto a stored per-key replay state.
 
-    State per key: ``s`` (running signed sum), ``m`` (= min(0, lowest running
-    sum)), ``quantity`` (= s − m, the clamped balance) and ``created_at``.
-    Only the batch is read; the result has one new state row per touched key.
-    Rows of a key must arrive in order (later batches never precede earlier)."""
-    ev = _trades(events)
+    State per key: ``s``, ``m``, ``quantity`` and ``created_at``
+    (:func:`fold_chunks`). Only the batch is read; the result has one new
+    state row per touched key. Rows of a key must arrive in order (later
+    batches never precede earlier)."""
     init = None if prev is None else prev.select(*TX_KEY, F.col("s").alias("s0"), F.col("m").alias("m0"),
                                                  F.col("created_at").alias("prev_created"))
-    b = ledger_balances(ev, chunk, initial=init)
-    k = key_state(b)
-    tot = ev.groupBy(*TX_KEY).agg(F.sum(_signed()).cast(RUN).alias("batch_sum"))
-    j = k.join(tot, TX_KEY)
+    k = fold_chunks(chunk_summary(events, chunk), init)
     if init is not None:
-        j = j.join(init, TX_KEY, "left")
-        s0, prev_created = F.coalesce(F.col("s0"), F.lit(0)), F.col("prev_created")
+        k = join_nullsafe(k, init.select(*TX_KEY, "prev_created"), TX_KEY, "left")
     else:
-        s0, prev_created = F.lit(0), F.lit(None).cast("timestamp_ntz")
-    s_new = (s0 + F.col("batch_sum")).cast(RUN)
+        k = k.withColumn("prev_created", F.lit(None).cast("timestamp_ntz"))
     created = (F.when(F.col("quantity") == 0, F.lit(None).cast("timestamp_ntz"))
-               .when(~F.col("any_zero") & prev_created.isNotNull(), prev_created)
+               .when(~F.col("any_zero") & F.col("prev_created").isNotNull(), F.col("prev_created"))
                .otherwise(F.col("created_at")))
-    return j.select(*TX_KEY, s_new.alias("s"), (s_new - F.col("quantity")).cast(RUN).alias("m"),
-                    F.col("quantity").cast(QTY).alias("quantity"), created.alias("created_at"))
+    return k.select(*TX_KEY, "s", "m", "quantity", created.alias("created_at"))
 
 
 # --------------------------------------------------------------------- H-01
@@ -193,7 +205,7 @@ def holding_value(holdings: DataFrame, price_col: str = "current_price") -> Data
 def mark_to_market(holdings: DataFrame, assets: DataFrame) -> DataFrame:
     """Refresh current_price from the (seeded, 3-row) asset dimension, then H-04."""
     a = assets.select(F.col("code").alias("asset_type"), "current_price")
-    h = holdings.drop("current_price", "total_value").join(broadcast_if_small(a), "asset_type", "left")
+    h = holdings.drop("current_price", "total_value").join(a, "asset_type", "left")
     return holding_value(h).select(*TX_KEY, "quantity", "current_price", "total_value",
                                    *[c for c in holdings.columns
                                      if c not in (*TX_KEY, "quantity", "current_price", "total_value")])

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from ..sources import dims
 from .folds import sell_gate, sell_gate_final  # noqa: F401  (K-02 re-exported)
-from ._util import broadcast_if_small
 
 MONEY = "decimal(15,2)"
 KYC_REQUIRED = dims.KYC_REQUIRED_MESSAGE
@@ -18,24 +17,27 @@ KYC_REQUIRED = dims.KYC_REQUIRED_MESSAGE
 
 # --------------------------------------------------------------------- K-01
 def kyc_gate(orders: DataFrame, users: DataFrame) -> DataFrame:
-    """BUY orders are admitted iff the user's kyc_status is 'verified'; a
-    missing user or NULL status is refused."""
+    """A BUY is admitted iff the user's kyc_status is 'verified'; a missing
+    user or NULL status is refused. Other order types do not check KYC."""
     u = users.select("tenant_id", "user_id", "kyc_status")
     j = orders.join(u, ["tenant_id", "user_id"], "left")
-    ok = F.coalesce(F.col("kyc_status") == "verified", F.lit(False))
+    buy = F.col("transaction_type").eqNullSafe("BUY")
+    ok = ~buy | F.coalesce(F.col("kyc_status") == "verified", F.lit(False))
     return j.withColumn("admitted", ok).withColumn(
         "reason", F.when(~ok, F.lit(KYC_REQUIRED))).drop("kyc_status")
 
 
 # --------------------------------------------------------------------- K-03
-def settle_orders(orders: DataFrame, outcomes: DataFrame, key: str = "order_id") -> DataFrame:
-    """pending → completed / failed from the payment (or payout) outcome;
-    without an outcome the order stays pending."""
-    o = outcomes.select(F.col(key), F.col("status").alias("outcome"))
-    j = orders.join(o, key, "left")
-    new = (F.when(F.col("outcome") == "completed", "completed")
-           .when(F.col("outcome") == "failed", "failed").otherwise("pending"))
-    return j.withColumn("settled_status", new).drop("outcome")
+def settle_orders(orders: DataFrame, outcomes: DataFrame, key=("tenant_id", "order_id")) -> DataFrame:
+    """pending → completed / failed from the payment (or payout) outcomes; an
+    order with a completed attempt is completed whatever its failed ones.
+    Without an outcome it stays pending; orders not pending are left alone."""
+    o = outcomes.groupBy(*key).agg(F.bool_or(F.col("status") == "completed").alias("paid"),
+                                   F.bool_or(F.col("status") == "failed").alias("failed"))
+    j = orders.join(o, list(key), "left")
+    new = F.when(F.col("paid"), "completed").when(F.col("failed"), "failed").otherwise("pending")
+    return j.withColumn("settled_status", F.when(F.col("status") == "pending", new).otherwise(F.col("status"))
+                        ).drop("paid", "failed").select(*orders.columns, "settled_status")
 
 
 # --------------------------------------------------------------------- K-04
@@ -67,7 +69,7 @@ def tx_type_rules(tx: DataFrame, tx_types: DataFrame) -> DataFrame:
     flagged ``type_active = false``. The type table is a fixed seed: broadcast."""
     t = tx_types.select(F.col("code").alias("transaction_type"), "requires_kyc", "requires_payment",
                         F.col("is_active").alias("type_active"))
-    j = tx.join(broadcast_if_small(t), "transaction_type", "left")
+    j = tx.join(t, "transaction_type", "left")
     return j.withColumn("type_active", F.coalesce(F.col("type_active"), F.lit(False)))
 
 
@@ -86,7 +88,8 @@ def mandatory_docs(users: DataFrame, kyc_records: DataFrame, as_of, mandatory=No
     (the default follows the table as stored: status and expiry only)."""
     codes = list(mandatory or mandatory_codes())
     ts = F.lit(as_of).cast("timestamp_ntz")
-    ok = (F.col("verification_status") == "verified") & (F.col("expires_at") > ts)
+    ok = (F.col("verification_status") == "verified") & (
+        F.col("expires_at").isNull() | (F.col("expires_at") >= ts))  # as K-08: expired only after that moment
     if point_in_time:
         ok = ok & (F.col("verified_at") <= ts)
     valid = kyc_records.filter(ok).select("tenant_id", "user_id", "document_type")

@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._util import broadcast_if_small
 
 MONEY = "decimal(15,2)"
 
@@ -231,11 +230,11 @@ def volume_rollup(tx: DataFrame) -> DataFrame:
 def payment_fees(tx: DataFrame, methods: DataFrame) -> DataFrame:
     """fee = amount × pct / 100 + fixed (2 decimals, half up); min/max flags.
 
-    Only enabled methods price a row; other rows keep a NULL fee. The method
-    table has a fixed handful of rows, so it is broadcast."""
+    Methods belong to a tenant; only enabled ones price a row, other rows keep
+    a NULL fee."""
     m = methods.filter(F.col("is_enabled")).select(
-        F.col("code").alias("payment_method"), "fee_percentage", "fee_fixed", "min_amount", "max_amount")
-    j = tx.join(broadcast_if_small(m), "payment_method", "left")
+        "tenant_id", F.col("code").alias("payment_method"), "fee_percentage", "fee_fixed", "min_amount", "max_amount")
+    j = tx.join(m, ["tenant_id", "payment_method"], "left")
     v = F.col("total_value")
     fee = (v * F.col("fee_percentage") * F.lit("0.01").cast("decimal(3,2)") + F.col("fee_fixed")).cast(MONEY)
     priced = F.col("fee_percentage").isNotNull()
@@ -301,7 +300,7 @@ def tier_quota(tenants: DataFrame, users: DataFrame, caps: DataFrame) -> DataFra
     """Customers per tenant against the tier's cap; NULL cap = unlimited."""
     per = users.groupBy("tenant_id").agg(F.count(F.lit(1)).alias("customers"))
     j = (tenants.select("tenant_id", "tier").join(per, "tenant_id", "left")
-         .join(broadcast_if_small(caps), "tier", "left"))
+         .join(caps, "tier", "left"))
     n = F.coalesce(F.col("customers"), F.lit(0).cast("bigint"))
     return j.select("tenant_id", "tier", n.alias("customers"), "user_cap",
                     F.coalesce(n > F.col("user_cap"), F.lit(False)).alias("over_cap"))
@@ -309,13 +308,15 @@ def tier_quota(tenants: DataFrame, users: DataFrame, caps: DataFrame) -> DataFra
 
 # --------------------------------------------------------------------- A-19
 def tier_billing(tenants: DataFrame, price_list: DataFrame) -> DataFrame:
-    """Per tier: tenants, fee, cost, margin, margin % (whole percent, half up)
-    and monthly revenue/profit. Tiers without a price row keep NULL money."""
+    """Per tier: tenants, setup and monthly fee, cost, margin, margin % (whole
+    percent, half up; NULL for a free tier), setup and monthly revenue, monthly
+    profit. Tiers without a price row keep NULL money."""
     per = tenants.groupBy("tier").agg(F.count(F.lit(1)).alias("tenants"))
-    j = per.join(broadcast_if_small(price_list), "tier", "left")
+    j = per.join(price_list, "tier", "left")
     margin = (F.col("monthly_fee") - F.col("monthly_cost")).cast(MONEY)
-    pct = F.round(margin * F.lit(100) / F.col("monthly_fee"), 0).cast("int")
-    return j.select("tier", "tenants", "monthly_fee", "monthly_cost",
+    pct = F.round(margin * F.lit(100) / F.nullif(F.col("monthly_fee"), F.lit(0).cast(MONEY)), 0).cast("int")
+    return j.select("tier", "tenants", "setup_fee", "monthly_fee", "monthly_cost",
+                    (F.col("setup_fee") * F.col("tenants")).cast("decimal(20,2)").alias("setup_revenue"),
                     margin.alias("margin"), pct.alias("margin_pct"),
                     (F.col("monthly_fee") * F.col("tenants")).cast("decimal(20,2)").alias("monthly_revenue"),
                     (margin * F.col("tenants")).cast("decimal(20,2)").alias("monthly_profit"))

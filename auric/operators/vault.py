@@ -7,7 +7,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import render_template
-from ._util import broadcast_if_small
 
 
 # --------------------------------------------------------------------- U-01
@@ -26,7 +25,7 @@ def vault_capability(lots: DataFrame, providers: DataFrame, accepted=("LBMA", "L
     """Lots held by a provider that does not support the metal, or that has no
     accepted certification. Providers are a fixed seed table: broadcast."""
     p = providers.select(F.col("code").alias("provider_code"), "supported_assets", "certification_standards")
-    j = lots.join(broadcast_if_small(p), "provider_code", "left")
+    j = lots.join(p, "provider_code", "left")
     supported = F.coalesce(F.array_contains(F.col("supported_assets"), F.col("asset_type")), F.lit(False))
     certified = F.coalesce(F.arrays_overlap(F.col("certification_standards"),
                                             F.array(*[F.lit(a) for a in accepted])), F.lit(False))

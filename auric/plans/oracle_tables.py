@@ -100,7 +100,7 @@ JOIN orders o ON l.l_orderkey = o.o_orderkey
 JOIN customer c ON o.o_custkey = c.c_custkey
 JOIN part p ON l.l_partkey = p.p_partkey""")
 
-_t("payments", ["tx"], """
+_t("first_payments", ["tx"], """
 SELECT o.o_orderkey AS order_id,
        CAST(c.c_nationkey AS BIGINT) AS tenant_id,
        o.o_custkey AS user_id,
@@ -117,6 +117,12 @@ LEFT JOIN (SELECT order_id, sum(total_value) AS ledger_total FROM tx GROUP BY or
   ON o.o_orderkey = lt.order_id
 WHERE o.o_orderkey % 10 <> 0""")
 
+_t("payments", ["first_payments"], """
+SELECT * FROM first_payments
+UNION ALL
+SELECT order_id, tenant_id, user_id, payment_method, amount, 'failed', CAST(0 AS DECIMAL(15,2)), created_at
+FROM first_payments WHERE order_id % 13 = 0""")
+
 _t("kyc_records", [], """
 SELECT o.o_orderkey AS record_id,
        CAST(c.c_nationkey AS BIGINT) AS tenant_id,
@@ -204,7 +210,7 @@ _t("price_thresholds", [], """
 SELECT c_custkey AS user_id,
        CASE c_custkey % 3 WHEN 0 THEN 'GOLD' WHEN 1 THEN 'SILVER' ELSE 'PLATINUM' END AS asset_type,
        CAST(100 + (c_custkey % 10) * 30 AS DECIMAL(15,2)) AS threshold
-FROM customer WHERE c_acctbal > 9900""")
+FROM customer""")
 
 _t("notification_templates", ["tenants"], """
 SELECT tenant_id, '{0}' AS template_code, '{1}' AS template_name, '{2}' AS subject, '{3}' AS content,
@@ -243,15 +249,16 @@ SELECT * FROM (VALUES ('MMTC_PAMP', ['LBMA'], ['GOLD', 'SILVER']),
                       ('AUGMONT', ['LBMA'], ['GOLD', 'SILVER']))
   AS v(code, certification_standards, supported_assets)""")
 
-_t("payment_methods", [], """
-SELECT code, is_enabled, CAST(fee_percentage AS DECIMAL(5,2)) AS fee_percentage,
+_t("payment_methods", ["tenants"], """
+SELECT t.tenant_id, code, is_enabled OR (code = 'WALLET' AND t.tenant_id % 4 = 1) AS is_enabled,
+       CAST(fee_percentage + 0.25 * (t.tenant_id % 3) AS DECIMAL(5,2)) AS fee_percentage,
        CAST(fee_fixed AS DECIMAL(10,2)) AS fee_fixed, CAST(min_amount AS DECIMAL(15,2)) AS min_amount,
        CAST(max_amount AS DECIMAL(15,2)) AS max_amount
 FROM (VALUES ('UPI', TRUE, 0.50, 0.00, 0.00, NULL),
              ('CARD', TRUE, 2.00, 3.00, 0.00, 40000.00),
              ('NET_BANKING', TRUE, 0.00, 10.00, 0.00, NULL),
              ('WALLET', FALSE, 0.00, 0.00, 0.00, NULL))
-  AS m(code, is_enabled, fee_percentage, fee_fixed, min_amount, max_amount)""")
+  AS m(code, is_enabled, fee_percentage, fee_fixed, min_amount, max_amount), tenants t""")
 
 # Holdings by ordered replay, written as a recursive walk over each key's
 # completed BUY/SELL history (independent of the window closed form).

@@ -46,7 +46,7 @@ def holdings_valued(fx: Fixtures):
 
 
 def tx_fees(fx: Fixtures):
-    return A.payment_fees(fx.tx, dims.payment_methods(fx.spark))
+    return A.payment_fees(fx.tx, dims.payment_methods(fx.tenants))
 
 
 # ------------------------------------------------------------------ S-01
@@ -157,7 +157,8 @@ FEES_SQL = """
 SELECT x.*, CAST(x.total_value * m.fee_percentage * 0.01 + m.fee_fixed AS DECIMAL(15,2)) AS fee,
        COALESCE(m.code IS NOT NULL AND x.total_value < COALESCE(m.min_amount, 0), FALSE) AS below_min,
        COALESCE(m.code IS NOT NULL AND x.total_value > m.max_amount, FALSE) AS above_max
-FROM tx x LEFT JOIN (SELECT * FROM payment_methods WHERE is_enabled) m ON x.payment_method = m.code"""
+FROM tx x LEFT JOIN (SELECT * FROM payment_methods WHERE is_enabled) m
+  ON x.tenant_id = m.tenant_id AND x.payment_method = m.code"""
 
 
 @register("daily_metrics", "A-09", W(["users", "tx", "payment_methods"], f"""
@@ -278,15 +279,18 @@ def _a18(fx):
 
 
 @register("tier_billing", "A-19", W(["tenants"], f"""
-SELECT g.tier, g.tenants, {D("p.fee")} AS monthly_fee, {D("p.cost")} AS monthly_cost,
+SELECT g.tier, g.tenants, {D("p.setup")} AS setup_fee, {D("p.setup * g.tenants")} AS setup_revenue,
+       {D("p.fee")} AS monthly_fee, {D("p.cost")} AS monthly_cost,
        {D("p.fee - p.cost")} AS margin,
-       CAST(round((p.fee - p.cost) * 100 / p.fee) AS DOUBLE) AS margin_pct,
+       CAST(round((p.fee - p.cost) * 100 / NULLIF(p.fee, 0)) AS DOUBLE) AS margin_pct,
        {D("p.fee * g.tenants")} AS monthly_revenue, {D("(p.fee - p.cost) * g.tenants")} AS monthly_profit
 FROM (SELECT tier, COUNT(*) AS tenants FROM tenants GROUP BY tier) g
-LEFT JOIN (VALUES ('lite', 17500.00, 10000.00), ('pro', 75000.00, 36000.00),
-                  ('enterprise', 350000.00, 63000.00)) AS p(tier, fee, cost) ON g.tier = p.tier"""))
+LEFT JOIN (VALUES ('lite', 50000.00, 17500.00, 10000.00), ('pro', 175000.00, 75000.00, 36000.00),
+                  ('enterprise', 2500000.00, 350000.00, 63000.00), ('growth', 0.00, 0.00, 12000.00))
+          AS p(tier, setup, fee, cost) ON g.tier = p.tier"""))
 def _a19(fx):
-    r = A.tier_billing(fx.tenants, dims.tier_price_list(fx.spark))
+    free = ("growth", Decimal("0"), Decimal("0"), Decimal("12000"))  # a free tier: margin without a percentage
+    r = A.tier_billing(fx.tenants, dims.tier_price_list(fx.spark, [*dims.TIER_PRICE_LIST, free]))
     return r.withColumn("margin_pct", F.col("margin_pct").cast("double"))
 
 

@@ -72,7 +72,8 @@ def _p06(fx):
 
 
 @register("duplicate_registration", "P-07", W(["registrations", "users"], """
-SELECT r.*, EXISTS (SELECT 1 FROM users u WHERE u.tenant_id = r.tenant_id AND u.email = r.email) AS is_duplicate
+SELECT r.*, EXISTS (SELECT 1 FROM users u WHERE u.tenant_id = r.tenant_id AND u.email = r.email)
+       OR row_number() OVER (PARTITION BY tenant_id, email ORDER BY created_at, registration_id) > 1 AS is_duplicate
 FROM registrations r"""))
 def _p07(fx):
     return P.flag_registrations(fx.registrations, fx.users)
@@ -222,12 +223,12 @@ def _v07(fx):
 # ------------------------------------------------------------------ K-01 … K-08
 @register("kyc_gate", "K-01", W(["tx", "users"], f"""
 SELECT {tx_cols_sql('x')},
-       COALESCE(u.kyc_status = 'verified', FALSE) AS admitted,
-       CASE WHEN NOT COALESCE(u.kyc_status = 'verified', FALSE) THEN 'KYC verification required' END AS reason
-FROM tx x LEFT JOIN users u ON x.tenant_id = u.tenant_id AND x.user_id = u.user_id
-WHERE x.transaction_type = 'BUY'"""))
+       x.transaction_type IS DISTINCT FROM 'BUY' OR COALESCE(u.kyc_status = 'verified', FALSE) AS admitted,
+       CASE WHEN x.transaction_type = 'BUY' AND NOT COALESCE(u.kyc_status = 'verified', FALSE)
+            THEN 'KYC verification required' END AS reason
+FROM tx x LEFT JOIN users u ON x.tenant_id = u.tenant_id AND x.user_id = u.user_id"""))
 def _k01(fx):
-    return K.kyc_gate(fx.tx.filter(F.col("transaction_type") == "BUY"), fx.users)
+    return K.kyc_gate(fx.tx, fx.users)
 
 
 @register("sell_gate", "K-02", W(["gate_walk", "ledger_seq"], f"""
@@ -249,8 +250,12 @@ def _k02b(fx):
 
 @register("settle_orders", "K-03", W(["tx", "payments"], f"""
 SELECT {tx_cols_sql('x')},
-       CASE p.status WHEN 'completed' THEN 'completed' WHEN 'failed' THEN 'failed' ELSE 'pending' END AS settled_status
-FROM tx x LEFT JOIN payments p ON x.order_id = p.order_id"""))
+       CASE WHEN x.status <> 'pending' THEN x.status WHEN p.paid > 0 THEN 'completed' WHEN p.bad > 0 THEN 'failed'
+            WHEN x.status IS NOT NULL THEN 'pending' END AS settled_status
+FROM tx x LEFT JOIN (SELECT tenant_id, order_id, count(*) FILTER (WHERE status = 'completed') AS paid,
+                            count(*) FILTER (WHERE status = 'failed') AS bad
+                     FROM payments GROUP BY tenant_id, order_id) p
+  ON x.tenant_id = p.tenant_id AND x.order_id = p.order_id"""))
 def _k03(fx):
     return K.settle_orders(fx.tx, fx.payments)
 
@@ -287,8 +292,8 @@ SELECT u.tenant_id, u.user_id, d.document_type
 FROM users u, (VALUES ('AADHAAR'), ('PAN')) d(document_type)
 WHERE NOT EXISTS (SELECT 1 FROM kyc_records k
                   WHERE k.tenant_id = u.tenant_id AND k.user_id = u.user_id AND k.document_type = d.document_type
-                    AND k.verification_status = 'verified' AND k.expires_at > TIMESTAMP '{AS_OF_KYC}'
-                    )"""))
+                    AND k.verification_status = 'verified'
+                    AND (k.expires_at IS NULL OR k.expires_at >= TIMESTAMP '{AS_OF_KYC}'))"""))
 def _k07(fx):
     return K.mandatory_docs(fx.users, fx.kyc_records, AS_OF_KYC)
 
@@ -347,7 +352,7 @@ def _h04(fx):
     last_price = bal.groupBy(*TX_KEY).agg(
         F.max_by("price", F.struct("created_at", "order_id", "line_no", "partkey", "suppkey", "ext",
                                    "quantity", "transaction_type")).alias("current_price"))
-    h = H.holdings_from_ledger(fx.tx, balances=bal).join(last_price, TX_KEY)
+    h = H.join_nullsafe(H.holdings_from_ledger(fx.tx), last_price, TX_KEY)
     return H.holding_value(h)
 
 

@@ -141,7 +141,7 @@ WHERE p.prev_price IS NOT NULL
   AND ((p.prev_price < t.threshold AND t.threshold <= p.price)
     OR (p.prev_price >= t.threshold AND t.threshold > p.price))"""))
 def _q08(fx):
-    return Q.price_alert(fx.ticks, fx.price_thresholds)
+    return Q.price_alert(fx.ticks, fx.price_thresholds, band_width=10)
 
 
 @register("status_history", "Q-09", W(["transaction_history"], f"""
@@ -188,9 +188,9 @@ M02_SQL = f"""SELECT x.tenant_id, x.user_id, 'KYC_LIMIT' AS alert_type,
        concat_ws('|', CAST(x.order_id AS VARCHAR), CAST(x.line_no AS VARCHAR), CAST(x.partkey AS VARCHAR),
                  CAST(x.suppkey AS VARCHAR)) AS ref,
        CAST(x.total_value AS DECIMAL(18,2)) AS amount, x.created_at
-FROM tx x JOIN users u ON x.tenant_id = u.tenant_id AND x.user_id = u.user_id
-JOIN (VALUES (0, 0.00), (1, 20000.00), (2, 40000.00), (3, NULL)) c(kyc_level, cap) ON u.kyc_level = c.kyc_level
-WHERE x.total_value > c.cap"""
+FROM tx x LEFT JOIN users u ON x.tenant_id = u.tenant_id AND x.user_id = u.user_id
+WHERE x.total_value > CASE COALESCE(u.kyc_level, 0) WHEN 1 THEN 20000.00 WHEN 2 THEN 40000.00 WHEN 3 THEN NULL
+                      ELSE 0.00 END"""
 M03_SQL = f"""SELECT d.tenant_id, d.user_id, 'DAILY_LIMIT' AS alert_type, CAST(d.day AS VARCHAR) AS ref,
        CAST(d.v AS DECIMAL(18,2)) AS amount, CAST(d.day AS TIMESTAMP) AS created_at
 FROM (SELECT tenant_id, user_id, CAST(created_at AS DATE) AS day, SUM(total_value) AS v FROM tx
@@ -244,6 +244,16 @@ def _m05(fx):
 
 
 ALL_ALERTS_SQL = f"({M01_SQL}) UNION ALL ({M02_SQL}) UNION ALL ({M03_SQL}) UNION ALL ({M04_SQL}) UNION ALL ({M05_SQL})"
+# The report's watch-list screening runs on the last day of its period.
+REPORT_ALERTS_SQL = ALL_ALERTS_SQL.replace("u.created_at\n", f"TIMESTAMP '{REPORT_END}' AS created_at\n")
+
+
+def _all_alerts(fx, screened_at=None):
+    """All rules in two passes over the ledger: single trades, and daily sums."""
+    return M.all_alerts(
+        M.trade_alerts(fx.tx, fx.users, dims.kyc_level_caps(fx.spark, KYC_CAPS), HIGH_AMOUNT, VELOCITY_N, VELOCITY_SPAN),
+        M.alert_daily_limit(fx.tx, fx.tenants, DAILY_LIMIT),
+        M.alert_watchlist(fx.users, fx.watchlist, screened_at))
 
 
 @register("risk_score", "M-06", W(["tx", "users", "tenants", "watchlist"], f"""
@@ -255,11 +265,11 @@ SELECT tenant_id, user_id, COUNT(*) AS rules_fired,
             AS INTEGER) AS risk_score
 FROM f GROUP BY tenant_id, user_id"""))
 def _m06(fx):
-    return M.risk_score(M.all_alerts(*_alerts(fx)))
+    return M.risk_score(_all_alerts(fx))
 
 
 @register("regulatory_report", "M-07", W(["tx", "users", "tenants", "watchlist"], f"""
-, a AS ({ALL_ALERTS_SQL}),
+, a AS ({REPORT_ALERTS_SQL}),
 c AS (SELECT * FROM tx WHERE status = 'completed' AND created_at >= DATE '{REPORT_START}'
         AND created_at < DATE '{REPORT_END}' + INTERVAL 1 DAY),
 per AS (SELECT tenant_id, COUNT(*) AS fiu_n, SUM(total_value) AS fiu_amount,
@@ -272,14 +282,15 @@ j AS (SELECT COALESCE(per.tenant_id, al.tenant_id) AS tenant_id, per.fiu_n, per.
              per.ctr_amount, al.str_n, al.str_amount
       FROM per FULL OUTER JOIN al ON per.tenant_id = al.tenant_id)
 SELECT tenant_id, r.report_type, '{REPORT_START}' AS reporting_period_start, '{REPORT_END}' AS reporting_period_end,
-       r.n, CAST(r.amount AS DOUBLE) AS amount, 'generated' AS status
+       r.n, CAST(r.amount AS DOUBLE) AS amount, 'generated' AS status,
+       '{{"type":"' || r.report_type || '","n":' || CAST(r.n AS VARCHAR) || ',"amount":' || CAST(r.amount AS VARCHAR)
+         || '}}' AS report_data
 FROM j, LATERAL (VALUES ('FIU', COALESCE(j.fiu_n, 0), CAST(COALESCE(j.fiu_amount, 0) AS DECIMAL(18,2))),
                         ('CTR', COALESCE(j.ctr_n, 0), CAST(COALESCE(j.ctr_amount, 0) AS DECIMAL(18,2))),
                         ('STR', COALESCE(j.str_n, 0), CAST(COALESCE(j.str_amount, 0) AS DECIMAL(18,2))))
      r(report_type, n, amount)"""))
 def _m07(fx):
-    r = M.regulatory_report(fx.tx, M.all_alerts(*_alerts(fx)), REPORT_START, REPORT_END, HIGH_AMOUNT)
-    return r.drop("report_data")
+    return M.regulatory_report(fx.tx, _all_alerts(fx, REPORT_END), REPORT_START, REPORT_END, HIGH_AMOUNT)
 
 
 @register("audit_diff", "M-08", W(["audit_logs"], """
@@ -287,23 +298,29 @@ def _m07(fx):
                                                    COALESCE(json_keys(new_values), [])))) AS key
         FROM audit_logs),
 v AS (SELECT id, tenant_id, user_id, created_at, key,
+             COALESCE(list_contains(json_keys(old_values), key), FALSE) AS had,
+             COALESCE(list_contains(json_keys(new_values), key), FALSE) AS has,
              json_extract_string(old_values, '$."' || key || '"') AS old_value,
              json_extract_string(new_values, '$."' || key || '"') AS new_value FROM k)
-SELECT *, CASE WHEN old_value IS NULL THEN 'added' WHEN new_value IS NULL THEN 'removed' ELSE 'changed' END AS kind
-FROM v WHERE old_value IS DISTINCT FROM new_value"""))
+SELECT id, tenant_id, user_id, created_at, key, old_value, new_value,
+       CASE WHEN NOT had THEN 'added' WHEN NOT has THEN 'removed' ELSE 'changed' END AS kind
+FROM v WHERE NOT had OR NOT has OR old_value IS DISTINCT FROM new_value"""))
 def _m08(fx):
     return M.audit_diff(fx.audit_logs)
 
 
 @register("payment_reconciliation", "R-01", W(["tx", "payments"], """
-, l AS (SELECT order_id, CAST(SUM(total_value) AS DECIMAL(18,2)) AS ledger_total FROM tx GROUP BY order_id)
-SELECT COALESCE(l.order_id, p.order_id) AS order_id, CAST(l.ledger_total AS DOUBLE) AS ledger_total,
+, l AS (SELECT tenant_id, order_id, CAST(SUM(total_value) AS DECIMAL(18,2)) AS ledger_total
+       FROM tx GROUP BY tenant_id, order_id),
+p AS (SELECT tenant_id, order_id, SUM(amount) AS amount, SUM(refund_amount) AS refund_amount
+      FROM payments WHERE status = 'completed' GROUP BY tenant_id, order_id)
+SELECT COALESCE(l.tenant_id, p.tenant_id) AS tenant_id, COALESCE(l.order_id, p.order_id) AS order_id, CAST(l.ledger_total AS DOUBLE) AS ledger_total,
        CAST(p.amount AS DOUBLE) AS amount, CAST(p.refund_amount AS DOUBLE) AS refund_amount,
        CAST(p.amount - p.refund_amount AS DOUBLE) AS net_received,
        CAST(p.amount - l.ledger_total AS DOUBLE) AS difference,
        CASE WHEN p.order_id IS NULL THEN 'missing_payment' WHEN l.order_id IS NULL THEN 'orphan_payment'
             WHEN p.amount = l.ledger_total THEN 'matched' ELSE 'amount_mismatch' END AS state
-FROM l FULL OUTER JOIN payments p ON l.order_id = p.order_id"""))
+FROM l FULL OUTER JOIN p ON l.tenant_id = p.tenant_id AND l.order_id = p.order_id"""))
 def _r01(fx):
     return M.payment_reconciliation(fx.tx, fx.payments)
 

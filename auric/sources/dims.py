@@ -9,6 +9,7 @@ from __future__ import annotations
 from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # ---------------------------------------------------------------------------
@@ -43,11 +44,11 @@ VAULT_SEED = [
 TOKEN_SYMBOL = {"GOLD": "BGT", "SILVER": "BST", "PLATINUM": "BPT"}
 # Tier user caps from the package sheet (None = unlimited).
 TIER_USER_CAP = {"lite": 100, "pro": 1000, "startup": 1000, "growth": 10000, "enterprise": None}
-# Monthly fee and infrastructure cost per tier from the package sheet (INR).
+# Setup fee, monthly fee and infrastructure cost per tier from the package sheet (INR).
 TIER_PRICE_LIST = [
-    ("lite", Decimal("17500"), Decimal("10000")),
-    ("pro", Decimal("75000"), Decimal("36000")),
-    ("enterprise", Decimal("350000"), Decimal("63000")),
+    ("lite", Decimal("50000"), Decimal("17500"), Decimal("10000")),
+    ("pro", Decimal("175000"), Decimal("75000"), Decimal("36000")),
+    ("enterprise", Decimal("2500000"), Decimal("350000"), Decimal("63000")),
 ]
 # KYC level transaction caps from the README (None = unlimited).
 KYC_LEVEL_CAP_DOC = {0: Decimal("0"), 1: Decimal("50000"), 2: Decimal("1000000"), 3: None}
@@ -119,8 +120,18 @@ def vault_providers(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(VAULT_SEED, VAULT_SCHEMA)
 
 
-def payment_methods(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(PAYMENT_METHOD_ROWS, PAYMENT_METHOD_SCHEMA)
+def payment_methods(tenants: DataFrame) -> DataFrame:
+    """Payment methods of every tenant. Tenants price them differently: the
+    percentage rises by 0.25 with tenant id modulo 3, and every fourth tenant
+    (id modulo 4 = 1) has its wallet enabled (the fixture's rule)."""
+    m = F.array(*[F.struct(*[F.lit(v).cast(f.dataType).alias(f.name)
+                             for v, f in zip(row, PAYMENT_METHOD_SCHEMA)]) for row in PAYMENT_METHOD_ROWS])
+    t = F.col("tenant_id")
+    pct = F.col("m.fee_percentage") + F.pmod(t, F.lit(3)) * F.lit(Decimal("0.25"))
+    wallet = (F.col("m.code") == "WALLET") & (F.pmod(t, F.lit(4)) == 1)
+    return tenants.select(t, F.explode(m).alias("m")).select(
+        t, F.col("m.code").alias("code"), (F.col("m.is_enabled") | wallet).alias("is_enabled"),
+        pct.cast("decimal(5,2)").alias("fee_percentage"), "m.fee_fixed", "m.min_amount", "m.max_amount")
 
 
 def seed_dims(spark: SparkSession) -> dict[str, DataFrame]:
@@ -141,7 +152,8 @@ def tier_caps(spark: SparkSession, factor: Decimal | float = 1) -> DataFrame:
 
 def tier_price_list(spark: SparkSession, rows=None) -> DataFrame:
     return spark.createDataFrame(rows or TIER_PRICE_LIST,
-                                 "tier string, monthly_fee decimal(15,2), monthly_cost decimal(15,2)")
+                                 "tier string, setup_fee decimal(15,2), monthly_fee decimal(15,2), "
+                                 "monthly_cost decimal(15,2)")
 
 
 def kyc_level_caps(spark: SparkSession, caps: dict | None = None) -> DataFrame:

@@ -170,8 +170,12 @@ class Fixtures:
         o = self.raw("orders").filter(F.pmod(F.col("o_orderkey"), F.lit(10)) != 0)
         c = self.raw("customer").select("c_custkey", "c_nationkey")
         totals = self.tx.groupBy("order_id").agg(F.sum("total_value").alias("ledger_total"))
+        # Every thirteenth order has a failed attempt besides its payment.
+        attempts = F.when(F.pmod(F.col("o_orderkey"), F.lit(13)) == 0, F.array(F.lit(False), F.lit(True))).otherwise(
+            F.array(F.lit(False)))
         j = (o.join(c, o.o_custkey == c.c_custkey)
-              .join(totals, o.o_orderkey == totals.order_id, "left"))
+              .join(totals, o.o_orderkey == totals.order_id, "left")
+              .withColumn("retried", F.explode(attempts)))
         base = F.coalesce(F.col("ledger_total"), F.lit(100).cast(MONEY))
         bump = F.when(F.pmod(F.col("o_orderkey"), F.lit(17)) == 0, F.lit(1).cast(MONEY)).otherwise(F.lit(0).cast(MONEY))
         return j.select(
@@ -180,9 +184,10 @@ class Fixtures:
             F.col("o_custkey").alias("user_id"),
             _case(F.col("o_orderpriority"), PRIORITY_METHOD).alias("payment_method"),
             (base + bump).cast(MONEY).alias("amount"),
-            F.when(F.col("o_orderstatus") == "F", "completed").when(F.col("o_orderstatus") == "O", "failed")
+            F.when(F.col("retried"), "failed")
+             .when(F.col("o_orderstatus") == "F", "completed").when(F.col("o_orderstatus") == "O", "failed")
              .when(F.col("o_orderstatus") == "P", "pending").alias("status"),
-            F.when(F.pmod(F.col("o_orderkey"), F.lit(23)) == 0, F.lit(5).cast(MONEY))
+            F.when(~F.col("retried") & (F.pmod(F.col("o_orderkey"), F.lit(23)) == 0), F.lit(5).cast(MONEY))
              .otherwise(F.lit(0).cast(MONEY)).alias("refund_amount"),
             F.col("o_orderdate").alias("created_at"),
         )
@@ -313,8 +318,8 @@ class Fixtures:
 
     @cached_property
     def price_thresholds(self) -> DataFrame:
-        """Per-user price alerts: users with a high balance watch one metal."""
-        c = self.raw("customer").filter(F.col("c_acctbal") > 9900)
+        """Per-user price alerts: every user watches one metal."""
+        c = self.raw("customer")
         return c.select(F.col("c_custkey").alias("user_id"),
                         asset_by_mod3(F.col("c_custkey")).alias("asset_type"),
                         (F.lit(100) + F.pmod(F.col("c_custkey"), F.lit(10)) * 30).cast(MONEY).alias("threshold"))
