@@ -178,21 +178,27 @@ def advance_state(events: DataFrame, prev: DataFrame | None, chunk: str = "day")
 
 # --------------------------------------------------------------------- H-01
 def add_tokens(holdings: DataFrame, buys: DataFrame) -> DataFrame:
-    """Merge a batch of BUY quantities: add if present, else insert."""
-    b = buys.groupBy(*TX_KEY).agg(F.sum("quantity").alias("add_q"))
-    j = holdings.select(*TX_KEY, "quantity").join(b, TX_KEY, "full_outer")
+    """Merge a batch of BUYs: add to the holding if present, else open one at
+    the time of its first buy and the price of its last. ``current_price`` and
+    ``created_at`` of an existing holding stay; total_value follows (H-04)."""
+    o = F.struct(*[c for c in TX_ORDER if c in buys.columns])
+    b = buys.groupBy(*TX_KEY).agg(F.sum("quantity").alias("add_q"), F.min("created_at").alias("_opened"),
+                                  F.max_by("price", o).alias("_price"))
+    j = holdings.select(*TX_KEY, "quantity", "current_price", "created_at").join(b, TX_KEY, "full_outer")
     q = (F.coalesce(F.col("quantity"), F.lit(0)) + F.coalesce(F.col("add_q"), F.lit(0))).cast(QTY)
-    return j.select(*TX_KEY, q.alias("quantity"))
+    return holding_value(j.select(
+        *TX_KEY, q.alias("quantity"), F.coalesce("current_price", "_price").alias("current_price"),
+        F.coalesce("created_at", "_opened").alias("created_at")))
 
 
 # --------------------------------------------------------------------- H-02
 def remove_tokens(holdings: DataFrame, sells: DataFrame) -> DataFrame:
     """Subtract one batched removal per key; rows at or below zero are deleted,
-    keys without a holding are a no-op."""
+    keys without a holding are a no-op. Price and opening time stay."""
     s = sells.groupBy(*TX_KEY).agg(F.sum("quantity").alias("sub_q"))
-    j = holdings.select(*TX_KEY, "quantity").join(s, TX_KEY, "left")
+    j = holdings.select(*TX_KEY, "quantity", "current_price", "created_at").join(s, TX_KEY, "left")
     q = (F.col("quantity") - F.coalesce(F.col("sub_q"), F.lit(0))).cast(QTY)
-    return j.select(*TX_KEY, q.alias("quantity")).filter(F.col("quantity") > 0)
+    return holding_value(j.select(*TX_KEY, q.alias("quantity"), "current_price", "created_at").filter(F.col("quantity") > 0))
 
 
 # --------------------------------------------------------------------- H-04

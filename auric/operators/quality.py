@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.schemas import TABLES
+
 VIOLATION_COLS = ("table_name", "rule", "row_key", "value")
 
 
@@ -17,12 +19,10 @@ def _key(key_cols) -> Column:
 
 
 def _violations(df: DataFrame, table: str, key_cols, checks: list[tuple[str, Column, Column]]) -> DataFrame:
-    """All rule checks in one scan: an array of (rule, value, failed) structs,
-    exploded and filtered."""
-    arr = F.array(*[F.struct(F.lit(r).alias("rule"), v.cast("string").alias("value"), bad.alias("bad"))
-                    for r, v, bad in checks])
-    return (df.select(_key(key_cols).alias("row_key"), F.explode(arr).alias("c"))
-              .filter(F.col("c.bad"))
+    """All rule checks in one scan; a row explodes into the rules it breaks."""
+    arr = F.array(*[F.when(bad, F.struct(F.lit(r).alias("rule"), v.cast("string").alias("value")))
+                    for r, v, bad in checks]).cast("array<struct<rule:string,value:string>>")
+    return (df.select(_key(key_cols).alias("row_key"), F.explode(F.array_compact(arr)).alias("c"))
               .select(F.lit(table).alias("table_name"), F.col("c.rule").alias("rule"), "row_key",
                       F.col("c.value").alias("value")))
 
@@ -44,18 +44,7 @@ def check_domain(df: DataFrame, table: str, key_cols, rules: dict) -> DataFrame:
     return _violations(df, table, key_cols, checks)
 
 
-# The domains declared by the schema's CHECK constraints.
-DOMAIN_RULES = {
-    "tenants": {"tier": ["lite", "pro", "startup", "growth", "enterprise"],
-                "status": ["active", "suspended", "cancelled"]},
-    "users": {"role": ["user", "admin", "super_admin"],
-              "kyc_status": ["pending", "verified", "rejected", "expired"],
-              "kyc_level": (0, 3)},
-    "transactions": {"status": ["pending", "processing", "completed", "failed", "cancelled", "refunded"]},
-    "kyc_records": {"verification_status": ["pending", "processing", "verified", "rejected"]},
-    "vault_inventory": {"status": ["stored", "tokenized", "redeemed", "transferred"]},
-    "aml_alerts": {"status": ["open", "investigating", "resolved", "dismissed"]},
-}
+DOMAIN_RULES = {name: t.checks for name, t in TABLES.items() if t.checks}
 
 
 # --------------------------------------------------------------------- V-02
@@ -81,43 +70,57 @@ def check_unique(df: DataFrame, cols) -> DataFrame:
 
 
 # --------------------------------------------------------------------- V-05
-def check_foreign_key(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str) -> DataFrame:
-    """Child rows whose non-NULL key has no parent."""
-    p = parent.select(F.col(parent_key).alias(child_key)).distinct()
-    return child.filter(F.col(child_key).isNotNull()).join(p, child_key, "left_anti")
+def check_foreign_key(child: DataFrame, parent: DataFrame, child_key, parent_key) -> DataFrame:
+    """Child rows whose key has no parent. Keys are a column or a list of
+    columns; a key with a NULL part references nothing."""
+    ck, pk = ([k] if isinstance(k, str) else list(k) for k in (child_key, parent_key))
+    p = parent.select(*[F.col(b).alias(a) for a, b in zip(ck, pk)]).distinct()
+    return child.dropna(subset=ck).join(p, ck, "left_anti")
+
+
+def all_violations(df: DataFrame, table: str, key_cols) -> DataFrame:
+    """V-01, V-02 and V-03 of a stored table for the columns ``df`` has, in one scan."""
+    t, have = TABLES[table], set(df.columns)
+    pick = lambda d: {c: v for c, v in d.items() if c in have}
+    return (check_domain(df, table, key_cols, pick(t.checks))
+            .unionByName(check_not_null(df, table, key_cols, [c for c in t.not_null if c in have]))
+            .unionByName(check_length(df, table, key_cols, pick(t.lengths))))
 
 
 # --------------------------------------------------------------------- V-06
-def cascade_delete(deleted_tenants: DataFrame, users: DataFrame, tx: DataFrame,
-                   payments: DataFrame, kyc_records: DataFrame) -> dict[str, DataFrame]:
-    """ON DELETE CASCADE, transitively: tenant → users → transactions (and
-    tenant → payments, KYC records). Children with a NULL key survive."""
-    gone = deleted_tenants.select("tenant_id")
-    users_kept = users.join(gone, "tenant_id", "left_anti")
-    gone_users = users.join(gone, "tenant_id", "left_semi").select("tenant_id", "user_id")
-    tx_kept = (tx.join(gone, "tenant_id", "left_anti")
-                 .join(gone_users, ["tenant_id", "user_id"], "left_anti"))
-    pay_kept = (payments.join(gone, "tenant_id", "left_anti")
-                .join(gone_users, ["tenant_id", "user_id"], "left_anti"))
-    kyc_kept = (kyc_records.join(gone, "tenant_id", "left_anti")
-                .join(gone_users, ["tenant_id", "user_id"], "left_anti"))
-    return {"users": users_kept, "transactions": tx_kept, "payment_transactions": pay_kept,
-            "kyc_records": kyc_kept}
-
-
-def cascade_summary(before: dict[str, DataFrame], after: dict[str, DataFrame]) -> DataFrame:
-    """(table, kept, removed) counts; one aggregation over tagged rows."""
-    parts = []
-    for name, df in after.items():
-        parts.append(before[name].select(F.lit(name).alias("table_name"), F.lit(1).alias("b"),
-                                         F.lit(0).alias("k")))
-        parts.append(df.select(F.lit(name).alias("table_name"), F.lit(0).alias("b"), F.lit(1).alias("k")))
-    u = parts[0]
-    for p in parts[1:]:
-        u = u.unionByName(p)
-    r = u.groupBy("table_name").agg(F.sum("b").cast("bigint").alias("before"),
-                                    F.sum("k").cast("bigint").alias("kept"))
-    return r.select("table_name", "kept", (F.col("before") - F.col("kept")).alias("removed"))
+def cascade_delete(tables: dict[str, DataFrame], gone: dict[str, DataFrame],
+                   links: dict[str, list[tuple[str, list[str], list[str]]]]) -> dict[str, DataFrame]:
+    """ON DELETE CASCADE, transitively. ``gone`` holds the keys of rows deleted
+    outright, by table; ``links`` lists for each table, parents first, its
+    cascading references (parent, own columns, parent's columns). Every table
+    comes back with ``is_gone``: listed itself, or a parent's row is gone. A
+    reference with a NULL part does not cascade. Each table is read once and
+    joined with the keys that went, never with whole parents."""
+    out: dict[str, DataFrame] = {}
+    for name, refs in links.items():
+        df, flag = tables[name], F.lit(False)
+        keys = [(gone[name], list(gone[name].columns), list(gone[name].columns))] if name in gone else []
+        keys += [(out[parent].filter("is_gone"), own, theirs) for parent, own, theirs in refs]
+        for i, (parent, own, theirs) in enumerate(keys):
+            g = parent.select(*[F.col(b).alias(f"_k{i}_{n}") for n, b in enumerate(theirs)]).distinct()
+            g = g.dropna().withColumn(f"_g{i}", F.lit(True))
+            cond = F.lit(True)
+            for n, a in enumerate(own):
+                cond = cond & (F.col(a) == F.col(f"_k{i}_{n}"))
+            df = df.join(g, cond, "left")
+            flag = flag | F.coalesce(F.col(f"_g{i}"), F.lit(False))
+        out[name] = df.select(*tables[name].columns, flag.alias("is_gone"))
+    return out
+
+
+def cascade_summary(flagged: dict[str, DataFrame]) -> DataFrame:
+    """(table, kept, removed) counts; one pass over each table."""
+    out = None
+    for name, df in flagged.items():
+        one = df.agg(F.count(F.when(~F.col("is_gone"), 1)).alias("kept"),
+                     F.count(F.when(F.col("is_gone"), 1)).alias("removed")).withColumn("table_name", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out.select("table_name", "kept", "removed")
 
 
 # --------------------------------------------------------------------- V-07

@@ -7,7 +7,10 @@ from FIXTURES.md §2, not generated from the Spark adapter.
 
 from __future__ import annotations
 
+import re
+
 from ..sources.dims import WELCOME_TEMPLATE
+from ..sources.fixtures import FAULTS
 
 # name -> (dependencies, body)
 TABLES: dict[str, tuple[tuple[str, ...], str]] = {}
@@ -305,6 +308,13 @@ SELECT h.*, a.current_price, CAST(h.quantity * a.current_price AS DECIMAL(15,2))
 FROM holdings h LEFT JOIN asset_types a ON h.asset_type = a.code""")
 
 
+for _name, (_key, _faults) in FAULTS.items():
+    _src = {"aml_alerts": "aml_alerts_fx"}.get(_name, _name)
+    _cols = ", ".join(f"CASE WHEN {_key} % {_n} = 0 THEN {_bad} ELSE {_c} END AS {_c}"
+                      for _c, (_n, _bad) in _faults.items())
+    _t(f"{_name}_faulty", [_src], f"SELECT * REPLACE ({_cols}) FROM {_src}")
+
+
 def with_tables(names, query: str) -> str:
     """``WITH`` prefix holding ``names`` and their dependencies, then ``query``."""
     order: list[str] = []
@@ -342,11 +352,13 @@ SELECT * FROM (
      AND s.rn = g.rn + 1
   ) SELECT * FROM g) x""")
 
-_t("holdings0", ["tx"], """
-SELECT tenant_id, user_id, asset_type, CAST(SUM(quantity) AS DECIMAL(20,8)) AS quantity,
-       max(created_at) AS updated_at
-FROM tx WHERE status = 'completed' AND transaction_type = 'BUY' AND created_at < TIMESTAMP '2000-01-01 00:00:00'
-GROUP BY tenant_id, user_id, asset_type""")
+# The same replay over the ledger before the cut.
+_t("tx0", ["tx"], "SELECT * FROM tx WHERE created_at < TIMESTAMP '2000-01-01 00:00:00'")
+for _n, _parent in (("ledger_seq", "tx"), ("ledger_walk", "ledger_seq"), ("holdings", "ledger_walk")):
+    _t(f"{_n}0" if _n != "holdings" else "replayed0", [f"{_parent}0"],
+       re.sub(rf"\b{_parent}\b", f"{_parent}0", TABLES[_n][1]))
+_t("holdings0", ["replayed0", "asset_types"], """
+SELECT h.*, a.current_price FROM replayed0 h LEFT JOIN asset_types a ON h.asset_type = a.code""")
 
 _t("late_buys", ["tx"], """
 SELECT * FROM tx WHERE status = 'completed' AND transaction_type = 'BUY'

@@ -12,6 +12,7 @@ from ..operators import orders as K
 from ..operators import quality as V
 from ..sources import dims
 from ..sources.fixtures import TX_KEY
+from ..sources.schemas import TABLES
 from .oracle_tables import with_tables as W
 from .queries import AS_OF_KYC, TX_COLS_SQL, D, holdings_valued, tx_cols_sql
 from .registry import register
@@ -86,94 +87,92 @@ def _p08(fx):
 
 
 # ------------------------------------------------------------------ V-01 … V-07
-def _domain_union(fx):
-    R = V.DOMAIN_RULES
-    parts = [
-        V.check_domain(fx.tenants, "tenants", ["tenant_id"], R["tenants"]),
-        V.check_domain(fx.users, "users", ["user_id"], R["users"]),
-        V.check_domain(fx.tx, "transactions", ["order_id", "line_no", "partkey", "suppkey"], R["transactions"]),
-        V.check_domain(fx.kyc_records, "kyc_records", ["record_id"], R["kyc_records"]),
-        V.check_domain(fx.vault_inventory, "vault_inventory",
-                       ["lot_order_id", "lot_line_no", "lot_partkey", "lot_suppkey"], R["vault_inventory"]),
-        V.check_domain(fx.aml_alerts, "aml_alerts", ["id"], R["aml_alerts"]),
-        # payments carry the ledger's status domain minus 'refunded' rows
-        V.check_domain(fx.payments, "payment_transactions", ["order_id"],
-                       {"status": ["pending", "processing", "completed", "failed", "cancelled"]}),
-    ]
+# Logical table -> (stored table, key columns); checked with broken rows in it.
+CHECKED = {
+    "tenants": ("tenants", ["tenant_id"]),
+    "users": ("users", ["user_id"]),
+    "tx": ("transactions", ["order_id", "line_no", "partkey", "suppkey"]),
+    "kyc_records": ("kyc_records", ["record_id"]),
+    "vault_inventory": ("vault_inventory", ["lot_order_id", "lot_line_no", "lot_partkey", "lot_suppkey"]),
+    "aml_alerts": ("aml_alerts", ["id"]),
+    "payments": ("payment_transactions", ["order_id"]),
+    "notification_templates": ("notification_templates", ["tenant_id"]),
+}
+
+
+def _union(parts):
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
-@register("check_domain", "V-01", W(["tenants", "users", "tx", "kyc_records", "vault_inventory",
-                                     "aml_alerts_fx", "payments"], """
-SELECT 'users' AS table_name, 'kyc_level between 0 and 3' AS rule, CAST(user_id AS VARCHAR) AS row_key,
-       CAST(kyc_level AS VARCHAR) AS value FROM users WHERE NOT (kyc_level BETWEEN 0 AND 3)
-UNION ALL SELECT 'users', 'kyc_status in domain', CAST(user_id AS VARCHAR), kyc_status FROM users
-  WHERE kyc_status NOT IN ('pending', 'verified', 'rejected', 'expired')
-UNION ALL SELECT 'users', 'role in domain', CAST(user_id AS VARCHAR), role FROM users
-  WHERE role NOT IN ('user', 'admin', 'super_admin')
-UNION ALL SELECT 'tenants', 'tier in domain', CAST(tenant_id AS VARCHAR), tier FROM tenants
-  WHERE tier NOT IN ('lite', 'pro', 'startup', 'growth', 'enterprise')
-UNION ALL SELECT 'tenants', 'status in domain', CAST(tenant_id AS VARCHAR), status FROM tenants
-  WHERE status NOT IN ('active', 'suspended', 'cancelled')
-UNION ALL SELECT 'transactions', 'status in domain',
-  CAST(order_id AS VARCHAR) || '|' || CAST(line_no AS VARCHAR) || '|' || CAST(partkey AS VARCHAR) || '|' || CAST(suppkey AS VARCHAR),
-  status FROM tx WHERE status NOT IN ('pending', 'processing', 'completed', 'failed', 'cancelled', 'refunded')
-UNION ALL SELECT 'kyc_records', 'verification_status in domain', CAST(record_id AS VARCHAR), verification_status
-  FROM kyc_records WHERE verification_status NOT IN ('pending', 'processing', 'verified', 'rejected')
-UNION ALL SELECT 'vault_inventory', 'status in domain',
-  CAST(lot_order_id AS VARCHAR) || '|' || CAST(lot_line_no AS VARCHAR) || '|' || CAST(lot_partkey AS VARCHAR) || '|' || CAST(lot_suppkey AS VARCHAR),
-  status FROM vault_inventory WHERE status NOT IN ('stored', 'tokenized', 'redeemed', 'transferred')
-UNION ALL SELECT 'aml_alerts', 'status in domain', CAST(id AS VARCHAR), status FROM aml_alerts_fx
-  WHERE status NOT IN ('open', 'investigating', 'resolved', 'dismissed')
-UNION ALL SELECT 'payment_transactions', 'status in domain', CAST(order_id AS VARCHAR), status FROM payments
-  WHERE status NOT IN ('pending', 'processing', 'completed', 'failed', 'cancelled')"""))
+def _rules_sql(rules):
+    """``rules``: (logical table, rule name, value, condition) -> one UNION ALL query."""
+    rows = []
+    for name, rule, value, bad in rules:
+        table, keys = CHECKED[name]
+        key = " || '|' || ".join(f"CAST({k} AS VARCHAR)" for k in keys)
+        rows.append(f"SELECT '{table}' AS table_name, '{rule}' AS rule, {key} AS row_key, "
+                    f"CAST({value} AS VARCHAR) AS value FROM {name}_faulty WHERE {bad}")
+    return "\nUNION ALL ".join(rows)
+
+
+FAULTY = [f"{n}_faulty" for n in CHECKED]
+
+
+@register("check_domain", "V-01", W(FAULTY, _rules_sql([
+    ("tenants", "tier in domain", "tier", "tier NOT IN ('lite', 'pro', 'startup', 'growth', 'enterprise')"),
+    ("tenants", "status in domain", "status", "status NOT IN ('active', 'suspended', 'cancelled')"),
+    ("users", "role in domain", "role", "role NOT IN ('user', 'admin', 'super_admin')"),
+    ("users", "kyc_status in domain", "kyc_status", "kyc_status NOT IN ('pending', 'verified', 'rejected', 'expired')"),
+    ("users", "kyc_level between 0 and 3", "kyc_level", "NOT (kyc_level BETWEEN 0 AND 3)"),
+    ("tx", "status in domain", "status",
+     "status NOT IN ('pending', 'processing', 'completed', 'failed', 'cancelled', 'refunded')"),
+    ("kyc_records", "verification_status in domain", "verification_status",
+     "verification_status NOT IN ('pending', 'processing', 'verified', 'rejected')"),
+    ("vault_inventory", "status in domain", "status",
+     "status NOT IN ('stored', 'tokenized', 'redeemed', 'transferred')"),
+    ("aml_alerts", "status in domain", "status", "status NOT IN ('open', 'investigating', 'resolved', 'dismissed')"),
+    ("notification_templates", "template_type in domain", "template_type",
+     "template_type NOT IN ('email', 'sms', 'push', 'in_app')"),
+])))
 def _v01(fx):
-    return _domain_union(fx)
-
-
-@register("check_not_null", "V-02", W(["tenants", "users", "tx"], """
-SELECT 'tenants' AS table_name, c.rule, CAST(t.tenant_id AS VARCHAR) AS row_key, CAST(NULL AS VARCHAR) AS value
-FROM tenants t, (VALUES ('organization_id not null'), ('company_name not null'), ('contact_person not null'),
-                        ('email not null'), ('phone not null')) c(rule)
-WHERE (c.rule = 'organization_id not null' AND t.organization_id IS NULL)
-   OR (c.rule = 'company_name not null' AND t.company_name IS NULL)
-   OR (c.rule = 'contact_person not null' AND t.contact_person IS NULL)
-   OR (c.rule = 'email not null' AND t.email IS NULL)
-   OR (c.rule = 'phone not null' AND t.phone IS NULL)
-UNION ALL
-SELECT 'users', 'email not null', CAST(user_id AS VARCHAR), NULL FROM users WHERE email IS NULL
-UNION ALL
-SELECT 'transactions', r, CAST(order_id AS VARCHAR) || '|' || CAST(line_no AS VARCHAR), NULL
-FROM (SELECT order_id, line_no, unnest(['quantity not null', 'price not null', 'total_value not null']) AS r,
-             unnest([quantity IS NULL, price IS NULL, total_value IS NULL]) AS bad FROM tx) z WHERE bad"""))
+    return _union([V.check_domain(fx.faulty(n), t, k, {c: r for c, r in V.DOMAIN_RULES[t].items()
+                                                       if c in getattr(fx, n).columns})
+                   for n, (t, k) in CHECKED.items() if t in V.DOMAIN_RULES])
+
+
+@register("check_not_null", "V-02", W(FAULTY, _rules_sql(
+    [("tenants", f"{c} not null", "NULL", f"{c} IS NULL")
+     for c in ("organization_id", "company_name", "contact_person", "email", "phone")]
+    + [("users", "email not null", "NULL", "email IS NULL")]
+    + [("tx", f"{c} not null", "NULL", f"{c} IS NULL") for c in ("quantity", "price", "total_value")]
+    + [("vault_inventory", f"{c} not null", "NULL", f"{c} IS NULL") for c in ("weight_grams", "purity")]
+    + [("aml_alerts", "id not null", "NULL", "id IS NULL")]
+    + [("payments", "amount not null", "NULL", "amount IS NULL")]
+    + [("notification_templates", f"{c} not null", "NULL", f"{c} IS NULL")
+       for c in ("template_code", "template_name")])))
 def _v02(fx):
-    return (V.check_not_null(fx.tenants, "tenants", ["tenant_id"],
-                             ["organization_id", "company_name", "contact_person", "email", "phone"])
-            .unionByName(V.check_not_null(fx.users, "users", ["user_id"], ["email"]))
-            .unionByName(V.check_not_null(fx.tx, "transactions", ["order_id", "line_no"],
-                                          ["quantity", "price", "total_value"])))
-
-
-@register("check_length", "V-03", W(["tenants", "users"], """
-SELECT 'users' AS table_name, r AS rule, CAST(user_id AS VARCHAR) AS row_key, v AS value
-FROM (SELECT user_id, unnest(['char_length(first_name) <= 100', 'char_length(last_name) <= 100',
-                              'char_length(email) <= 255']) AS r,
-             unnest([first_name, last_name, email]) AS v,
-             unnest([length(first_name) > 100, length(last_name) > 100, length(email) > 255]) AS bad
-      FROM users) z WHERE bad
-UNION ALL
-SELECT 'tenants', r, CAST(tenant_id AS VARCHAR), v
-FROM (SELECT tenant_id, unnest(['char_length(organization_id) <= 50', 'char_length(phone) <= 20']) AS r,
-             unnest([organization_id, phone]) AS v,
-             unnest([length(organization_id) > 50, length(phone) > 20]) AS bad FROM tenants) z WHERE bad"""))
+    return _union([V.check_not_null(fx.faulty(n), t, k, [c for c in TABLES[t].not_null if c in getattr(fx, n).columns])
+                   for n, (t, k) in CHECKED.items()])
+
+
+@register("check_length", "V-03", W(FAULTY, _rules_sql(
+    [("users", f"char_length({c}) <= {n}", c, f"length({c}) > {n}")
+     for c, n in (("email", 255), ("first_name", 100), ("last_name", 100), ("role", 20), ("kyc_status", 20))]
+    + [("tenants", f"char_length({c}) <= {n}", c, f"length({c}) > {n}")
+       for c, n in (("organization_id", 50), ("company_name", 255), ("contact_person", 255), ("email", 255),
+                    ("phone", 20), ("tier", 20), ("status", 20))]
+    + [("tx", f"char_length({c}) <= {n}", c, f"length({c}) > {n}")
+       for c, n in (("transaction_type", 20), ("asset_type", 20), ("payment_method", 50), ("status", 20))]
+    + [("notification_templates", f"char_length({c}) <= {n}", c, f"length({c}) > {n}")
+       for c, n in (("template_code", 50), ("template_name", 100), ("subject", 255), ("template_type", 20))])))
 def _v03(fx):
-    return (V.check_length(fx.users, "users", ["user_id"],
-                           {"first_name": 100, "last_name": 100, "email": 255})
-            .unionByName(V.check_length(fx.tenants, "tenants", ["tenant_id"],
-                                        {"organization_id": 50, "phone": 20})))
+    names = ("users", "tenants", "tx", "notification_templates")
+    return _union([V.check_length(fx.faulty(n), CHECKED[n][0], CHECKED[n][1],
+                                  {c: m for c, m in TABLES[CHECKED[n][0]].lengths.items()
+                                   if c in getattr(fx, n).columns}) for n in names])
 
 
 @register("check_unique", "V-04", W(["tx"], """
@@ -183,6 +182,13 @@ def _v04(fx):
     return V.check_unique(fx.tx, ["order_id", "line_no"])
 
 
+@register("check_unique_email", "V-04", W(["registrations"], """
+SELECT tenant_id, email, COUNT(*) AS n FROM registrations
+WHERE tenant_id IS NOT NULL AND email IS NOT NULL GROUP BY tenant_id, email HAVING COUNT(*) > 1"""))
+def _v04b(fx):
+    return V.check_unique(fx.registrations, TABLES["users"].unique[0])
+
+
 @register("check_foreign_key", "V-05", W(["payments", "tx"], """
 SELECT order_id, tenant_id, user_id, payment_method, CAST(amount AS DOUBLE) AS amount, status,
        CAST(refund_amount AS DOUBLE) AS refund_amount, created_at
@@ -191,33 +197,62 @@ def _v05(fx):
     return V.check_foreign_key(fx.payments, fx.tx, "order_id", "order_id")
 
 
-@register("cascade_delete", "V-06", W(["tenants", "users", "tx", "payments", "kyc_records"], """
-, gone AS (SELECT tenant_id FROM tenants WHERE status = 'suspended')
-SELECT 'users' AS table_name,
-       COUNT(*) FILTER (WHERE tenant_id NOT IN (SELECT tenant_id FROM gone)) AS kept,
-       COUNT(*) FILTER (WHERE tenant_id IN (SELECT tenant_id FROM gone)) AS removed FROM users
-UNION ALL
-SELECT 'transactions', COUNT(*) FILTER (WHERE tenant_id NOT IN (SELECT tenant_id FROM gone)),
-       COUNT(*) FILTER (WHERE tenant_id IN (SELECT tenant_id FROM gone)) FROM tx
-UNION ALL
-SELECT 'payment_transactions', COUNT(*) FILTER (WHERE tenant_id NOT IN (SELECT tenant_id FROM gone)),
-       COUNT(*) FILTER (WHERE tenant_id IN (SELECT tenant_id FROM gone)) FROM payments
-UNION ALL
-SELECT 'kyc_records', COUNT(*) FILTER (WHERE tenant_id NOT IN (SELECT tenant_id FROM gone)),
-       COUNT(*) FILTER (WHERE tenant_id IN (SELECT tenant_id FROM gone)) FROM kyc_records"""))
+@register("check_foreign_key_pair", "V-05", W(["tx_faulty", "users"], """
+SELECT tenant_id, user_id, order_id, line_no, partkey, suppkey
+FROM tx_faulty t WHERE tenant_id IS NOT NULL AND user_id IS NOT NULL
+  AND NOT EXISTS (SELECT 1 FROM users u WHERE u.tenant_id = t.tenant_id AND u.user_id = t.user_id)"""))
+def _v05b(fx):
+    bad = V.check_foreign_key(fx.faulty("tx"), fx.users, ["tenant_id", "user_id"], ["tenant_id", "user_id"])
+    return bad.select("tenant_id", "user_id", "order_id", "line_no", "partkey", "suppkey")
+
+
+def _cascade_count(name, source, gone):
+    return (f"SELECT '{name}' AS table_name, COUNT(*) FILTER (WHERE NOT ({gone})) AS kept, "
+            f"COUNT(*) FILTER (WHERE {gone}) AS removed FROM {source}")
+
+
+_T_GONE = "tenant_id IN (SELECT tenant_id FROM gt)"
+_U_GONE = "user_id IN (SELECT user_id FROM gu)"
+
+
+@register("cascade_delete", "V-06", W(
+    ["tenants", "users", "tx", "payments", "kyc_records", "vault_inventory", "audit_logs", "notifications",
+     "aml_alerts_fx"], """
+, gt AS (SELECT tenant_id FROM tenants WHERE status = 'suspended'),
+gu AS (SELECT user_id FROM users WHERE tenant_id IN (SELECT tenant_id FROM gt) OR kyc_status = 'rejected'),
+gx AS (SELECT DISTINCT order_id FROM tx WHERE tenant_id IN (SELECT tenant_id FROM gt)
+         OR user_id IN (SELECT user_id FROM gu))
+""" + "\nUNION ALL ".join([
+        _cascade_count("tenants", "tenants", _T_GONE),
+        _cascade_count("users", "users", _U_GONE),
+        _cascade_count("transactions", "tx", f"{_T_GONE} OR {_U_GONE}"),
+        _cascade_count("payment_transactions", "payments",
+                       f"{_T_GONE} OR order_id IN (SELECT order_id FROM gx)"),
+        _cascade_count("kyc_records", "kyc_records", f"{_T_GONE} OR {_U_GONE}"),
+        _cascade_count("vault_inventory", "vault_inventory", _T_GONE),
+        _cascade_count("audit_logs", "audit_logs", _T_GONE),
+        _cascade_count("user_notifications", "notifications", _U_GONE),
+        _cascade_count("aml_alerts", "aml_alerts_fx", _U_GONE)])))
 def _v06(fx):
-    before = {"users": fx.users, "transactions": fx.tx, "payment_transactions": fx.payments,
-              "kyc_records": fx.kyc_records}
-    gone = fx.tenants.filter(F.col("status") == "suspended")
-    after = V.cascade_delete(gone, fx.users, fx.tx, fx.payments, fx.kyc_records)
-    return V.cascade_summary(before, after)
-
-
-@register("check_total_value", "V-07", W(["tx"], f"""
+    tables = {"tenants": fx.tenants, "users": fx.users, "transactions": fx.tx, "payment_transactions": fx.payments,
+              "kyc_records": fx.kyc_records, "vault_inventory": fx.vault_inventory, "audit_logs": fx.audit_logs,
+              "user_notifications": fx.notifications, "aml_alerts": fx.aml_alerts}
+    tenant = ("tenants", ["tenant_id"], ["tenant_id"])
+    user = ("users", ["user_id"], ["user_id"])
+    links = {"tenants": [], "users": [tenant], "transactions": [tenant, user],
+             "payment_transactions": [tenant, ("transactions", ["order_id"], ["order_id"])],
+             "kyc_records": [tenant, user], "vault_inventory": [tenant], "audit_logs": [tenant],
+             "user_notifications": [user], "aml_alerts": [user]}
+    gone = {"tenants": fx.tenants.filter(F.col("status") == "suspended").select("tenant_id"),
+            "users": fx.users.filter(F.col("kyc_status") == "rejected").select("user_id")}
+    return V.cascade_summary(V.cascade_delete(tables, gone, links))
+
+
+@register("check_total_value", "V-07", W(["tx_faulty"], f"""
 SELECT {TX_COLS_SQL}, {D("CAST(quantity * price AS DECIMAL(15,2))")} AS expected_total_value
-FROM tx WHERE CAST(quantity * price AS DECIMAL(15,2)) <> total_value"""))
+FROM tx_faulty WHERE CAST(quantity * price AS DECIMAL(15,2)) <> total_value"""))
 def _v07(fx):
-    return V.check_total_value(fx.tx)
+    return V.check_total_value(fx.faulty("tx"))
 
 
 # ------------------------------------------------------------------ K-01 … K-08
@@ -308,10 +343,9 @@ def _k08(fx):
 
 # ------------------------------------------------------------------ H-01 … H-08
 def _holdings0(fx):
-    b = fx.tx.filter((F.col("status") == "completed") & (F.col("transaction_type") == "BUY")
-                     & (F.col("created_at") < F.lit(CUT).cast("timestamp_ntz")))
-    return b.groupBy(*TX_KEY).agg(F.sum("quantity").cast("decimal(20,8)").alias("quantity"),
-                                  F.max("created_at").alias("updated_at"))
+    """Holdings at the cut: the ledger replayed up to it, valued at today's prices."""
+    before = fx.tx.filter(F.col("created_at") < F.lit(CUT).cast("timestamp_ntz"))
+    return H.mark_to_market(H.holdings_from_ledger(before), dims.asset_types(fx.spark))
 
 
 def _late(fx, kind):
@@ -319,20 +353,30 @@ def _late(fx, kind):
                         & (F.col("created_at") >= F.lit(CUT).cast("timestamp_ntz")))
 
 
+LATE_SUM = """(SELECT tenant_id, user_id, asset_type, SUM(quantity) AS q, min(created_at) AS t,
+                      arg_max(price, (created_at, order_id, line_no, partkey, suppkey, ext)) AS price
+               FROM {} GROUP BY 1, 2, 3)"""
+
+
 @register("add_tokens", "H-01", W(["holdings0", "late_buys"], f"""
-SELECT COALESCE(h.tenant_id, b.tenant_id) AS tenant_id, COALESCE(h.user_id, b.user_id) AS user_id,
-       COALESCE(h.asset_type, b.asset_type) AS asset_type,
-       {D("CAST(COALESCE(h.quantity, 0) + COALESCE(b.q, 0) AS DECIMAL(20,8))")} AS quantity
-FROM holdings0 h FULL OUTER JOIN
-     (SELECT tenant_id, user_id, asset_type, SUM(quantity) AS q FROM late_buys GROUP BY 1, 2, 3) b
-  ON h.tenant_id = b.tenant_id AND h.user_id = b.user_id AND h.asset_type = b.asset_type"""))
+, n AS (SELECT COALESCE(h.tenant_id, b.tenant_id) AS tenant_id, COALESCE(h.user_id, b.user_id) AS user_id,
+               COALESCE(h.asset_type, b.asset_type) AS asset_type,
+               CAST(COALESCE(h.quantity, 0) + COALESCE(b.q, 0) AS DECIMAL(20,8)) AS quantity,
+               COALESCE(h.current_price, b.price) AS current_price, COALESCE(h.created_at, b.t) AS created_at
+        FROM holdings0 h FULL OUTER JOIN {LATE_SUM.format("late_buys")} b
+          ON h.tenant_id = b.tenant_id AND h.user_id = b.user_id AND h.asset_type = b.asset_type)
+SELECT tenant_id, user_id, asset_type, {D("quantity")} AS quantity, {D("current_price")} AS current_price,
+       {D("CAST(quantity * current_price AS DECIMAL(15,2))")} AS total_value, created_at FROM n"""))
 def _h01(fx):
     return H.add_tokens(_holdings0(fx), _late(fx, "BUY"))
 
 
 @register("remove_tokens", "H-02", W(["holdings0", "late_sells"], f"""
 SELECT h.tenant_id, h.user_id, h.asset_type,
-       {D("CAST(h.quantity - COALESCE(s.q, 0) AS DECIMAL(20,8))")} AS quantity
+       {D("CAST(h.quantity - COALESCE(s.q, 0) AS DECIMAL(20,8))")} AS quantity,
+       {D("h.current_price")} AS current_price,
+       {D("CAST(CAST(h.quantity - COALESCE(s.q, 0) AS DECIMAL(20,8)) * h.current_price AS DECIMAL(15,2))")} AS total_value,
+       h.created_at
 FROM holdings0 h LEFT JOIN
      (SELECT tenant_id, user_id, asset_type, SUM(quantity) AS q FROM late_sells GROUP BY 1, 2, 3) s
   ON h.tenant_id = s.tenant_id AND h.user_id = s.user_id AND h.asset_type = s.asset_type
@@ -389,15 +433,14 @@ def _h07(fx):
   SELECT COALESCE(h.tenant_id, b.tenant_id) AS tenant_id, COALESCE(h.user_id, b.user_id) AS user_id,
          COALESCE(h.asset_type, b.asset_type) AS asset_type,
          CAST(COALESCE(h.quantity, 0) + COALESCE(b.q, 0) AS DECIMAL(20,8)) AS quantity
-  FROM holdings0 h FULL OUTER JOIN
-       (SELECT tenant_id, user_id, asset_type, SUM(quantity) AS q FROM late_buys GROUP BY 1, 2, 3) b
+  FROM holdings0 h FULL OUTER JOIN {LATE_SUM.format("late_buys")} b
     ON h.tenant_id = b.tenant_id AND h.user_id = b.user_id AND h.asset_type = b.asset_type)
 SELECT n.tenant_id, n.user_id, n.asset_type, {D("n.quantity")} AS quantity,
-       CASE WHEN o.updated_at IS NOT NULL AND n.quantity IS NOT DISTINCT FROM o.quantity THEN o.updated_at
+       CASE WHEN o.created_at IS NOT NULL AND n.quantity IS NOT DISTINCT FROM o.quantity THEN o.created_at
             ELSE TIMESTAMP '{TOUCH_AS_OF}' END AS updated_at
 FROM n LEFT JOIN holdings0 o
   ON n.tenant_id = o.tenant_id AND n.user_id = o.user_id AND n.asset_type = o.asset_type"""))
 def _h08(fx):
-    old = _holdings0(fx)
-    new = H.add_tokens(old, _late(fx, "BUY"))
+    old = _holdings0(fx).withColumnRenamed("created_at", "updated_at")  # untouched since it was opened
+    new = H.add_tokens(_holdings0(fx), _late(fx, "BUY")).select(*TX_KEY, "quantity")
     return H.touch_updated_at(old, new, TOUCH_AS_OF)

@@ -52,6 +52,23 @@ ORDER_STATUS = {"F": "completed", "O": "pending", "P": "processing"}
 TIERS = {0: "lite", 1: "pro", 2: "startup", 3: "growth", 4: "enterprise"}
 
 
+# Broken rows: table -> (key, {column: (every n-th key, the broken value)}). The
+# values read the same in Spark SQL and in the oracle's SQL.
+FAULTS = {
+    "tenants": ("tenant_id", {"tier": (11, "'basic'"), "status": (13, "'closed'"), "company_name": (7, "NULL"),
+                              "organization_id": (9, "concat(organization_id, repeat('x', 60))")}),
+    "users": ("user_id", {"kyc_level": (41, "7"), "role": (43, "'owner'"), "kyc_status": (47, "'unknown'"),
+                          "email": (37, "NULL"), "first_name": (31, "concat(first_name, repeat('x', 100))")}),
+    "tx": ("order_id", {"status": (53, "'lost'"), "quantity": (73, "NULL"), "total_value": (79, "total_value + 1"),
+                        "user_id": (83, "-user_id")}),
+    "kyc_records": ("record_id", {"verification_status": (59, "'approved'")}),
+    "vault_inventory": ("lot_order_id", {"status": (61, "'melted'"), "purity": (29, "NULL")}),
+    "aml_alerts": ("id", {"status": (67, "'closed'")}),
+    "payments": ("order_id", {"status": (71, "'bounced'"), "amount": (97, "NULL")}),
+    "notification_templates": ("tenant_id", {"template_type": (5, "'fax'"), "template_code": (12, "NULL")}),
+}
+
+
 class Fixtures:
     """Lazy logical tables over one fixture directory."""
 
@@ -352,6 +369,15 @@ class Fixtures:
             F.col("o_orderdate").alias("created_at"),
         )
 
+    # ------------------------------------------------------- rows that break rules
+    def faulty(self, name: str) -> DataFrame:
+        """A logical table in which every so-many-th row breaks a rule of the
+        quality checks, by a rule on its key (FAULTS)."""
+        df = getattr(self, name)
+        key, faults = FAULTS[name]
+        return df.withColumns({c: F.when(F.pmod(F.col(key), F.lit(n)) == 0, F.expr(bad)).otherwise(F.col(c))
+                               .cast(df.schema[c].dataType) for c, (n, bad) in faults.items()})
+
     # --------------------------------------------------------------- dimensions
     def dims(self) -> dict[str, DataFrame]:
         return dims.seed_dims(self.spark)

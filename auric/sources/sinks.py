@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .schemas import TABLES
+
 # S-03: per-tenant payment method row (the seeded UPI method).
 UPI_METHOD_ROW = {
     "code": ("UPI", T.StringType()),
@@ -21,12 +23,24 @@ UPI_METHOD_ROW = {
 
 
 # --------------------------------------------------------------------- S-01
-def scan_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Typed scan: the schema is given, never inferred; filters and column
-    pruning reach the parquet reader."""
+def scan_table(spark: SparkSession, path: str, table: str | T.StructType) -> DataFrame:
+    """Typed scan of a stored table, by its name in :data:`schemas.TABLES` or
+    by a schema: never inferred; filters and column pruning reach the parquet
+    reader."""
+    schema = TABLES[table].schema if isinstance(table, str) else table
     return spark.read.schema(schema).parquet(path)
 
 
+def conform(df: DataFrame, table: str) -> DataFrame:
+    """``df`` with the columns and types of a stored table, in order. Columns
+    it lacks are NULL; a text that is no value of its column's type is NULL
+    rather than the end of the job (``try_cast``)."""
+    return df.select(*[
+        (F.col(f.name) if df.schema[f.name].dataType == f.dataType else F.col(f.name).try_cast(f.dataType)).alias(f.name)
+        if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name)
+        for f in TABLES[table].schema])
+
+
 def scan_jdbc(spark: SparkSession, url: str, table: str, schema_ddl: str | None = None,
               partition_column: str | None = None, lower: int | None = None, upper: int | None = None,
               num_partitions: int = 64, properties: dict | None = None) -> DataFrame:
@@ -54,34 +68,47 @@ def insert_from_query(source: DataFrame, const_cols: dict) -> DataFrame:
 
 
 # --------------------------------------------------------------------- S-04
-def append_ledger(orders: DataFrame, path: str) -> None:
-    """Append new pending transactions, laid out by tenant."""
-    (orders.withColumn("status", F.coalesce(F.col("status"), F.lit("pending")))
-     .write.mode("append").partitionBy("tenant_id").parquet(path))
+def append_ledger(orders: DataFrame, path: str, batch_id: int | str, files: int = 1) -> None:
+    """Add a batch of new transactions, all pending, as folders
+    ``batch_id=…/tenant_id=…``. A repeated batch replaces its own folder, so a
+    retry leaves the same rows. Rows go to ``files`` tasks by range of (tenant,
+    time): a task writes a file per tenant it holds, about files + tenants in
+    all, and a dominant tenant is spread over several."""
+    (orders.withColumn("status", F.lit("pending"))
+     .repartitionByRange(files, "tenant_id", "created_at")
+     .write.mode("overwrite").option("partitionOverwriteMode", "static")
+     .partitionBy("tenant_id").parquet(f"{path.rstrip('/')}/batch_id={batch_id}"))
 
 
 # --------------------------------------------------------------------- S-05
-def tenant_layout(df: DataFrame, path: str, sort_cols=("created_at",), month_col: str | None = None) -> None:
+def tenant_layout(df: DataFrame, path: str, sort_cols=("created_at",), month_col: str | None = None,
+                  files: int = 200, max_records: int = 5_000_000) -> None:
     """One directory per tenant (the reference's per-tenant tables, done as
     partitions): a tenant filter on read becomes partition pruning, and rows
     sorted by time within files give tight min/max statistics.
 
     With ``month_col`` (e.g. ``"created_at"``) the layout is tenant × month,
     the time partitioning the platform claims for its transactions. A filter
-    on ``month`` then prunes whole months as well."""
+    on ``month`` then prunes whole months as well.
+
+    Rows go to ``files`` tasks by range of (tenant, month, sort columns), so a
+    dominant tenant is cut into several files instead of being one task, and
+    small tenants share a task."""
     parts = ["tenant_id"]
     if month_col is not None:
         df = df.withColumn("month", F.date_format(F.col(month_col), "yyyy-MM"))
         parts.append("month")
-    (df.repartition(*parts).sortWithinPartitions(*parts, *sort_cols)
-     .write.mode("overwrite").partitionBy(*parts).parquet(path))
+    (df.repartitionByRange(files, *parts, *sort_cols).sortWithinPartitions(*parts, *sort_cols)
+     .write.mode("overwrite").option("partitionOverwriteMode", "static")
+     .option("maxRecordsPerFile", max_records).partitionBy(*parts).parquet(path))
 
 
 # --------------------------------------------------------------------- S-06
 def report_export(report: DataFrame, path: str, fmt: str = "json", period_col: str | None = None) -> None:
-    """Write a compiled report per tenant (and period): JSON lines or CSV."""
+    """Write a compiled report per tenant (and period): JSON lines or CSV. The
+    folder then holds this report only, whatever the session's overwrite mode."""
     parts = ["tenant_id"] + ([period_col] if period_col else [])
-    w = report.write.mode("overwrite").partitionBy(*parts)
+    w = report.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(*parts)
     if fmt == "csv":
         w.option("header", True).csv(path)
     elif fmt == "json":
@@ -95,10 +122,5 @@ def write_daily_metrics(metrics: DataFrame, path: str) -> None:
     """Persist A-09 by day with dynamic partition overwrite. Recomputing a
     window of days (for example the last few, after late trades) replaces only
     those day partitions, and the table keeps one row per (tenant, day)."""
-    spark = metrics.sparkSession
-    prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        metrics.write.mode("overwrite").partitionBy("metric_date").parquet(path)
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
+    (metrics.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("metric_date").parquet(path))
