@@ -47,6 +47,15 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_stage(table: DataFrame) -> None:
+    """Remove the files of a staged table that nothing reads any more."""
+    spark = table.sparkSession
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+
+
 def text_of(col: str = "text") -> Column:
     """The text as string; null counts as empty."""
     return F.coalesce(F.col(col).cast("string"), F.lit(""))

@@ -38,7 +38,6 @@ own; an empty table gives an empty result; other columns are not read.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -104,16 +103,29 @@ def word_hash(word: bytes) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def count_words(texts: list[bytes], training: list[bool]) -> Counter:
-    """Distinct words (and end) of the texts with their counts in training texts."""
-    seen: Counter = Counter()
-    known: Counter = Counter()
-    for t, train in zip(texts, training):
-        (known if train else seen).update(t.split())
-    known[b""] = sum(training)
-    for w in seen:
-        known.setdefault(w, 0)
-    return known
+class _Index(dict):
+    """Numbers words in the order they are first met."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+def word_numbers(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Distinct words (and the end), the number of every token of the texts,
+    and the number of tokens in each text."""
+    index, parts, sizes = _Index(), [], np.zeros(len(texts), np.int64)
+    for i, t in enumerate(texts):
+        words = t.split()
+        words.append(b"")
+        sizes[i] = len(words)
+        parts.append(np.fromiter(map(index.__getitem__, words), np.int64, len(words)))
+    return list(index), np.concatenate(parts), sizes
+
+
+def word_counts(numbers: np.ndarray, sizes: np.ndarray, training: list[bool], n: int) -> np.ndarray:
+    """How often training texts have each word."""
+    return np.bincount(numbers[np.repeat(np.array(training), sizes)], minlength=n)
 
 
 class Table:
@@ -215,7 +227,7 @@ def tree(grams: DataFrame, depth: int) -> DataFrame:
 
 
 def ctw_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 3,
-               block_bytes: int = 1 << 24) -> DataFrame:
+               block_bytes: int = 1 << 23) -> DataFrame:
     """One row per input row: id, held_out, n_tokens, n_known, train_tokens,
     base_score, score, n_bytes, bits_per_byte (of bytes and end)."""
     spark = docs.sparkSession
@@ -231,12 +243,13 @@ def ctw_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         texts = [to_bytes(x.as_py()).lower() for x in t.column("text")]
         training = [not h for h in t.column("held").to_pylist()]
         grams, n = count_strings(texts, training, depth)
-        words = count_words(texts, training)
+        words, numbers, sizes = word_numbers(texts)
+        counts = word_counts(numbers, sizes, training, len(words))
         key = np.concatenate((grams.view(np.int64), np.fromiter(map(word_hash, words), np.int64, len(words))))
         return pa.table({
             "block": pa.array(np.full(len(key), t.column("block")[0].as_py()), pa.int32()),
             "kind": pa.array(np.repeat([GRAM, WORD], [len(grams), len(words)]), pa.int32()),
-            "key": pa.array(key), "n": pa.array(np.concatenate((n, np.fromiter(words.values(), np.int64, len(words)))))})
+            "key": pa.array(key), "n": pa.array(np.concatenate((n, counts)))})
 
     seen = stage(rows.groupBy("block").applyInArrow(count, "block int, kind int, key long, n long"), "ctw-counts")
     totals = stage(seen.groupBy("kind", "key").agg(F.sum("n").alias("c"), F.count(F.lit(1)).alias("blocks")),
@@ -260,22 +273,17 @@ def ctw_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             strings, sizes = symbols([texts[i] for i in part], depth)
             total[part] = np.add.reduceat(grams.get(strings), np.concatenate(([0], np.cumsum(sizes)[:-1])))
         shared = dict(zip(key[kind == WORD].tolist(), value[kind == WORD].tolist()))
-        counts = count_words(texts, [not h for h in held])
-        for w, n in counts.items():
-            counts[w] = shared.get(word_hash(w), n)
-        logs = {w: math.log10(n + 1) - under for w, n in counts.items()}
-        n_tokens, n_known, base = [], [], []
-        for x in texts:
-            tokens = x.split()
-            tokens.append(b"")
-            n_tokens.append(len(tokens))
-            n_known.append(sum(counts[w] > 0 for w in tokens))
-            base.append(math.fsum(logs[w] for w in tokens))
+        words, numbers, n_tokens = word_numbers(texts)
+        own = word_counts(numbers, n_tokens, [not h for h in held], len(words)).tolist()
+        counts = np.array([shared.get(word_hash(w), n) for w, n in zip(words, own)])
+        first = np.cumsum(n_tokens) - n_tokens
+        n_known = np.add.reduceat((counts > 0)[numbers].astype(np.int64), first)
+        base = np.add.reduceat((np.log10(counts + 1) - under)[numbers], first)
         n_bytes = np.array([len(x) for x in texts], np.int64)
         return pa.table({
-            "id": t.column("id"), "held_out": t.column("held"), "n_tokens": pa.array(n_tokens, pa.int64()),
-            "n_known": pa.array(n_known, pa.int64()), "train_tokens": pa.array(np.full(len(texts), n_train), pa.int64()),
-            "base_score": pa.array(base, pa.float64()), "score": pa.array(total), "n_bytes": pa.array(n_bytes),
+            "id": t.column("id"), "held_out": t.column("held"), "n_tokens": pa.array(n_tokens),
+            "n_known": pa.array(n_known), "train_tokens": pa.array(np.full(len(texts), n_train), pa.int64()),
+            "base_score": pa.array(base), "score": pa.array(total), "n_bytes": pa.array(n_bytes),
             "bits_per_byte": pa.array(-total * math.log2(10) / (n_bytes + 1))})
 
     out = rows.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(

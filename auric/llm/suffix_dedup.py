@@ -38,8 +38,8 @@ Defined results: null text is empty; rows that repeat an id (and so its text)
 are one document for the order, neither being earlier, and each is reported;
 rows without an id are documents of their own before all others, in the order
 of their text's hash; texts shorter than the threshold keep every byte; an
-empty table gives an empty result; other columns are not read. A text is
-handled in blocks of ``BLOCK`` bytes, in memory linear in its length.
+empty table gives an empty result; other columns are not read. Texts are
+handled in blocks of ``BLOCK`` bytes, in memory linear in their length.
 """
 
 from __future__ import annotations
@@ -52,18 +52,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kind_of, map_batches, stage, text_of, to_bytes
+from .common import drop_stage, kind_of, map_batches, stage, text_of, to_bytes
 
-BLOCK = 1 << 18  # window starts handled at a time
+BLOCK = 1 << 16  # bytes handled at a time: short texts together, long ones in parts
 U = np.uint64
 
 
 def pair(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Name of two strings side by side, from their names."""
-    x = left * U(0x9E3779B97F4A7C15) + right * U(0xD6E8FEB86659FD93)
+    x = left * U(0x9E3779B97F4A7C15)
+    x += right * U(0xD6E8FEB86659FD93)
     x ^= x >> U(32)
-    x *= U(0xFF51AFD7ED558CCD)
-    x ^= x >> U(29)
     return x
 
 
@@ -106,19 +105,47 @@ class Shape:
         self.half = (threshold - core + 1) // 2  # a window has this much on one side of its core
 
 
-def blocks(data: np.ndarray, s: Shape) -> Iterator[tuple[int, np.ndarray]]:
-    """Parts of a text that hold each window start once."""
-    for at in range(0, max(0, len(data) - s.threshold + 1), BLOCK):
-        yield at, data[at:at + BLOCK + s.threshold - 1]
-
-
-def anchors(names: Names, n: int, s: Shape) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Anchors of a block of n bytes: their place and the first and last window start that chose them."""
-    core = names.of(np.arange(n - s.core + 1), s.core)
+class Block:
+    """Texts, or parts of texts, end to end. ``part`` lists where each begins
+    here, the text it is of and its place there; windows across two are left out."""
+
+    def __init__(self, parts: list[tuple[int, int, np.ndarray]], s: Shape):
+        self.data = np.concatenate([d for _, _, d in parts])
+        size = np.array([len(d) for _, _, d in parts])
+        self.begin = np.cumsum(size) - size
+        self.owner = np.array([i for i, _, _ in parts])
+        self.at = np.array([a for _, a, _ in parts])
+        edge = np.zeros(len(self.data) + 1, np.int8)
+        edge[self.begin] += 1
+        edge[self.begin + size - s.threshold + 1] -= 1
+        self.starts = np.flatnonzero(np.cumsum(edge[:-1]))
+        self.names = Names(self.data, s.threshold)
+
+    def part_of(self, place: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.begin, place, "right") - 1
+
+
+def blocks(texts: list[np.ndarray], s: Shape) -> Iterator[Block]:
+    """Blocks that hold each window start of each text once, in order."""
+    held, size = [], 0
+    for i, data in enumerate(texts):
+        for at in range(0, len(data) - s.threshold + 1, BLOCK):
+            held.append((i, at, data[at:at + BLOCK + s.threshold - 1]))
+            size += len(held[-1][2])
+            if size >= BLOCK:
+                yield Block(held, s)
+                held, size = [], 0
+    if held:
+        yield Block(held, s)
+
+
+def anchors(b: Block, s: Shape) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Anchors of a block: their place and the first and last window start that chose them."""
+    core = b.names.of(np.arange(len(b.data) - s.core + 1), s.core)
     key = (core & U(0xFFFFFFFF00000000)) | np.arange(len(core), dtype=U)
-    chosen = (_least(key, s.width) & U(0xFFFFFFFF)).astype(np.int64)
-    first = np.flatnonzero(np.concatenate(([True], chosen[1:] != chosen[:-1])))
-    return chosen[first], first, np.append(first[1:], len(chosen)) - 1
+    chosen = (_least(key, s.width) & U(0xFFFFFFFF)).astype(np.int64)[b.starts]
+    new = np.flatnonzero(np.concatenate(([True], (chosen[1:] != chosen[:-1]) | (np.diff(b.starts) != 1))))
+    return chosen[new], b.starts[new], b.starts[np.append(new[1:], len(chosen)) - 1]
 
 
 def reach_names(names: Names, place: np.ndarray, first: np.ndarray, last: np.ndarray, s: Shape) -> np.ndarray:
@@ -130,39 +157,36 @@ def reach_names(names: Names, place: np.ndarray, first: np.ndarray, last: np.nda
     return pair(x, ((place - first).astype(U) << U(32)) | (last - first).astype(U))
 
 
+def _texts(column: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(to_bytes(t.as_py()), np.uint8) for t in column]
+
+
 def find_anchors(docs: DataFrame, s: Shape) -> DataFrame:
-    """(id, text) -> id, core, reach, place, first, last, again. ``again`` marks a
-    reach that occurs earlier in the same document."""
+    """(id, text) -> id, core, reach, first, before, span, again: the anchor's
+    first window starts at ``first``, its place is ``before`` bytes on, its last
+    window ``span`` on. ``again`` marks a reach that occurs earlier in the document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            owner, cols = [], [[] for _ in range(6)]
-            for i, t in enumerate(b.column(1)):
-                data = np.frombuffer(to_bytes(t.as_py()), np.uint8)
-                parts = []
-                for at, part in blocks(data, s):
-                    names = Names(part, s.threshold)
-                    place, first, last = anchors(names, len(part), s)
-                    parts.append((names.of(place, s.core), reach_names(names, place, first, last, s),
-                                  place + at, first + at, last + at))
-                if parts:
-                    got = [np.concatenate(p) for p in zip(*parts)]
-                    _, new = np.unique(got[0] ^ (got[1] * U(3)), return_index=True)
-                    again = np.ones(len(got[0]), bool)
-                    again[new] = False
-                    owner.append(np.full(len(again), i))
-                    for c, x in zip(cols, (*got, again)):
-                        c.append(x)
-            if not owner:
+        for batch in batches:
+            got = []
+            for b in blocks(_texts(batch.column("text")), s):
+                place, first, last = anchors(b, s)
+                part = b.part_of(first)
+                got.append((b.owner[part], b.names.of(place, s.core), reach_names(b.names, place, first, last, s),
+                            first - b.begin[part] + b.at[part], place - first, last - first))
+            if not got:
                 continue
-            flat = [np.concatenate(c) for c in cols]
+            owner, core, reach, first, before, span = (np.concatenate(c) for c in zip(*got))
+            again = np.ones(len(owner), bool)
+            again[np.unique(pair(pair(core, reach), owner.astype(U)), return_index=True)[1]] = False
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(pa.array(np.concatenate(owner))), pa.array(flat[0].view(np.int64)),
-                 pa.array(flat[1].view(np.int64)), *[pa.array(c) for c in flat[2:5]], pa.array(flat[5])],
-                ["id", "core", "reach", "place", "first", "last", "again"])
+                [batch.column("id").take(pa.array(owner)), pa.array(core.view(np.int64)),
+                 pa.array(reach.view(np.int64)), pa.array(first), pa.array(before.astype(np.int16)),
+                 pa.array(span.astype(np.int16)), pa.array(again)],
+                ["id", "core", "reach", "first", "before", "span", "again"])
 
-    return map_batches(docs, run, f"id {kind_of(docs, 'id')}, core long, reach long, place long, "
-                                  "first long, last long, again boolean")
+    return map_batches(docs, run, f"id {kind_of(docs, 'id')}, core long, reach long, first long, before short, "
+                                  "span short, again boolean")
 
 
 def find_sides(docs: DataFrame, edges: DataFrame, s: Shape) -> DataFrame:
@@ -170,33 +194,44 @@ def find_sides(docs: DataFrame, edges: DataFrame, s: Shape) -> DataFrame:
     windows: id, core, side name, and the names of its windows by start."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows: list[tuple] = []
-            for i, (t, marks) in enumerate(zip(b.column("text"), b.column("edges"))):
-                data = np.frombuffer(to_bytes(t.as_py()), np.uint8)
-                m = marks.values
-                place, first, last = (m.field(k).to_numpy() for k in ("place", "first", "last"))
-                for at, part in blocks(data, s):
-                    here = np.flatnonzero((first >= at) & (first < at + BLOCK))
-                    if not len(here):
+        for batch in batches:
+            marks = batch.column("edges")
+            owner = np.repeat(np.arange(batch.num_rows), marks.value_lengths().to_numpy(zero_copy_only=False))
+            m = marks.flatten()
+            mark = [m.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("first", "before", "span")]
+            order = np.lexsort((mark[0], owner))
+            owner, (first, before, span) = owner[order], (x[order] for x in mark)
+            for b in blocks(_texts(batch.column("text")), s):
+                # The marks of this block: by text and, in a long one, by place.
+                lo = np.searchsorted(owner, b.owner[0]) if len(b.owner) else 0
+                hi = np.searchsorted(owner, b.owner[-1], "right")
+                part = np.searchsorted(b.owner, owner[lo:hi])
+                begin = first[lo:hi] - b.at[part] + b.begin[part]
+                here = np.flatnonzero((first[lo:hi] >= b.at[part]) & (first[lo:hi] < b.at[part] + BLOCK)
+                                      & (b.owner[part] == owner[lo:hi]))
+                if not len(here):
+                    continue
+                f = begin[here]
+                p, z = f + before[lo:hi][here], f + span[lo:hi][here]
+                mid = p - s.half  # windows that start here or before have their half on the left
+                both = [(0, f, np.minimum(z, mid), p - s.half), (1, np.maximum(f, mid + 1), z, p)]
+                for side, low, high, left in both:
+                    k = np.flatnonzero(low <= high)
+                    if not len(k):
                         continue
-                    names = Names(part, s.threshold)
-                    for k in here.tolist():
-                        p, f, z = place[k] - at, first[k] - at, last[k] - at
-                        core = names.of(np.array([p]), s.core)[0]
-                        mid = p - s.half  # windows that start here or before have their half on the left
-                        for side, lo, hi, left in ((0, f, min(z, mid), p - s.half), (1, max(f, mid + 1), z, p)):
-                            if lo <= hi:
-                                w = np.arange(lo, hi + 1)
-                                name = names.of(np.array([left]), s.core + s.half)[0] ^ U(side)
-                                rows.append((i, int(core.view(np.int64)), int(name.view(np.int64)), int(lo + at),
-                                             pair(names.of(w, s.threshold), (p - w).astype(U)).view(np.int64)))
-            if rows:
-                owner, core, side, start, windows = zip(*rows)
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("id").take(pa.array(owner)), pa.array(core, pa.int64()), pa.array(side, pa.int64()),
-                     pa.array(start, pa.int64()), pa.array(windows, pa.list_(pa.int64()))],
-                    ["id", "core", "side", "start", "windows"])
+                    n = high[k] - low[k] + 1
+                    ends = np.cumsum(n)
+                    w = np.repeat(low[k] - (ends - n), n) + np.arange(ends[-1])
+                    windows = pair(b.names.of(w, s.threshold), (np.repeat(p[k], n) - w).astype(U))
+                    name = b.names.of(left[k], s.core + s.half) ^ U(side)
+                    core = b.names.of(p[k], s.core)
+                    start = first[lo:hi][here][k] + (low[k] - f[k])
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column("id").take(pa.array(owner[lo:hi][here][k])), pa.array(core.view(np.int64)),
+                         pa.array(name.view(np.int64)), pa.array(start),
+                         pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)),
+                                                  pa.array(windows.view(np.int64)))],
+                        ["id", "core", "side", "start", "windows"])
 
     marked = docs.join(edges, docs.id == edges.of).select("id", "text", "edges")
     return map_batches(marked, run, f"id {kind_of(docs, 'id')}, core long, side long, start long, "
@@ -220,7 +255,7 @@ def cut(data: bytes, spans: list[tuple[int, int]]) -> tuple[list[tuple[int, int]
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 100,
-                 core: int = 32) -> DataFrame:
+                 core: int = 40) -> DataFrame:
     """One row per input row: id, n_bytes, n_removed, n_spans, spans (removed
     runs as (start, end) in bytes) and kept_sha256 (of the bytes that stay)."""
     s = Shape(threshold, core)
@@ -229,39 +264,41 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     named = docs.select(F.col(id_col).alias("out_id"), F.coalesce(F.col(id_col).cast("long"), nameless).alias("id"),
                         text_of(text_col).alias("text"))
     texts = named.select("id", "text")
-    order = F.col("id")
+    span = [F.col("first").alias("start"), (F.col("first") + F.col("span") + threshold).alias("end")]
     found = stage(find_anchors(texts, s), "suffix-anchors")
-    fresh = found.where("NOT again")
+    fresh = found.where("NOT again").drop("again")
+    repeats = stage(found.where("again").select("id", *span), "suffix-again")
 
     cores = fresh.groupBy("core").agg(
         F.count(F.lit(1)).alias("n"), F.min("reach").alias("low"), F.max("reach").alias("high"),
-        F.min(order).alias("first_id"))
+        F.min("id").alias("first_id"))
     cores = stage(cores.where("n > 1").select(
         "core", "first_id", (F.col("low") != F.col("high")).alias("several")), "suffix-cores")
-    shared = stage(fresh.join(cores, "core"), "suffix-shared")
-    one = shared.where("NOT several")
-    several = shared.where("several")
-    reaches = several.groupBy("core", "reach").agg(F.min(order).alias("reach_id"))
-    placed = stage(several.join(stage(reaches, "suffix-reaches"), ["core", "reach"]).withColumn(
-        "later", order > F.col("reach_id")), "suffix-placed")
-    span = [F.col("first").alias("start"), (F.col("last") + threshold).alias("end")]
-    repeats = (found.where("again").select("id", *span)
-               .union(one.where(order > F.col("first_id")).select("id", *span))
-               .union(placed.where("later").select("id", *span)))
+    shared = stage(fresh.join(cores.hint("shuffle_hash"), "core"), "suffix-shared")
+    drop_stage(found)
+    drop_stage(cores)
+    repeats = repeats.union(shared.where("NOT several AND id > first_id").select("id", *span))
+    several = shared.where("several").drop("several", "first_id")
+    reaches = stage(several.groupBy("core", "reach").agg(F.min("id").alias("first_id")), "suffix-reaches")
+    placed = stage(several.join(reaches.hint("shuffle_hash"), ["core", "reach"]).select(
+        "id", "first", "before", "span", (F.col("id") > F.col("first_id")).alias("later")), "suffix-placed")
+    repeats = repeats.union(placed.where("later").select("id", *span))
 
     edges = (placed.where("NOT later").groupBy("id")
-             .agg(F.collect_list(F.struct("place", "first", "last")).alias("edges")).withColumnRenamed("id", "of"))
+             .agg(F.collect_list(F.struct("first", "before", "span")).alias("edges")).withColumnRenamed("id", "of"))
     sides = stage(find_sides(texts, edges, s), "suffix-sides")
     common = sides.groupBy("core", "side").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("core", "side")
-    left = sides.join(stage(common, "suffix-common"), ["core", "side"], "left_semi")
+    left = sides.join(stage(common, "suffix-common").hint("shuffle_hash"), ["core", "side"], "left_semi")
     windows = stage(left.select("id", "core", "start", F.posexplode("windows").alias("k", "window")).select(
         "id", "core", (F.col("start") + F.col("k")).alias("start"), "window"), "suffix-windows")
+    drop_stage(sides)
     firsts = windows.groupBy("core", "window").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "start")).alias("least"))
     firsts = stage(firsts.where("n > 1").drop("n"), "suffix-firsts")
-    later = windows.join(firsts, ["core", "window"]).where(
-        (order > F.col("least.id")) | ((order == F.col("least.id")) & (F.col("start") > F.col("least.start"))))
-    repeats = repeats.union(later.select("id", "start", (F.col("start") + threshold).alias("end")))
+    later = windows.join(firsts.hint("shuffle_hash"), ["core", "window"]).where(
+        F.struct("id", "start") > F.col("least")).select("id", "start", (F.col("start") + threshold).alias("end"))
+    repeats = repeats.union(stage(later, "suffix-later"))
+    drop_stage(windows)
     spans = (repeats.groupBy("id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
              .withColumnRenamed("id", "of"))
 

@@ -176,14 +176,14 @@ def test_block_edges_do_not_matter(monkeypatch):
     """Anchors of small blocks cover each window start once."""
     monkeypatch.setattr(suffix_dedup, "BLOCK", 64)
     s = suffix_dedup.Shape(20, 8)
-    data = np.frombuffer(random.Random(1).randbytes(500), np.uint8)
-    starts = []
-    for at, part in suffix_dedup.blocks(data, s):
-        place, first, last = suffix_dedup.anchors(suffix_dedup.Names(part, 20), len(part), s)
-        for p, f, z in zip(place, first, last):
+    texts = [np.frombuffer(random.Random(k).randbytes(n), np.uint8) for k, n in enumerate((500, 0, 19, 20, 64, 83, 84))]
+    starts = [[] for _ in texts]
+    for b in suffix_dedup.blocks(texts, s):
+        place, first, last = suffix_dedup.anchors(b, s)
+        for p, f, z, k in zip(place, first, last, b.part_of(first)):
             assert f <= p <= f + 12 and z <= p <= z + 12
-            starts += range(at + f, at + z + 1)
-    assert starts == list(range(500 - 19))
+            starts[b.owner[k]] += range(f - b.begin[k] + b.at[k], z - b.begin[k] + b.at[k] + 1)
+    assert starts == [list(range(len(t) - 19)) for t in texts]
 
 
 def test_cut_merges_touching_spans():
