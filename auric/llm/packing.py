@@ -57,16 +57,14 @@ def encode_units(docs: DataFrame, tokenizer_path: str, end_id: int, window: int,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer_path)
-        end = np.array([end_id], enc.dtype).tobytes()
         df = np.zeros(enc.size, np.int64)
         units = size = 0
         none = None
         for b in batches:
             none = pa.nulls(1, b.column(0).type)
-            data = [enc.encode(t.as_py()) + end for t in b.column(1)]
-            routes = []
-            for d in data:
-                ids = np.frombuffer(d, enc.dtype)
+            data, routes = [], []
+            for ids in enc.encode_all(b.column(1), end_id):
+                data.append(ids.tobytes())
                 unit = ids[len(ids) - len(ids) % window:]
                 routes.append(_route(unit if len(unit) else ids[-window:]))
                 if len(unit):

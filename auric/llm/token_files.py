@@ -99,13 +99,12 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, shard = encoder(tokenizer_path), None
-        end = np.array([end_id], enc.dtype).tobytes()
         k = TaskContext.get().partitionId()
         base = f"{folder}/part-{k:06d}"
         for b in batches:
             if shard is None:
                 shard = _Shard(base, enc.dtype, b.column(0).type, seq_len, batch_rows)
-            shard.add(b.column(0), [enc.encode(t.as_py()) + end for t in b.column(1)])
+            shard.add(b.column(0), [x.tobytes() for x in enc.encode_all(b.column(1), end_id)])
         if shard is not None:
             shard.close()
             yield pa.RecordBatch.from_pydict(

@@ -9,7 +9,12 @@ computes the ids of a piece when it is first met. The ids are those of
 
 from __future__ import annotations
 
+from array import array
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from tokenizers import Tokenizer
 
@@ -28,6 +33,9 @@ def _byte_letters() -> dict[int, str]:
 
 
 LETTERS = _byte_letters()
+SPACE = LETTERS[32]
+TEXTS = 500  # texts put in place at a time
+MARKS = frozenset(".,;:!?")  # never part of the word before them
 
 
 class _Pieces(dict):
@@ -38,19 +46,19 @@ class _Pieces(dict):
         self.owner = owner
 
     def __missing__(self, piece: str) -> bytes | None:
-        got = None if not piece or piece[-1].isspace() else self.owner.ids_of(" " + piece)
         if len(self) >= self.owner.table_rows:
             self.clear()
-        self[piece] = got
+        got = self[piece] = self.owner.piece_ids(piece)
         return got
 
 
 class Encoder:
-    def __init__(self, path: str, table_rows: int = 600_000):
+    def __init__(self, path: str, table_rows: int = 1_200_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.size = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
+        self.code = self.dtype.char
         self.table_rows = table_rows
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.pieces = _Pieces(self)
@@ -58,13 +66,28 @@ class Encoder:
         self.cuts = (self.tokenizer.normalizer is None and type(pre).__name__ == "ByteLevel"
                      and not pre.add_prefix_space and pre.use_regex)
 
+    def piece_ids(self, piece: str) -> bytes | None:
+        """Ids of a space and a piece; None where the cut after it is not safe."""
+        if piece.isalpha():
+            if piece.isascii():  # one word, its letters stand for themselves
+                return self.word_ids(SPACE + piece)
+        elif not piece or piece[-1].isspace():
+            return None
+        elif piece[-1] in MARKS and piece[:-1].isalpha() and PLAIN.fullmatch(piece):  # a word, then a mark
+            return self.pieces[piece[:-1]] + self.word_ids(piece[-1])
+        return self.ids_of(" " + piece)
+
+    def word_ids(self, word: str) -> bytes:
+        """Ids of one word in byte letters."""
+        return array(self.code, [t.id for t in self.model.tokenize(word)]).tobytes()
+
     def ids_of(self, chunk: str) -> bytes:
         """Ids of a chunk that starts and ends at cuts."""
         if PLAIN.fullmatch(chunk):
             words = [w.encode().decode("latin-1").translate(LETTERS) for w in PATTERN.findall(chunk)]
         else:
             words = [w for w, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(chunk)]
-        return np.array([t.id for w in words for t in self.model.tokenize(w)], self.dtype).tobytes()
+        return b"".join(map(self.word_ids, words))
 
     def encode(self, text: str | None) -> bytes:
         """Ids of a whole text (null: empty) as little-endian bytes of ``dtype``."""
@@ -87,6 +110,45 @@ class Encoder:
                 chunk = " " + piece
         return b"".join(out) + self.ids_of(chunk)
 
+    def encode_all(self, texts: pa.Array, end_id: int) -> Iterator[np.ndarray]:
+        """Ids of every text and an end id, in order. The pieces of all texts are
+        first reduced to distinct ones, so a piece is looked up once per batch and
+        put in place by array indexing."""
+        parts = pc.split_pattern(texts, " ")
+        at = parts.offsets.to_numpy().astype(np.int64)
+        coded = parts.values.dictionary_encode()
+        index = coded.indices.to_numpy().astype(np.int64)
+        entries = [self.pieces[w] for w in coded.dictionary.to_pylist()]
+        unsafe = np.array([e is None for e in entries], bool)
+        slow = np.add.reduceat(unsafe[index], at[:-1]) > 0 if len(index) else np.zeros(0, bool)
+        entries = [e or b"" for e in entries]
+        base, none = len(entries), len(entries) + len(texts)
+        for i, text in enumerate(texts):
+            # What has no space before it, or a whole text that is not safe to cut, is an entry of its own.
+            text = text.as_py()
+            if slow[i] or any(s in text for s in self.special) or not self.cuts:
+                index[at[i]:at[i + 1]] = none
+                entries.append(self.encode(text))
+            else:
+                entries.append(self.ids_of(text.split(" ", 1)[0]))
+            index[at[i]] = base + i
+        entries.append(b"")
+        size = np.fromiter(map(len, entries), np.int64, len(entries)) // self.dtype.itemsize
+        begin = np.cumsum(size) - size
+        data = np.frombuffer(b"".join(entries), self.dtype)
+        for lo in range(0, len(texts), TEXTS):
+            hi = min(len(texts), lo + TEXTS)
+            ix = index[at[lo]:at[hi]]
+            n = size[ix]
+            ends = np.cumsum(n)
+            values = data[np.repeat(begin[ix] - (ends - n), n) + np.arange(ends[-1])]
+            stop = np.append(0, ends)[at[lo + 1:hi + 1] - at[lo]] + np.arange(hi - lo)  # place of each end id
+            out = np.insert(values, stop - np.arange(hi - lo), end_id)
+            first = 0
+            for z in (stop + 1).tolist():
+                yield out[first:z]
+                first = z
+
 
 _ENCODERS: dict[str, Encoder] = {}
 

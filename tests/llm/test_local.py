@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -51,6 +52,15 @@ def test_encoder_equals_the_library(enc, texts):
     assert enc.encode(None) == b""
 
 
+def test_encoding_a_batch_equals_text_by_text(enc, texts, monkeypatch):
+    from auric.llm import tokens
+    monkeypatch.setattr(tokens, "TEXTS", 7)
+    some = [*texts.values(), *ODD]
+    got = [x.tolist() for x in enc.encode_all(pa.array(some), 9)]
+    assert got == [np.frombuffer(enc.encode(t), enc.dtype).tolist() + [9] for t in some]
+    assert list(enc.encode_all(pa.array([], pa.string()), 9)) == []
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(st.sampled_from("ab é' \n\t1.日\x85\xa0"), max_size=40))
 def test_encoder_on_random_text(t):
