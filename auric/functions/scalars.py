@@ -83,3 +83,8 @@ def render_template(text, values: dict) -> Column:
     for k, v in values.items():
         out = F.replace(out, F.lit("{{" + k + "}}"), _c(v) if not isinstance(v, str) else F.lit(v))
     return out
+
+
+def iso_text(ts: Column) -> Column:
+    """UTC time as ISO text with milliseconds, e.g. 2001-02-03T04:05:06.789Z."""
+    return F.date_format(ts.cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")

@@ -8,6 +8,10 @@ hash-partitioned by key and sorted within partitions by the total order, and
 State is one scalar per key and is carried across batch boundaries, so a key
 of any size — even a third of the table — is folded in bounded memory; no key
 is ever collected into an array, a pandas group, or the driver.
+
+The leaky bucket splits further: after a gap of (burst + 1) / rate between two
+requests the bucket is empty whatever came before, so every such gap starts a
+session that is folded on its own, and a client is spread over its sessions.
 """
 
 from __future__ import annotations
@@ -17,9 +21,11 @@ from decimal import Decimal
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 UNITS = 10 ** 8  # decimal(20,8) quantities as exact integer units
 UNIT = Decimal("0.00000001")
+WIDE = "decimal(38,0)"
 
 
 def _sorted_by_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -31,8 +37,8 @@ def _sell_gate_fold(batches):
     cur_key, bal = None, 0
     for pdf in batches:
         keys = list(zip(pdf["tenant_id"].tolist(), pdf["user_id"].tolist(), pdf["asset_type"].tolist()))
-        qs = pdf["q_units"].tolist()
-        starts = pdf["start_units"].tolist()
+        qs = list(map(int, pdf["q_units"]))  # exact whole units of any size
+        starts = list(map(int, pdf["start_units"]))
         buys = (pdf["transaction_type"] == "BUY").tolist()
         admitted, after = [], []
         for k, q, is_buy, b0 in zip(keys, qs, buys, starts):
@@ -49,7 +55,7 @@ def _sell_gate_fold(batches):
             after.append(bal)
         out = pdf.drop(columns=["q_units", "start_units"])
         out["admitted"] = admitted
-        out["bal_units"] = after
+        out["bal_units"] = list(map(Decimal, after))
         yield out
 
 
@@ -66,18 +72,18 @@ def sell_gate(tx: DataFrame, key=("tenant_id", "user_id", "asset_type"), order=N
     order = list(order or [c for c in TX_ORDER if c not in key])
     ev = tx.filter((F.col("status") == "completed") & F.col("transaction_type").isin("BUY", "SELL"))
     cols = list(dict.fromkeys([*key, *order, "transaction_type", "quantity"]))
-    ev = ev.select(*cols, (F.col("quantity") * F.lit(UNITS)).cast("bigint").alias("q_units"))
+    ev = ev.select(*cols, (F.col("quantity") * F.lit(UNITS)).cast(WIDE).alias("q_units"))
     if snapshot is not None:
-        snap = snapshot.select(*key, (F.col("balance") * F.lit(UNITS)).cast("bigint").alias("start_units"))
+        snap = snapshot.select(*key, (F.col("balance") * F.lit(UNITS)).cast(WIDE).alias("start_units"))
         ev = ev.join(snap, list(key), "left")
-        ev = ev.withColumn("start_units", F.coalesce(F.col("start_units"), F.lit(0).cast("bigint")))
+        ev = ev.withColumn("start_units", F.coalesce(F.col("start_units"), F.lit(0).cast(WIDE)))
     else:
-        ev = ev.withColumn("start_units", F.lit(0).cast("bigint"))
+        ev = ev.withColumn("start_units", F.lit(0).cast(WIDE))
     ev = ev.select(*cols, "q_units", "start_units")
     schema = (ev.drop("q_units", "start_units").schema.add("admitted", T.BooleanType())
-              .add("bal_units", T.LongType()))
+              .add("bal_units", T.DecimalType(38, 0)))
     folded = _sorted_by_key(ev, list(key), order).mapInPandas(_sell_gate_fold, schema)
-    bal = (F.col("bal_units").cast("decimal(28,0)") * F.lit(UNIT)).cast("decimal(20,8)")
+    bal = (F.col("bal_units").cast("decimal(30,0)") * F.lit(UNIT)).cast("decimal(20,8)")
     return folded.select(*cols, "admitted", bal.alias("balance"))
 
 
@@ -96,7 +102,7 @@ def _bucket_fold(rate_num: int, rate_den_us: int, burst_units: int):
     def fold(batches):
         cur, excess, last = None, 0, None
         for pdf in batches:
-            clients = pdf["client"].tolist()
+            clients = list(zip(pdf["client"].tolist(), pdf["session"].tolist()))
             ts = pdf["ts_us"].tolist()
             ex0, last0 = pdf["ex0"].tolist(), pdf["last0"].tolist()
             refused, exc_out = [], []
@@ -116,13 +122,44 @@ def _bucket_fold(rate_num: int, rate_den_us: int, burst_units: int):
                     excess, last = new, t
                     refused.append(False)
                     exc_out.append(new)
-            out = pdf.drop(columns=["ts_us", "ex0", "last0"])
+            out = pdf.drop(columns=["ts_us", "session", "ex0", "last0"])
             out["refused"] = refused
             out["excess_scaled"] = exc_out
             yield out
     return fold
 
 
+def _fraction(rate) -> tuple[int, int]:
+    return (int(rate[0]), int(rate[1])) if isinstance(rate, tuple) else Decimal(str(rate)).as_integer_ratio()
+
+
+def idle_us(rate, burst: int) -> int:
+    """Microseconds without a request after which a bucket is empty for certain."""
+    a, b = _fraction(rate)
+    return -(-(int(burst) + 1) * b * 1_000_000 // a)
+
+
+def _sessions(ev: DataFrame, order, gap_us: int) -> DataFrame:
+    """Number each client's sessions from 0: a gap of ``gap_us`` or more to the
+    request before starts a new one. Gaps and counts are taken per (client,
+    day), with the last time and the number of sessions of earlier days carried
+    in from a row per day, so a busy client is not one window."""
+    ev = ev.withColumn("day", F.to_date(F.col(order[0])))
+    day = Window.partitionBy("client", "day").orderBy(*order)
+    days = ev.groupBy("client", "day").agg(F.max("ts_us").alias("last"))
+    before = Window.partitionBy("client").orderBy("day")
+    days = days.select("client", "day", F.lag("last").over(before).alias("carry"))
+    ev = ev.join(days, ["client", "day"])
+    gap = F.col("ts_us") - F.coalesce(F.lag("ts_us").over(day), F.col("carry"))
+    ev = ev.withColumn("new", F.coalesce((gap >= gap_us).cast("long"), F.lit(0).cast("long"))).drop("carry")
+    ev = ev.withColumn("in_day", F.sum("new").over(day.rowsBetween(Window.unboundedPreceding, 0)))
+    per = ev.groupBy("client", "day").agg(F.sum("new").alias("n"))
+    per = per.select("client", "day", F.coalesce(F.sum("n").over(before.rowsBetween(Window.unboundedPreceding, -1)),
+                                                 F.lit(0).cast("long")).alias("earlier"))
+    ev = ev.join(per, ["client", "day"])
+    return ev.withColumn("session", F.col("earlier") + F.col("in_day")).drop("day", "new", "in_day", "earlier")
+
+
 def leaky_bucket(requests: DataFrame, rate, burst: int,
                  client_col: str = "client", order=("ts", "event_id"),
                  snapshot: DataFrame | None = None) -> DataFrame:
@@ -137,25 +174,26 @@ def leaky_bucket(requests: DataFrame, rate, burst: int,
     ``snapshot`` (client, excess_scaled, last_us), e.g. from
     :func:`bucket_state`, starts each client from its stored state so that
     ``requests`` need only hold the newer rows (snapshot + delta)."""
-    if isinstance(rate, tuple):
-        a, b = int(rate[0]), int(rate[1])
-    else:
-        a, b = Decimal(str(rate)).as_integer_ratio()
+    a, b = _fraction(rate)
     rate_num, rate_den_us = a, b * 1_000_000  # requests per microsecond = num / den
     burst_units = int(burst) * rate_den_us
     ev = requests.select(F.col(client_col).alias("client"), *[c for c in order],
                          F.unix_micros(F.col(order[0]).cast("timestamp")).alias("ts_us"))
+    ev = _sessions(ev, order, idle_us(rate, burst))
     if snapshot is not None:
         ev = ev.join(snapshot.select("client", F.col("excess_scaled").alias("ex0"),
                                      F.col("last_us").alias("last0")), "client", "left")
-        # keep the columns integral in Arrow/pandas: -1 marks "no stored state"
-        ev = (ev.withColumn("ex0", F.coalesce(F.col("ex0"), F.lit(-1).cast("long")))
-                .withColumn("last0", F.coalesce(F.col("last0"), F.lit(-1).cast("long"))))
+        # keep the columns integral in Arrow/pandas: -1 marks "no stored state"; only
+        # a client's first session goes on from the stored one
+        on = F.col("session") == 0
+        ev = (ev.withColumn("ex0", F.when(on & F.col("ex0").isNotNull(), F.col("ex0")).otherwise(F.lit(-1).cast("long")))
+                .withColumn("last0", F.when(on & F.col("last0").isNotNull(), F.col("last0"))
+                            .otherwise(F.lit(-1).cast("long"))))
     else:
         ev = ev.withColumn("ex0", F.lit(-1).cast("long")).withColumn("last0", F.lit(-1).cast("long"))
-    schema = ev.drop("ts_us", "ex0", "last0").schema.add("refused", T.BooleanType()).add(
+    schema = ev.drop("ts_us", "session", "ex0", "last0").schema.add("refused", T.BooleanType()).add(
         "excess_scaled", T.LongType())
-    folded = _sorted_by_key(ev, ["client"], list(order)).mapInPandas(
+    folded = _sorted_by_key(ev, ["client", "session"], list(order)).mapInPandas(
         _bucket_fold(rate_num, rate_den_us, burst_units), schema)
     # excess in requests, rounded half up to 6 places with integer arithmetic
     micro = F.floor((F.col("excess_scaled").cast("decimal(38,0)") * 2000000 + rate_den_us) / (2 * rate_den_us))

@@ -91,7 +91,8 @@ def join_nullsafe(left: DataFrame, right: DataFrame, keys, how: str = "inner") -
     cond = F.lit(True)
     for k in keys:
         cond = cond & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
-    return left.join(r, cond, how).drop(*[f"_r_{k}" for k in keys])
+    j = left.join(r, cond, how)
+    return j if how in ("left_semi", "left_anti") else j.drop(*[f"_r_{k}" for k in keys])
 
 
 def chunk_offsets(summary: DataFrame, initial: DataFrame | None = None) -> DataFrame:
@@ -125,7 +126,8 @@ def chunk_summary(tx: DataFrame, chunk: str = "day") -> DataFrame:
     ev = ev.withColumn("low", F.max(F.when(F.col("ls") == F.col("cmin"), o)).over(whole))
     return ev.groupBy(*TX_KEY, "chunk").agg(
         F.sum("dq").cast(RUN).alias("csum"), F.min("ls").alias("cmin"),
-        F.min(at).alias("first_event"), F.min(F.when(o > F.col("low"), at)).alias("first_after"))
+        F.min(at).alias("first_event"), F.min(F.when(o > F.col("low"), at)).alias("first_after"),
+        F.max(o).alias("last"))
 
 
 def fold_chunks(summary: DataFrame, initial: DataFrame | None = None) -> DataFrame:
@@ -143,9 +145,9 @@ def fold_chunks(summary: DataFrame, initial: DataFrame | None = None) -> DataFra
     k = c.groupBy(*TX_KEY).agg(
         F.max_by((F.col("offset") + F.col("csum")).cast(RUN), "chunk").alias("s"),
         F.least(F.lit(0).cast(RUN), F.min(F.least("gmin", "prior_min"))).alias("m"),
-        F.max("zero").alias("any_zero"), F.min(begin).alias("begin"))
+        F.max("zero").alias("any_zero"), F.min(begin).alias("begin"), F.max("last").alias("last"))
     return k.select(*TX_KEY, "s", "m", (F.col("s") - F.col("m")).cast(QTY).alias("quantity"), "any_zero",
-                    F.col("begin.t").alias("created_at"))
+                    F.col("begin.t").alias("created_at"), "last")
 
 
 def holdings_from_ledger(tx: DataFrame, chunk: str = "day") -> DataFrame:
@@ -159,8 +161,8 @@ def holdings_from_ledger(tx: DataFrame, chunk: str = "day") -> DataFrame:
 def advance_state(events: DataFrame, prev: DataFrame | None, chunk: str = "day") -> DataFrame:
     """Fold a batch of ledger rows onto a stored per-key replay state.
 
-    State per key: ``s``, ``m``, ``quantity`` and ``created_at``
-    (:func:`fold_chunks`). Only the batch is read; the result has one new
+    State per key: ``s``, ``m``, ``quantity``, ``created_at`` and ``last`` (the
+    order of its last row; :func:`fold_chunks`). Only the batch is read; the result has one new
     state row per touched key. Rows of a key must arrive in order (later
     batches never precede earlier)."""
     init = None if prev is None else prev.select(*TX_KEY, F.col("s").alias("s0"), F.col("m").alias("m0"),
@@ -173,7 +175,7 @@ def advance_state(events: DataFrame, prev: DataFrame | None, chunk: str = "day")
     created = (F.when(F.col("quantity") == 0, F.lit(None).cast("timestamp_ntz"))
                .when(~F.col("any_zero") & F.col("prev_created").isNotNull(), F.col("prev_created"))
                .otherwise(F.col("created_at")))
-    return k.select(*TX_KEY, "s", "m", "quantity", created.alias("created_at"))
+    return k.select(*TX_KEY, "s", "m", "quantity", created.alias("created_at"), "last")
 
 
 # --------------------------------------------------------------------- H-01

@@ -61,7 +61,9 @@ def _w03(fx):
 SELECT tenant_id, asset_type, time_bucket(INTERVAL 1 DAY, created_at) AS window_start, COUNT(*) AS transactions,
        COUNT(*) FILTER (WHERE transaction_type = 'BUY') AS buy_orders,
        COUNT(*) FILTER (WHERE transaction_type = 'SELL') AS sell_orders,
-       {D("SUM(quantity)")} AS quantity, {D("SUM(total_value)")} AS volume
+       {D("SUM(quantity)")} AS quantity, {D("SUM(total_value)")} AS volume,
+       {D("COALESCE(SUM(total_value) FILTER (WHERE transaction_type = 'BUY'), 0)")} AS buy_volume,
+       {D("COALESCE(SUM(total_value) FILTER (WHERE transaction_type = 'SELL'), 0)")} AS sell_volume
 FROM tx WHERE status = 'completed' GROUP BY tenant_id, asset_type, time_bucket(INTERVAL 1 DAY, created_at)"""))
 def _w04(fx):
     return Wj.live_metrics(fx.tx, "1 day")

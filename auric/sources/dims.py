@@ -104,20 +104,25 @@ PAYMENT_METHOD_SCHEMA = T.StructType([
 ])
 
 
+def _seed(spark: SparkSession, rows, schema) -> DataFrame:
+    """A table of literal rows from this module (a handful): always broadcast."""
+    return F.broadcast(spark.createDataFrame(rows, schema))
+
+
 def asset_types(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(ASSET_SEED, ASSET_SCHEMA)
+    return _seed(spark, ASSET_SEED, ASSET_SCHEMA)
 
 
 def transaction_types(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(TX_TYPE_SEED, TX_TYPE_SCHEMA)
+    return _seed(spark, TX_TYPE_SEED, TX_TYPE_SCHEMA)
 
 
 def kyc_document_types(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(KYC_DOC_SEED, KYC_DOC_SCHEMA)
+    return _seed(spark, KYC_DOC_SEED, KYC_DOC_SCHEMA)
 
 
 def vault_providers(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(VAULT_SEED, VAULT_SCHEMA)
+    return _seed(spark, VAULT_SEED, VAULT_SCHEMA)
 
 
 def payment_methods(tenants: DataFrame) -> DataFrame:
@@ -147,11 +152,11 @@ def seed_dims(spark: SparkSession) -> dict[str, DataFrame]:
 def tier_caps(spark: SparkSession, factor: Decimal | float = 1) -> DataFrame:
     """(tier, user_cap) with caps scaled by ``factor``; NULL = unlimited."""
     rows = [(t, None if c is None else int(c * factor)) for t, c in TIER_USER_CAP.items()]
-    return spark.createDataFrame(rows, "tier string, user_cap bigint")
+    return _seed(spark, rows, "tier string, user_cap bigint")
 
 
 def tier_price_list(spark: SparkSession, rows=None) -> DataFrame:
-    return spark.createDataFrame(rows or TIER_PRICE_LIST,
+    return _seed(spark, rows or TIER_PRICE_LIST,
                                  "tier string, setup_fee decimal(15,2), monthly_fee decimal(15,2), "
                                  "monthly_cost decimal(15,2)")
 
@@ -159,4 +164,4 @@ def tier_price_list(spark: SparkSession, rows=None) -> DataFrame:
 def kyc_level_caps(spark: SparkSession, caps: dict | None = None) -> DataFrame:
     caps = KYC_LEVEL_CAP_DOC if caps is None else caps
     rows = [(int(k), None if v is None else Decimal(v)) for k, v in caps.items()]
-    return spark.createDataFrame(rows, "kyc_level int, cap decimal(15,2)")
+    return _seed(spark, rows, "kyc_level int, cap decimal(15,2)")

@@ -19,15 +19,13 @@ from __future__ import annotations
 import os
 from typing import Iterable
 
-import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupStateTimeout
 from pyspark.sql.window import Window
 
 from ..operators import compliance as M
+from ..operators import folds
 from ..operators import holdings as H
 from ..session import checkpoint_dir
 
@@ -38,10 +36,11 @@ def event_time(df: DataFrame, col: str = "ts", out: str = "event_time") -> DataF
     return df.withColumn(out, F.col(col).cast("timestamp"))
 
 
-def file_stream(spark: SparkSession, path: str, schema: T.StructType, max_files: int = 1) -> DataFrame:
-    """Parquet files landing in ``path`` as a stream (one file per trigger by
-    default, so tests see several micro-batches in arrival order)."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path)
+def file_stream(spark: SparkSession, path: str, schema: T.StructType, max_files: int | None = None) -> DataFrame:
+    """Parquet files landing in ``path`` as a stream. A trigger takes all new
+    files unless ``max_files`` limits it."""
+    r = spark.readStream.schema(schema)
+    return (r if max_files is None else r.option("maxFilesPerTrigger", max_files)).parquet(path)
 
 
 # --------------------------------------------------------------- sink helpers
@@ -79,6 +78,21 @@ def compact_changelog(spark: SparkSession, path: str, keys: Iterable[str], upto_
     base.write.mode("overwrite").parquet(_batch_dir(out, upto_batch))
 
 
+def _read_state(spark: SparkSession, path: str, batch_id: int, schema: T.StructType) -> DataFrame:
+    """The state that batch ``batch_id`` starts from: the version its predecessor
+    wrote, and nothing else. Batch 0 starts empty; for any later batch a version
+    that is missing or cannot be read is an error, never an empty state."""
+    if batch_id == 0:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{path.rstrip('/')}/version={batch_id - 1}")
+
+
+def _write_state(state: DataFrame, path: str, batch_id: int) -> None:
+    """Commit the state after a batch as its own version; a replay replaces it.
+    Versions before the last two may be removed at any time."""
+    state.write.mode("overwrite").parquet(f"{path.rstrip('/')}/version={batch_id}")
+
+
 def run_available_now(df: DataFrame, name: str, write_fn, output_mode: str = "update") -> str:
     """Run a streaming DataFrame over everything available, then stop."""
     spark = df.sparkSession
@@ -123,47 +137,29 @@ def login_failure_counts_stream(audit: DataFrame, width: str, slide: str, failur
 
 
 # --------------------------------------------------------------------- W-03
-BUCKET_OUT = T.StructType([
-    T.StructField("client", T.LongType()), T.StructField("ts", T.TimestampType()),
-    T.StructField("event_id", T.LongType()), T.StructField("refused", T.BooleanType()),
-])
-BUCKET_STATE = T.StructType([T.StructField("excess", T.LongType()), T.StructField("last_us", T.LongType())])
-
-
-def leaky_bucket_stream(requests: DataFrame, rate=(1, 21600), burst: int = 1) -> DataFrame:
-    """Stream: the W-03 leaky bucket as keyed state per client
-    (``applyInPandasWithState``). Each micro-batch of a client is folded in
-    time order from the stored (excess, last accepted time); refused requests
-    leave the state unchanged. Files must arrive in time order."""
-    a, b = int(rate[0]), int(rate[1])
-    den = b * 1_000_000
-    burst_units = int(burst) * den
-
-    def fold(key, pdfs, state):
-        excess, last = (state.get if state.exists else (None, None))
-        outs = []
-        for pdf in pdfs:
-            pdf = pdf.sort_values(["ts", "event_id"])
-            ts_us = (pdf["ts"].astype("int64") // 1000).tolist() if str(pdf["ts"].dtype).startswith("datetime64[ns") \
-                else (pdf["ts"].astype("int64")).tolist()
-            refused = []
-            for t in ts_us:
-                new = 0 if excess is None else max(0, excess - a * (t - last) + den)
-                if new > burst_units:
-                    refused.append(True)
-                else:
-                    excess, last = new, t
-                    refused.append(False)
-            outs.append(pd.DataFrame({"client": pdf["client"].values, "ts": pdf["ts"].values,
-                                      "event_id": pdf["event_id"].values, "refused": refused}))
-        if excess is not None:
-            state.update((int(excess), int(last)))
-        for o in outs:
-            yield o
-
-    e = requests.select("client", F.col("ts").cast("timestamp").alias("ts"), "event_id")
-    return e.groupBy("client").applyInPandasWithState(fold, BUCKET_OUT, BUCKET_STATE, "append",
-                                                      GroupStateTimeout.NoTimeout)
+BUCKET_STATE = T.StructType([T.StructField("client", T.LongType()), T.StructField("excess_scaled", T.LongType()),
+                             T.StructField("last_us", T.LongType())])
+
+
+def leaky_bucket_writer(state: str, decisions: str, rate=(1, 21600), burst: int = 1):
+    """foreachBatch for W-03: each micro-batch goes through the batch operator
+    (:func:`auric.operators.folds.leaky_bucket`: whole batch in time order,
+    sessions in parallel) from the stored state of its clients. A client idle
+    for (burst + 1) / rate at the end of the batch has an empty bucket and
+    leaves the state. Batches must arrive in time order."""
+    gap = folds.idle_us(rate, burst)
+
+    def write(batch: DataFrame, batch_id: int):
+        prev = _read_state(batch.sparkSession, state, batch_id, BUCKET_STATE)
+        folds.leaky_bucket(batch.select("client", "ts", "event_id"), rate, burst, snapshot=prev).write.mode(
+            "overwrite").parquet(_batch_dir(decisions, batch_id))
+        done = batch.sparkSession.read.parquet(_batch_dir(decisions, batch_id))
+        new = folds.bucket_state(done)
+        now = done.agg(F.max(F.unix_micros(F.col("ts").cast("timestamp"))).alias("now"))
+        kept = prev.join(new, "client", "left_anti").unionByName(new).join(now, F.lit(True), "left")
+        live = F.col("now").isNull() | (F.col("now") - F.col("last_us") < gap)
+        _write_state(kept.filter(live).select(*BUCKET_STATE.names), state, batch_id)
+    return write
 
 
 # --------------------------------------------------------------------- W-04
@@ -176,9 +172,11 @@ def live_metrics(tx: DataFrame, width: str = "1 day") -> DataFrame:
         F.count(F.when(t == "BUY", 1)).alias("buy_orders"),
         F.count(F.when(t == "SELL", 1)).alias("sell_orders"),
         F.sum("quantity").alias("quantity"),
-        F.sum(v).alias("volume"))
+        F.sum(v).alias("volume"),
+        F.coalesce(F.sum(F.when(t == "BUY", v)), F.lit(0).cast("decimal(25,2)")).alias("buy_volume"),
+        F.coalesce(F.sum(F.when(t == "SELL", v)), F.lit(0).cast("decimal(25,2)")).alias("sell_volume"))
     return r.select("tenant_id", "asset_type", F.col("w.start").alias("window_start"), "transactions",
-                    "buy_orders", "sell_orders", "quantity", "volume")
+                    "buy_orders", "sell_orders", "quantity", "volume", "buy_volume", "sell_volume")
 
 
 def live_metrics_stream(tx: DataFrame, width: str = "1 day", watermark: str = WATERMARK) -> DataFrame:
@@ -190,56 +188,76 @@ def live_metrics_stream(tx: DataFrame, width: str = "1 day", watermark: str = WA
         F.count(F.when(t == "BUY", 1)).alias("buy_orders"),
         F.count(F.when(t == "SELL", 1)).alias("sell_orders"),
         F.sum("quantity").alias("quantity"),
-        F.sum(v).alias("volume"))
+        F.sum(v).alias("volume"),
+        F.coalesce(F.sum(F.when(t == "BUY", v)), F.lit(0).cast("decimal(25,2)")).alias("buy_volume"),
+        F.coalesce(F.sum(F.when(t == "SELL", v)), F.lit(0).cast("decimal(25,2)")).alias("sell_volume"))
     return r.select("tenant_id", "asset_type", F.col("w.start").alias("window_start"), "transactions",
-                    "buy_orders", "sell_orders", "quantity", "volume")
+                    "buy_orders", "sell_orders", "quantity", "volume", "buy_volume", "sell_volume")
 
 
 # --------------------------------------------------------------------- W-05
+TX_KEY = H.TX_KEY
+
+
 def live_holdings_writer(ledger_path: str, holdings_log: str):
-    """foreachBatch for W-05: write the batch into the ledger store, then
-    re-fold only the keys the batch touched (H-03 over their whole history,
-    found by a semi join) and upsert them into the holdings changelog. A key
-    that fell to zero gets a tombstone row (quantity 0). No Python per row."""
-    keys = ["tenant_id", "user_id", "asset_type"]
+    """W-05 for feeds in any order: the batch joins the ledger store, then the
+    keys it touched are folded again over their whole history (H-03) and
+    upserted. The store is laid out by a hash of the key, so a trigger reads
+    the buckets of its keys rather than the whole ledger. A key that fell to
+    zero gets a row with quantity 0."""
+    bucket = F.pmod(F.xxhash64(*TX_KEY), F.lit(LEDGER_BUCKETS)).cast("int")
 
     def write(batch: DataFrame, batch_id: int):
         spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(_batch_dir(ledger_path, batch_id))
-        ledger = spark.read.parquet(ledger_path).filter(F.col("batch_id") <= batch_id).drop("batch_id")
+        batch.withColumn("bucket", bucket).withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option(
+            "partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch_id").parquet(ledger_path)
         touched = batch.filter((F.col("status") == "completed") & F.col("transaction_type").isin("BUY", "SELL")) \
-            .select(*keys).distinct()
-        hist = ledger.join(touched, keys, "left_semi")
-        h = H.holdings_from_ledger(hist)
-        upd = touched.join(h, keys, "left").select(
-            *keys, F.coalesce(F.col("quantity"), F.lit(0).cast("decimal(20,8)")).alias("quantity"), "created_at")
+            .select(*TX_KEY).distinct()
+        buckets = [r.bucket for r in touched.select(bucket.alias("bucket")).distinct().collect()]  # at most LEDGER_BUCKETS
+        ledger = spark.read.schema(T.StructType([*batch.schema, T.StructField("bucket", T.IntegerType()),
+                                                      T.StructField("batch_id", T.IntegerType())])).parquet(ledger_path).filter(
+            F.col("bucket").isin(buckets) & (F.col("batch_id") <= batch_id))
+        hist = H.join_nullsafe(ledger, touched, TX_KEY, "left_semi")
+        upd = H.join_nullsafe(touched, H.holdings_from_ledger(hist), TX_KEY, "left").select(
+            *TX_KEY, F.coalesce(F.col("quantity"), F.lit(0).cast("decimal(20,8)")).alias("quantity"), "created_at")
         upd.write.mode("overwrite").parquet(_batch_dir(holdings_log, batch_id))
     return write
 
 
-def live_holdings_state_writer(state_log: str):
-    """Incremental W-05 for feeds that arrive in order per key: each batch is
-    folded onto the stored (s, m, quantity, created_at) state of the keys it
-    touches (:func:`auric.operators.holdings.advance_state`). Work per trigger
-    is O(batch + touched state), independent of the history length. On a
-    retried batch the state rows of that batch id are ignored when reading."""
-    keys = ["tenant_id", "user_id", "asset_type"]
+LEDGER_BUCKETS = 256
+
+
+def live_holdings_state_writer(state: str, late: str):
+    """Incremental W-05 for feeds in order per key: each batch is folded onto
+    the state of the batch before (:func:`auric.operators.holdings.advance_state`)
+    and committed as the next version. A trigger reads one version, a row per
+    key, however long the history. A row not after its key's last one would
+    change what is already folded: it is refused into ``late`` (one folder per
+    batch) for a correction run, never dropped."""
 
     def write(batch: DataFrame, batch_id: int):
         spark = batch.sparkSession
-        touched = batch.select(*keys).distinct()
-        try:
-            log = spark.read.parquet(state_log).filter(F.col("batch_id") < batch_id)
-            w = Window.partitionBy(*keys).orderBy(F.col("batch_id").desc())
-            prev = (log.join(touched, keys, "left_semi").withColumn("_rk", F.row_number().over(w))
-                    .filter("_rk = 1").drop("_rk", "batch_id"))
-        except AnalysisException:  # first batch: no state written yet
-            prev = None
-        new = H.advance_state(batch, prev)
-        new.write.mode("overwrite").parquet(_batch_dir(state_log, batch_id))
+        order = T.StructType([batch.schema[c] for c in H.TX_ORDER])
+        schema = T.StructType([*[batch.schema[c] for c in TX_KEY],
+                               T.StructField("s", T.DecimalType(38, 8)), T.StructField("m", T.DecimalType(38, 8)),
+                               T.StructField("quantity", T.DecimalType(20, 8)),
+                               T.StructField("created_at", T.TimestampNTZType()), T.StructField("last", order)])
+        prev = _read_state(spark, state, batch_id, schema)
+        known = H.join_nullsafe(batch, prev.select(*TX_KEY, F.col("last").alias("_last")), TX_KEY, "left")
+        after = F.col("_last").isNull() | (F.struct(*H.TX_ORDER) > F.col("_last"))
+        known.filter(~after).drop("_last").write.mode("overwrite").parquet(_batch_dir(late, batch_id))
+        new = H.advance_state(known.filter(after).drop("_last"), prev).select(*schema.names)
+        kept = H.join_nullsafe(prev, new.select(*TX_KEY), TX_KEY, "left_anti")
+        _write_state(kept.unionByName(new), state, batch_id)
     return write
 
 
+def state_holdings(spark: SparkSession, state: str, version: int) -> DataFrame:
+    """Holdings as of a version of the state."""
+    s = spark.read.parquet(f"{state.rstrip('/')}/version={version}")
+    return s.filter(F.col("quantity") > 0).select(*TX_KEY, "quantity", "created_at")
+
+
 def current_holdings(spark: SparkSession, holdings_log: str) -> DataFrame:
     h = latest_by_key(spark, holdings_log, ["tenant_id", "user_id", "asset_type"])
     return h.filter(F.col("quantity") > 0)

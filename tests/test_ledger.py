@@ -109,7 +109,8 @@ def test_property_replays_match_models(spark, rows):
 def test_add_tokens_is_order_independent(spark):
     rows = [(1, "GOLD", i, "BUY", i + 1) for i in range(6)]
     tx = make_tx(spark, rows)
-    empty = tx.limit(0).select("tenant_id", "user_id", "asset_type", "quantity")
+    empty = tx.limit(0).select("tenant_id", "user_id", "asset_type", "quantity", "created_at",
+                               F.col("price").alias("current_price"))
     a = holdings_dict(H.add_tokens(empty, tx))
     b = holdings_dict(H.add_tokens(empty, tx.orderBy("created_at", ascending=False)))
     assert a == b == {(1, 1, "GOLD"): Decimal(21)}
@@ -198,9 +199,44 @@ def test_daily_metrics_store_overwrites_only_recomputed_days(spark, fx_small, tm
     from auric.operators import reports as A
     from auric.sources import dims, sinks
     path = str(tmp_path / "daily")
-    m = A.daily_metrics(fx_small.users, A.payment_fees(fx_small.tx, dims.payment_methods(spark)))
+    m = A.daily_metrics(fx_small.users, A.payment_fees(fx_small.tx, dims.payment_methods(fx_small.tenants)))
     sinks.write_daily_metrics(m, path)
     n_all = spark.read.parquet(path).count()
     last_day = m.agg(F.max("metric_date")).first()[0]
     sinks.write_daily_metrics(m.filter(F.col("metric_date") == F.lit(last_day)), path)
     assert spark.read.parquet(path).count() == n_all
+
+
+def test_null_keys_are_keys_of_their_own(spark):
+    tx = make_tx(spark, [(1, "GOLD", i, "BUY", 2) for i in range(3)]).withColumn("asset_type", F.lit(None).cast("string"))
+    got = [(r.asset_type, r.quantity) for r in H.holdings_from_ledger(tx).collect()]
+    assert got == [(None, Decimal(6))]
+    assert H.ledger_balances(tx).count() == 3
+
+
+def test_sell_gate_takes_quantities_of_any_size(spark):
+    tx = make_tx(spark, [(1, "GOLD", 0, "BUY", 10 ** 11), (1, "GOLD", 1, "SELL", 10 ** 11)])
+    assert [r.balance for r in folds.sell_gate(tx).orderBy("created_at").collect()] == [Decimal(10 ** 11), Decimal(0)]
+
+
+def test_leaky_bucket_sessions_spread_a_client(spark):
+    """One client, many days: sessions fold in many tasks, with the result of one walk."""
+    import datetime as dt
+    import random
+    r, t, rows = random.Random(9), 0, []
+    for i in range(600):
+        t += r.choice([1, 3, 8, 25, 90_000])
+        rows.append((1, dt.datetime(2001, 1, 1) + dt.timedelta(seconds=t), i))
+    df = spark.createDataFrame(rows, "client long, ts timestamp_ntz, event_id long")
+    got = {x.event_id: x.refused for x in folds.leaky_bucket(df, (1, 10), 2).collect()}
+    excess, last, want = None, None, {}
+    for _, at, i in rows:
+        s = at.timestamp()
+        new = 0 if excess is None else max(0, excess - (s - last) / 10 + 1)
+        want[i] = new > 2 + 1e-9
+        if not want[i]:
+            excess, last = new, s
+    assert got == want and any(want.values())
+    keyed = folds._sessions(df.withColumn("ts_us", F.unix_micros(F.col("ts").cast("timestamp"))), ("ts", "event_id"),
+                            folds.idle_us((1, 10), 2))
+    assert keyed.select("session").distinct().count() > 100

@@ -3,6 +3,7 @@ no Python UDFs on the batch paths."""
 
 import uuid
 
+from pyspark.sql import functions as F
 
 from auric.operators import filters as P
 from auric.operators import orders as K
@@ -26,13 +27,32 @@ def test_tenant_scope_is_a_partition_filter(spark, fx_small, tmp_path):
 
 
 def test_filters_reach_the_scan(spark, fx_small):
-    p = plan(A.completed(fx_small.tx).select("order_id"))
-    assert "PushedFilters" in p and "ReadSchema" in p
+    p = plan(A.completed(spark.read.parquet("/root/testdata/sf0.001/orders.parquet").select(
+        "o_orderkey", F.col("o_orderstatus").alias("status"))))
+    assert "EqualTo(o_orderstatus,completed)" in p
+    assert "ReadSchema: struct<o_orderkey:bigint,o_orderstatus:string>" in p
 
 
 def test_fixed_dimensions_are_broadcast(spark, fx_small):
-    p = plan(K.tx_type_rules(fx_small.tx, dims.transaction_types(spark)))
-    assert "BroadcastHashJoin" in p or "BroadcastExchange" in p
+    stored = fx_small.raw("orders").select(F.col("o_orderpriority").alias("transaction_type"))
+    p = plan(K.tx_type_rules(stored, dims.transaction_types(spark)))
+    assert p.count("BroadcastHashJoin") == 1 and "SortMergeJoin" not in p
+
+
+def test_risk_score_reads_the_ledger_twice(spark, fx_small):
+    """One pass for the rules on single trades, one for the daily sums."""
+    from auric.plans.queries_series import _all_alerts
+    from auric.operators import compliance as M
+    p = M.risk_score(_all_alerts(fx_small))._jdf.queryExecution().optimizedPlan().toString()
+    assert p.count("l_orderkey#") and p.count("parquet") > 0
+    scans = [x for x in p.split("\n") if "Relation" in x and "l_orderkey" in x]
+    assert len(scans) == 2
+
+
+def test_holdings_shuffle_the_ledger_once(spark, fx_small):
+    from auric.operators import holdings as H
+    p = H.holdings_from_ledger(fx_small.tx)._jdf.queryExecution().optimizedPlan().toString()
+    assert len([x for x in p.split("\n") if "Relation" in x and "l_orderkey" in x]) == 1
 
 
 def test_batch_queries_use_no_python_udf(spark):

@@ -28,17 +28,32 @@ def test_not_null_length_unique_foreign_key(spark):
     assert [x.order_id for x in V.check_foreign_key(child, parent, "order_id", "order_id").collect()] == [9]
 
 
-def test_total_value_check_and_cascade(spark):
+def test_total_value_check(spark):
     tx = spark.createDataFrame([(1, 1, Decimal("2.5"), Decimal("10.00"), Decimal("25.00")),
                                 (2, 1, Decimal("2.5"), Decimal("10.00"), Decimal("25.01"))],
                                "tenant_id long, user_id long, quantity decimal(20,8), price decimal(15,2), "
                                "total_value decimal(15,2)")
     bad = V.check_total_value(tx).collect()
     assert len(bad) == 1 and bad[0].expected_total_value == Decimal("25.00")
-    users = spark.createDataFrame([(1, 1), (2, 1)], "tenant_id long, user_id long")
-    gone = spark.createDataFrame([(2,)], "tenant_id long")
-    out = V.cascade_delete(gone, users, tx, tx.select("tenant_id", "user_id"), tx.select("tenant_id", "user_id"))
-    assert out["users"].count() == 1 and out["transactions"].count() == 1
+
+
+def test_cascade_is_transitive(spark):
+    """tenant 2 goes with all it owns; user 11 of tenant 1 goes with their order and its payment."""
+    df = spark.createDataFrame
+    tables = {"tenants": df([(1,), (2,)], "tenant_id long"),
+              "users": df([(1, 10), (1, 11), (2, 20), (None, 30)], "tenant_id long, user_id long"),
+              "transactions": df([(10, 100), (11, 101), (20, 102), (30, 103)], "user_id long, order_id long"),
+              "payments": df([(100, 1), (101, 2), (102, 3), (None, 4)], "order_id long, pay_id long")}
+    links = {"tenants": [], "users": [("tenants", ["tenant_id"], ["tenant_id"])],
+             "transactions": [("users", ["user_id"], ["user_id"])],
+             "payments": [("transactions", ["order_id"], ["order_id"])]}
+    gone = {"tenants": df([(2,)], "tenant_id long"), "users": df([(11,)], "user_id long")}
+    out = V.cascade_delete(tables, gone, links)
+    assert [r.user_id for r in out["users"].filter("NOT is_gone").orderBy("user_id").collect()] == [10, 30]
+    assert [r.order_id for r in out["transactions"].filter("is_gone").orderBy("order_id").collect()] == [101, 102]
+    assert [r.pay_id for r in out["payments"].filter("NOT is_gone").orderBy("pay_id").collect()] == [1, 4]
+    counts = {r.table_name: (r.kept, r.removed) for r in V.cascade_summary(out).collect()}
+    assert counts == {"tenants": (1, 1), "users": (2, 2), "transactions": (2, 2), "payments": (2, 2)}
 
 
 def test_approximate_distinct_option(spark, fx_small):

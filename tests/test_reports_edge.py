@@ -95,9 +95,17 @@ def test_page_engagement_gap_crosses_midnight(spark):
     assert r == {"landing": 900.0}  # the 2 h 55 min gap after 'pricing' exceeds the cap
 
 
-def test_price_alert_banded_join_equals_broadcast(spark, fx_small):
+def test_price_alert_finds_every_crossing(spark, fx_small):
+    """Any band width gives the crossings of a plain comparison of all pairs."""
     from auric.operators import series as Q
     key = lambda r: (r.user_id, r.event_id, r.threshold, r.direction)
-    a = sorted(map(key, Q.price_alert(fx_small.ticks, fx_small.price_thresholds).collect()))
-    b = sorted(map(key, Q.price_alert(fx_small.ticks, fx_small.price_thresholds, band_width=7).collect()))
-    assert a == b and len(a) > 0
+    rows = sorted((r.asset_type, r.ts, r.event_id, r.price) for r in fx_small.ticks.collect())
+    limits = fx_small.price_thresholds.collect()
+    want = []
+    for a, b in zip(rows, rows[1:]):
+        if a[0] == b[0]:
+            want += [(t.user_id, b[2], t.threshold, "UP" if a[3] < b[3] else "DOWN") for t in limits
+                     if t.asset_type == a[0] and (a[3] < t.threshold <= b[3] or b[3] < t.threshold <= a[3])]
+    for width in (7, 50):
+        got = Q.price_alert(fx_small.ticks, fx_small.price_thresholds, band_width=width).collect()
+        assert sorted(map(key, got)) == sorted(want) and want

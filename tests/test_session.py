@@ -1,5 +1,7 @@
 """Session helpers: cluster settings and the shared checkpoint folder."""
 
+import pytest
+
 from auric import session
 
 
@@ -24,8 +26,8 @@ class _Conf:
 
 
 class _Ctx:
-    def __init__(self):
-        self.dirs = []
+    def __init__(self, master="local[2]"):
+        self.master, self.dirs = master, []
 
     def setCheckpointDir(self, d):
         self.dirs.append(d)
@@ -35,8 +37,8 @@ class _Ctx:
 
 
 class _Session:
-    def __init__(self):
-        self.conf, self.sparkContext = _Conf(), _Ctx()
+    def __init__(self, master="local[2]"):
+        self.conf, self.sparkContext = _Conf(), _Ctx(master)
 
 
 def test_checkpoint_dir_when_unset_registers_a_folder_without_setting_static_conf():
@@ -44,3 +46,9 @@ def test_checkpoint_dir_when_unset_registers_a_folder_without_setting_static_con
     d1 = session.checkpoint_dir(s)
     d2 = session.checkpoint_dir(s)
     assert d1 == d2 and s.sparkContext.dirs == [d1]
+
+
+def test_a_cluster_must_name_the_shared_folder():
+    for master in ("yarn", "spark://host:7077", "local-cluster[3,2,1024]"):
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            session.checkpoint_dir(_Session(master))

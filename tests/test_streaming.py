@@ -48,14 +48,51 @@ def test_w03_leaky_bucket_state_equals_batch(spark, fx_small, scratch):
     req = fx_small.requests
     src = _files_by(req, "ts", "yyyy-MM-dd", f"{scratch}/req3")
     stream = _stream_dirs(spark, src, req.schema)
-    out = f"{scratch}/w03_{uuid.uuid4().hex}"
-    Wj.run_available_now(Wj.leaky_bucket_stream(stream, (1, 21600), 1), f"w03_{uuid.uuid4().hex}",
-                         Wj.changelog_writer(out), output_mode="append")
+    state, out = f"{scratch}/w03s_{uuid.uuid4().hex}", f"{scratch}/w03_{uuid.uuid4().hex}"
+    Wj.run_available_now(stream, f"w03_{uuid.uuid4().hex}", Wj.leaky_bucket_writer(state, out), output_mode="append")
     got = {r.event_id: r.refused for r in spark.read.parquet(out).collect()}
     want = {r.event_id: r.refused for r in folds.leaky_bucket(req, (1, 21600), 1).collect()}
     assert got == want and sum(want.values()) == 104
 
 
+def test_w03_batches_larger_than_an_arrow_batch(spark, scratch):
+    """One client with more rows than an Arrow batch in each micro-batch, unsorted."""
+    import random
+    r = random.Random(4)
+    t, rows = 0, []
+    for i in range(800):
+        t += r.choice([1, 2, 5, 9, 40])
+        rows.append((1 if i % 4 else 2, t, i))
+    df = spark.createDataFrame(rows, "client long, s long, event_id long").select(
+        "client", F.timestamp_seconds("s").cast("timestamp_ntz").alias("ts"), "event_id")
+    want = {x.event_id: x.refused for x in folds.leaky_bucket(df, (1, 10), 2).collect()}
+    state, out = f"{scratch}/w03bs", f"{scratch}/w03b"
+    w = Wj.leaky_bucket_writer(state, out, (1, 10), 2)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        for k in range(4):
+            w(df.filter((F.col("event_id") >= 200 * k) & (F.col("event_id") < 200 * k + 200)).orderBy(F.rand(1)), k)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {x.event_id: x.refused for x in spark.read.parquet(out).collect()} == want and any(want.values())
+
+
+def test_w03_idle_clients_leave_the_state(spark, scratch):
+    at = lambda rows: spark.createDataFrame(rows, "client long, s long, event_id long").select(
+        "client", F.timestamp_seconds("s").cast("timestamp_ntz").alias("ts"), "event_id")
+    state, out = f"{scratch}/w03i", f"{scratch}/w03io"
+    w = Wj.leaky_bucket_writer(state, out, (1, 10), 1)
+    w(at([(1, 0, 1), (2, 15, 2)]), 0)
+    w(at([(3, 25, 3)]), 1)  # client 1 has been idle for 25 s, more than (1 + 1) / (1 / 10)
+    assert {r.client for r in spark.read.parquet(f"{state}/version=1").collect()} == {2, 3}
+
+
+def test_unreadable_state_is_an_error(spark, fx_small, scratch):
+    w = Wj.live_holdings_state_writer(f"{scratch}/lost", f"{scratch}/lost_late")
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        w(fx_small.tx, 1)
+
+
 def test_w04_live_metrics_equals_batch(spark, fx_small, scratch):
     tx = fx_small.tx
     src = _files_by(tx, "created_at", "yyyy-MM", f"{scratch}/tx4")
@@ -102,11 +139,20 @@ def test_w05_incremental_state_equals_h03(spark, fx_small, scratch):
     src = _files_by(tx, "created_at", "yyyy", f"{scratch}/tx5i")
     stream = _stream_dirs(spark, src, tx.schema)
     state = f"{scratch}/w05_state_{uuid.uuid4().hex}"
-    Wj.run_available_now(stream, f"w05i_{uuid.uuid4().hex}", Wj.live_holdings_state_writer(state),
-                         output_mode="append")
-    assert spark.read.parquet(state).select("batch_id").distinct().count() > 3
+    late = f"{scratch}/w05_late_{uuid.uuid4().hex}"
+    write = Wj.live_holdings_state_writer(state, late)
+    seen = []
+
+    def twice(batch, batch_id):
+        write(batch, batch_id)
+        write(batch, batch_id)  # a replayed batch starts from the same version
+        seen.append(batch_id)
+
+    Wj.run_available_now(stream, f"w05i_{uuid.uuid4().hex}", twice, output_mode="append")
+    last = max(seen)
+    assert last > 3 and spark.read.parquet(late).count() == 0
     got = {(r.tenant_id, r.user_id, r.asset_type, r.quantity, r.created_at)
-           for r in Wj.current_holdings(spark, state).collect()}
+           for r in Wj.state_holdings(spark, state, last).collect()}
     want = {(r.tenant_id, r.user_id, r.asset_type, r.quantity, r.created_at)
             for r in H.holdings_from_ledger(tx).collect()}
     assert got == want
@@ -143,3 +189,18 @@ def test_replayed_batch_replaces_its_earlier_attempt(spark, scratch):
     w(spark.createDataFrame([(1, 10), (2, 20)], "k long, v long"), 0)
     w(spark.createDataFrame([(1, 10), (2, 20)], "k long, v long"), 0)  # replay of batch 0
     assert spark.read.parquet(log).count() == 2
+
+
+def test_w05_late_rows_are_refused_not_folded(spark, fx_small, scratch):
+    tx = fx_small.tx.filter("status = 'completed'")
+    day = F.lit("2000-01-01").cast("timestamp_ntz")
+    state, late = f"{scratch}/w05l", f"{scratch}/w05l_late"
+    w = Wj.live_holdings_state_writer(state, late)
+    w(tx.filter(F.col("created_at") >= day), 0)
+    before = sorted(map(str, Wj.state_holdings(spark, state, 0).collect()))
+    early = tx.filter(F.col("created_at") < day)
+    w(early, 1)
+    keys = tx.filter((F.col("created_at") >= day) & F.col("transaction_type").isin("BUY", "SELL")).select(*H.TX_KEY).distinct()
+    assert spark.read.parquet(late).count() == early.join(keys, H.TX_KEY, "left_semi").count() > 0
+    after = {(r.tenant_id, r.user_id, r.asset_type): str(r) for r in Wj.state_holdings(spark, state, 1).collect()}
+    assert set(before) <= set(after.values())
