@@ -70,16 +70,23 @@ mb AS (SELECT s.tenant_id, s.user_id, s.asset_type, s.month, arg_max(w.bal, w.rn
          ON s.tenant_id = w.tenant_id AND s.user_id = w.user_id AND s.asset_type = w.asset_type
         AND w.created_at < s.month + INTERVAL 1 MONTH
        GROUP BY s.tenant_id, s.user_id, s.asset_type, s.month),
+px AS (SELECT m.asset_type, m.month,
+              arg_max(t.price, (t.created_at, t.order_id, t.line_no, t.partkey, t.suppkey, t.ext, t.quantity,
+                                t.transaction_type)) AS price
+       FROM (SELECT DISTINCT asset_type, month FROM mb) m JOIN tx t
+         ON t.asset_type = m.asset_type AND t.created_at < m.month + INTERVAL 1 MONTH
+        AND t.status = 'completed' AND t.transaction_type IN ('BUY', 'SELL')
+       GROUP BY m.asset_type, m.month),
 hist AS (SELECT mb.tenant_id, mb.user_id, mb.month,
-                CAST(SUM(CAST(mb.bal * a.current_price AS DECIMAL(15,2))) AS DECIMAL(18,2)) AS portfolio_value
-         FROM mb LEFT JOIN asset_types a ON mb.asset_type = a.code
+                CAST(SUM(CAST(mb.bal * px.price AS DECIMAL(15,2))) AS DECIMAL(18,2)) AS portfolio_value
+         FROM mb LEFT JOIN px ON mb.asset_type = px.asset_type AND mb.month = px.month
          GROUP BY mb.tenant_id, mb.user_id, mb.month)"""
 
 
-@register("portfolio_history", "Q-04", W(["ledger_walk", "asset_types"], HISTORY_SQL + f"""
+@register("portfolio_history", "Q-04", W(["ledger_walk", "tx"], HISTORY_SQL + f"""
 SELECT tenant_id, user_id, {S("month")} AS month, {D("portfolio_value")} AS portfolio_value FROM hist"""))
 def _q04(fx):
-    return Q.portfolio_history(fx.tx, dims.asset_types(fx.spark), END_MONTH)
+    return Q.portfolio_history(fx.tx, Q.ledger_ticks(fx.tx), END_MONTH)
 
 
 @register("recent_activity", "Q-05", W(["tx"], f"""
@@ -117,7 +124,7 @@ def _q06(fx):
     return Q.top_orders(fx.tx, 5)
 
 
-@register("period_return", "Q-07", W(["ledger_walk", "asset_types"], HISTORY_SQL + f"""
+@register("period_return", "Q-07", W(["ledger_walk", "tx"], HISTORY_SQL + f"""
 , w AS (SELECT *, lag(portfolio_value) OVER (PARTITION BY tenant_id, user_id ORDER BY month) AS prev_value,
                first_value(portfolio_value) OVER (PARTITION BY tenant_id, user_id, year(month) ORDER BY month
                                                   ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS ys
@@ -128,7 +135,7 @@ SELECT tenant_id, user_id, {S("month")} AS month, {D("portfolio_value")} AS port
        CASE WHEN ys <> 0 THEN {D("portfolio_value - ys")} / {D("ys")} * 100.0 END AS ytd_pct
 FROM w"""))
 def _q07(fx):
-    return Q.period_return(Q.portfolio_history(fx.tx, dims.asset_types(fx.spark), END_MONTH))
+    return Q.period_return(Q.portfolio_history(fx.tx, Q.ledger_ticks(fx.tx), END_MONTH))
 
 
 @register("price_alert", "Q-08", W(["ticks", "price_thresholds"], f"""
