@@ -43,11 +43,10 @@ SEQUENCE_BITS = 36  # sequence_id = task number above, count in the task below
 def _route(ids: np.ndarray) -> int:
     """Min-hash of the token pairs of a unit."""
     wide = ids.astype(np.uint64)
-    pairs = wide[:-1] << np.uint64(32) | wide[1:] if len(wide) > 1 else wide
-    h = pairs * np.uint64(0x9E3779B97F4A7C15)
-    h ^= h >> np.uint64(29)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    return int(h.min() >> np.uint64(1))
+    if len(wide) > 1:
+        wide = wide[:-1] * np.uint64(0x9E3779B97F4A7C15) + wide[1:]
+    wide *= np.uint64(0xBF58476D1CE4E5B9)
+    return int(wide.min() >> np.uint64(1))
 
 
 def encode_units(docs: DataFrame, tokenizer_path: str, end_id: int, window: int,
@@ -58,6 +57,7 @@ def encode_units(docs: DataFrame, tokenizer_path: str, end_id: int, window: int,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer_path)
         df = np.zeros(enc.size, np.int64)
+        held = np.zeros(enc.size, bool)
         units = size = 0
         none = None
         for b in batches:
@@ -68,7 +68,10 @@ def encode_units(docs: DataFrame, tokenizer_path: str, end_id: int, window: int,
                 unit = ids[len(ids) - len(ids) % window:]
                 routes.append(_route(unit if len(unit) else ids[-window:]))
                 if len(unit):
-                    df[np.unique(unit)] += 1
+                    held[unit] = True
+                    terms = np.flatnonzero(held)
+                    df[terms] += 1
+                    held[terms] = False
                     units += 1
                     size += len(unit)
             n = len(data)
@@ -114,13 +117,18 @@ class _Index:
         owner = np.repeat(np.arange(len(units), dtype=np.int64), lengths)
         code, tf = np.unique(owner << 32 | np.concatenate(units).astype(np.int64), return_counts=True)
         unit, token = code >> 32, code & 0xFFFFFFFF
-        self.terms, row = np.unique(token, return_inverse=True)
+        self.terms, self.row = np.unique(token, return_inverse=True)
+        self.at = np.searchsorted(unit, np.arange(len(units) + 1))  # each unit's part of row
         weight = idf[token] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * lengths[unit] / mean))
         self.rows = np.zeros((len(self.terms), len(units)), np.float32)
-        self.rows[row, unit] = weight
+        self.rows[self.row, unit] = weight
 
-    def scores(self, seed: np.ndarray) -> np.ndarray:
-        """BM25 score of every unit of the shard for the seed's terms."""
+    def like_unit(self, k: int) -> np.ndarray:
+        """BM25 score of every unit of the shard for the terms of unit k."""
+        return self.rows[self.row[self.at[k]:self.at[k + 1]]].sum(axis=0)
+
+    def like(self, seed: np.ndarray) -> np.ndarray:
+        """The same for the terms of a unit of another shard."""
         terms = np.unique(seed)
         at = np.searchsorted(self.terms, terms)
         at = at[(at < len(self.terms)) & (self.terms[np.minimum(at, len(self.terms) - 1)] == terms)]
@@ -129,9 +137,10 @@ class _Index:
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 0, window: int = 1024,
                    id_col: str = "doc_id", text_col: str = "text", shard_units: int = 512,
-                   k1: float = 1.2, b: float = 0.75) -> DataFrame:
+                   k1: float = 1.2, b: float = 0.75, with_ids: bool = True) -> DataFrame:
     """One row per piece: id, start, length, ids (little-endian bytes of the
-    encoder's width), ids_crc32, doc_tokens, sequence_id, offset."""
+    encoder's width; null unless ``with_ids``), ids_crc32, doc_tokens,
+    sequence_id, offset."""
     spark = docs.sparkSession
     encoded = stage(encode_units(docs, tokenizer_path, end_id, window, id_col, text_col), "packing-units")
     df, units, size = frequencies(encoded)
@@ -144,7 +153,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 0, window
         at = np.fromiter(stats.value.keys(), np.int64, len(stats.value))
         n = np.fromiter(stats.value.values(), np.float64, len(stats.value))
         idf[at] = np.log1p((units - n + 0.5) / (n + 0.5))
-        packer = _Packer(window, idf, mean, k1, b)
+        packer = _Packer(window, with_ids, idf, mean, k1, b)
         for batch in batches:
             for doc, data in zip(batch.column(0).to_pylist(), batch.column(1)):
                 ids = np.frombuffer(data.as_py(), enc.dtype)
@@ -168,8 +177,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 0, window
 
 
 class _Packer:
-    def __init__(self, window: int, idf: np.ndarray, mean: float, k1: float, b: float):
-        self.window, self.bm25 = window, (idf, mean, k1, b)
+    def __init__(self, window: int, with_ids: bool, *bm25):
+        self.window, self.with_ids, self.bm25 = window, with_ids, bm25
         self.units: list[tuple] = []   # (doc, ids, start, doc_tokens) of the shard
         self.open: list[tuple] = []    # pieces of the window being filled
         self.filled = 0
@@ -187,7 +196,7 @@ class _Packer:
     def _emit(self, pieces: list[tuple]) -> None:
         offset = 0
         for doc, ids, start, n in pieces:
-            self.out.append((doc, start, len(ids), ids.tobytes(), zlib.crc32(ids.astype("<u4").tobytes()),
+            self.out.append((doc, start, len(ids), ids.tobytes() if self.with_ids else None, zlib.crc32(ids.astype("<u4").tobytes()),
                              n, self.next, offset))
             offset += len(ids)
         self.next += 1
@@ -214,30 +223,32 @@ class _Packer:
         index = _Index([u[1] for u in self.units], *self.bm25)
         unused = np.ones(len(self.units), bool)
         first = 0
-        seed = self.open[0][1] if self.open else None  # the window left open by the shard before
+        # A window left open by the shard before goes on with its own seed.
+        scores = index.like(self.open[0][1]) if self.open else None
         while True:
-            if seed is None:
+            if scores is None:
                 while first < len(unused) and not unused[first]:
                     first += 1
                 if first == len(unused):
                     break
                 unused[first] = False
-                seed = self.units[first][1]
                 self._place(self.units[first])
+                if not self.open:
+                    continue
+                scores = index.like_unit(first)
             left = None
             free = np.flatnonzero(unused)
-            order = free[np.argsort(-index.scores(seed)[free], kind="stable")]
-            for k in order.tolist():
+            for k in free[np.argsort(-scores[free], kind="stable")].tolist():
                 unused[k] = False
                 left = self._place(self.units[k])
                 if not self.open:
                     break
             else:
                 break  # every unit is placed; the open window goes on in the next shard
-            seed = None
-            while left is not None:  # the cut neighbour seeds the next window
-                seed = left[1]
-                left = self._place(left)
+            scores = None
+            if left is not None:  # the cut neighbour seeds the next window
+                scores = index.like_unit(k)
+                self._place(left)
         self.units = []
 
     def take(self, kind: pa.DataType) -> pa.RecordBatch:

@@ -63,7 +63,7 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(documents(spark, sf_dir), default_path(), end_id=0, window=1024).select(
+    return pack_documents(documents(spark, sf_dir), default_path(), end_id=0, window=1024, with_ids=False).select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 

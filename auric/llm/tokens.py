@@ -118,20 +118,22 @@ class Encoder:
         at = parts.offsets.to_numpy().astype(np.int64)
         coded = parts.values.dictionary_encode()
         index = coded.indices.to_numpy().astype(np.int64)
-        entries = [self.pieces[w] for w in coded.dictionary.to_pylist()]
+        words = coded.dictionary.to_pylist()
+        entries = [self.pieces[w] for w in words]
         unsafe = np.array([e is None for e in entries], bool)
         slow = np.add.reduceat(unsafe[index], at[:-1]) > 0 if len(index) else np.zeros(0, bool)
+        for s in self.special:
+            slow |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
         entries = [e or b"" for e in entries]
         base, none = len(entries), len(entries) + len(texts)
-        for i, text in enumerate(texts):
+        for i, start in enumerate(at[:-1].tolist()):
             # What has no space before it, or a whole text that is not safe to cut, is an entry of its own.
-            text = text.as_py()
-            if slow[i] or any(s in text for s in self.special) or not self.cuts:
-                index[at[i]:at[i + 1]] = none
-                entries.append(self.encode(text))
+            if slow[i] or not self.cuts:
+                index[start:at[i + 1]] = none
+                entries.append(self.encode(texts[i].as_py()))
             else:
-                entries.append(self.ids_of(text.split(" ", 1)[0]))
-            index[at[i]] = base + i
+                entries.append(self.ids_of(words[index[start]]))
+            index[start] = base + i
         entries.append(b"")
         size = np.fromiter(map(len, entries), np.int64, len(entries)) // self.dtype.itemsize
         begin = np.cumsum(size) - size

@@ -70,7 +70,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the mixed documents in sequences."""
-    return pack_documents(docs, default_path(), end_id=END_ID, window=WINDOW).select(
+    return pack_documents(docs, default_path(), end_id=END_ID, window=WINDOW, with_ids=False).select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 

@@ -191,6 +191,7 @@ def check_pieces(rows, want):
 def test_packing(spark, enc, texts):
     rows = pack_documents(documents(spark, SF), default_path(), shard_units=16).collect()
     sizes = check_pieces(rows, {k: ids_of(enc, t, 0) for k, t in texts.items()})
+    assert all(zlib.crc32(np.frombuffer(r.ids, enc.dtype).astype("<u4").tobytes()) == r.ids_crc32 for r in rows)
     assert max(sizes) == 1024 and sum(s < 1024 for s in sizes) <= 8  # one for each task at most
 
 
