@@ -67,22 +67,26 @@ def insert_from_query(source: DataFrame, const_cols: dict) -> DataFrame:
     return source.select("tenant_id", *[F.lit(v).cast(t).alias(c) for c, (v, t) in const_cols.items()])
 
 
+def _by_range(df: DataFrame, n: int | None, *cols) -> DataFrame:
+    return df.repartitionByRange(*cols) if n is None else df.repartitionByRange(n, *cols)
+
+
 # --------------------------------------------------------------------- S-04
-def append_ledger(orders: DataFrame, path: str, batch_id: int | str, files: int = 1) -> None:
+def append_ledger(orders: DataFrame, path: str, batch_id: int | str, files: int | None = None) -> None:
     """Add a batch of new transactions, all pending, as folders
     ``batch_id=…/tenant_id=…``. A repeated batch replaces its own folder, so a
-    retry leaves the same rows. Rows go to ``files`` tasks by range of (tenant,
-    time): a task writes a file per tenant it holds, about files + tenants in
-    all, and a dominant tenant is spread over several."""
-    (orders.withColumn("status", F.lit("pending"))
-     .repartitionByRange(files, "tenant_id", "created_at")
+    retry leaves the same rows. Rows go to tasks (``files``, or the session's
+    shuffle partitions) by range of (tenant, time): a task writes a file per
+    tenant it holds, about files + tenants in all, and a dominant tenant is
+    spread over several."""
+    (_by_range(orders.withColumn("status", F.lit("pending")), files, "tenant_id", "created_at")
      .write.mode("overwrite").option("partitionOverwriteMode", "static")
      .partitionBy("tenant_id").parquet(f"{path.rstrip('/')}/batch_id={batch_id}"))
 
 
 # --------------------------------------------------------------------- S-05
 def tenant_layout(df: DataFrame, path: str, sort_cols=("created_at",), month_col: str | None = None,
-                  files: int = 200, max_records: int = 5_000_000) -> None:
+                  files: int | None = None, max_records: int = 5_000_000) -> None:
     """One directory per tenant (the reference's per-tenant tables, done as
     partitions): a tenant filter on read becomes partition pruning, and rows
     sorted by time within files give tight min/max statistics.
@@ -91,14 +95,14 @@ def tenant_layout(df: DataFrame, path: str, sort_cols=("created_at",), month_col
     the time partitioning the platform claims for its transactions. A filter
     on ``month`` then prunes whole months as well.
 
-    Rows go to ``files`` tasks by range of (tenant, month, sort columns), so a
-    dominant tenant is cut into several files instead of being one task, and
-    small tenants share a task."""
+    Rows go to tasks (``files``, or the session's shuffle partitions) by range
+    of (tenant, month, sort columns), so a dominant tenant is cut into several
+    files instead of being one task, and small tenants share a task."""
     parts = ["tenant_id"]
     if month_col is not None:
         df = df.withColumn("month", F.date_format(F.col(month_col), "yyyy-MM"))
         parts.append("month")
-    (df.repartitionByRange(files, *parts, *sort_cols).sortWithinPartitions(*parts, *sort_cols)
+    (_by_range(df, files, *parts, *sort_cols).sortWithinPartitions(*parts, *sort_cols)
      .write.mode("overwrite").option("partitionOverwriteMode", "static")
      .option("maxRecordsPerFile", max_records).partitionBy(*parts).parquet(path))
 
