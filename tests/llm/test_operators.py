@@ -129,6 +129,17 @@ def test_quality_rules_small_groups_and_empty_table(docs):
     assert quality_rules(docs([])).count() == 0
 
 
+@pytest.mark.parametrize("near", [False, True])
+def test_quality_rules_copies_do_not_reject_the_rest(docs, near):
+    r = np.random.default_rng(7)
+    words = ["".join(r.choice(list("etaoinsh"), int(r.integers(2, 8)))) for _ in range(400)]
+    rows = [(i, " ".join(r.choice(words, int(r.integers(60, 200)))), "en", "s0") for i in range(200)]
+    text = " ".join(r.choice(words, 700))
+    copies = [(1000 + i, text + (f" {words[i % 400]}" if near else ""), "en", "s0") for i in range(800)]
+    got = {x.doc_id: x.kept for x in quality_rules(docs(rows + copies)).collect()}
+    assert sum(got[i] for i in range(200)) >= 199 and all(got[1000 + i] for i in range(800))
+
+
 def test_token_files_round_trip(spark, docs, enc, texts):
     rows = [(k, t) for k, t in texts.items()]
     df = documents(spark, SF).repartition(7)
