@@ -129,6 +129,18 @@ def test_quality_rules_small_groups_and_empty_table(docs):
     assert quality_rules(docs([])).count() == 0
 
 
+def test_quality_rules_null_source_is_a_group_of_its_own(docs):
+    r = np.random.default_rng(8)
+    words = ["".join(r.choice(list("etaoinsh"), int(r.integers(2, 8)))) for _ in range(400)]
+    rows = [(i, " ".join(r.choice(words, int(r.integers(60, 200)))), "en", None) for i in range(150)]
+    other = [(1000 + i, " ".join(w + "###" for w in r.choice(words, 100 + i % 99)), "en", "s0") for i in range(300)]
+
+    def verdict(given):
+        return {x.doc_id: (x.distance, x.kept) for x in quality_rules(docs(given)).collect() if x.doc_id < 1000}
+
+    assert verdict(rows + other) == verdict(rows)
+
+
 @pytest.mark.parametrize("near", [False, True])
 def test_quality_rules_copies_do_not_reject_the_rest(docs, near):
     r = np.random.default_rng(7)
