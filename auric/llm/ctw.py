@@ -47,7 +47,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from .common import kind_of, stage, text_of, to_bytes
+from .common import drop_stage, kind_of, stage, text_of, to_bytes
 
 FOLDS, HELD = 7, 2  # fixed values of the split
 GRAM, WORD = 0, 1
@@ -216,17 +216,21 @@ def tree(grams: DataFrame, depth: int) -> DataFrame:
 
     # Top down: probability of a one = sure + open * (mixture of the deeper nodes).
     now = levels[0].select("node", (F.col("own") * F.col("kt")).alias("sure"), (1 - F.col("own")).alias("open"))
+    last = levels[0]
     for d in range(1, depth + 1):
         up = now.select(F.col("node").alias("up"), "sure", "open")
         parent = F.col("node").bitwiseAND(F.lit((1 << (8 * d)) - 1))
         now = stage(levels[d].join(up, parent == up.up).select(
             "node", (F.col("sure") + F.col("open") * F.col("own") * F.col("kt")).alias("sure"),
             (F.col("open") * (1 - F.col("own"))).alias("open")), "ctw-down")
+        drop_stage(last)
+        drop_stage(levels[d])
+        last = now
     p = F.when(F.col("bit") == 1, F.col("sure")).otherwise(1 - F.col("sure"))
     return bits.join(now, "node").groupBy("key").agg(F.sum(F.log10(p)).alias("value"))
 
 
-def ctw_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 3,
+def ctw_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 6,
                block_bytes: int = 1 << 23) -> DataFrame:
     """One row per input row: id, held_out, n_tokens, n_known, train_tokens,
     base_score, score, n_bytes, bits_per_byte (of bytes and end)."""

@@ -355,6 +355,14 @@ def test_context_tree_scores(spark, docs):
     assert ctw.ctw_scores(docs([])).count() == 0
 
 
+def test_context_tree_learns_six_bytes(docs):
+    """A byte that only the context six before it decides."""
+    rows = [(i, "xabcde1 yabcde2 " * 3) for i in range(8)]
+    want = brute_ctw([t.encode() for i, t in rows if not held(i)], 6)
+    got = ctw.ctw_scores(docs(rows)).collect()
+    assert len(got) == 8 and all(abs(r.score - want(rows[0][1].encode())) < 1e-6 for r in got)
+
+
 def brute_removed(rows, threshold):
     seen, out = set(), {}
     for k, t in sorted(rows):
