@@ -4,8 +4,8 @@
 
 Rows are identified by ``doc_id``. Defined results: the first stage gives a
 row without an id one of its own (negative, from a hash of the row), and the
-exact dedup leaves one row per id, the longest text. Null texts count as
-empty and go in the first stage (no words). Extra columns are kept; an empty
+exact dedup gives different texts with one id ids of their own (the longest
+keeps it; the others' are negative, from a hash). Null texts count as empty and go in the first stage (no words). Extra columns are kept; an empty
 table passes through every stage.
 """
 
@@ -15,8 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from auric.llm.common import documents, stage
-from auric.llm.exact_dedup import exact_dedup
+from auric.llm.common import documents, stage, text_of
+from auric.llm.exact_dedup import SPACE_CLASS, exact_dedup
 from auric.llm.mixing import cut_copies, mix
 from auric.llm.packing import pack_documents
 from auric.llm.quality_rules import quality_rules
@@ -47,11 +47,18 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts stays, one row per id."""
-    kept = stage(exact_dedup(docs), "pipeline-exact").where("kept").select("doc_id").distinct()
-    longest = W.partitionBy("doc_id").orderBy(F.length("text").desc(), F.col("text"))
-    return docs.join(kept, "doc_id", "left_semi").withColumn("__n", F.row_number().over(longest)).where(
-        "__n = 1").select(docs.columns)
+    """One document of each group of equal texts stays. Of different texts with
+    one id the longest keeps it; the others get ids of their own."""
+    kept = stage(exact_dedup(docs), "pipeline-exact").where("kept").select(
+        "doc_id", F.col("text_sha256").alias("__sha")).distinct()
+    norm = F.regexp_replace(text_of("text"), SPACE_CLASS + "+", "")
+    rows = docs.withColumn("__sha", F.sha2(norm, 256)).join(kept, ["doc_id", "__sha"], "left_semi")
+    order = [F.length("text").desc(), F.col("text")]
+    rows = rows.withColumn("__n", F.row_number().over(W.partitionBy("doc_id", "__sha").orderBy(*order))).where("__n = 1")
+    first = F.row_number().over(W.partitionBy("doc_id").orderBy(*order)) == 1
+    new_id = -1 - F.shiftrightunsigned(F.xxhash64("doc_id", "__sha"), 2)
+    return rows.withColumn("__first", first).withColumn(
+        "doc_id", F.when(F.col("__first"), F.col("doc_id")).otherwise(new_id)).select(docs.columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -92,3 +92,12 @@ def test_odd_rows_and_empty_tables(spark, docs):
     for name, step in cp.STAGES:
         now = stage(step(spark, now, ""), "t")
         assert now.count() == 0
+
+
+def test_exact_keeps_different_texts_with_one_id(spark, docs):
+    rows = [(1, "one text"), (1, "another text, longer"), (2, "another  text,  longer "), (3, "third")]
+    got = stage(cp.exact(spark, docs(rows), ""), "t").collect()
+    assert sorted(r.text for r in got) == ["another  text,  longer ", "one text", "third"]
+    rows = [(1, "one text"), (1, "another text, longer")]
+    got = {r.text: r.doc_id for r in stage(cp.exact(spark, docs(rows), ""), "t").collect()}
+    assert got["another text, longer"] == 1 and got["one text"] < 0
