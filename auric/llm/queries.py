@@ -11,6 +11,7 @@ from .ctw import ctw_scores
 from .exact_dedup import exact_dedup
 from .mixing import mix
 from .packing import pack_documents
+from .piece_merges import decode, encode
 from .quality_rules import quality_rules
 from .secret_scan import secret_spans
 from .simhash import simhash_classes
@@ -82,9 +83,22 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op11_piece_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    out = decode(encode(documents(spark, sf_dir), path, check=True), path, check=True)
+    return out.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("text", 256).alias("decoded_sha256"),
+        (F.col("ids_agree") & F.col("text_agrees")).alias("library_agrees"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_secret_scan, op2_token_files, op3_mixing, op4_simhash, op5_quality_rules, op6_token_counts,
-    op7_packing, op8_context_tree, op9_exact_dedup, op10_suffix_dedup)}
+    op7_packing, op8_context_tree, op9_exact_dedup, op10_suffix_dedup,
+    op11_piece_merges)}
 
 ORACLES = {
     "op9_exact_dedup": r"""
