@@ -6,7 +6,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bloom_search import search
 from .common import documents, shared_path
+from .conversation_repair import damage, repair_parts, summaries
 from .ctw import ctw_scores
 from .exact_dedup import exact_dedup
 from .mixing import mix
@@ -95,12 +97,46 @@ def op11_piece_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("ids_agree") & F.col("text_agrees")).alias("library_agrees"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, copies = damage(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return summaries(repair_parts(rows, copies=copies)).withColumnRenamed("conv", "conv_id")
+
+
+def op13_bloom_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_secret_scan, op2_token_files, op3_mixing, op4_simhash, op5_quality_rules, op6_token_counts,
     op7_packing, op8_context_tree, op9_exact_dedup, op10_suffix_dedup,
-    op11_piece_merges)}
+    op11_piece_merges, op12_conversation_repair, op13_bloom_search)}
+
+_TERMS = (r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+          r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')")
 
 ORACLES = {
+    "op13_bloom_search": f"""
+        WITH terms AS (
+            SELECT r, doc_id, unnest({_TERMS}) AS term
+            FROM (SELECT row_number() OVER () AS r, doc_id, text FROM documents)),
+        counts AS (SELECT r, doc_id, term, count(*) AS tf FROM terms GROUP BY ALL),
+        docs AS (SELECT r, sum(tf)::BIGINT AS n FROM counts GROUP BY r),
+        total AS (SELECT count(*) AS n_docs, sum(n)::BIGINT AS n_terms FROM docs),
+        wanted AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark),
+        weights AS (
+            SELECT term, floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1)))::BIGINT AS w
+            FROM counts, total WHERE term IN (SELECT term FROM wanted) GROUP BY term, n_docs),
+        scores AS (
+            SELECT item_id, r, doc_id,
+                   sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // n_terms))))::BIGINT AS score
+            FROM wanted JOIN weights USING (term) JOIN counts USING (term) JOIN docs USING (r), total
+            GROUP BY item_id, r, doc_id),
+        ranked AS (
+            SELECT item_id, doc_id, score,
+                   row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank
+            FROM scores WHERE score > 0)
+        SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+    """,
     "op9_exact_dedup": r"""
         WITH t AS (
             SELECT doc_id, length(coalesce(text, '')) AS n_cp,
