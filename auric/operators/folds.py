@@ -4,11 +4,12 @@ A refused sell (or a refused request) changes no state, so later outcomes
 depend on every earlier decision; no window expression or monoid summary
 captures that. Spark still does all the distribution work: the rows are
 hash-partitioned by key and sorted within partitions by the total order, and
-``mapInPandas`` streams each partition through a small fold in Arrow batches.
-State is one scalar per key and is carried across batch boundaries, so a key
-of any size — even a third of the table — is folded in bounded memory; no key
-is ever collected into an array, a pandas group, or the driver.
+a small fold streams over each partition in Arrow batches. State is one scalar
+per key and is carried across batch boundaries; no key is ever collected into an
+array, a pandas group, or the driver. What needs no walk is kept out of it:
 
+The sell gate is bounded from below by the clamped replay, so most (key, day)
+chunks are admitted whole and only the others are walked (:func:`sell_gate`).
 The leaky bucket splits further: after a gap of (burst + 1) / rate between two
 requests the bucket is empty whatever came before, so every such gap starts a
 session that is folded on its own, and a client is spread over its sessions.
@@ -18,11 +19,14 @@ from __future__ import annotations
 
 from decimal import Decimal
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from .holdings import chunk_of
+
 UNITS = 10 ** 8  # decimal(20,8) quantities as exact integer units
 UNIT = Decimal("0.00000001")
 WIDE = "decimal(38,0)"
@@ -33,66 +37,121 @@ def _sorted_by_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFram
 
 
 # --------------------------------------------------------------------- K-02
-def _sell_gate_fold(batches):
+def _gate_walk_fold(batches):
+    """Walk each key's unsafe rows in order; a safe chunk is one row that adds its sum."""
     cur_key, bal = None, 0
-    for pdf in batches:
-        keys = list(zip(pdf["tenant_id"].tolist(), pdf["user_id"].tolist(), pdf["asset_type"].tolist()))
-        qs = list(map(int, pdf["q_units"]))  # exact whole units of any size
-        starts = list(map(int, pdf["start_units"]))
-        buys = (pdf["transaction_type"] == "BUY").tolist()
+    for b in batches:
         admitted, after = [], []
-        for k, q, is_buy, b0 in zip(keys, qs, buys, starts):
+        rows = (b.column(c).to_pylist() for c in ("_id", "_kind", "q_units", "start_units"))
+        for k, kind, q, start in zip(*rows):
+            q = int(q)
             if k != cur_key:
-                cur_key, bal = k, b0
-            if is_buy:
-                bal += q
-                admitted.append(True)
-            elif bal > 0 and bal >= q:  # holding present and large enough; equal allowed
-                bal -= q
+                cur_key, bal = k, int(start)
+            if kind == "CHUNK":  # admitted whole: its balance at the start, then its sum
                 admitted.append(True)
-            else:
-                admitted.append(False)
-            after.append(bal)
-        out = pdf.drop(columns=["q_units", "start_units"])
-        out["admitted"] = admitted
-        out["bal_units"] = list(map(Decimal, after))
-        yield out
+                after.append(Decimal(bal))
+                bal += q
+                continue
+            ok = kind == "BUY" or (bal > 0 and bal >= q)  # a holding is there and large enough; equal allowed
+            if ok:
+                bal += q if kind == "BUY" else -q
+            admitted.append(ok)
+            after.append(Decimal(bal))
+        yield pa.RecordBatch.from_arrays(
+            [*b.columns, pa.array(admitted, pa.bool_()), pa.array(after, pa.decimal128(38, 0))],
+            [*b.schema.names, "admitted", "bal_units"])
 
 
-def sell_gate(tx: DataFrame, key=("tenant_id", "user_id", "asset_type"), order=None,
-              snapshot: DataFrame | None = None) -> DataFrame:
-    """Replay completed BUY/SELL requests in total order; a SELL is admitted
-    iff a holding exists and covers the quantity. Returns every request with
-    ``admitted`` and the ``balance`` after it.
-
-    One key's replay is sequential by nature (see module doc). ``snapshot``
-    (key…, balance) bounds the work: each key's fold starts from its stored
-    balance, so ``tx`` need only hold the rows after the snapshot."""
-    from ..sources.fixtures import TX_ORDER
-    order = list(order or [c for c in TX_ORDER if c not in key])
+def _gate_parts(tx: DataFrame, key, order, snapshot: DataFrame | None, chunk: str):
+    """Rows with their running sum inside the chunk, and the walk's result: a row
+    per unsafe request and one per safe chunk (kind CHUNK). A key with NULL
+    parts is a key; ``_key`` holds all parts, so it joins without being split."""
     ev = tx.filter((F.col("status") == "completed") & F.col("transaction_type").isin("BUY", "SELL"))
     cols = list(dict.fromkeys([*key, *order, "transaction_type", "quantity"]))
-    ev = ev.select(*cols, (F.col("quantity") * F.lit(UNITS)).cast(WIDE).alias("q_units"))
+    units = (F.col("quantity") * F.lit(UNITS)).cast(WIDE)
+    ev = ev.select(F.struct(*key).alias("_key"), chunk_of(chunk).alias("_chunk"), *cols, units.alias("q_units"))
+    zero, one = F.lit(0).cast(WIDE), F.lit(1).cast(WIDE)
+    part = Window.partitionBy("_key", "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    is_buy = F.col("transaction_type") == "BUY"
+    rows = ev.withColumn("dq", F.when(is_buy, F.col("q_units")).otherwise(-F.col("q_units")))
+    rows = rows.withColumn("ls", F.sum("dq").over(part).cast(WIDE))
+    # What a sell needs at the chunk's start if all before it in the chunk pass.
+    need = F.when(~is_buy, F.greatest(F.col("q_units"), one) - (F.col("ls") - F.col("dq")))
+    chunks = rows.groupBy("_key", "_chunk").agg(
+        F.sum("dq").cast(WIDE).alias("csum"), F.min("ls").alias("cmin"), F.max(need).cast(WIDE).alias("need"),
+        F.min("q_units").alias("least"))
     if snapshot is not None:
-        snap = snapshot.select(*key, (F.col("balance") * F.lit(UNITS)).cast(WIDE).alias("start_units"))
-        ev = ev.join(snap, list(key), "left")
-        ev = ev.withColumn("start_units", F.coalesce(F.col("start_units"), F.lit(0).cast(WIDE)))
+        start = (F.col("balance") * F.lit(UNITS)).cast(WIDE)
+        snap = snapshot.select(F.struct(*key).alias("_key"), start.alias("start_units"))
+        chunks = chunks.join(snap, "_key", "left").withColumn("start_units", F.coalesce("start_units", zero))
     else:
-        ev = ev.withColumn("start_units", F.lit(0).cast(WIDE))
-    ev = ev.select(*cols, "q_units", "start_units")
-    schema = (ev.drop("q_units", "start_units").schema.add("admitted", T.BooleanType())
-              .add("bal_units", T.DecimalType(38, 0)))
-    folded = _sorted_by_key(ev, list(key), order).mapInPandas(_sell_gate_fold, schema)
-    bal = (F.col("bal_units").cast("decimal(30,0)") * F.lit(UNIT)).cast("decimal(20,8)")
-    return folded.select(*cols, "admitted", bal.alias("balance"))
+        chunks = chunks.withColumn("start_units", zero)
+    whole = Window.partitionBy("_key")
+    before = whole.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    chunks = chunks.withColumn("offset", (F.col("start_units") + F.coalesce(F.sum("csum").over(before), zero)).cast(WIDE))
+    # The clamped balance of the replay that refuses nothing: never above the gate's.
+    lowest = F.min((F.col("offset") + F.col("cmin")).cast(WIDE)).over(before)
+    bound = F.col("offset") - F.least(zero, F.coalesce(lowest, zero))
+    safe = (F.coalesce(F.col("need") <= bound, F.lit(True))) & (F.min("least").over(whole) >= 0)
+    chunks = chunks.select("_key", "_chunk", "csum", "start_units", safe.alias("safe"))
+    given = [c for c in cols if c not in key]
+    walk_in = [*key, "_chunk", *given, "q_units", "_kind", "start_units"]
+    unsafe = (rows.join(chunks.filter(~F.col("safe")), ["_key", "_chunk"])
+              .withColumn("_kind", F.col("transaction_type")).select(*walk_in))
+    kinds = {f.name: f.dataType for f in rows.schema}
+    bridges = chunks.filter("safe").select(
+        *[F.col("_key")[c].alias(c) for c in key], "_chunk", *[F.lit(None).cast(kinds[c]).alias(c) for c in given],
+        F.col("csum").alias("q_units"), F.lit("CHUNK").alias("_kind"), "start_units")
+    walk = unsafe.unionByName(bridges).withColumn("_id", F.to_json(F.struct(*key), {"ignoreNullFields": "false"}))
+    schema = walk.schema.add("admitted", T.BooleanType()).add("bal_units", T.DecimalType(38, 0))
+    return rows, _sorted_by_key(walk, list(key), ["_chunk", *order]).mapInArrow(_gate_walk_fold, schema), cols
+
 
+def _units_balance(c: Column) -> Column:
+    return (c.cast("decimal(28,0)") * F.lit(UNIT)).cast("decimal(20,8)")  # 28 digits keep the last place
 
-def sell_gate_final(gated: DataFrame, key=("tenant_id", "user_id", "asset_type")) -> DataFrame:
-    """Per key: final balance and number of refused sells (partial aggregate)."""
+
+def _gate_order(key, order):
     from ..sources.fixtures import TX_ORDER
-    o = F.struct(*[c for c in TX_ORDER if c not in key])
-    return gated.groupBy(*key).agg(F.max_by("balance", o).alias("final_balance"),
-                                   F.count(F.when(~F.col("admitted"), 1)).alias("n_rejected"))
+    return list(order or [c for c in TX_ORDER if c not in key])
+
+
+def sell_gate(tx: DataFrame, key=("tenant_id", "user_id", "asset_type"), order=None,
+              snapshot: DataFrame | None = None, chunk: str = "day") -> DataFrame:
+    """Replay completed BUY/SELL requests in total order; a SELL is admitted
+    iff a holding exists and covers the quantity. Returns every request with
+    ``admitted`` and the ``balance`` after it.
+
+    *Bound and walk.* A replay that clamps at zero instead of refusing never
+    holds more than the gate (by induction over the rows, for quantities that
+    are not negative), and it has a closed form over (key, chunk) summaries. A
+    chunk whose greatest need that bound covers is admitted whole, and only one
+    row of it, its sum, enters the walk; the requests of the other chunks are
+    walked in order. A hot key's rows thus lie in a task per chunk, and its walk
+    sees the chunks that may refuse. A key with a negative quantity is walked whole.
+
+    ``snapshot`` (key…, balance) starts each key from its stored balance, so
+    ``tx`` need only hold the rows after the snapshot. NULL key parts are values."""
+    order = _gate_order(key, order)
+    rows, walked, cols = _gate_parts(tx, key, order, snapshot, chunk)
+    out = [*cols, "admitted", "balance"]
+    slow = walked.filter(F.col("_kind") != "CHUNK").withColumn("balance", _units_balance(F.col("bal_units"))).select(*out)
+    starts = walked.filter(F.col("_kind") == "CHUNK").select(F.struct(*key).alias("_key"), "_chunk", "bal_units")
+    fast = (rows.join(starts, ["_key", "_chunk"]).withColumn("admitted", F.lit(True))
+            .withColumn("balance", _units_balance(F.col("bal_units") + F.col("ls"))).select(*out))
+    return fast.unionByName(slow)
+
+
+def sell_gate_final(tx: DataFrame, key=("tenant_id", "user_id", "asset_type"), order=None,
+                    snapshot: DataFrame | None = None, chunk: str = "day") -> DataFrame:
+    """Per key: final balance and number of refused sells, from the walk alone;
+    the rows of safe chunks are never joined back."""
+    order = _gate_order(key, order)
+    _, walked, _ = _gate_parts(tx, key, order, snapshot, chunk)
+    after = F.when(F.col("_kind") == "CHUNK", F.col("bal_units") + F.col("q_units")).otherwise(F.col("bal_units"))
+    o = F.struct("_chunk", *order)
+    g = walked.groupBy(*key).agg(F.max_by(after, o).alias("b"), F.count(F.when(~F.col("admitted"), 1)).alias("n_rejected"))
+    return g.select(*key, _units_balance(F.col("b")).alias("final_balance"), "n_rejected")
 
 
 # --------------------------------------------------------------------- W-03

@@ -64,7 +64,7 @@ def ledger_balances(tx: DataFrame, chunk: str = "day", extra=(), initial: DataFr
     extra = list(extra)
     ev = _trades(tx).select(*TX_KEY, *[c for c in TX_ORDER if c not in TX_KEY], *extra,
                             _signed().alias("dq"))
-    ev = ev.withColumn("chunk", _chunk_of(chunk))
+    ev = ev.withColumn("chunk", chunk_of(chunk))
     wl = (Window.partitionBy(*TX_KEY, "chunk").orderBy(*TX_ORDER)
           .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     ev = ev.withColumn("ls", F.sum("dq").over(wl).cast(RUN))
@@ -79,7 +79,7 @@ def ledger_balances(tx: DataFrame, chunk: str = "day", extra=(), initial: DataFr
                     bal.alias("balance"))
 
 
-def _chunk_of(chunk: str) -> Column:
+def chunk_of(chunk: str) -> Column:
     """Chunk of a ledger row; rows without a time sort first, in a chunk of their own."""
     c = time_chunk(F.col("created_at"), chunk)
     return F.coalesce(c, F.lit("0001-01-01").cast("timestamp_ntz" if chunk == "hour" else "date"))
@@ -117,7 +117,7 @@ def chunk_summary(tx: DataFrame, chunk: str = "day") -> DataFrame:
     zero balance depends on earlier chunks only through (offset, minimum), so
     the rows themselves are never joined back: the ledger is shuffled once."""
     ev = _trades(tx).select(*TX_KEY, *[c for c in TX_ORDER if c not in TX_KEY], _signed().alias("dq"))
-    ev = ev.withColumn("chunk", _chunk_of(chunk))
+    ev = ev.withColumn("chunk", chunk_of(chunk))
     whole = Window.partitionBy(*TX_KEY, "chunk")
     upto = whole.orderBy(*TX_ORDER).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     o = F.struct(*TX_ORDER)

@@ -280,7 +280,7 @@ SELECT g.tenant_id, g.user_id, g.asset_type, {D("max_by(g.bal, g.rn)")} AS final
        COUNT(*) FILTER (WHERE NOT g.admitted) AS n_rejected
 FROM gate_walk g GROUP BY g.tenant_id, g.user_id, g.asset_type"""))
 def _k02b(fx):
-    return folds.sell_gate_final(folds.sell_gate(fx.tx))
+    return folds.sell_gate_final(fx.tx)
 
 
 @register("settle_orders", "K-03", W(["tx", "payments"], f"""

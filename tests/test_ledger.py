@@ -102,7 +102,7 @@ def test_property_replays_match_models(spark, rows):
     assert all(v >= 0 for v in got.values())
     gate = replay_gate(ev)
     fin = {(r.tenant_id, r.user_id, r.asset_type): r.final_balance
-           for r in folds.sell_gate_final(folds.sell_gate(tx)).collect()}
+           for r in folds.sell_gate_final(tx).collect()}
     assert fin == {k: v[0] for k, v in gate.items()}
 
 
@@ -176,9 +176,8 @@ def test_sell_gate_snapshot_plus_delta_equals_full(spark, fx_small):
     """K-02 started from stored balances over later rows equals the full replay."""
     tx = fx_small.tx
     cut = F.lit("1999-01-01 00:00:00").cast("timestamp_ntz")
-    early = folds.sell_gate(tx.filter(F.col("created_at") < cut))
-    snap = folds.sell_gate_final(early).select("tenant_id", "user_id", "asset_type",
-                                               F.col("final_balance").alias("balance"))
+    snap = folds.sell_gate_final(tx.filter(F.col("created_at") < cut)).select(
+        "tenant_id", "user_id", "asset_type", F.col("final_balance").alias("balance"))
     late = folds.sell_gate(tx.filter(F.col("created_at") >= cut), snapshot=snap)
     full = folds.sell_gate(tx).filter(F.col("created_at") >= cut)
     key = lambda r: (r.order_id, r.line_no, r.partkey, r.suppkey, r.admitted, r.balance)
@@ -214,6 +213,85 @@ def test_null_keys_are_keys_of_their_own(spark):
     assert H.ledger_balances(tx).count() == 3
 
 
+def gate_ledgers(n_keys, seed):
+    """Many short ledgers over a few days: quiet ones, ones that sell too much, zero quantities."""
+    r = random.Random(seed)
+    rows = []
+    for user in range(n_keys):
+        greedy = r.choice([0.1, 0.4, 0.8])
+        for _ in range(r.randint(1, 14)):
+            typ = "SELL" if r.random() < greedy else "BUY"
+            rows.append((user, "GOLD", r.randint(0, 4 * 1440), typ, r.choice([0, 1, 2, 3, 5, 8, "0.00000001", 40])))
+    return rows
+
+
+def test_sell_gate_equals_the_walk_on_10000_ledgers(spark):
+    rows = gate_ledgers(10_000, 21)
+    tx = make_tx(spark, rows)
+    want = replay_gate_fast(model_events(rows))
+    got = {}
+    for r in folds.sell_gate(tx).collect():
+        got.setdefault((r.tenant_id, r.user_id, r.asset_type), []).append((r.created_at, r.order_id, r.admitted, r.balance))
+    assert {k: ([x[2] for x in sorted(v)], max(v)[3]) for k, v in got.items()} == {k: (v[1], v[0]) for k, v in want.items()}
+    final = {(r.tenant_id, r.user_id, r.asset_type): (r.final_balance, r.n_rejected)
+             for r in folds.sell_gate_final(tx).collect()}
+    assert final == {k: (v[0], v[1].count(False)) for k, v in want.items()}
+
+
+def replay_gate_fast(events):
+    """replay_gate over a dictionary of sorted keys."""
+    by_key = {}
+    for e in events:
+        by_key.setdefault(e[0], []).append(e)
+    return {k: replay_gate(v)[k] for k, v in by_key.items()}
+
+
+def hot_ledger(days=120, per_day=40):
+    """One key with most rows: every fifteenth day it tries to sell more than it holds."""
+    r, rows = random.Random(8), []
+    for day in range(days):
+        for i in range(per_day):
+            typ, q = ("BUY", 10) if i % 3 else ("SELL", r.randint(1, 9))
+            if day % 15 == 14 and i == 7:
+                typ, q = "SELL", 10 ** 6
+            rows.append((1, "GOLD", day * 1440 + i * 30, typ, q))
+    return rows
+
+
+def test_sell_gate_hot_key_lies_in_many_tasks_and_walks_few_rows(spark):
+    rows = hot_ledger()
+    tx = make_tx(spark, rows)
+    key, order = ("tenant_id", "user_id", "asset_type"), ["created_at", "order_id"]
+    _, walked, _ = folds._gate_parts(tx, key, order, None, "day")
+    kinds = {r["_kind"]: r["count"] for r in walked.groupBy("_kind").count().collect()}
+    # The first day (it begins with a sell) and the eight with a great sell are walked, the others are a row each.
+    assert kinds["CHUNK"] == 111 and sum(kinds.values()) == 111 + 9 * 40
+    # Without coalescing, the rows of the one key lie in many tasks.
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        gated = folds.sell_gate(tx).withColumn("task", F.spark_partition_id())
+        assert gated.select("task").distinct().count() >= 6
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    want = replay_gate(model_events(rows))[(1, 1, "GOLD")]
+    got = folds.sell_gate(tx).orderBy("created_at", "order_id").collect()
+    assert [r.admitted for r in got] == want[1] and got[-1].balance == want[0]
+
+
+def test_sell_gate_null_key_parts_and_negative_quantities(spark):
+    rows = [(1, "GOLD", 0, "BUY", 5), (1, "GOLD", 1500, "SELL", 7), (1, "GOLD", 3000, "SELL", 5)]
+    tx = make_tx(spark, rows).withColumn("user_id", F.lit(None).cast("long"))
+    got = folds.sell_gate(tx).orderBy("created_at").collect()
+    assert [(r.user_id, r.admitted, r.balance) for r in got] == [(None, True, 5), (None, False, 5), (None, True, 0)]
+    snap = spark.createDataFrame([(1, None, "GOLD", Decimal(2))], "tenant_id long, user_id long, asset_type string, balance decimal(20,8)")
+    assert [r.admitted for r in folds.sell_gate(tx, snapshot=snap).orderBy("created_at").collect()] == [True, True, False]
+    # A correction that lowers the balance breaks the bound: such a key is walked whole.
+    rows = [(1, "GOLD", 0, "BUY", 5), (1, "GOLD", 10, "SELL", 9), (1, "GOLD", 1500, "BUY", -4), (1, "GOLD", 3000, "SELL", 2)]
+    assert [r.admitted for r in folds.sell_gate(make_tx(spark, rows)).orderBy("created_at").collect()] == [True, False, True, False]
+
+
 def test_sell_gate_takes_quantities_of_any_size(spark):
     tx = make_tx(spark, [(1, "GOLD", 0, "BUY", 10 ** 11), (1, "GOLD", 1, "SELL", 10 ** 11)])
     assert [r.balance for r in folds.sell_gate(tx).orderBy("created_at").collect()] == [Decimal(10 ** 11), Decimal(0)]
