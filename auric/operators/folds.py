@@ -188,13 +188,13 @@ def _bucket_fold(rate_num: int, rate_den_us: int, burst_units: int):
     return fold
 
 
-def _fraction(rate) -> tuple[int, int]:
+def fraction(rate) -> tuple[int, int]:
     return (int(rate[0]), int(rate[1])) if isinstance(rate, tuple) else Decimal(str(rate)).as_integer_ratio()
 
 
 def idle_us(rate, burst: int) -> int:
     """Microseconds without a request after which a bucket is empty for certain."""
-    a, b = _fraction(rate)
+    a, b = fraction(rate)
     return -(-(int(burst) + 1) * b * 1_000_000 // a)
 
 
@@ -233,7 +233,7 @@ def leaky_bucket(requests: DataFrame, rate, burst: int,
     ``snapshot`` (client, excess_scaled, last_us), e.g. from
     :func:`bucket_state`, starts each client from its stored state so that
     ``requests`` need only hold the newer rows (snapshot + delta)."""
-    a, b = _fraction(rate)
+    a, b = fraction(rate)
     rate_num, rate_den_us = a, b * 1_000_000  # requests per microsecond = num / den
     burst_units = int(burst) * rate_den_us
     ev = requests.select(F.col(client_col).alias("client"), *[c for c in order],

@@ -4,7 +4,9 @@ Conventions shared by every job:
 
 * Event time arrives as ``TIMESTAMP_NTZ``; ``withWatermark`` refuses NTZ, so
   it is cast to ``TIMESTAMP`` (session zone pinned to UTC) first.
-* Late data: 10-minute watermark by default; rows later than that are dropped.
+* Late data: 10-minute watermark by default. The windowed streams on Spark's own
+  state drop rows later than that; :func:`windowed_writer` sets them aside and
+  counts them. W-03 and W-05 keep state per key (:mod:`auric.streaming.keyed`).
 * Sinks are upserts by key written through ``foreachBatch`` as a changelog
   with one ``batch_id=N`` directory per micro-batch; the current table is the
   latest row per key (:func:`latest_by_key`). A batch overwrites its own
@@ -19,14 +21,11 @@ from __future__ import annotations
 import os
 from typing import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from ..operators import compliance as M
-from ..operators import folds
-from ..operators import holdings as H
 from ..session import checkpoint_dir
 
 WATERMARK = "10 minutes"
@@ -58,39 +57,33 @@ def changelog_writer(path: str):
     return write
 
 
-def latest_by_key(spark: SparkSession, path: str, keys: Iterable[str]) -> DataFrame:
-    """Current state of an upsert changelog: last batch's row per key."""
+def _newest(log: DataFrame, keys: Iterable[str]) -> DataFrame:
+    keys = list(keys)
+    rest = [c for c in log.columns if c not in (*keys, "batch_id")]
+    r = log.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch_id").alias("r"))
+    return r.select(*[c if c in keys else F.col("r")[c].alias(c) for c in log.columns if c != "batch_id"])
+
+
+def latest_by_key(spark: SparkSession, path: str, keys: Iterable[str], base: str | None = None) -> DataFrame:
+    """Current state of an upsert changelog: last batch's row per key (a partial
+    aggregate, no window over the log). With ``base``, a snapshot made by
+    :func:`compact_changelog`, only the batches after it are read from the log."""
     log = spark.read.parquet(path)
-    w = Window.partitionBy(*keys).orderBy(F.col("batch_id").desc())
-    return log.withColumn("_rk", F.row_number().over(w)).filter("_rk = 1").drop("_rk", "batch_id")
+    if base is not None:
+        folded = spark.read.parquet(base)
+        upto = folded.agg(F.max("batch_id")).first()[0]  # one number; a partition value
+        log = log.filter(F.col("batch_id") > upto).unionByName(folded.filter(F.col("batch_id") == upto))
+    return _newest(log, keys)
 
 
 def compact_changelog(spark: SparkSession, path: str, keys: Iterable[str], upto_batch: int, out: str) -> None:
     """Fold a changelog's batches ≤ ``upto_batch`` into one base snapshot at
-    ``out`` (one row per key, tagged with ``upto_batch`` as its batch id).
-    Readers then take the latest row per key over the base plus newer
-    batches, so each read stays proportional to the live keys, not to the
-    number of triggers. The write goes to a new location; the old log stays
-    until the caller switches over, so a failure midway loses nothing."""
+    ``out`` (one row per key, tagged with ``upto_batch`` as its batch id), for
+    ``latest_by_key(…, base=out)``: each read stays proportional to the live
+    keys, not to the number of triggers. The write goes to a new location; the
+    old log stays, so a failure midway loses nothing."""
     log = spark.read.parquet(path).filter(F.col("batch_id") <= upto_batch)
-    w = Window.partitionBy(*keys).orderBy(F.col("batch_id").desc())
-    base = log.withColumn("_rk", F.row_number().over(w)).filter("_rk = 1").drop("_rk", "batch_id")
-    base.write.mode("overwrite").parquet(_batch_dir(out, upto_batch))
-
-
-def _read_state(spark: SparkSession, path: str, batch_id: int, schema: T.StructType) -> DataFrame:
-    """The state that batch ``batch_id`` starts from: the version its predecessor
-    wrote, and nothing else. Batch 0 starts empty; for any later batch a version
-    that is missing or cannot be read is an error, never an empty state."""
-    if batch_id == 0:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{path.rstrip('/')}/version={batch_id - 1}")
-
-
-def _write_state(state: DataFrame, path: str, batch_id: int) -> None:
-    """Commit the state after a batch as its own version; a replay replaces it.
-    Versions before the last two may be removed at any time."""
-    state.write.mode("overwrite").parquet(f"{path.rstrip('/')}/version={batch_id}")
+    _newest(log, keys).write.mode("overwrite").parquet(_batch_dir(out, upto_batch))
 
 
 def run_available_now(df: DataFrame, name: str, write_fn, output_mode: str = "update") -> str:
@@ -103,6 +96,85 @@ def run_available_now(df: DataFrame, name: str, write_fn, output_mode: str = "up
     return ckpt
 
 
+# ------------------------------------------------- windows that lose no late row
+BEFORE_ALL = -(1 << 62)  # a watermark that no window's end has reached
+
+
+def windowed_writer(path: str, time_col: str, width: str, partial, slide: str | None = None,
+                    watermark: str = WATERMARK):
+    """foreachBatch for windowed measures in which late rows are set aside, not lost.
+
+    A row counts in each window that holds its time. A window is closed once the
+    watermark (the newest time of earlier batches less the delay) has reached its
+    end; a row for a closed window goes to ``late/``, the others to ``partial``,
+    which sums them per key and window ``w``. The sums of a batch go to its own
+    folder of ``sums/`` and add up over batches (:func:`window_totals`), so there
+    is no state beside the log, and a replayed batch replaces its earlier attempt.
+    ``counts/`` has a row per batch: rows in and set aside, observed as they pass,
+    rows counted, taken from the sums as written, and the watermark that the next
+    batch starts from."""
+    root = path.rstrip("/")
+    delay_us = F.unix_micros(F.lit("1970-01-01").cast("timestamp") + F.expr(f"INTERVAL {watermark}"))
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        closed = None
+        if batch_id:
+            last = spark.read.parquet(_batch_dir(f"{root}/counts", batch_id - 1))
+            closed = last.select("watermark").first()[0]  # one row
+        at = F.col(time_col).cast("timestamp")
+        rows = batch.withColumn("w", F.window(at, width, slide) if slide else F.window(at, width))
+        late = F.unix_micros(F.col("w.end")) <= F.lit(BEFORE_ALL if closed is None else closed)
+        rows = rows.withColumn("_late", F.coalesce(late, F.lit(False)))
+        seen = Observation()
+        (rows.observe(seen, F.count(F.lit(1)).alias("rows_in"), F.count_if("_late").alias("set_aside"),
+                      F.max(F.unix_micros(at) - delay_us).alias("newest"))
+         .filter("_late").drop("_late").write.mode("overwrite").parquet(_batch_dir(f"{root}/late", batch_id)))
+        sums = _batch_dir(f"{root}/sums", batch_id)
+        partial(rows.filter(~F.col("_late"))).write.mode("overwrite").parquet(sums)
+        counted = spark.read.parquet(sums).agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+        mark = max((x for x in (closed, seen.get["newest"]) if x is not None), default=None)
+        spark.createDataFrame([(seen.get["rows_in"], counted, seen.get["set_aside"], mark)],
+                              "rows_in long, counted long, set_aside long, watermark long").coalesce(1).write.mode(
+            "overwrite").parquet(_batch_dir(f"{root}/counts", batch_id))
+    return write
+
+
+def window_totals(spark: SparkSession, path: str, keys: Iterable[str]) -> DataFrame:
+    """The measures per key and window: the sums of all batches added up."""
+    sums = spark.read.parquet(f"{path.rstrip('/')}/sums")
+    keys = [*keys, "window_start", "window_end"]
+    kinds = dict(sums.dtypes)
+    return sums.groupBy(*keys).agg(*[F.sum(c).cast(kinds[c]).alias(c) for c in sums.columns
+                                     if c not in (*keys, "batch_id")])
+
+
+def _per_window(rows: DataFrame, keys: list[str], *measures) -> DataFrame:
+    r = rows.groupBy(*keys, "w").agg(F.count(F.lit(1)).alias("rows"), *measures)
+    bounds = [F.col("w.start").cast("timestamp_ntz").alias("window_start"), F.col("w.end").cast("timestamp_ntz").alias("window_end")]
+    return r.select(*keys, *bounds, *[c for c in r.columns if c not in (*keys, "w")])
+
+
+def rate_counts_writer(path: str, width: str = "15 minutes", watermark: str = WATERMARK):
+    """W-01 with late requests set aside: requests per client and window."""
+    return windowed_writer(path, "ts", width, lambda rows: _per_window(
+        rows, ["client"], F.count(F.lit(1)).alias("requests")), watermark=watermark)
+
+
+def login_failure_writer(path: str, width: str, slide: str, failure_action: str = "error", watermark: str = WATERMARK):
+    """W-02 with late attempts set aside: failures per user and sliding window."""
+    write = windowed_writer(path, "created_at", width, lambda rows: _per_window(
+        rows, ["user_id"], F.count(F.lit(1)).alias("failures")), slide, watermark)
+    return lambda batch, batch_id: write(batch.filter(F.col("action") == failure_action), batch_id)
+
+
+def live_metrics_writer(path: str, width: str = "1 day", watermark: str = WATERMARK):
+    """W-04 with late trades set aside: the measures of :func:`live_metrics`."""
+    write = windowed_writer(path, "created_at", width, lambda rows: _per_window(
+        rows, ["tenant_id", "asset_type"], *_trade_measures()), watermark=watermark)
+    return lambda batch, batch_id: write(batch.filter(F.col("status") == "completed"), batch_id)
+
+
 # --------------------------------------------------------------------- W-01
 def rate_violations(requests: DataFrame, width: str = "15 minutes", max_requests: int = 100) -> DataFrame:
     """Batch: clients above ``max_requests`` per clock-aligned window."""
@@ -136,129 +208,38 @@ def login_failure_counts_stream(audit: DataFrame, width: str, slide: str, failur
     return r.select("user_id", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "failures")
 
 
-# --------------------------------------------------------------------- W-03
-BUCKET_STATE = T.StructType([T.StructField("client", T.LongType()), T.StructField("excess_scaled", T.LongType()),
-                             T.StructField("last_us", T.LongType())])
-
-
-def leaky_bucket_writer(state: str, decisions: str, rate=(1, 21600), burst: int = 1):
-    """foreachBatch for W-03: each micro-batch goes through the batch operator
-    (:func:`auric.operators.folds.leaky_bucket`: whole batch in time order,
-    sessions in parallel) from the stored state of its clients. A client idle
-    for (burst + 1) / rate at the end of the batch has an empty bucket and
-    leaves the state. Batches must arrive in time order."""
-    gap = folds.idle_us(rate, burst)
-
-    def write(batch: DataFrame, batch_id: int):
-        prev = _read_state(batch.sparkSession, state, batch_id, BUCKET_STATE)
-        folds.leaky_bucket(batch.select("client", "ts", "event_id"), rate, burst, snapshot=prev).write.mode(
-            "overwrite").parquet(_batch_dir(decisions, batch_id))
-        done = batch.sparkSession.read.parquet(_batch_dir(decisions, batch_id))
-        new = folds.bucket_state(done)
-        now = done.agg(F.max(F.unix_micros(F.col("ts").cast("timestamp"))).alias("now"))
-        kept = prev.join(new, "client", "left_anti").unionByName(new).join(now, F.lit(True), "left")
-        live = F.col("now").isNull() | (F.col("now") - F.col("last_us") < gap)
-        _write_state(kept.filter(live).select(*BUCKET_STATE.names), state, batch_id)
-    return write
+# --------------------------------------------------------------------- W-04
+def _trade_measures() -> list:
+    t, v = F.col("transaction_type"), F.col("total_value")
+    zero = F.lit(0).cast("decimal(25,2)")
+    return [F.count(F.lit(1)).alias("transactions"),
+            F.count(F.when(t == "BUY", 1)).alias("buy_orders"),
+            F.count(F.when(t == "SELL", 1)).alias("sell_orders"),
+            F.sum("quantity").alias("quantity"),
+            F.sum(v).alias("volume"),
+            F.coalesce(F.sum(F.when(t == "BUY", v)), zero).alias("buy_volume"),
+            F.coalesce(F.sum(F.when(t == "SELL", v)), zero).alias("sell_volume")]
 
 
-# --------------------------------------------------------------------- W-04
 def live_metrics(tx: DataFrame, width: str = "1 day") -> DataFrame:
     """Batch twin: A-04/A-05 measures per tenant, asset and window."""
-    t, v = F.col("transaction_type"), F.col("total_value")
     c = tx.filter(F.col("status") == "completed")
-    r = c.groupBy("tenant_id", "asset_type", F.window("created_at", width).alias("w")).agg(
-        F.count(F.lit(1)).alias("transactions"),
-        F.count(F.when(t == "BUY", 1)).alias("buy_orders"),
-        F.count(F.when(t == "SELL", 1)).alias("sell_orders"),
-        F.sum("quantity").alias("quantity"),
-        F.sum(v).alias("volume"),
-        F.coalesce(F.sum(F.when(t == "BUY", v)), F.lit(0).cast("decimal(25,2)")).alias("buy_volume"),
-        F.coalesce(F.sum(F.when(t == "SELL", v)), F.lit(0).cast("decimal(25,2)")).alias("sell_volume"))
+    r = c.groupBy("tenant_id", "asset_type", F.window("created_at", width).alias("w")).agg(*_trade_measures())
     return r.select("tenant_id", "asset_type", F.col("w.start").alias("window_start"), "transactions",
                     "buy_orders", "sell_orders", "quantity", "volume", "buy_volume", "sell_volume")
 
 
 def live_metrics_stream(tx: DataFrame, width: str = "1 day", watermark: str = WATERMARK) -> DataFrame:
     e = event_time(tx, "created_at").withWatermark("event_time", watermark)
-    t, v = F.col("transaction_type"), F.col("total_value")
     r = e.filter(F.col("status") == "completed").groupBy(
-        "tenant_id", "asset_type", F.window("event_time", width).alias("w")).agg(
-        F.count(F.lit(1)).alias("transactions"),
-        F.count(F.when(t == "BUY", 1)).alias("buy_orders"),
-        F.count(F.when(t == "SELL", 1)).alias("sell_orders"),
-        F.sum("quantity").alias("quantity"),
-        F.sum(v).alias("volume"),
-        F.coalesce(F.sum(F.when(t == "BUY", v)), F.lit(0).cast("decimal(25,2)")).alias("buy_volume"),
-        F.coalesce(F.sum(F.when(t == "SELL", v)), F.lit(0).cast("decimal(25,2)")).alias("sell_volume"))
+        "tenant_id", "asset_type", F.window("event_time", width).alias("w")).agg(*_trade_measures())
     return r.select("tenant_id", "asset_type", F.col("w.start").alias("window_start"), "transactions",
                     "buy_orders", "sell_orders", "quantity", "volume", "buy_volume", "sell_volume")
 
 
 # --------------------------------------------------------------------- W-05
-TX_KEY = H.TX_KEY
-
-
-def live_holdings_writer(ledger_path: str, holdings_log: str):
-    """W-05 for feeds in any order: the batch joins the ledger store, then the
-    keys it touched are folded again over their whole history (H-03) and
-    upserted. The store is laid out by a hash of the key, so a trigger reads
-    the buckets of its keys rather than the whole ledger. A key that fell to
-    zero gets a row with quantity 0."""
-    bucket = F.pmod(F.xxhash64(*TX_KEY), F.lit(LEDGER_BUCKETS)).cast("int")
-
-    def write(batch: DataFrame, batch_id: int):
-        spark = batch.sparkSession
-        batch.withColumn("bucket", bucket).withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option(
-            "partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch_id").parquet(ledger_path)
-        touched = batch.filter((F.col("status") == "completed") & F.col("transaction_type").isin("BUY", "SELL")) \
-            .select(*TX_KEY).distinct()
-        buckets = [r.bucket for r in touched.select(bucket.alias("bucket")).distinct().collect()]  # at most LEDGER_BUCKETS
-        ledger = spark.read.schema(T.StructType([*batch.schema, T.StructField("bucket", T.IntegerType()),
-                                                      T.StructField("batch_id", T.IntegerType())])).parquet(ledger_path).filter(
-            F.col("bucket").isin(buckets) & (F.col("batch_id") <= batch_id))
-        hist = H.join_nullsafe(ledger, touched, TX_KEY, "left_semi")
-        upd = H.join_nullsafe(touched, H.holdings_from_ledger(hist), TX_KEY, "left").select(
-            *TX_KEY, F.coalesce(F.col("quantity"), F.lit(0).cast("decimal(20,8)")).alias("quantity"), "created_at")
-        upd.write.mode("overwrite").parquet(_batch_dir(holdings_log, batch_id))
-    return write
-
-
-LEDGER_BUCKETS = 256
-
-
-def live_holdings_state_writer(state: str, late: str):
-    """Incremental W-05 for feeds in order per key: each batch is folded onto
-    the state of the batch before (:func:`auric.operators.holdings.advance_state`)
-    and committed as the next version. A trigger reads one version, a row per
-    key, however long the history. A row not after its key's last one would
-    change what is already folded: it is refused into ``late`` (one folder per
-    batch) for a correction run, never dropped."""
-
-    def write(batch: DataFrame, batch_id: int):
-        spark = batch.sparkSession
-        order = T.StructType([batch.schema[c] for c in H.TX_ORDER])
-        schema = T.StructType([*[batch.schema[c] for c in TX_KEY],
-                               T.StructField("s", T.DecimalType(38, 8)), T.StructField("m", T.DecimalType(38, 8)),
-                               T.StructField("quantity", T.DecimalType(20, 8)),
-                               T.StructField("created_at", T.TimestampNTZType()), T.StructField("last", order)])
-        prev = _read_state(spark, state, batch_id, schema)
-        known = H.join_nullsafe(batch, prev.select(*TX_KEY, F.col("last").alias("_last")), TX_KEY, "left")
-        after = F.col("_last").isNull() | (F.struct(*H.TX_ORDER) > F.col("_last"))
-        known.filter(~after).drop("_last").write.mode("overwrite").parquet(_batch_dir(late, batch_id))
-        new = H.advance_state(known.filter(after).drop("_last"), prev).select(*schema.names)
-        kept = H.join_nullsafe(prev, new.select(*TX_KEY), TX_KEY, "left_anti")
-        _write_state(kept.unionByName(new), state, batch_id)
-    return write
-
-
-def state_holdings(spark: SparkSession, state: str, version: int) -> DataFrame:
-    """Holdings as of a version of the state."""
-    s = spark.read.parquet(f"{state.rstrip('/')}/version={version}")
-    return s.filter(F.col("quantity") > 0).select(*TX_KEY, "quantity", "created_at")
-
-
 def current_holdings(spark: SparkSession, holdings_log: str) -> DataFrame:
+    """Holdings that :func:`auric.streaming.keyed.live_holdings_stream` wrote as a changelog."""
     h = latest_by_key(spark, holdings_log, ["tenant_id", "user_id", "asset_type"])
     return h.filter(F.col("quantity") > 0)
 

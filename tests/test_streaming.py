@@ -6,8 +6,6 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
-from auric.operators import folds
-from auric.operators import holdings as H
 from auric.sources import dims
 from auric.streaming import jobs as Wj
 
@@ -44,55 +42,6 @@ def test_w01_rate_counts_stream_equals_batch(spark, fx_small, scratch):
     assert got == want and len(want) == 13
 
 
-def test_w03_leaky_bucket_state_equals_batch(spark, fx_small, scratch):
-    req = fx_small.requests
-    src = _files_by(req, "ts", "yyyy-MM-dd", f"{scratch}/req3")
-    stream = _stream_dirs(spark, src, req.schema)
-    state, out = f"{scratch}/w03s_{uuid.uuid4().hex}", f"{scratch}/w03_{uuid.uuid4().hex}"
-    Wj.run_available_now(stream, f"w03_{uuid.uuid4().hex}", Wj.leaky_bucket_writer(state, out), output_mode="append")
-    got = {r.event_id: r.refused for r in spark.read.parquet(out).collect()}
-    want = {r.event_id: r.refused for r in folds.leaky_bucket(req, (1, 21600), 1).collect()}
-    assert got == want and sum(want.values()) == 104
-
-
-def test_w03_batches_larger_than_an_arrow_batch(spark, scratch):
-    """One client with more rows than an Arrow batch in each micro-batch, unsorted."""
-    import random
-    r = random.Random(4)
-    t, rows = 0, []
-    for i in range(800):
-        t += r.choice([1, 2, 5, 9, 40])
-        rows.append((1 if i % 4 else 2, t, i))
-    df = spark.createDataFrame(rows, "client long, s long, event_id long").select(
-        "client", F.timestamp_seconds("s").cast("timestamp_ntz").alias("ts"), "event_id")
-    want = {x.event_id: x.refused for x in folds.leaky_bucket(df, (1, 10), 2).collect()}
-    state, out = f"{scratch}/w03bs", f"{scratch}/w03b"
-    w = Wj.leaky_bucket_writer(state, out, (1, 10), 2)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
-    try:
-        for k in range(4):
-            w(df.filter((F.col("event_id") >= 200 * k) & (F.col("event_id") < 200 * k + 200)).orderBy(F.rand(1)), k)
-    finally:
-        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
-    assert {x.event_id: x.refused for x in spark.read.parquet(out).collect()} == want and any(want.values())
-
-
-def test_w03_idle_clients_leave_the_state(spark, scratch):
-    at = lambda rows: spark.createDataFrame(rows, "client long, s long, event_id long").select(
-        "client", F.timestamp_seconds("s").cast("timestamp_ntz").alias("ts"), "event_id")
-    state, out = f"{scratch}/w03i", f"{scratch}/w03io"
-    w = Wj.leaky_bucket_writer(state, out, (1, 10), 1)
-    w(at([(1, 0, 1), (2, 15, 2)]), 0)
-    w(at([(3, 25, 3)]), 1)  # client 1 has been idle for 25 s, more than (1 + 1) / (1 / 10)
-    assert {r.client for r in spark.read.parquet(f"{state}/version=1").collect()} == {2, 3}
-
-
-def test_unreadable_state_is_an_error(spark, fx_small, scratch):
-    w = Wj.live_holdings_state_writer(f"{scratch}/lost", f"{scratch}/lost_late")
-    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
-        w(fx_small.tx, 1)
-
-
 def test_w04_live_metrics_equals_batch(spark, fx_small, scratch):
     tx = fx_small.tx
     src = _files_by(tx, "created_at", "yyyy-MM", f"{scratch}/tx4")
@@ -106,20 +55,6 @@ def test_w04_live_metrics_equals_batch(spark, fx_small, scratch):
     assert norm(cur.collect()) == norm(Wj.live_metrics(tx, "1 day").collect())
 
 
-def test_w05_live_holdings_equals_h03(spark, fx_small, scratch):
-    tx = fx_small.tx
-    src = _files_by(tx, "created_at", "yyyy", f"{scratch}/tx5")
-    stream = _stream_dirs(spark, src, tx.schema)
-    ledger, log = f"{scratch}/w05_ledger_{uuid.uuid4().hex}", f"{scratch}/w05_log_{uuid.uuid4().hex}"
-    Wj.run_available_now(stream, f"w05_{uuid.uuid4().hex}", Wj.live_holdings_writer(ledger, log),
-                         output_mode="append")
-    got = {(r.tenant_id, r.user_id, r.asset_type, r.quantity, r.created_at)
-           for r in Wj.current_holdings(spark, log).collect()}
-    want = {(r.tenant_id, r.user_id, r.asset_type, r.quantity, r.created_at)
-            for r in H.holdings_from_ledger(tx).collect()}
-    assert got == want and len(want) > 100
-
-
 def test_w06_stream_static_alerts_equal_batch(spark, fx_small, scratch):
     tx = fx_small.tx
     src = _files_by(tx, "created_at", "yyyy", f"{scratch}/tx6")
@@ -134,30 +69,6 @@ def test_w06_stream_static_alerts_equal_batch(spark, fx_small, scratch):
     assert got == want
 
 
-def test_w05_incremental_state_equals_h03(spark, fx_small, scratch):
-    tx = fx_small.tx
-    src = _files_by(tx, "created_at", "yyyy", f"{scratch}/tx5i")
-    stream = _stream_dirs(spark, src, tx.schema)
-    state = f"{scratch}/w05_state_{uuid.uuid4().hex}"
-    late = f"{scratch}/w05_late_{uuid.uuid4().hex}"
-    write = Wj.live_holdings_state_writer(state, late)
-    seen = []
-
-    def twice(batch, batch_id):
-        write(batch, batch_id)
-        write(batch, batch_id)  # a replayed batch starts from the same version
-        seen.append(batch_id)
-
-    Wj.run_available_now(stream, f"w05i_{uuid.uuid4().hex}", twice, output_mode="append")
-    last = max(seen)
-    assert last > 3 and spark.read.parquet(late).count() == 0
-    got = {(r.tenant_id, r.user_id, r.asset_type, r.quantity, r.created_at)
-           for r in Wj.state_holdings(spark, state, last).collect()}
-    want = {(r.tenant_id, r.user_id, r.asset_type, r.quantity, r.created_at)
-            for r in H.holdings_from_ledger(tx).collect()}
-    assert got == want
-
-
 def test_w02_sliding_failures_stream_equals_batch(spark, fx_small, scratch):
     audit = fx_small.audit_logs
     src = _files_by(audit, "created_at", "yyyy-MM-dd", f"{scratch}/audit")
@@ -181,6 +92,10 @@ def test_changelog_compaction_keeps_latest_state(spark, scratch):
     Wj.compact_changelog(spark, log, ["k"], 1, base)
     assert {(r.k, r.v) for r in spark.read.parquet(base).collect()} == {(1, 11), (2, 20)}
     assert {(r.k, r.v) for r in Wj.latest_by_key(spark, log, ["k"]).collect()} == {(1, 11), (2, 20), (3, 30)}
+    both = Wj.latest_by_key(spark, log, ["k"], base=base)  # the base and the batches after it
+    assert {(r.k, r.v) for r in both.collect()} == {(1, 11), (2, 20), (3, 30)}
+    w(spark.createDataFrame([(2, None)], "k long, v long"), 0)  # the log's old batches are no longer read
+    assert {(r.k, r.v) for r in Wj.latest_by_key(spark, log, ["k"], base=base).collect()} == {(1, 11), (2, 20), (3, 30)}
 
 
 def test_replayed_batch_replaces_its_earlier_attempt(spark, scratch):
@@ -191,16 +106,70 @@ def test_replayed_batch_replaces_its_earlier_attempt(spark, scratch):
     assert spark.read.parquet(log).count() == 2
 
 
-def test_w05_late_rows_are_refused_not_folded(spark, fx_small, scratch):
-    tx = fx_small.tx.filter("status = 'completed'")
-    day = F.lit("2000-01-01").cast("timestamp_ntz")
-    state, late = f"{scratch}/w05l", f"{scratch}/w05l_late"
-    w = Wj.live_holdings_state_writer(state, late)
-    w(tx.filter(F.col("created_at") >= day), 0)
-    before = sorted(map(str, Wj.state_holdings(spark, state, 0).collect()))
-    early = tx.filter(F.col("created_at") < day)
-    w(early, 1)
-    keys = tx.filter((F.col("created_at") >= day) & F.col("transaction_type").isin("BUY", "SELL")).select(*H.TX_KEY).distinct()
-    assert spark.read.parquet(late).count() == early.join(keys, H.TX_KEY, "left_semi").count() > 0
-    after = {(r.tenant_id, r.user_id, r.asset_type): str(r) for r in Wj.state_holdings(spark, state, 1).collect()}
-    assert set(before) <= set(after.values())
+# ------------------------------------------------- windows that lose no late row
+def _with_late_days(spark, df, col, scratch):
+    """A stream of the table by day, in which two days arrive after all others."""
+    name = uuid.uuid4().hex
+    days = sorted(r.k for r in df.select(F.date_format(col, "yyyy-MM-dd").alias("k")).distinct().collect())
+    late = days[1:3]
+    for k in [d for d in days if d not in late] + late:
+        df.filter(F.date_format(col, "yyyy-MM-dd") == k).coalesce(1).write.parquet(f"{scratch}/{name}/p={k}")
+    return _stream_dirs(spark, f"{scratch}/{name}", df.schema), late
+
+
+def _counts(spark, out):
+    return spark.read.parquet(f"{out}/counts").agg(F.sum("rows_in"), F.sum("counted"), F.sum("set_aside")).first()
+
+
+def test_w01_late_requests_are_set_aside_and_counted(spark, fx_small, scratch):
+    req = fx_small.requests
+    stream, late = _with_late_days(spark, req, "ts", scratch)
+    out = f"{scratch}/{uuid.uuid4().hex}"
+    Wj.run_available_now(stream, uuid.uuid4().hex, Wj.rate_counts_writer(out), "append")
+    aside = spark.read.parquet(f"{out}/late")
+    assert {str(r.d) for r in aside.select(F.to_date("ts").alias("d")).distinct().collect()} == set(late)
+    rows_in, counted, set_aside = _counts(spark, out)
+    assert rows_in == req.count() == counted + set_aside and set_aside == aside.count() > 0
+    kept = req.join(aside.select("event_id"), "event_id", "left_anti")
+    want = {(r.client, r.window_start, r.requests) for r in Wj.rate_violations(kept, "15 minutes", 0).collect()}
+    got = Wj.window_totals(spark, out, ["client"])
+    assert {(r.client, r.window_start, r.requests) for r in got.collect()} == want
+    # Adding the rows set aside gives what the batch operator finds in all of them.
+    both = got.select("client", "window_start", "requests").unionByName(
+        Wj.rate_violations(aside.select("client", "ts"), "15 minutes", 0).select("client", "window_start", "requests"))
+    whole = {(r.client, r.window_start, r.n) for r in both.groupBy("client", "window_start").agg(F.sum("requests").alias("n")).collect()}
+    assert whole == {(r.client, r.window_start, r.requests) for r in Wj.rate_violations(req, "15 minutes", 0).collect()}
+
+
+def test_w02_and_w04_in_time_order_set_nothing_aside(spark, fx_small, scratch):
+    audit, tx = fx_small.audit_logs, fx_small.tx
+    out = f"{scratch}/{uuid.uuid4().hex}"
+    stream = _stream_dirs(spark, _files_by(audit, "created_at", "yyyy-MM", f"{scratch}/audit8"), audit.schema)
+    Wj.run_available_now(stream, uuid.uuid4().hex, Wj.login_failure_writer(out, "1 day", "6 hours"), "append")
+    got = {(r.user_id, r.window_start, r.failures) for r in Wj.window_totals(spark, out, ["user_id"]).collect()}
+    want = {(r.user_id, r.window_start, r.failures) for r in Wj.login_failures(audit, "1 day", "6 hours", 1).collect()}
+    rows_in, counted, aside = _counts(spark, out)
+    assert got == want and rows_in == counted == sum(x[2] for x in want) and aside == 0
+
+    out = f"{scratch}/{uuid.uuid4().hex}"
+    stream = _stream_dirs(spark, _files_by(tx, "created_at", "yyyy", f"{scratch}/tx8"), tx.schema)
+    Wj.run_available_now(stream, uuid.uuid4().hex, Wj.live_metrics_writer(out), "append")
+    cols = ["tenant_id", "asset_type", "window_start", "transactions", "buy_orders", "sell_orders", "quantity", "volume",
+            "buy_volume", "sell_volume"]
+    norm = lambda df: {tuple(r) for r in df.select(*cols).collect()}
+    assert norm(Wj.window_totals(spark, out, ["tenant_id", "asset_type"])) == norm(Wj.live_metrics(tx))
+
+
+def test_windowed_writer_replays_a_batch(spark, scratch):
+    rows = lambda *t: spark.createDataFrame([(1, s) for s in t], "client long, s long").select(
+        "client", F.timestamp_seconds("s").cast("timestamp_ntz").alias("ts"))
+    out = f"{scratch}/{uuid.uuid4().hex}"
+    w = Wj.rate_counts_writer(out, "1 minute", "30 seconds")
+    w(rows(5, 10, 70), 0)
+    for _ in range(2):
+        w(rows(100, 20, 65, 500), 1)  # the watermark is 40: nothing is closed
+    w(rows(30, 469, 420), 2)  # the watermark is 470: the first minutes are closed, [420, 480) is open
+    counts = [tuple(r)[:3] for r in spark.read.parquet(f"{out}/counts").orderBy("batch_id").collect()]
+    assert counts == [(3, 3, 0), (4, 4, 0), (3, 2, 1)]
+    got = {(int(r.window_start.timestamp()), r.requests) for r in Wj.window_totals(spark, out, ["client"]).collect()}
+    assert got == {(0, 3), (60, 3), (420, 2), (480, 1)}
