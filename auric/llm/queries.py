@@ -13,7 +13,7 @@ from .ctw import ctw_scores
 from .exact_dedup import exact_dedup
 from .mixing import mix
 from .packing import pack_documents
-from .piece_merges import decode, encode
+from .piece_merges import encode
 from .quality_rules import quality_rules
 from .secret_scan import secret_spans
 from .simhash import simhash_classes
@@ -89,12 +89,11 @@ def op11_piece_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("piece_bpe_32k.model")
-    out = decode(encode(documents(spark, sf_dir), path, check=True), path, check=True)
-    return out.select(
+    return encode(documents(spark, sf_dir), path, decoded=True, check=True).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2("text", 256).alias("decoded_sha256"),
-        (F.col("ids_agree") & F.col("text_agrees")).alias("library_agrees"))
+        F.col("agrees").alias("library_agrees"))
 
 
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
