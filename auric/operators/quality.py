@@ -87,6 +87,130 @@ def all_violations(df: DataFrame, table: str, key_cols) -> DataFrame:
             .unionByName(check_length(df, table, key_cols, pick(t.lengths))))
 
 
+# ------------------------------------------- V-01 … V-05 over all stored tables
+RULE_COLS = ("table_name", "rule", "checked", "violations")
+
+
+def _spark(tables: dict[str, DataFrame]):
+    return next(iter(tables.values())).sparkSession
+
+
+def _union_all(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def column_rule_counts(tables: dict[str, DataFrame]) -> DataFrame:
+    """V-01, V-02 and V-03 as one row per (table, rule): rows checked and rows that
+    break the rule, for every declared rule whose column is there. Each table is
+    one scan and one aggregate without a group."""
+    parts = []
+    for name, df in tables.items():
+        t, have = TABLES[name], set(df.columns)
+        rules = [(f"{c} not null", F.lit(True), F.col(c).isNull()) for c in t.not_null if c in have]
+        for c, allowed in t.checks.items():
+            if c in have and isinstance(allowed, tuple):
+                rules.append((f"{c} between {allowed[0]} and {allowed[1]}", F.col(c).isNotNull(), ~F.col(c).between(*allowed)))
+            elif c in have:
+                rules.append((f"{c} in domain", F.col(c).isNotNull(), ~F.col(c).isin(*allowed)))
+        rules += [(f"char_length({c}) <= {n}", F.col(c).isNotNull(), F.char_length(F.col(c)) > n)
+                  for c, n in t.lengths.items() if c in have]
+        if rules:
+            one = df.agg(*[F.struct(F.lit(name).alias("table_name"), F.lit(r).alias("rule"),
+                                    F.count_if(there).alias("checked"), F.count_if(bad).alias("violations")).alias(f"r{i}")
+                           for i, (r, there, bad) in enumerate(rules)])
+            parts.append(one.select(F.explode(F.array(*one.columns)).alias("r")).select("r.*"))
+    return _union_all(parts)
+
+
+def unique_key_counts(tables: dict[str, DataFrame]) -> DataFrame:
+    """V-04 for every declared unique key: rows whose key is whole, and those beyond
+    the first of their key. One scan per table; all keys share one shuffle, behind a
+    partial aggregate, so a key that many rows have costs one row per task."""
+    parts, rules = [], []
+    for name, df in tables.items():
+        keys = [k for k in TABLES[name].unique if set(k) <= set(df.columns)]
+        found = []
+        for k in keys:
+            whole = F.lit(True)
+            for c in k:
+                whole = whole & F.col(c).isNotNull()
+            found.append(F.when(whole, F.struct(F.lit(len(rules)).alias("rule_no"),
+                                                F.to_json(F.array(*[F.col(c).cast("string") for c in k])).alias("key"))))
+            rules.append((len(rules), name, f"unique ({', '.join(k)})"))
+        if found:
+            parts.append(df.select(F.explode(F.array_compact(F.array(*found))).alias("k")).select("k.*"))
+    counts = _union_all(parts).groupBy("rule_no", "key").agg(F.count(F.lit(1)).alias("n")).groupBy("rule_no").agg(
+        F.sum("n").alias("checked"), F.sum(F.col("n") - 1).alias("violations"))
+    return _named(_spark(tables), rules, counts)
+
+
+def _named(spark, rules: list[tuple[int, str, str]], counts: DataFrame) -> DataFrame:
+    """A row for every rule, with zeros where nothing was checked. ``rules`` are the schema's own, a few dozen."""
+    names = F.broadcast(spark.createDataFrame(rules, "rule_no int, table_name string, rule string"))
+    zero = F.lit(0).cast("long")
+    return counts.join(names, "rule_no", "right").select(
+        "table_name", "rule", F.coalesce("checked", zero).alias("checked"), F.coalesce("violations", zero).alias("violations"))
+
+
+def _references(tables: dict[str, DataFrame]) -> list[tuple[str, str, str, str]]:
+    """(child, column, parent, parent's column) of every declared reference that the tables have both ends of."""
+    return [(name, c, parent, key) for name, df in tables.items() for c, (parent, key, _) in TABLES[name].references.items()
+            if c in df.columns and parent in tables and key in tables[parent].columns]
+
+
+def reference_keys(tables: dict[str, DataFrame]) -> tuple[DataFrame, list[tuple[int, str, str]]]:
+    """V-05 in one pass: every referenced key with the rows of each reference that
+    hold it, and whether the parent has it. Columns rule_no, key, n, found.
+
+    Each table is scanned once. A row becomes a tagged key for each of its
+    references, a parent's row one for its own key; grouped by (parent, key), a
+    count per tag and a flag decide all references to that parent at once. The
+    grouping is the only shuffle and is aggregated before it, so a key that a third
+    of the rows hold is one row per task. A NULL key references nothing."""
+    refs = _references(tables)
+    rules = [(i, child, f"{c} -> {parent}.{key}") for i, (child, c, parent, key) in enumerate(refs)]
+    parents = sorted({(parent, key) for _, _, parent, key in refs})
+    tags = {p: [i for i, r in enumerate(refs) if r[2:] == p] for p in parents}
+    slots = max(map(len, tags.values()))
+    parts = []
+    for name, df in tables.items():
+        held = [(parents.index((parent, key)), tags[parent, key].index(i), c)
+                for i, (child, c, parent, key) in enumerate(refs) if child == name]
+        held += [(n, -1, key) for n, (parent, key) in enumerate(parents) if parent == name]
+        if held:
+            x = F.array(*[F.struct(F.lit(p).alias("parent"), F.lit(s).alias("slot"), F.col(c).cast("string").alias("key"))
+                          for p, s, c in held])
+            parts.append(df.select(F.explode(x).alias("x")).select("x.*").filter(F.col("key").isNotNull()))
+    keys = _union_all(parts).groupBy("parent", "key").agg(
+        F.max(F.col("slot") == -1).alias("found"), *[F.count_if(F.col("slot") == s).alias(f"n{s}") for s in range(slots)])
+    numbers = F.lit(None).cast("array<int>")  # of a parent: its rules by slot
+    for n, p in enumerate(parents):
+        numbers = F.when(F.col("parent") == n, F.array(*[F.lit(i) for i in tags[p]])).otherwise(numbers)
+    per_slot = F.transform(numbers, lambda rule, s: F.struct(
+        rule.alias("rule_no"), F.get(F.array(*[F.col(f"n{i}") for i in range(slots)]), s).alias("n")))
+    rows = keys.select("key", "found", F.explode(F.filter(per_slot, lambda r: r["n"] > 0)).alias("r"))
+    return rows.select("r.rule_no", "key", "r.n", "found"), rules
+
+
+def reference_counts(tables: dict[str, DataFrame]) -> DataFrame:
+    """V-05 as one row per reference: rows with a key, and those whose key no parent has."""
+    keys, rules = reference_keys(tables)
+    counts = keys.groupBy("rule_no").agg(F.sum("n").alias("checked"),
+                                         F.sum(F.when(~F.col("found"), F.col("n")).otherwise(0)).alias("violations"))
+    return _named(_spark(tables), rules, counts)
+
+
+def orphan_keys(tables: dict[str, DataFrame]) -> DataFrame:
+    """V-05: every key that no parent has, with its reference and the rows that hold it."""
+    keys, rules = reference_keys(tables)
+    names = F.broadcast(_spark(tables).createDataFrame(rules, "rule_no int, table_name string, rule string"))
+    return keys.filter(~F.col("found")).join(names, "rule_no").select(
+        "table_name", "rule", F.col("key").alias("row_key"), F.col("n").alias("rows"))
+
+
 # --------------------------------------------------------------------- V-06
 def cascade_delete(tables: dict[str, DataFrame], gone: dict[str, DataFrame],
                    links: dict[str, list[tuple[str, list[str], list[str]]]]) -> dict[str, DataFrame]:

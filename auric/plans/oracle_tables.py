@@ -308,6 +308,13 @@ SELECT h.*, a.current_price, CAST(h.quantity * a.current_price AS DECIMAL(15,2))
 FROM holdings h LEFT JOIN asset_types a ON h.asset_type = a.code""")
 
 
+_t("api_credentials", [], """
+SELECT CAST(s_suppkey AS BIGINT) AS id, CAST(s_nationkey AS BIGINT) AS tenant_id,
+       'ak_' || lpad(CAST(s_suppkey AS VARCHAR), 8, '0') AS api_key,
+       'as_' || sha256(CAST(s_suppkey AS VARCHAR)) AS api_secret,
+       CASE s_suppkey % 3 WHEN 0 THEN 'active' WHEN 1 THEN 'suspended' ELSE 'expired' END AS status
+FROM supplier""")
+
 for _name, (_key, _faults) in FAULTS.items():
     _src = {"aml_alerts": "aml_alerts_fx"}.get(_name, _name)
     _cols = ", ".join(f"CASE WHEN {_key} % {_n} = 0 THEN {_bad} ELSE {_c} END AS {_c}"
@@ -315,6 +322,27 @@ for _name, (_key, _faults) in FAULTS.items():
     _t(f"{_name}_faulty", [_src], f"SELECT * REPLACE ({_cols}) FROM {_src}")
 
 
+# The stored tables under their own column names, with the broken rows.
+for _name, _src, _renamed in (
+        ("tenants", "tenants_faulty", "* RENAME (tenant_id AS id)"), ("api_credentials", "api_credentials_faulty", "*"),
+        ("users", "users_faulty", "* RENAME (user_id AS id)"), ("transactions", "tx_faulty", "* RENAME (order_id AS id)"),
+        ("transaction_history", "transaction_history_faulty", "*"),
+        ("payment_transactions", "payments_faulty",
+         "* RENAME (order_id AS transaction_id, payment_method AS payment_method_id)"),
+        ("kyc_records", "kyc_records_faulty", "* RENAME (record_id AS id)"), ("aml_alerts", "aml_alerts_faulty", "*"),
+        ("vault_inventory", "vault_inventory_faulty", "* RENAME (provider_code AS provider_id)"),
+        ("audit_logs", "audit_logs_faulty", "*"), ("user_notifications", "notifications_faulty", "*"),
+        ("notification_templates", "notification_templates_faulty", "*"),
+        ("payment_methods", "payment_methods", "*, code AS id"), ("asset_types", "asset_types", "*, code AS id"),
+        ("transaction_types", "transaction_types", "*, code AS id"),
+        ("kyc_document_types", "kyc_document_types",
+         "*, code AS id, CASE code WHEN 'AADHAAR' THEN 'Aadhaar Card' WHEN 'PAN' THEN 'PAN Card' "
+         "WHEN 'PASSPORT' THEN 'Passport' ELSE 'Driving License' END AS name"),
+        ("vault_providers", "vault_providers",
+         "*, code AS id, CASE code WHEN 'MMTC_PAMP' THEN 'MMTC-PAMP' WHEN 'SAFEGOLD' THEN 'SafeGold' ELSE 'Augmont' END AS name"), ("user_holdings", "holdings_valued", "*")):
+    _t(f"stored_{_name}", [_src], f"SELECT {_renamed} FROM {_src}")
+
+
 def with_tables(names, query: str) -> str:
     """``WITH`` prefix holding ``names`` and their dependencies, then ``query``."""
     order: list[str] = []

@@ -46,4 +46,5 @@ def run(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def load_all():
     from . import queries, queries_core, queries_series, queries_stream  # noqa: F401  (registers everything)
+    from . import queries_constraints  # noqa: F401  (after the queries whose tables it checks)
     return REGISTRY

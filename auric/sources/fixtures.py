@@ -60,14 +60,36 @@ FAULTS = {
     "users": ("user_id", {"kyc_level": (41, "7"), "role": (43, "'owner'"), "kyc_status": (47, "'unknown'"),
                           "email": (37, "NULL"), "first_name": (31, "concat(first_name, repeat('x', 100))")}),
     "tx": ("order_id", {"status": (53, "'lost'"), "quantity": (73, "NULL"), "total_value": (79, "total_value + 1"),
-                        "user_id": (83, "-user_id")}),
-    "kyc_records": ("record_id", {"verification_status": (59, "'approved'")}),
-    "vault_inventory": ("lot_order_id", {"status": (61, "'melted'"), "purity": (29, "NULL")}),
-    "aml_alerts": ("id", {"status": (67, "'closed'")}),
-    "payments": ("order_id", {"status": (71, "'bounced'"), "amount": (97, "NULL")}),
+                        "user_id": (83, "-user_id"), "asset_type": (97, "'DIAMOND'")}),
+    "kyc_records": ("record_id", {"verification_status": (59, "'approved'"), "document_type": (101, "'VOTER_ID'")}),
+    "vault_inventory": ("lot_order_id", {"status": (61, "'melted'"), "purity": (29, "NULL"),
+                                         "provider_code": (67, "'NOWHERE'")}),
+    "aml_alerts": ("id", {"status": (67, "'closed'"), "user_id": (89, "-user_id")}),
+    "payments": ("order_id", {"status": (71, "'bounced'"), "amount": (97, "NULL"), "payment_method": (103, "'BARTER'")}),
+    "audit_logs": ("id", {"user_id": (107, "-user_id"), "action": (109, "repeat('a', 60)")}),
+    "notifications": ("id", {"user_id": (113, "-user_id"), "category": (127, "repeat('c', 60)")}),
+    "transaction_history": ("id", {"new_status": (131, "repeat('s', 30)")}),
+    "api_credentials": ("id", {"api_key": (17, "repeat('k', 300)"), "status": (19, "'lost'"), "tenant_id": (23, "-1 - tenant_id")}),
     "notification_templates": ("tenant_id", {"template_type": (5, "'fax'"), "template_code": (12, "NULL")}),
 }
 
+# Stored table -> (logical table, {logical column: stored column}). Seed rows have their code as id.
+STORED = {
+    "tenants": ("tenants", {"tenant_id": "id"}), "api_credentials": ("api_credentials", {}),
+    "users": ("users", {"user_id": "id"}), "transactions": ("tx", {"order_id": "id"}),
+    "transaction_history": ("transaction_history", {}),
+    "payment_transactions": ("payments", {"order_id": "transaction_id", "payment_method": "payment_method_id"}),
+    "kyc_records": ("kyc_records", {"record_id": "id"}), "aml_alerts": ("aml_alerts", {}),
+    "vault_inventory": ("vault_inventory", {"provider_code": "provider_id"}), "audit_logs": ("audit_logs", {}),
+    "user_notifications": ("notifications", {}), "notification_templates": ("notification_templates", {}),
+}
+# Rows that are stored twice, for the unique keys (the condition reads the same in both SQLs).
+REPEATED = {
+    "tenants": "id % 8 = 0", "api_credentials": "id % 7 = 0", "users": "id % 53 = 0", "asset_types": "code = 'SILVER'",
+    "transaction_types": "code <> 'BUY'", "kyc_document_types": "code = 'PAN'", "vault_providers": "code = 'SAFEGOLD'",
+    "daily_metrics": "tenant_id % 6 = 1",
+}
+
 
 class Fixtures:
     """Lazy logical tables over one fixture directory."""
@@ -143,6 +165,16 @@ class Fixtures:
              + F.make_dt_interval(days=F.pmod(F.col("c_custkey"), F.lit(30)).cast("int"))).alias("created_at"),
         )
 
+    @cached_property
+    def api_credentials(self) -> DataFrame:
+        s, k = self.raw("supplier"), F.col("s_suppkey")
+        return s.select(
+            k.cast("bigint").alias("id"), F.col("s_nationkey").cast("bigint").alias("tenant_id"),
+            F.concat(F.lit("ak_"), F.lpad(k.cast("string"), 8, "0")).alias("api_key"),
+            F.concat(F.lit("as_"), F.sha2(k.cast("string"), 256)).alias("api_secret"),
+            F.when(F.pmod(k, F.lit(3)) == 0, "active").when(F.pmod(k, F.lit(3)) == 1, "suspended")
+             .otherwise("expired").alias("status"))
+
     def users_with_login(self) -> DataFrame:
         """users + last_login_at = latest ledger row of the user."""
         last = self.tx.groupBy("user_id").agg(F.max("created_at").alias("last_login_at"))
@@ -378,6 +410,15 @@ class Fixtures:
         return df.withColumns({c: F.when(F.pmod(F.col(key), F.lit(n)) == 0, F.expr(bad)).otherwise(F.col(c))
                                .cast(df.schema[c].dataType) for c, (n, bad) in faults.items()})
 
+    def stored(self, name: str) -> DataFrame:
+        """A stored table under its own column names, with the broken rows in it."""
+        if name in STORED:
+            logical, columns = STORED[name]
+            return self.faulty(logical).withColumnsRenamed(columns)
+        if name == "payment_methods":
+            return dims.payment_methods(self.tenants).withColumn("id", F.col("code"))
+        return self.dims()[name].withColumn("id", F.col("code"))
+
     # --------------------------------------------------------------- dimensions
     def dims(self) -> dict[str, DataFrame]:
         return dims.seed_dims(self.spark)

@@ -73,3 +73,57 @@ def test_missing_docs_per_user_arrays_are_bounded(spark):
     m = K.missing_docs_per_user(K.mandatory_docs(users, recs, "2001-06-15"))
     got = {r.user_id: r.missing for r in m.collect()}
     assert got == {1: ["AADHAAR"], 2: ["AADHAAR", "PAN"]}
+
+
+def small_tables(spark):
+    df = spark.createDataFrame
+    return {
+        "tenants": df([(1, "A"), (2, "A"), (3, None), (None, "B")], "id long, organization_id string"),
+        "users": df([(10, 1, "a@x"), (11, 1, "a@x"), (12, 9, None), (13, None, "a@x")], "id long, tenant_id long, email string"),
+        "transactions": df([(1, 10, "GOLD")] * 50 + [(1, 99, "MUD"), (7, None, "GOLD")], "tenant_id long, user_id long, asset_type string"),
+        "asset_types": df([("GOLD",)], "code string"),
+    }
+
+
+def test_all_references_in_one_pass(spark):
+    tables = small_tables(spark)
+    got = {(r.table_name, r.rule): (r.checked, r.violations) for r in V.reference_counts(tables).collect()}
+    assert got == {("users", "tenant_id -> tenants.id"): (3, 1), ("transactions", "tenant_id -> tenants.id"): (52, 1),
+                   ("transactions", "user_id -> users.id"): (51, 1), ("transactions", "asset_type -> asset_types.code"): (52, 1)}
+    orphans = {(r.table_name, r.rule.split()[0], r.row_key, r.rows) for r in V.orphan_keys(tables).collect()}
+    assert orphans == {("users", "tenant_id", "9", 1), ("transactions", "tenant_id", "7", 1),
+                       ("transactions", "user_id", "99", 1), ("transactions", "asset_type", "MUD", 1)}
+
+
+def test_references_scan_each_table_once_and_shuffle_once(spark, fx_small):
+    tables = {n: fx_small.raw(f) for n, f in (("users", "customer"), ("tenants", "nation"))}
+    tables = {"users": tables["users"].selectExpr("c_custkey AS id", "CAST(c_nationkey AS BIGINT) AS tenant_id"),
+              "tenants": tables["tenants"].selectExpr("CAST(n_nationkey AS BIGINT) AS id")}
+    plan = V.reference_keys(tables)[0]._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 2 and plan.count("Exchange hashpartitioning") == 1
+
+
+def test_unique_keys_with_nulls_and_repeats(spark):
+    got = {(r.table_name, r.rule): (r.checked, r.violations) for r in V.unique_key_counts(small_tables(spark)).collect()}
+    # A key with a NULL part never collides; every row beyond the first of its key does.
+    assert got == {("tenants", "unique (organization_id)"): (3, 1), ("users", "unique (tenant_id, email)"): (2, 1),
+                   ("asset_types", "unique (code)"): (1, 0)}
+
+
+def test_rules_of_empty_tables_are_listed_with_zeros(spark):
+    empty = {n: t.limit(0) for n, t in small_tables(spark).items()}
+    for counts in (V.reference_counts(empty), V.unique_key_counts(empty), V.column_rule_counts(empty)):
+        rows = counts.collect()
+        assert rows and all((r.checked, r.violations) == (0, 0) for r in rows)
+
+
+def test_fixtures_cover_every_unique_key_and_all_references_they_have(fx_small):
+    from auric.plans.queries_constraints import stored_tables
+    from auric.plans.registry import load_all
+    from auric.sources.schemas import TABLES
+    load_all()
+    tables = stored_tables(fx_small)
+    assert set(tables) == set(TABLES)
+    assert all(set(k) <= set(tables[n].columns) for n, t in TABLES.items() for k in t.unique)
+    missing = {(n, c) for n, t in TABLES.items() for c in t.references if c not in tables[n].columns}
+    assert missing == {("aml_alerts", "tenant_id"), ("aml_alerts", "transaction_id"), ("user_notifications", "tenant_id")}
