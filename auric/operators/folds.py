@@ -200,22 +200,22 @@ def idle_us(rate, burst: int) -> int:
 
 def _sessions(ev: DataFrame, order, gap_us: int) -> DataFrame:
     """Number each client's sessions from 0: a gap of ``gap_us`` or more to the
-    request before starts a new one. Gaps and counts are taken per (client,
-    day), with the last time and the number of sessions of earlier days carried
-    in from a row per day, so a busy client is not one window."""
+    request before starts a new one. Gaps inside a day are counted per (client, day);
+    one row per day (first and last time, gaps) tells whether the day itself starts a
+    session and how many there were before, so a busy client is not one window."""
     ev = ev.withColumn("day", F.to_date(F.col(order[0])))
     day = Window.partitionBy("client", "day").orderBy(*order)
-    days = ev.groupBy("client", "day").agg(F.max("ts_us").alias("last"))
+    gap = F.col("ts_us") - F.lag("ts_us").over(day)
+    ev = ev.withColumn("new", F.coalesce((gap >= gap_us).cast("long"), F.lit(0).cast("long")))
+    ev = ev.withColumn("in_day", F.sum("new").over(day.rowsBetween(Window.unboundedPreceding, 0)))
+    days = ev.groupBy("client", "day").agg(F.min("ts_us").alias("first"), F.max("ts_us").alias("last"),
+                                           F.sum("new").alias("n"))
     before = Window.partitionBy("client").orderBy("day")
-    days = days.select("client", "day", F.lag("last").over(before).alias("carry"))
+    jump = F.coalesce((F.col("first") - F.lag("last").over(before) >= gap_us).cast("long"), F.lit(0).cast("long"))
+    days = days.withColumn("jump", jump)
+    upto = before.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    days = days.select("client", "day", (F.sum(F.col("n") + F.col("jump")).over(upto) - F.col("n")).alias("earlier"))
     ev = ev.join(days, ["client", "day"])
-    gap = F.col("ts_us") - F.coalesce(F.lag("ts_us").over(day), F.col("carry"))
-    ev = ev.withColumn("new", F.coalesce((gap >= gap_us).cast("long"), F.lit(0).cast("long"))).drop("carry")
-    ev = ev.withColumn("in_day", F.sum("new").over(day.rowsBetween(Window.unboundedPreceding, 0)))
-    per = ev.groupBy("client", "day").agg(F.sum("new").alias("n"))
-    per = per.select("client", "day", F.coalesce(F.sum("n").over(before.rowsBetween(Window.unboundedPreceding, -1)),
-                                                 F.lit(0).cast("long")).alias("earlier"))
-    ev = ev.join(per, ["client", "day"])
     return ev.withColumn("session", F.col("earlier") + F.col("in_day")).drop("day", "new", "in_day", "earlier")
 
 

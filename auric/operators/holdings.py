@@ -150,6 +150,21 @@ def fold_chunks(summary: DataFrame, initial: DataFrame | None = None) -> DataFra
                     F.col("begin.t").alias("created_at"), "last")
 
 
+def chunk_closings(tx: DataFrame, chunk: str = "day") -> DataFrame:
+    """Per (key, chunk): the clamped ``balance`` at the chunk's end, and the order and
+    price of its last row (``last``, ``last_price``). The ledger is shuffled once."""
+    ev = _trades(tx).select(*TX_KEY, *[c for c in TX_ORDER if c not in TX_KEY], "price", _signed().alias("dq"))
+    ev = ev.withColumn("chunk", chunk_of(chunk))
+    upto = Window.partitionBy(*TX_KEY, "chunk").orderBy(*TX_ORDER).rowsBetween(Window.unboundedPreceding, 0)
+    o = F.struct(*TX_ORDER)
+    summary = ev.withColumn("ls", F.sum("dq").over(upto).cast(RUN)).groupBy(*TX_KEY, "chunk").agg(
+        F.sum("dq").cast(RUN).alias("csum"), F.min("ls").alias("cmin"), F.max(o).alias("last"),
+        F.max_by("price", o).alias("last_price"))
+    c = chunk_offsets(summary)
+    low = F.least(F.lit(0).cast(RUN), F.col("prior_min"), F.col("gmin"))
+    return c.select(*TX_KEY, "chunk", "last", "last_price", (F.col("offset") + F.col("csum") - low).cast(QTY).alias("balance"))
+
+
 def holdings_from_ledger(tx: DataFrame, chunk: str = "day") -> DataFrame:
     """H-03: one row per (tenant, user, asset) with a positive replayed balance.
     ``created_at`` is the first event after the balance was last zero. NULL
@@ -184,13 +199,17 @@ def add_tokens(holdings: DataFrame, buys: DataFrame) -> DataFrame:
     the time of its first buy and the price of its last. ``current_price`` and
     ``created_at`` of an existing holding stay; total_value follows (H-04)."""
     o = F.struct(*[c for c in TX_ORDER if c in buys.columns])
-    b = buys.groupBy(*TX_KEY).agg(F.sum("quantity").alias("add_q"), F.min("created_at").alias("_opened"),
-                                  F.max_by("price", o).alias("_price"))
-    j = holdings.select(*TX_KEY, "quantity", "current_price", "created_at").join(b, TX_KEY, "full_outer")
-    q = (F.coalesce(F.col("quantity"), F.lit(0)) + F.coalesce(F.col("add_q"), F.lit(0))).cast(QTY)
-    return holding_value(j.select(
-        *TX_KEY, q.alias("quantity"), F.coalesce("current_price", "_price").alias("current_price"),
-        F.coalesce("created_at", "_opened").alias("created_at")))
+    b = buys.groupBy(*TX_KEY).agg(F.sum("quantity").alias("quantity"), F.max_by("price", o).alias("current_price"),
+                                  F.min("created_at").alias("created_at"))
+    # Grouped rather than joined, so that NULL key parts meet. kind 0: the holding, 1: its buys.
+    both = holdings.select(*TX_KEY, "quantity", "current_price", "created_at", F.lit(0).alias("kind")).unionByName(
+        b.withColumn("kind", F.lit(1)))
+
+    def first_of(c):
+        return F.coalesce(F.max(F.when(F.col("kind") == 0, F.col(c))), F.max(F.when(F.col("kind") == 1, F.col(c)))).alias(c)
+
+    return holding_value(both.groupBy(*TX_KEY).agg(
+        F.coalesce(F.sum("quantity"), F.lit(0)).cast(QTY).alias("quantity"), first_of("current_price"), first_of("created_at")))
 
 
 # --------------------------------------------------------------------- H-02
@@ -198,7 +217,7 @@ def remove_tokens(holdings: DataFrame, sells: DataFrame) -> DataFrame:
     """Subtract one batched removal per key; rows at or below zero are deleted,
     keys without a holding are a no-op. Price and opening time stay."""
     s = sells.groupBy(*TX_KEY).agg(F.sum("quantity").alias("sub_q"))
-    j = holdings.select(*TX_KEY, "quantity", "current_price", "created_at").join(s, TX_KEY, "left")
+    j = join_nullsafe(holdings.select(*TX_KEY, "quantity", "current_price", "created_at"), s, TX_KEY, "left")
     q = (F.col("quantity") - F.coalesce(F.col("sub_q"), F.lit(0))).cast(QTY)
     return holding_value(j.select(*TX_KEY, q.alias("quantity"), "current_price", "created_at").filter(F.col("quantity") > 0))
 
@@ -245,7 +264,7 @@ def touch_updated_at(old: DataFrame, new: DataFrame, as_of, value_cols=("quantit
     """Rows whose values changed (or that are new) get ``updated_at = as_of``;
     unchanged rows keep their old ``updated_at``; rows gone from ``new`` drop."""
     o = old.select(*TX_KEY, *[F.col(c).alias(f"old_{c}") for c in value_cols], "updated_at")
-    j = new.join(o, TX_KEY, "left")
+    j = join_nullsafe(new, o, TX_KEY, "left")
     same = F.lit(True)
     for c in value_cols:
         same = same & F.col(c).eqNullSafe(F.col(f"old_{c}"))

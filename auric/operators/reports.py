@@ -324,8 +324,9 @@ def tier_billing(tenants: DataFrame, price_list: DataFrame) -> DataFrame:
 
 # --------------------------------------------------------------------- A-20
 def error_rate(events: DataFrame, users: DataFrame, width: str = "1 day") -> DataFrame:
-    """Share of failed events per tenant and clock-aligned window."""
-    e = events.join(users.select("user_id", "tenant_id"), "user_id")
+    """Share of failed events per tenant and clock-aligned window. Events of
+    unknown users (a failed sign-in) count under the NULL tenant."""
+    e = events.join(users.select("user_id", "tenant_id"), "user_id", "left")
     r = e.groupBy("tenant_id", F.window("ts", width).alias("w")).agg(
         F.count(F.lit(1)).alias("events"),
         _count_if(F.col("event_type") == "error").alias("errors"))

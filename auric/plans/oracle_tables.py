@@ -190,8 +190,9 @@ FROM events""")
 
 _t("web_events", [], """
 SELECT event_id, user_id,
-       CASE event_type WHEN 'view' THEN 'landing' WHEN 'click' THEN 'pricing'
-            WHEN 'signup' THEN 'form' WHEN 'purchase' THEN 'paid' END AS step,
+       CASE WHEN event_type = 'click' AND CAST(json_extract_string(props, '$.k') AS INTEGER) % 3 = 0 THEN 'cta'
+            WHEN event_type = 'view' THEN 'landing' WHEN event_type = 'click' THEN 'pricing'
+            WHEN event_type = 'signup' THEN 'form' WHEN event_type = 'purchase' THEN 'paid' END AS step,
        ts
 FROM events WHERE event_type <> 'error'""")
 

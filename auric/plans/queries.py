@@ -298,7 +298,7 @@ def _a19(fx):
 SELECT u.tenant_id, time_bucket(INTERVAL 1 DAY, e.ts) AS window_start, COUNT(*) AS events,
        COUNT(*) FILTER (WHERE e.event_type = 'error') AS errors,
        {D("COUNT(*) FILTER (WHERE e.event_type = 'error')")} / {D("COUNT(*)")} AS error_rate
-FROM events e JOIN users u ON e.user_id = u.user_id
+FROM events e LEFT JOIN users u ON e.user_id = u.user_id
 GROUP BY u.tenant_id, time_bucket(INTERVAL 1 DAY, e.ts)"""))
 def _a20(fx):
     return A.error_rate(fx.events, fx.users, "1 day")

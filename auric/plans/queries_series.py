@@ -86,7 +86,7 @@ hist AS (SELECT mb.tenant_id, mb.user_id, mb.month,
 @register("portfolio_history", "Q-04", W(["ledger_walk", "tx"], HISTORY_SQL + f"""
 SELECT tenant_id, user_id, {S("month")} AS month, {D("portfolio_value")} AS portfolio_value FROM hist"""))
 def _q04(fx):
-    return Q.portfolio_history(fx.tx, Q.ledger_ticks(fx.tx), END_MONTH)
+    return Q.portfolio_history(fx.tx, None, END_MONTH)
 
 
 @register("recent_activity", "Q-05", W(["tx"], f"""
@@ -135,7 +135,7 @@ SELECT tenant_id, user_id, {S("month")} AS month, {D("portfolio_value")} AS port
        CASE WHEN ys <> 0 THEN {D("portfolio_value - ys")} / {D("ys")} * 100.0 END AS ytd_pct
 FROM w"""))
 def _q07(fx):
-    return Q.period_return(Q.portfolio_history(fx.tx, Q.ledger_ticks(fx.tx), END_MONTH))
+    return Q.period_return(Q.portfolio_history(fx.tx, None, END_MONTH))
 
 
 @register("price_alert", "Q-08", W(["ticks", "price_thresholds"], f"""
@@ -148,7 +148,7 @@ WHERE p.prev_price IS NOT NULL
   AND ((p.prev_price < t.threshold AND t.threshold <= p.price)
     OR (p.prev_price >= t.threshold AND t.threshold > p.price))"""))
 def _q08(fx):
-    return Q.price_alert(fx.ticks, fx.price_thresholds, band_width=10)
+    return Q.price_alert(fx.ticks, fx.price_thresholds)
 
 
 @register("status_history", "Q-09", W(["transaction_history"], f"""
@@ -165,15 +165,19 @@ def _q09(fx):
 s2 AS (SELECT e.user_id, min(e.ts) AS t FROM web_events e JOIN s1 ON e.user_id = s1.user_id
        WHERE e.step = 'pricing' AND e.ts > s1.t GROUP BY e.user_id),
 s3 AS (SELECT e.user_id, min(e.ts) AS t FROM web_events e JOIN s2 ON e.user_id = s2.user_id
-       WHERE e.step = 'form' AND e.ts > s2.t GROUP BY e.user_id),
+       WHERE e.step = 'cta' AND e.ts > s2.t GROUP BY e.user_id),
 s4 AS (SELECT e.user_id, min(e.ts) AS t FROM web_events e JOIN s3 ON e.user_id = s3.user_id
-       WHERE e.step = 'paid' AND e.ts > s3.t GROUP BY e.user_id),
-c AS (SELECT (SELECT count(*) FROM s1) AS c1, (SELECT count(*) FROM s2) AS c2,
-             (SELECT count(*) FROM s3) AS c3, (SELECT count(*) FROM s4) AS c4)
-SELECT 1 AS step_no, 'landing' AS step, c1 AS users, CAST(NULL AS DOUBLE) AS step_rate, {D("c1")} / {D("c1")} AS overall_rate FROM c
-UNION ALL SELECT 2, 'pricing', c2, {D("c2")} / {D("c1")}, {D("c2")} / {D("c1")} FROM c
-UNION ALL SELECT 3, 'form', c3, {D("c3")} / {D("c2")}, {D("c3")} / {D("c1")} FROM c
-UNION ALL SELECT 4, 'paid', c4, {D("c4")} / {D("c3")}, {D("c4")} / {D("c1")} FROM c"""))
+       WHERE e.step = 'form' AND e.ts > s3.t GROUP BY e.user_id),
+s5 AS (SELECT e.user_id, min(e.ts) AS t FROM web_events e JOIN s4 ON e.user_id = s4.user_id
+       WHERE e.step = 'paid' AND e.ts > s4.t GROUP BY e.user_id),
+c AS (SELECT (SELECT count(*) FROM s1) AS c1, (SELECT count(*) FROM s2) AS c2, (SELECT count(*) FROM s3) AS c3,
+             (SELECT count(*) FROM s4) AS c4, (SELECT count(*) FROM s5) AS c5)
+SELECT 1 AS step_no, 'landing' AS step, c1 AS users, CAST(NULL AS DOUBLE) AS step_rate,
+       {D("c1")} / NULLIF({D("c1")}, 0) AS overall_rate FROM c
+UNION ALL SELECT 2, 'pricing', c2, {D("c2")} / NULLIF({D("c1")}, 0), {D("c2")} / NULLIF({D("c1")}, 0) FROM c
+UNION ALL SELECT 3, 'cta', c3, {D("c3")} / NULLIF({D("c2")}, 0), {D("c3")} / NULLIF({D("c1")}, 0) FROM c
+UNION ALL SELECT 4, 'form', c4, {D("c4")} / NULLIF({D("c3")}, 0), {D("c4")} / NULLIF({D("c1")}, 0) FROM c
+UNION ALL SELECT 5, 'paid', c5, {D("c5")} / NULLIF({D("c4")}, 0), {D("c5")} / NULLIF({D("c1")}, 0) FROM c"""))
 def _q10(fx):
     return Q.conversion_funnel(fx.web_events)
 

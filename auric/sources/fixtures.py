@@ -340,8 +340,9 @@ class Fixtures:
 
     @cached_property
     def web_events(self) -> DataFrame:
-        step = _case(F.col("event_type"), {"view": "landing", "click": "pricing",
-                                           "signup": "form", "purchase": "paid"})
+        # Every third click is one on a call to action of the pricing page.
+        step = F.when((F.col("event_type") == "click") & (F.pmod(self._events_k(), F.lit(3)) == 0), "cta").otherwise(
+            _case(F.col("event_type"), {"view": "landing", "click": "pricing", "signup": "form", "purchase": "paid"}))
         return (self.events.filter(F.col("event_type") != "error")
                 .select("event_id", "user_id", step.alias("step"), "ts"))
 

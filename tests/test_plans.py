@@ -39,14 +39,14 @@ def test_fixed_dimensions_are_broadcast(spark, fx_small):
     assert p.count("BroadcastHashJoin") == 1 and "SortMergeJoin" not in p
 
 
-def test_risk_score_reads_the_ledger_twice(spark, fx_small):
-    """One pass for the rules on single trades, one for the daily sums."""
+def test_risk_score_reads_the_ledger_three_times(spark, fx_small):
+    """The rules on single trades, the narrow counts per second, the daily sums."""
     from auric.plans.queries_series import _all_alerts
     from auric.operators import compliance as M
     p = M.risk_score(_all_alerts(fx_small))._jdf.queryExecution().optimizedPlan().toString()
     assert p.count("l_orderkey#") and p.count("parquet") > 0
     scans = [x for x in p.split("\n") if "Relation" in x and "l_orderkey" in x]
-    assert len(scans) == 2
+    assert len(scans) == 3
 
 
 def test_holdings_shuffle_the_ledger_once(spark, fx_small):
@@ -55,6 +55,21 @@ def test_holdings_shuffle_the_ledger_once(spark, fx_small):
     assert len([x for x in p.split("\n") if "Relation" in x and "l_orderkey" in x]) == 1
 
 
+def test_portfolio_history_reads_the_ledger_once_per_shuffle(spark, fx_small):
+    """Balances and prices come from the same (key, day) closings: their exchange is reused."""
+    from auric.operators import series as Q
+    df = Q.portfolio_history(fx_small.tx, None, "2001-01-01")
+    df.collect()
+    p = plan(df).split("Initial Plan")[0]
+    assert "ReusedExchange" in p
+
+
+def test_funnel_scans_the_events_once(spark, fx_small):
+    from auric.operators import series as Q
+    p = plan(Q.conversion_funnel(fx_small.web_events))
+    assert p.count("FileScan parquet") == 1 and "Join" not in p
+
+
 def test_batch_queries_use_no_python_udf(spark):
     load_all()
     fx = Fixtures(spark, "/root/testdata/sf0.001")

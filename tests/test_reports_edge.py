@@ -95,8 +95,8 @@ def test_page_engagement_gap_crosses_midnight(spark):
     assert r == {"landing": 900.0}  # the 2 h 55 min gap after 'pricing' exceeds the cap
 
 
-def test_price_alert_finds_every_crossing(spark, fx_small):
-    """Any band width gives the crossings of a plain comparison of all pairs."""
+def test_price_alert_finds_every_crossing(spark, fx_small, monkeypatch):
+    """However many bands and parts there are, the crossings are those of a plain comparison of all pairs."""
     from auric.operators import series as Q
     key = lambda r: (r.user_id, r.event_id, r.threshold, r.direction)
     rows = sorted((r.asset_type, r.ts, r.event_id, r.price) for r in fx_small.ticks.collect())
@@ -106,6 +106,8 @@ def test_price_alert_finds_every_crossing(spark, fx_small):
         if a[0] == b[0]:
             want += [(t.user_id, b[2], t.threshold, "UP" if a[3] < b[3] else "DOWN") for t in limits
                      if t.asset_type == a[0] and (a[3] < t.threshold <= b[3] or b[3] < t.threshold <= a[3])]
-    for width in (7, 50):
-        got = Q.price_alert(fx_small.ticks, fx_small.price_thresholds, band_width=width).collect()
+    for bands, per_part in ((1, 100_000), (4, 3), (256, 100_000)):
+        monkeypatch.setattr(Q, "BANDS", bands)
+        monkeypatch.setattr(Q, "USERS_PER_PART", per_part)
+        got = Q.price_alert(fx_small.ticks, fx_small.price_thresholds).collect()
         assert sorted(map(key, got)) == sorted(want) and want

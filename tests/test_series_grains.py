@@ -65,4 +65,4 @@ def test_iso_text(spark):
 
 def test_funnel_without_users_has_null_rates(spark):
     web = spark.createDataFrame([], "event_id long, user_id long, step string, ts timestamp_ntz")
-    assert [(r.users, r.step_rate, r.overall_rate) for r in Q.conversion_funnel(web).collect()] == [(0, None, None)] * 4
+    assert [(r.users, r.step_rate, r.overall_rate) for r in Q.conversion_funnel(web).collect()] == [(0, None, None)] * 5
