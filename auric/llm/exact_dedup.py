@@ -12,7 +12,7 @@ plain scans, so a group that holds a third of all rows is pre-aggregated
 before the shuffle and split by AQE in the join. No row is joined by its id,
 so repeated or null ids change nothing.
 
-Defined results: null text is the empty text, and all empty texts are one
+Defined results: ids are integers, or cast to them; null text is the empty text, and all empty texts are one
 group; of a group the row with the most code points in the original text
 stays, then the smallest id, null ids last. Rows that repeat a kept id with
 the same text carry ``kept = true`` like the row itself (the id is what

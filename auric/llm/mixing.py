@@ -236,13 +236,13 @@ def copies_of(text: str, cuts: list[dict]) -> list[str]:
     return out
 
 
-def cut_copies(docs: DataFrame, schema: StructType) -> DataFrame:
-    """Rows of documents with ``cuts`` -> one row per copy, columns of ``schema``."""
+def cut_copies(docs: DataFrame, schema: StructType, cuts_col: str = "cuts") -> DataFrame:
+    """Rows of documents with ``cuts_col`` -> one row per copy, columns of ``schema``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             owner, texts = [], []
-            for i, (t, c) in enumerate(zip(b.column("text"), b.column("cuts"))):
+            for i, (t, c) in enumerate(zip(b.column("text"), b.column(cuts_col))):
                 for x in copies_of(t.as_py() or "", c.as_py()):
                     owner.append(i)
                     texts.append(x)
@@ -254,4 +254,4 @@ def cut_copies(docs: DataFrame, schema: StructType) -> DataFrame:
                     [new[f.name].cast(part.schema.field(f.name).type) if f.name in new else part.column(f.name)
                      for f in schema], [f.name for f in schema])
 
-    return map_batches(docs.select(*schema.names, "cuts"), run, schema)
+    return map_batches(docs.select(*schema.names, cuts_col), run, schema)

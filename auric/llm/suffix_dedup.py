@@ -1,19 +1,18 @@
-"""Removal of repeated byte strings by distributed prefix doubling (operator 10).
+"""Removal of repeated byte strings (operator 10).
 
 Every byte covered by a string of ``threshold`` bytes that also starts earlier
-(smaller id, or same document and earlier start) is removed. Equal strings get
-equal ranks, and a rank of twice the length is the rank of a pair: the ranks
-of two strings side by side. Positions leave as soon as their rank is unique,
-and the doubling ends once it is past the threshold.
-
-Ranks are names, 64-bit fingerprints of the pair, so a round needs no global
-order; two independent names are compared wherever a result depends on one.
-Ranking every byte in every round would move 16 bytes or more per byte and
-round, tens of times the input. So the rounds up to ``core`` bytes run inside
-the documents, and only *anchors* enter the shuffle: of the ``core``-byte
-strings inside a window of ``threshold`` bytes, the one with the least name
-(the leftmost, if equal). Equal windows choose equal anchors at equal places,
-so no repeat is lost, and each window is decided by its one anchor.
+(smaller id, or same document and earlier start) is removed.
+
+This is not the dealt prefix doubling of every position (see the README for why):
+there is no global sort of rank pairs. *Anchors* chosen by content stand for the
+windows of ``threshold`` bytes, and 64-bit names of growing contexts round an
+anchor (its core, its reach, a side, the window) take the place of ranks; two
+independent names are compared wherever a result depends on one. As with ranks, an
+anchor leaves as soon as its name is unique, and the contexts grow to the threshold.
+
+Of the ``core``-byte strings inside a window the one with the least name (the
+leftmost, if equal) is its anchor. Equal windows choose equal anchors at equal
+places, so no repeat is lost, and each window is decided by its one anchor.
 
 Rounds between documents, each an aggregate with map-side combine and a join:
 
@@ -34,9 +33,10 @@ shuffle, so that a rank has a document at most once and "earlier" is the least
 id. A rank shared by a third of all rows is a row per task after the
 map-side combine, and its join back is split by AQE.
 
-Defined results: null text is empty; rows that repeat an id (and so its text)
-are one document for the order, neither being earlier, and each is reported;
-rows without an id are documents of their own before all others, in the order
+Defined results: ids are integers, or cast to them; null text is empty; rows that
+repeat an id and its text are one document for the order, neither being earlier,
+and each is reported; different texts with one id are documents of their own, in
+the order of their hash; rows without an id are documents of their own before all others, in the order
 of their text's hash; texts shorter than the threshold keep every byte; an
 empty table gives an empty result; other columns are not read. Texts are
 handled in blocks of ``BLOCK`` bytes, in memory linear in their length.
@@ -254,6 +254,18 @@ def cut(data: bytes, spans: list[tuple[int, int]]) -> tuple[list[tuple[int, int]
     return runs, b"".join(kept) + data[at:]
 
 
+def _one_text_per_id(named: DataFrame) -> DataFrame:
+    """Where an id has several texts, every (id, text) is a document of its own, in
+    that order: ids become places in the order of (id, hash of the text)."""
+    clash = named.groupBy("id").agg((F.min(F.xxhash64("text")) != F.max(F.xxhash64("text"))).alias("several"))
+    if clash.where("several").isEmpty():
+        return named
+    keyed = named.withColumn("sha", F.sha2("text", 256))
+    order = keyed.select("id", "sha").distinct().repartitionByRange("id", "sha").sortWithinPartitions("id", "sha")
+    order = stage(order.withColumn("place", F.monotonically_increasing_id()), "suffix-ids")
+    return keyed.join(order, ["id", "sha"]).select("out_id", F.col("place").alias("id"), "text")
+
+
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 100,
                  core: int = 40) -> DataFrame:
     """One row per input row: id, n_bytes, n_removed, n_spans, spans (removed
@@ -263,6 +275,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     nameless = F.lit(-(1 << 63)).cast("long") + F.pmod(F.xxhash64(text_of(text_col)), F.lit(1 << 61))
     named = docs.select(F.col(id_col).alias("out_id"), F.coalesce(F.col(id_col).cast("long"), nameless).alias("id"),
                         text_of(text_col).alias("text"))
+    named = _one_text_per_id(named)
     texts = named.select("id", "text")
     span = [F.col("first").alias("start"), (F.col("first") + F.col("span") + threshold).alias("end")]
     found = stage(find_anchors(texts, s), "suffix-anchors")

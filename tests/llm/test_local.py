@@ -159,6 +159,43 @@ def test_lexed_assignments_follow_constants():
         assert spans_of(line, "literal") == [], line
 
 
+def test_joined_values_cost_one_step_each():
+    import time
+
+    def quick(text):
+        t = time.process_time()
+        got = secret_scan.scan(text)
+        assert time.process_time() - t < 3
+        return [text[a:b] for k, a, b in got if k == "literal"]
+
+    doubled = "\n".join(['v0 = "q8Zr7wPx"', *(f"v{k} = v{k - 1} + v{k - 1}" for k in range(1, 1001)), "db_pwd = v1000"])
+    assert quick(doubled) == ["q8Zr7wPx"]
+    chain = "\n".join(['v0 = "q8Zr7wPx"', *(f'v{k} = v{k - 1} + "K{k}"' for k in range(1, 1001)), *["db_pwd = v1000"] * 500])
+    assert len(quick(chain)) == 1001
+    for line in ("a=" * 500_000, "pwd=" * 250_000, "ab:cd:ef:" * 110_000, "<" * 1_000_000, "pwd: " + "<" * 1_000_000,
+                 'x = "' + "a" * 1_000_000, "A" * 1_000_000 + "=1", "pwd = " + "q8Zr7wPx" * 125_000,
+                 "\n".join(f"pwd{k} = v" for k in range(50_000)), "x = " + "a + " * 250_000 + "a", "token" + " " * 1_000_000):
+        quick(line)
+    assert quick("pwd = " + "q8Zr7wPx" * 125_000) == ["q8Zr7wPx" * 125_000]
+
+
+def test_joined_values_score_like_their_text():
+    r = random.Random(6)
+    for _ in range(500):
+        parts = ["".join(r.choice(["a", "B", "7", "-", " ", "é", "x"]) for _ in range(r.randint(0, 6))) for _ in range(r.randint(1, 4))]
+        if "xxxx" in "".join(parts):
+            continue
+        node = secret_scan._Value(parts[0])
+        for p in parts[1:]:
+            node = secret_scan._Value(parts=(node, secret_scan._Value(p)))
+        assert abs(node.score() - secret_scan.literal_score("".join(parts))) < 1e-9, parts
+
+
+def test_bare_values_of_other_names_end_at_the_next_sign():
+    assert spans_of("x=db_pwd=q8Zr7wPx2Kd&y=2", "literal") == ["q8Zr7wPx2Kd&y=2"]
+    assert spans_of("A = q8Zr7wPx2Kd\ndb_pwd = A", "literal") == ["q8Zr7wPx2Kd"]
+
+
 def test_text_stats_against_definition():
     r = random.Random(2)
     for _ in range(300):

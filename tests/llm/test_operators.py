@@ -414,3 +414,39 @@ def test_stage_leaves_no_setting_behind(spark):
     assert stage(spark.range(3), "test").count() == 3
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") in ("false", None)
     assert dict(spark.sparkContext.getConf().getAll()) == before
+
+
+def brute_base(text):
+    """The base patterns by the contract's words, position by position where that is plain."""
+    import re
+    text = text or ""
+    spans = []
+    for kind, pattern, group, least in (
+            ("assign", r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|"""
+                       r"""[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?[ ]*[:=][ ]*["']?([A-Za-z0-9+/_.=-]+)""", 1, 8),
+            ("access", "AKIA[A-Z0-9]+", 0, 16), ("hex", "[0-9a-f]+", 0, 32)):
+        at = 0
+        while m := re.compile(pattern).search(text, at):
+            if len(m.group(group)) >= least:
+                spans.append((m.start(), ("assign", "access", "hex").index(kind), kind, m.end()))
+            at = m.end()
+    return sorted(spans)
+
+
+def test_base_patterns_on_documents(spark, texts):
+    got = {r.doc_id: r for r in QUERIES["op1_secret_scan"](spark, SF).collect()}
+    assert got.keys() == texts.keys()
+    for d, t in texts.items():
+        want = brute_base(t)
+        assert got[d].base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{e}" for a, _, k, e in want).encode()).hexdigest()
+        assert (got[d].n_assign, got[d].n_access, got[d].n_hex) == tuple(
+            sum(x[2] == k for x in want) for k in ("assign", "access", "hex"))
+
+
+def test_suffix_dedup_of_texts_that_share_an_id(docs):
+    r = np.random.default_rng(4)
+    a, b, c = ("".join(r.choice(list("abcdefgh"), 300)) for _ in range(3))
+    rows = [(0, a), (1, a), (1, b), (1, b), (2, b + c), (3, c), (None, c)]
+    got = sorted((str(x.doc_id), x.n_bytes, x.n_removed) for x in suffix_dedup(docs(rows)).collect())
+    assert got == sorted([("0", 300, 0), ("1", 300, 300), ("1", 300, 0), ("1", 300, 0), ("2", 600, 600), ("3", 300, 300),
+                          ("None", 300, 0)])

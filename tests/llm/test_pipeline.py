@@ -101,3 +101,16 @@ def test_exact_keeps_different_texts_with_one_id(spark, docs):
     rows = [(1, "one text"), (1, "another text, longer")]
     got = {r.text: r.doc_id for r in stage(cp.exact(spark, docs(rows), ""), "t").collect()}
     assert got["another text, longer"] == 1 and got["one text"] < 0
+
+
+def test_columns_with_the_names_of_helpers(spark):
+    docs = documents(spark, SF).limit(120)
+    names = ["cuts", "row_key", "text_sha", "row_no", "is_first", "kept", "size", "fingerprint"]
+    odd = docs.withColumns({n: cp.F.concat(cp.F.lit(n), cp.F.col("doc_id").cast("string")) for n in names})
+    for _, step in cp.STAGES[:-1]:
+        docs, odd = stage(step(spark, docs, SF), "t"), stage(step(spark, odd, SF), "t")
+        assert sorted(map(str, odd.select(docs.columns).collect())) == sorted(map(str, docs.collect()))
+        assert all(r[n] == n + str(r.doc_id) for r in odd.collect() for n in names if r.doc_id >= 0)
+    out = cp.packing(spark, odd, SF).collect()
+    enc = Encoder(default_path())
+    assert all(len(r.ids) == r.length * enc.dtype.itemsize for r in out)
