@@ -5,8 +5,9 @@
 Rows are identified by ``doc_id``. Defined results: the first stage gives a
 row without an id one of its own (negative, from a hash of the row), and the
 exact dedup gives different texts with one id ids of their own (the longest
-keeps it; the others' are negative, from a hash). Null texts count as empty and go in the first stage (no words). Extra columns are kept; an empty
-table passes through every stage.
+keeps it; the others' are negative, from a hash). Null texts count as empty and go
+in the first stage (no words). Extra columns are kept whatever their names; an
+empty table passes through every stage. The result has the token ids of every piece.
 """
 
 from __future__ import annotations
@@ -29,6 +30,13 @@ END_ID = 0
 SIMHASH = {"shingle_words": 3, "radius": 2}
 
 
+def _unused(df: DataFrame, name: str) -> str:
+    """A column name that the table does not have."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 def _row_key() -> Column:
     """Equal for rows with the same id, text, language and source."""
     return F.sha2(F.to_json(F.struct("doc_id", "text", "lang", "source")), 256)
@@ -37,28 +45,28 @@ def _row_key() -> Column:
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go. The verdict depends on the row's text, language
     and source only, so it is joined back by them."""
-    cols = docs.columns
-    keyed = docs.withColumn("__key", _row_key())
-    verdict = stage(quality_rules(keyed, id_col="__key"), "pipeline-quality")
-    kept = verdict.where("kept").select("__key").distinct()
-    new_id = -1 - F.shiftrightunsigned(F.xxhash64("__key"), 2)
-    return keyed.join(kept, "__key", "left_semi").withColumn(
-        "doc_id", F.coalesce("doc_id", new_id)).select(cols)
+    key = _unused(docs, "row_key")
+    keyed = docs.withColumn(key, _row_key())
+    verdict = stage(quality_rules(keyed, id_col=key), "pipeline-quality")
+    kept = verdict.where("kept").select(key).distinct()
+    new_id = -1 - F.shiftrightunsigned(F.xxhash64(key), 2)
+    return keyed.join(kept, key, "left_semi").withColumn("doc_id", F.coalesce("doc_id", new_id)).select(docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts stays. Of different texts with
     one id the longest keeps it; the others get ids of their own."""
+    sha, n, first = (_unused(docs, c) for c in ("text_sha", "row_no", "is_first"))
     kept = stage(exact_dedup(docs), "pipeline-exact").where("kept").select(
-        "doc_id", F.col("text_sha256").alias("__sha")).distinct()
+        "doc_id", F.col("text_sha256").alias(sha)).distinct()
     norm = F.regexp_replace(text_of("text"), SPACE_CLASS + "+", "")
-    rows = docs.withColumn("__sha", F.sha2(norm, 256)).join(kept, ["doc_id", "__sha"], "left_semi")
+    rows = docs.withColumn(sha, F.sha2(norm, 256)).join(kept, ["doc_id", sha], "left_semi")
     order = [F.length("text").desc(), F.col("text")]
-    rows = rows.withColumn("__n", F.row_number().over(W.partitionBy("doc_id", "__sha").orderBy(*order))).where("__n = 1")
-    first = F.row_number().over(W.partitionBy("doc_id").orderBy(*order)) == 1
-    new_id = -1 - F.shiftrightunsigned(F.xxhash64("doc_id", "__sha"), 2)
-    return rows.withColumn("__first", first).withColumn(
-        "doc_id", F.when(F.col("__first"), F.col("doc_id")).otherwise(new_id)).select(docs.columns)
+    rows = rows.withColumn(n, F.row_number().over(W.partitionBy("doc_id", sha).orderBy(*order))).where(F.col(n) == 1)
+    longest = F.row_number().over(W.partitionBy("doc_id").orderBy(*order)) == 1
+    new_id = -1 - F.shiftrightunsigned(F.xxhash64("doc_id", sha), 2)
+    return rows.withColumn(first, longest).withColumn(
+        "doc_id", F.when(F.col(first), F.col("doc_id")).otherwise(new_id)).select(docs.columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -71,14 +79,15 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as the mix takes them: copy k of a document holds the words
     taken at least k times; n_chars is that of the copy."""
-    taken = stage(mix(docs), "pipeline-mix").where("taken > 0").select("doc_id", "cuts")
-    return cut_copies(docs.join(taken, "doc_id"), docs.schema)
+    cuts = _unused(docs, "cuts")
+    taken = stage(mix(docs), "pipeline-mix").where("taken > 0").select("doc_id", F.col("cuts").alias(cuts))
+    return cut_copies(docs.join(taken, "doc_id"), docs.schema, cuts)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the mixed documents in sequences."""
-    return pack_documents(docs, default_path(), end_id=END_ID, window=WINDOW, with_ids=False).select(
-        "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+    """Pieces of the mixed documents in sequences, with their token ids."""
+    return pack_documents(docs, default_path(), end_id=END_ID, window=WINDOW).select(
+        "doc_id", "start", "length", "ids", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
 STAGES = [("quality", quality), ("exact_dedup", exact), ("simhash_dedup", near), ("mixing", mixing),
