@@ -198,6 +198,30 @@ def daily_metrics(users: DataFrame, tx_fees: DataFrame) -> DataFrame:
         "total_volume", "gold_volume", "silver_volume", "platinum_volume", "revenue")
 
 
+# ------------------------------------------------- A-09, A-16: distinct users
+def active_users(events: DataFrame, keys, grain: str, ts_col: str = "created_at") -> DataFrame:
+    """Exact distinct users per key and period (day, week or month). Distinct users
+    do not add up over days, so this reads the events of the whole period."""
+    from .series import period_of
+    return events.groupBy(*keys, period_of(ts_col, grain).alias(grain)).agg(F.countDistinct("user_id").alias("active_users"))
+
+
+def user_sketches(events: DataFrame, keys, ts_col: str = "created_at", log2_size: int = 14) -> DataFrame:
+    """A mergeable sketch of the distinct users of every key and day (HyperLogLog, of
+    at most 2**log2_size registers). Stored by day (:func:`auric.sources.sinks.write_by_day`),
+    it answers any longer period without reading the events again."""
+    return events.groupBy(*keys, _day(ts_col).alias("metric_date")).agg(
+        F.hll_sketch_agg("user_id", log2_size).alias("users"))
+
+
+def active_users_from_sketches(sketches: DataFrame, keys, grain: str) -> DataFrame:
+    """Estimated distinct users per key and period, from the days' sketches alone. The
+    standard error is about 1.04 / sqrt(2**log2_size), 0.8 % at 14."""
+    from .series import period_of
+    return sketches.groupBy(*keys, period_of("metric_date", grain).alias(grain)).agg(
+        F.hll_sketch_estimate(F.hll_union_agg("users")).alias("active_users"))
+
+
 # --------------------------------------------------------------------- A-10
 def period_volume(tx: DataFrame, as_of) -> DataFrame:
     """Completed volume today and month-to-date, per tenant and asset, plus an

@@ -255,6 +255,36 @@ def _a16(fx):
     return A.audit_activity(fx.audit_logs)
 
 
+def _active_sql(grain: str) -> str:
+    return (f"SELECT tenant_id, {S(f"CAST(date_trunc('{grain}', created_at) AS DATE)")} AS {grain}, "
+            "COUNT(DISTINCT user_id) AS active_users FROM tx WHERE status = 'completed' "
+            f"GROUP BY tenant_id, date_trunc('{grain}', created_at)")
+
+
+@register("active_users_week", "A-09", W(["tx"], _active_sql("week")))
+def _a09_week(fx):
+    return A.active_users(A.completed(fx.tx), ["tenant_id"], "week")
+
+
+@register("active_users_month", "A-09", W(["tx"], _active_sql("month")))
+def _a09_month(fx):
+    return A.active_users(A.completed(fx.tx), ["tenant_id"], "month")
+
+
+SKETCH_ERROR = 0.03
+
+
+@register("active_users_sketched", "A-09", W(["tx"], f"SELECT *, TRUE AS within_error FROM ({_active_sql('month')}) m"))
+def _a09_sketch(fx):
+    """Months from the days' sketches: no farther than SKETCH_ERROR from the exact count."""
+    done = A.completed(fx.tx)
+    exact = A.active_users(done, ["tenant_id"], "month")
+    sketched = A.active_users_from_sketches(A.user_sketches(done, ["tenant_id"]), ["tenant_id"], "month")
+    both = exact.join(sketched.withColumnRenamed("active_users", "estimate"), ["tenant_id", "month"], "left")
+    near = F.abs(F.col("estimate") - F.col("active_users")) <= F.ceil(F.col("active_users") * SKETCH_ERROR)
+    return both.select("tenant_id", "month", "active_users", F.coalesce(near, F.lit(False)).alias("within_error"))
+
+
 @register("alert_workload", "A-17", W(["aml_alerts_fx"], f"""
 SELECT alert_type, status, COUNT(*) AS alerts, COUNT(resolved_at) AS resolved,
        CASE WHEN COUNT(resolved_at) > 0 THEN

@@ -58,29 +58,49 @@ def _q03(fx):
     return Q.price_asof(fx.trades, fx.ticks)
 
 
-HISTORY_SQL = f"""
-, keys AS (SELECT tenant_id, user_id, asset_type, CAST(date_trunc('month', min(created_at)) AS DATE) AS first_month
+def history_sql(grain: str, end: str, step: str) -> str:
+    """Portfolio value per user and period up to the period that begins at ``end``."""
+    return f"""
+, keys AS (SELECT tenant_id, user_id, asset_type, CAST(date_trunc('{grain}', min(created_at)) AS DATE) AS first_period
            FROM ledger_walk GROUP BY tenant_id, user_id, asset_type),
 spine AS (SELECT tenant_id, user_id, asset_type,
-                 CAST(unnest(generate_series(CAST(first_month AS TIMESTAMP), TIMESTAMP '{END_MONTH}',
-                                             INTERVAL 1 MONTH)) AS DATE) AS month
+                 CAST(unnest(generate_series(CAST(first_period AS TIMESTAMP), TIMESTAMP '{end}',
+                                             INTERVAL {step})) AS DATE) AS {grain}
           FROM keys),
-mb AS (SELECT s.tenant_id, s.user_id, s.asset_type, s.month, arg_max(w.bal, w.rn) AS bal
+mb AS (SELECT s.tenant_id, s.user_id, s.asset_type, s.{grain}, arg_max(w.bal, w.rn) AS bal
        FROM spine s JOIN ledger_walk w
          ON s.tenant_id = w.tenant_id AND s.user_id = w.user_id AND s.asset_type = w.asset_type
-        AND w.created_at < s.month + INTERVAL 1 MONTH
-       GROUP BY s.tenant_id, s.user_id, s.asset_type, s.month),
-px AS (SELECT m.asset_type, m.month,
+        AND w.created_at < s.{grain} + INTERVAL {step}
+       GROUP BY s.tenant_id, s.user_id, s.asset_type, s.{grain}),
+px AS (SELECT m.asset_type, m.{grain},
               arg_max(t.price, (t.created_at, t.order_id, t.line_no, t.partkey, t.suppkey, t.ext, t.quantity,
                                 t.transaction_type)) AS price
-       FROM (SELECT DISTINCT asset_type, month FROM mb) m JOIN tx t
-         ON t.asset_type = m.asset_type AND t.created_at < m.month + INTERVAL 1 MONTH
+       FROM (SELECT DISTINCT asset_type, {grain} FROM mb) m JOIN tx t
+         ON t.asset_type = m.asset_type AND t.created_at < m.{grain} + INTERVAL {step}
         AND t.status = 'completed' AND t.transaction_type IN ('BUY', 'SELL')
-       GROUP BY m.asset_type, m.month),
-hist AS (SELECT mb.tenant_id, mb.user_id, mb.month,
+       GROUP BY m.asset_type, m.{grain}),
+hist AS (SELECT mb.tenant_id, mb.user_id, mb.{grain},
                 CAST(SUM(CAST(mb.bal * px.price AS DECIMAL(15,2))) AS DECIMAL(18,2)) AS portfolio_value
-         FROM mb LEFT JOIN px ON mb.asset_type = px.asset_type AND mb.month = px.month
-         GROUP BY mb.tenant_id, mb.user_id, mb.month)"""
+         FROM mb LEFT JOIN px ON mb.asset_type = px.asset_type AND mb.{grain} = px.{grain}
+         GROUP BY mb.tenant_id, mb.user_id, mb.{grain})"""
+
+
+HISTORY_SQL = history_sql("month", END_MONTH, "1 MONTH")
+END_WEEK = "2001-11-26"  # the Monday of the week of END_MONTH
+
+
+def return_sql(grain: str) -> str:
+    """Change against the period before and since the year's first period."""
+    return f"""
+, w AS (SELECT *, lag(portfolio_value) OVER (PARTITION BY tenant_id, user_id ORDER BY {grain}) AS prev_value,
+               first_value(portfolio_value) OVER (PARTITION BY tenant_id, user_id, year({grain}) ORDER BY {grain}
+                                                  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS ys
+        FROM hist)
+SELECT tenant_id, user_id, {S(grain)} AS {grain}, {D("portfolio_value")} AS portfolio_value,
+       {D("portfolio_value - prev_value")} AS change,
+       CASE WHEN prev_value <> 0 THEN {D("portfolio_value - prev_value")} / {D("prev_value")} * 100.0 END AS change_pct,
+       CASE WHEN ys <> 0 THEN {D("portfolio_value - ys")} / {D("ys")} * 100.0 END AS ytd_pct
+FROM w"""
 
 
 @register("portfolio_history", "Q-04", W(["ledger_walk", "tx"], HISTORY_SQL + f"""
@@ -124,20 +144,16 @@ def _q06(fx):
     return Q.top_orders(fx.tx, 5)
 
 
-@register("period_return", "Q-07", W(["ledger_walk", "tx"], HISTORY_SQL + f"""
-, w AS (SELECT *, lag(portfolio_value) OVER (PARTITION BY tenant_id, user_id ORDER BY month) AS prev_value,
-               first_value(portfolio_value) OVER (PARTITION BY tenant_id, user_id, year(month) ORDER BY month
-                                                  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS ys
-        FROM hist)
-SELECT tenant_id, user_id, {S("month")} AS month, {D("portfolio_value")} AS portfolio_value,
-       {D("portfolio_value - prev_value")} AS change,
-       CASE WHEN prev_value <> 0 THEN {D("portfolio_value - prev_value")} / {D("prev_value")} * 100.0 END AS change_pct,
-       CASE WHEN ys <> 0 THEN {D("portfolio_value - ys")} / {D("ys")} * 100.0 END AS ytd_pct
-FROM w"""))
+@register("period_return", "Q-07", W(["ledger_walk", "tx"], HISTORY_SQL + return_sql("month")))
 def _q07(fx):
     return Q.period_return(Q.portfolio_history(fx.tx, None, END_MONTH))
 
 
+@register("period_return_week", "Q-07", W(["ledger_walk", "tx"], history_sql("week", END_WEEK, "7 DAY") + return_sql("week")))
+def _q07_week(fx):
+    return Q.period_return(Q.portfolio_history(fx.tx, None, END_MONTH, "week"), "week")
+
+
 @register("price_alert", "Q-08", W(["ticks", "price_thresholds"], f"""
 , p AS (SELECT *, lag(price) OVER (PARTITION BY asset_type ORDER BY ts, event_id) AS prev_price FROM ticks)
 SELECT t.user_id, p.asset_type, {D("t.threshold")} AS threshold, p.ts, p.event_id, {D("p.prev_price")} AS prev_price,

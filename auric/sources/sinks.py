@@ -122,9 +122,15 @@ def report_export(report: DataFrame, path: str, fmt: str = "json", period_col: s
 
 
 # --------------------------------------------------------------- A-09 store
+def write_by_day(table: DataFrame, path: str, day_col: str = "metric_date") -> None:
+    """Store a table by day with dynamic partition overwrite: days that are computed
+    again replace their own folders, the others stay."""
+    (table.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy(day_col).parquet(path))
+
+
 def write_daily_metrics(metrics: DataFrame, path: str) -> None:
     """Persist A-09 by day with dynamic partition overwrite. Recomputing a
     window of days (for example the last few, after late trades) replaces only
     those day partitions, and the table keeps one row per (tenant, day)."""
-    (metrics.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("metric_date").parquet(path))
+    write_by_day(metrics, path)
