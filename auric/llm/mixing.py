@@ -3,19 +3,23 @@
 * *Targets.* Sources in code-point order (null last) weigh 5, 2, 1, repeating,
   and share all words by weight; a target stops at ``max_epochs`` times its
   source's size and the excess is shared again by weight.
-* *Quotas.* The mix is cut into blocks of ``block_words`` words. Blocks go to
-  sources by highest quotient target / (2 s + 1), then within each source to
-  its shards in the same way by size: integer quotas. A block is taken
-  ``max_epochs`` times at most, so quotas stop there.
+* *Quotas.* The mix is cut into equal blocks, no larger than a 64th of the least
+  target, which go to sources by highest quotient target / (2 s + 1); a source's
+  quota never exceeds ``max_epochs`` times its size. A source then has blocks of its
+  own of ``block_words`` words, or of a 32nd of its target if that is less, so a
+  source of any size comes near its target. Its quota in these blocks (a block that
+  a shard's end cuts short counts by its words) goes in the same way to groups of
+  shards and from each group to its shards: integer quotas.
 * *Selection.* A shard's documents, in seeded order, are one stream of words
   cut into blocks. A quota of q over n blocks takes every block q // n times
   and q % n seeded blocks once more. A document's share is the overlap of its
   words with the blocks, so it is never above ``max_epochs`` times its size.
 
-What one task holds is small numbers only: one row per source for the
-targets, at most ``MAX_SHARDS`` rows for a source's quotas, and the sizes of
-one shard's documents (about ``shard_docs``) for the selection. A source that
-holds most rows has more shards; texts are never moved.
+What one task holds is small numbers only: one row per source for the targets, a
+row per group of a source or per shard of a group (``GROUP`` shards, so a group is
+some two million rows) for the quotas, and the sizes of one shard's documents
+(about ``shard_docs``) for the selection. A source that holds most rows has more
+shards; texts are never moved.
 
 Defined results: null and empty texts have size 0 and nothing is taken from
 them (a source without words has target 0); repeated rows are documents of
@@ -41,7 +45,8 @@ from pyspark.sql.types import StructType
 from .common import kind_of, map_batches, stage, text_of, to_bytes
 
 WEIGHTS = (5, 2, 1)  # fixed values
-MAX_SHARDS = 4096
+GROUP = 4096  # shards in a group
+UNIT_SHARE, BLOCK_SHARE = 64, 32  # a block against the least target, and against its source's
 
 
 def targets(sizes: list[int], max_epochs: int) -> list[float]:
@@ -113,7 +118,7 @@ def word_counts(docs: DataFrame, id_col: str, text_col: str, source_col: str) ->
 
 
 def _source_quotas(sources: DataFrame, max_epochs: int, block_words: int) -> DataFrame:
-    """One row per source: target and quota in blocks."""
+    """One row per source: target, quota in words, and the words of its own blocks."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(batches))
@@ -121,13 +126,16 @@ def _source_quotas(sources: DataFrame, max_epochs: int, block_words: int) -> Dat
             return
         key = rows.source.map(lambda s: (s is None, s or ""))
         rows = rows.iloc[sorted(range(len(rows)), key=lambda i: key.iloc[i])].reset_index(drop=True)
-        target = targets([int(s) for s in rows.source_size], max_epochs)
-        seats = round(sum(target) / block_words)
-        quota = apportion(np.array(target), seats, max_epochs * rows.n_blocks.to_numpy())
-        yield pd.DataFrame({"source": rows.source, "source_size": rows.source_size, "target": target,
-                            "source_quota": quota})
-
-    schema = "source string, source_size long, target double, source_quota long"
+        size = rows.source_size.to_numpy()
+        target = np.array(targets([int(s) for s in size], max_epochs))
+        least = target[target > 0].min() if (target > 0).any() else 0
+        unit = int(max(1, min(block_words, least // UNIT_SHARE)))
+        quota = apportion(target, round(target.sum() / unit), -(-max_epochs * size // unit))
+        own = np.clip(target // BLOCK_SHARE, 1, block_words).astype(np.int64)
+        yield pd.DataFrame({"source": rows.source, "source_size": size, "target": target,
+                            "source_words": np.minimum(quota * unit, max_epochs * size), "block": own})
+
+    schema = "source string, source_size long, target double, source_words long, block long"
     return sources.coalesce(1).mapInPandas(run, schema)
 
 
@@ -136,39 +144,50 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """One row per input row: id, source, size, source_size, target, taken and
     cuts, the copies taken along the document as runs of (words, copies)."""
     rows = stage(word_counts(docs, id_col, text_col, source_col), "mix-sizes")
-    shards_of = F.least(F.lit(MAX_SHARDS), F.ceil(F.count(F.lit(1)) / shard_docs)).cast("int")
+    shards_of = F.ceil(F.count(F.lit(1)) / shard_docs).cast("long")
     per_source = stage(rows.groupBy("source").agg(shards_of.alias("n_shards"), F.sum("size").alias("source_size")),
                        "mix-sources")
     same = rows.source.eqNullSafe(per_source.source)
     sharded = rows.join(per_source.select("source", "n_shards"), same).select(
         "id", rows.source, "size",
         F.pmod(F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(seed)), "n_shards")
-        .cast("int").alias("shard"))
+        .alias("shard"))
     sharded = stage(sharded, "mix-shards")
-    shards = stage(sharded.groupBy("source", "shard").agg(F.sum("size").alias("words"))
-                   .withColumn("n_blocks", F.ceil(F.col("words") / block_words).cast("long")), "mix-shard-sizes")
-    sources = shards.groupBy("source").agg(F.sum("words").alias("source_size"), F.sum("n_blocks").alias("n_blocks"))
+    shards = stage(sharded.groupBy("source", "shard").agg(F.sum("size").alias("words")), "mix-shard-sizes")
+    sources = shards.groupBy("source").agg(F.sum("words").alias("source_size"))
     quotas = stage(_source_quotas(sources, max_epochs, block_words), "mix-targets")
-
-    def share(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("shard")
-        quota = apportion(pdf.words.to_numpy(), int(pdf.source_quota.iloc[0]),
-                          max_epochs * pdf.n_blocks.to_numpy())
-        return pd.DataFrame({"source": pdf.source, "shard": pdf.shard, "quota": quota, "n_blocks": pdf.n_blocks,
-                             "source_size": pdf.source_size, "target": pdf.target})
-
-    both = shards.source.eqNullSafe(quotas.source)
-    shard_quotas = stage(
-        shards.join(quotas, both).select(shards.source, "shard", "words", "n_blocks", "source_quota",
-                                         "source_size", "target")
-        .groupBy("source").applyInPandas(
-            share, "source string, shard int, quota long, n_blocks long, source_size long, target double"),
-        "mix-quotas")
+    cut = shards.join(quotas, shards.source.eqNullSafe(quotas.source)).select(
+        shards.source, "shard", F.floor(F.col("shard") / GROUP).alias("part"), "block",
+        F.ceil(F.col("words") / F.col("block")).cast("long").alias("n_blocks"), "source_words", "source_size", "target")
+
+    def share(of: str):
+        """Deal a quota in blocks to rows by their blocks, in the order of ``of``."""
+        def deal(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values(of)
+            n = pdf.n_blocks.to_numpy()
+            pdf["quota"] = apportion(n, int(pdf.whole.iloc[0]), max_epochs * n)
+            return pdf.drop(columns=["n_blocks", "whole"] if of == "part" else ["whole"])
+        return deal
+
+    # A source's words as blocks: of n blocks over its size, each block stands for size / n words.
+    parts = cut.groupBy("source", "part").agg(F.sum("n_blocks").alias("n_blocks"), F.max("source_words").alias("words"),
+                                              F.max("source_size").alias("size"))
+    blocks = parts.groupBy("source").agg(F.sum("n_blocks").alias("all_blocks"), F.max("words").alias("words"), F.max("size").alias("size"))
+    whole = F.coalesce(F.round(F.try_divide(F.col("words").cast("decimal(20,0)") * F.col("all_blocks"), F.col("size"))), F.lit(0))
+    blocks = blocks.select(F.col("source").alias("of"), whole.cast("long").alias("whole"))
+    parts = parts.join(blocks, parts.source.eqNullSafe(blocks.of)).select("source", "part", "n_blocks", "whole")
+    of_part = parts.groupBy("source").applyInPandas(share("part"), "source string, part long, quota long")
+    of_part = of_part.select(F.col("source").alias("of"), F.col("part").alias("of_part"), F.col("quota").alias("whole"))
+    shard_quotas = cut.join(of_part, cut.source.eqNullSafe(of_part.of) & (cut.part == of_part.of_part)).select(
+        "source", "part", "shard", "block", "n_blocks", "source_size", "target", "whole")
+    shard_quotas = stage(shard_quotas.groupBy("source", "part").applyInPandas(
+        share("shard"), "source string, part long, shard long, block long, n_blocks long, source_size long, target double, "
+                        "quota long"), "mix-quotas")
 
     def select(t: pa.Table) -> pa.Table:
         t = t.take(pc.sort_indices(t, sort_keys=[("order", "ascending"), ("id", "ascending"), ("size", "ascending")]))
         size = t.column("size").to_numpy()
-        n, quota = t.column("n_blocks")[0].as_py(), t.column("quota")[0].as_py()
+        n, quota, block = (t.column(c)[0].as_py() for c in ("n_blocks", "quota", "block"))
         end = size.cumsum()
         begin = end - size
         copies = np.zeros(n, np.int64)
@@ -177,20 +196,20 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
             name = f"{seed}/{t.column('source')[0]}/{t.column('shard')[0]}"
             chosen = np.random.default_rng(zlib.crc32(name.encode())).permutation(n)[:quota % n]
             copies[chosen] += 1
-        upto = np.concatenate(([0], np.cumsum(copies * block_words)))
+        upto = np.concatenate(([0], np.cumsum(copies * block)))
 
         def taken(x: np.ndarray) -> np.ndarray:
             """Words taken of the stream's first x words."""
-            k = x // block_words
-            extra = np.where(k < n, copies[np.minimum(k, n - 1)] * (x - k * block_words), 0) if n else 0
+            k = x // block
+            extra = np.where(k < n, copies[np.minimum(k, n - 1)] * (x - k * block), 0) if n else 0
             return upto[np.minimum(k, n)] + extra
 
         cuts = []
         for a, z in zip(begin.tolist(), end.tolist()):
             runs = []
             while a < z:
-                stop = min(z, (a // block_words + 1) * block_words)
-                c = int(copies[a // block_words])
+                stop = min(z, (a // block + 1) * block)
+                c = int(copies[a // block])
                 if runs and runs[-1][1] == c:
                     runs[-1] = (runs[-1][0] + stop - a, c)
                 else:
@@ -203,7 +222,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     q = shard_quotas
     placed = sharded.join(q, sharded.source.eqNullSafe(q.source) & (sharded.shard == q.shard)).select(
-        "id", sharded.source, sharded.shard, "size", "quota", "n_blocks", "source_size", "target",
+        "id", sharded.source, sharded.shard, "size", "quota", "n_blocks", "block", "source_size", "target",
         F.xxhash64(F.col("id").cast("string"), F.lit(seed + 1)).alias("order"))
     kind = kind_of(rows, "id")
     out = placed.groupBy("source", "shard").applyInArrow(

@@ -256,6 +256,27 @@ def test_mixing(spark, docs, texts):
     assert all(abs(taken[s] - target[s]) <= 64 + 0.02 * target[s] for s in names)
 
 
+@pytest.mark.parametrize("group", [4096, 2])
+def test_mixing_small_sources_come_near_their_targets(docs, monkeypatch, group):
+    from auric.llm import mixing
+    monkeypatch.setattr(mixing, "GROUP", group)  # two shards a group: quotas go through both levels
+    rows, k = [], 0
+    for n_words in (1, 2, 3, 5, 8, 13, 20, 26, 30, 64, 100, 30, 30):
+        for part in range(0, n_words, 7):
+            rows.append((k, "w " * min(7, n_words - part), "en", f"s{len({r[3] for r in rows if len(r) > 3}) if part == 0 else len({r[3] for r in rows}) - 1:02d}"))
+            k += 1
+    rows += [(k + i, "word " * (i % 90), "en", "z") for i in range(400)]
+    got = mix(docs(rows), shard_docs=16).collect()
+    size, taken, target = Counter(), Counter(), {}
+    for r in got:
+        assert 0 <= r.taken <= 3 * r.size and sum(c["words"] * c["copies"] for c in r.cuts) == r.taken
+        size[r.source] += r.size
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+    assert len(size) == 14 and size["s08"] == 30 and size["z"] > 15_000
+    assert all(abs(taken[s] - target[s]) <= max(1, 0.04 * target[s]) for s in size), {s: (taken[s], target[s]) for s in size}
+
+
 def test_mixing_odd_rows(docs):
     got = mix(docs(ODD)).collect()
     assert len(got) == len(ODD)
