@@ -16,16 +16,21 @@ code length per byte in bits is -score * log2(10) / (bytes + 1).
 
 How it scales:
 
+* A string is a byte and its ``depth`` context bytes, as an integer with the
+  nearest byte on top, so all strings below a node lie together when sorted.
 * Documents go to blocks of about ``block_bytes`` by hash. A block counts its
-  distinct (context, byte) strings and its distinct words. Lower depths and
-  bits are sums of these, so a text is counted once.
-* Sums per string over all blocks, then bottom-up (Pw) and top-down (mixture)
-  passes over the tree: one aggregate or join per depth, map-side combined.
-  Strings that only held-out documents have take part with count 0, which
-  changes no probability and gives their place in the tree.
-* Each block gets back the values of its own strings and words, and scores its
-  documents. So a task holds a block's text and what occurs in it, whatever
-  the size of the model, and nothing is broadcast.
+  distinct strings and words; they go, packed in compressed arrays, to parts by a
+  hash of the ``SPLIT`` nearest context bytes (of the word).
+* A part has the whole tree below its contexts. It sums the blocks' counts and
+  passes over them a slice at a time (slices end between contexts): bottom-up for
+  Pw, which leaves sums per node of depth SPLIT - 1. These are bounded by the
+  contexts of two bytes, 256**2 * 255 nodes, whatever the corpus; the few levels
+  above are done at once and handed to all tasks.
+* Each part then mixes top-down and hands every block its own strings with their
+  values (36 bits of fraction); the block scores its documents. So a task holds a
+  block's text and what occurs in it, or a part, whatever the size of the model.
+  Strings that only held-out documents have take part with count 0, which changes
+  no probability and gives their place in the tree.
 
 Words are told apart by 64-bit hashes. ``base_score`` is the add-one unigram
 model over words and one end token per text.
@@ -39,68 +44,96 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship_package
 from .common import drop_stage, kind_of, stage, text_of, to_bytes
 
 FOLDS, HELD = 7, 2  # fixed values of the split
-GRAM, WORD = 0, 1
-CHUNK = 1 << 21  # bytes counted at a time
+CHUNK, CHUNK_TEXTS = 1 << 20, 256  # bytes and texts handled at a time
+HELD_KEYS = 1 << 21  # counted keys that are held before they are summed
+SLICE = 1 << 18  # strings of a part handled at a time
+SPLIT = 3
 END = 0
+LOG2, LOG_PI = math.log(2), math.log(math.pi)
 
 
+# -- a block ------------------------------------------------------------------
+
 def symbols(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Strings of ``depth`` context bytes and a byte, at every byte and end of
-    the texts, as integers; and the number of them in each text."""
+    """Strings at every byte and end of the texts: context bytes, nearest on top,
+    then the byte; and the number of them in each text."""
     pad = bytes(depth)
     data = np.frombuffer(b"".join(pad + t + bytes([END]) for t in texts), np.uint8)
     sizes = np.array([len(t) + 1 for t in texts], np.int64)
-    key = np.zeros(len(data) - depth, np.uint64)
-    for k in range(depth + 1):
-        key = key << np.uint64(8) | data[k:len(data) - depth + k]
-    # Positions (of the first context byte) that belong to a text, not to the next one's padding.
-    inside = np.ones(len(key), bool)
+    n = len(data) - depth
+    key = data[depth:].astype(np.uint64)
+    for d in range(1, depth + 1):
+        before = data[depth - d:n + depth - d].astype(np.uint64)
+        before <<= np.uint64(8 * (depth + 1 - d))
+        key |= before
+    # Positions that belong to a text, not to the next one's padding.
+    inside = np.ones(n, bool)
     ends = np.cumsum(sizes + depth)[:-1]
     inside[(ends[:, None] - depth + np.arange(depth)).ravel()] = False
     return key[inside], sizes
 
 
 def chunks(texts: list[bytes]) -> Iterator[list[int]]:
-    """Runs of text numbers of about CHUNK bytes."""
+    """Runs of text numbers of about CHUNK bytes, at most CHUNK_TEXTS."""
     now, size = [], 0
     for i, t in enumerate(texts):
         now.append(i)
         size += len(t)
-        if size >= CHUNK:
+        if size >= CHUNK or len(now) == CHUNK_TEXTS:
             yield now
             now, size = [], 0
     if now:
         yield now
 
 
+def _runs(sorted_keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys begin."""
+    return np.flatnonzero(np.append(True, sorted_keys[1:] != sorted_keys[:-1])) if len(sorted_keys) else np.zeros(0, np.int64)
+
+
+def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order and the sums of their counts."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = _runs(keys)
+    return keys[first], np.add.reduceat(counts[order], first) if len(first) else counts[:0]
+
+
 def count_strings(texts: list[bytes], training: list[bool], depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct strings, sorted, and how often training texts have them."""
     keys, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for part in chunks(texts):
         key, sizes = symbols([texts[i] for i in part], depth)
         flag = np.repeat(np.array([training[i] for i in part], np.uint64), sizes)
-        key, n = np.unique(key << np.uint64(1) | flag, return_counts=True)
+        key <<= np.uint64(1)
+        key |= flag
+        key.sort()
+        first = _runs(key)
+        n = np.diff(np.append(first, len(key)))
+        key = key[first]
         keys.append(key >> np.uint64(1))
         counts.append(np.where(key & np.uint64(1), n, 0))
-    key, at = np.unique(np.concatenate(keys), return_inverse=True)
-    return key, np.bincount(at, np.concatenate(counts), len(key)).astype(np.int64)
+        if sum(map(len, keys[1:])) >= HELD_KEYS:
+            key, n = summed(np.concatenate(keys), np.concatenate(counts))
+            keys, counts = [key], [n]
+    return summed(np.concatenate(keys), np.concatenate(counts))
 
 
 def word_hash(word: bytes) -> int:
-    """Signed 64-bit name of a word; the end token is the empty word."""
-    h = xxhash.xxh3_64_intdigest(word)
-    return h - (1 << 64) if h >> 63 else h
+    """64-bit name of a word; the end token is the empty word."""
+    return xxhash.xxh3_64_intdigest(word)
 
 
 class _Index(dict):
@@ -111,129 +144,230 @@ class _Index(dict):
         return n
 
 
-def word_numbers(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """Distinct words (and the end), the number of every token of the texts,
-    and the number of tokens in each text."""
+def word_numbers(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the distinct words (and the end), the number of every token of the
+    texts, and the number of tokens in each text."""
     index, parts, sizes = _Index(), [], np.zeros(len(texts), np.int64)
     for i, t in enumerate(texts):
         words = t.split()
         words.append(b"")
         sizes[i] = len(words)
         parts.append(np.fromiter(map(index.__getitem__, words), np.int64, len(words)))
-    return list(index), np.concatenate(parts), sizes
-
-
-def word_counts(numbers: np.ndarray, sizes: np.ndarray, training: list[bool], n: int) -> np.ndarray:
-    """How often training texts have each word."""
-    return np.bincount(numbers[np.repeat(np.array(training), sizes)], minlength=n)
-
-
-class Table:
-    """Values by integer key, looked up for whole arrays: hashed places, tried in rounds."""
-
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.bits = max(4, int(len(keys)).bit_length() + 1)
-        self.rounds = []
-        salt = 0x9E3779B97F4A7C15
-        while len(keys):
-            at = self._place(keys, np.uint64(salt))
-            held, kept = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits)
-            used = np.zeros(1 << self.bits, bool)
-            held[at], kept[at], used[at] = keys, values, True
-            self.rounds.append((np.uint64(salt), held, kept, used))
-            rest = held[at] != keys
-            keys, values = keys[rest], values[rest]
-            salt = (salt * 0xD1342543DE82EF95 + 1) % (1 << 64) | 1
-
-    def _place(self, keys: np.ndarray, salt: np.uint64) -> np.ndarray:
-        x = (keys ^ keys >> np.uint64(31)) * salt
-        return (x >> np.uint64(64 - self.bits)).astype(np.int64)
-
-    def get(self, keys: np.ndarray) -> np.ndarray:
-        """Values of keys; 0 where there is none."""
-        out = np.zeros(len(keys))
-        left = None
-        for salt, held, kept, used in self.rounds:
-            k = keys if left is None else keys[left]
-            at = self._place(k, salt)
-            hit = (held[at] == k) & used[at]
-            if left is None:
-                out = np.where(hit, kept[at], 0.0)
-                left = np.flatnonzero(~hit)
-            else:
-                out[left[hit]] = kept[at[hit]]
-                left = left[~hit]
-            if not len(left):
-                break
-        return out
-
-
-def _lgamma(x: Column) -> Column:
-    """log Gamma(x), x >= 1/2, by Stirling's series eight steps up."""
-    z = x + 8
-    steps = x
-    for k in range(1, 8):
-        steps = steps * (x + k)
-    series = 1 / (12 * z) - 1 / (360 * z * z * z) + 1 / (1260 * z * z * z * z * z)
-    return (z - 0.5) * F.log(z) - z + 0.5 * math.log(2 * math.pi) + series - F.log(steps)
-
-
-def _estimates(nodes: DataFrame) -> DataFrame:
-    """Nodes with counts a, b (double) and the children's sum of log Pw (null at
-    full depth) -> kt (probability of a one), log Pw, and own (the node's weight)."""
-    log_pe = (_lgamma(F.col("a") + 0.5) + _lgamma(F.col("b") + 0.5) - _lgamma(F.col("a") + F.col("b") + 1)
-              - math.log(math.pi))
-    x = nodes.withColumn("pe", log_pe)
-    most = F.greatest("pe", "below")
-    both = most + F.log(F.exp(F.col("pe") - most) + F.exp(F.col("below") - most)) - math.log(2)
-    x = x.withColumn("pw", F.when(F.col("below").isNull(), F.col("pe")).otherwise(both))
-    own = F.when(F.col("below").isNull(), F.lit(1.0)).otherwise(F.exp(F.col("pe") - math.log(2) - F.col("pw")))
-    return x.select("node", "a", "b", ((F.col("b") + 0.5) / (F.col("a") + F.col("b") + 1)).alias("kt"),
-                    "pw", own.alias("own"))
-
-
-def tree(grams: DataFrame, depth: int) -> DataFrame:
-    """(key, c): strings and training counts -> (key, log10 probability of the
-    last byte after the others). A node is its context bytes, then the bit
-    prefix (1 to 255) in the lowest byte."""
-    byte = F.col("key").bitwiseAND(F.lit(255))
-    context = F.col("key") - byte
-    steps = F.array(*[F.struct(
-        (context + F.shiftright(byte + 256, 8 - j)).alias("node"),
-        F.shiftright(byte, 7 - j).bitwiseAND(F.lit(1)).alias("bit")) for j in range(8)])
-    bits = grams.select("key", "c", F.explode(steps).alias("s")).select("key", "c", "s.node", "s.bit")
-
-    zero, one = F.when(F.col("bit") == 0, F.col("c")), F.when(F.col("bit") == 1, F.col("c"))
-    level = bits.groupBy("node").agg(
-        F.coalesce(F.sum(zero), F.lit(0)).cast("double").alias("a"),
-        F.coalesce(F.sum(one), F.lit(0)).cast("double").alias("b")).withColumn("below", F.lit(None).cast("double"))
-    levels = [stage(_estimates(level), "ctw-up")]
-    for d in range(depth - 1, -1, -1):
-        parent = F.col("node").bitwiseAND(F.lit((1 << (8 * (d + 1))) - 1))
-        level = levels[0].groupBy(parent.alias("node")).agg(
-            F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("pw").alias("below"))
-        levels.insert(0, stage(_estimates(level), "ctw-up"))
-
-    # Top down: probability of a one = sure + open * (mixture of the deeper nodes).
-    now = levels[0].select("node", (F.col("own") * F.col("kt")).alias("sure"), (1 - F.col("own")).alias("open"))
-    last = levels[0]
-    for d in range(1, depth + 1):
-        up = now.select(F.col("node").alias("up"), "sure", "open")
-        parent = F.col("node").bitwiseAND(F.lit((1 << (8 * d)) - 1))
-        now = stage(levels[d].join(up, parent == up.up).select(
-            "node", (F.col("sure") + F.col("open") * F.col("own") * F.col("kt")).alias("sure"),
-            (F.col("open") * (1 - F.col("own"))).alias("open")), "ctw-down")
-        drop_stage(last)
-        drop_stage(levels[d])
-        last = now
-    p = F.when(F.col("bit") == 1, F.col("sure")).otherwise(1 - F.col("sure"))
-    return bits.join(now, "node").groupBy("key").agg(F.sum(F.log10(p)).alias("value"))
+    return np.fromiter(map(word_hash, index), np.uint64, len(index)), np.concatenate(parts), sizes
+
+
+def part_of(keys: np.ndarray, n_parts: int) -> np.ndarray:
+    x = (keys + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    return ((x ^ x >> np.uint64(32)) % np.uint64(n_parts)).astype(np.int64)
+
+
+def string_part(keys: np.ndarray, depth: int, n_parts: int) -> np.ndarray:
+    """Strings with the same SPLIT nearest context bytes share a part."""
+    return part_of(keys >> np.uint64(8 * (depth + 1 - min(SPLIT, depth))), n_parts)
+
+
+def by_part(of: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """Parts in order, and the places of their keys, which stay in order."""
+    order = np.argsort(of, kind="stable")
+    first = _runs(of[order])
+    return list(zip(of[order[first]].tolist(), np.split(order, first[1:]) if len(first) else []))
+
+
+CODEC = pa.Codec("zstd", compression_level=1)
+
+
+def pack(a: np.ndarray, delta: bool = False) -> bytes:
+    """An array as compressed byte planes, of the differences if it is sorted."""
+    a = np.diff(a, prepend=a.dtype.type(0)) if delta else a
+    planes = np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T)
+    return len(a).to_bytes(8, "little") + CODEC.compress(planes.tobytes(), asbytes=True)
+
+
+def shortened(x: np.ndarray) -> np.ndarray:
+    """Doubles rounded to 36 bits of fraction (1e-11 of their size), which pack into six bytes."""
+    return ((x.view(np.uint64) + np.uint64(1 << 15)) >> np.uint64(16) << np.uint64(16)).view(np.float64)
+
+
+def unpack(data: bytes, dtype: str, delta: bool = False) -> np.ndarray:
+    n, size = int.from_bytes(data[:8], "little"), np.dtype(dtype).itemsize
+    planes = CODEC.decompress(data[8:], n * size, asbytes=True)
+    a = np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(size, n).T).view(dtype).ravel()
+    return np.cumsum(a, dtype=dtype) if delta else a
+
+
+# -- a part -------------------------------------------------------------------
+
+_N = np.arange(1, 1 << 16)
+LGAMMA_HALF = np.append(0.0, np.cumsum(np.log(_N - 0.5))) + 0.5 * LOG_PI  # log Gamma(k + 1/2)
+LGAMMA_ONE = np.append(0.0, np.cumsum(np.log(_N)))  # log Gamma(k + 1)
+
+
+def _lgamma(k: np.ndarray, plus: float, table: np.ndarray) -> np.ndarray:
+    """log Gamma(k + plus) of whole numbers; Stirling's series beyond the table."""
+    small = k < len(table)
+    out = table[np.where(small, k, 0)]
+    if not small.all():
+        z = k[~small] + plus
+        out[~small] = (z - 0.5) * np.log(z) - z + 0.5 * math.log(2 * math.pi) + 1 / (12 * z) - 1 / (360 * z**3)
+    return out
+
+
+def _estimate(a: np.ndarray, b: np.ndarray, below: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts and the children's sum of log Pw (none at full depth) -> log Pw, own
+    weight, probability of a one."""
+    pe = _lgamma(a, 0.5, LGAMMA_HALF) + _lgamma(b, 0.5, LGAMMA_HALF) - _lgamma(a + b, 1.0, LGAMMA_ONE) - LOG_PI
+    kt = (b + 0.5) / (a + b + 1)
+    if below is None:
+        return pe, np.ones(len(pe)), kt
+    pw = np.logaddexp(pe, below) - LOG2
+    return pw, np.exp(pe - LOG2 - pw), kt
+
+
+@dataclass
+class Level:
+    """One depth of a slice: its distinct (context, byte) keys and, for each of the
+    eight bits, the nodes as runs of these keys."""
+
+    keys: np.ndarray
+    up: np.ndarray | None  # place of each key in the level above
+    first: list  # by bit: a node's first key
+    run: list  # by bit: the node of a key
+    a: list
+    b: list
+    pw: list
+    own: list
+    kt: list
+
+
+def levels(keys: np.ndarray, counts: np.ndarray, depth: int, top: int) -> list[Level]:
+    """Bottom-up over sorted strings: the levels from ``depth`` to ``top``."""
+    out: list[Level] = []
+    for d in range(depth, top - 1, -1):
+        if d < depth:
+            above = keys >> np.uint64(16) << np.uint64(8) | keys & np.uint64(255)
+            keys, up = np.unique(above, return_inverse=True)
+            out[-1].up = up
+            counts = np.bincount(up, counts, len(keys)).astype(np.int64)
+        now = Level(keys, None, [], [], [], [], [], [], [])
+        for j in range(8):
+            head = keys >> np.uint64(8 - j)
+            starts = np.append(True, head[1:] != head[:-1])
+            first, run = np.flatnonzero(starts), (np.cumsum(starts) - 1).astype(np.int32)
+            bit = (keys >> np.uint64(7 - j) & np.uint64(1)).astype(bool)
+            b = np.add.reduceat(np.where(bit, counts, 0), first)
+            a = np.add.reduceat(counts, first) - b
+            below = None
+            if d < depth:
+                kids = out[-1]
+                below = np.bincount(run[kids.up[kids.first[j]]], kids.pw[j], len(first))
+            pw, own, kt = _estimate(a, b, below)
+            for name, x in (("first", first), ("run", run), ("a", a), ("b", b), ("pw", pw), ("own", own), ("kt", kt)):
+                getattr(now, name).append(x)
+        out.append(now)
+    return out
+
+
+def slices(keys: np.ndarray, depth: int) -> Iterator[slice]:
+    """Slices of about SLICE strings that end between contexts of SPLIT bytes."""
+    first = np.append(_runs(keys >> np.uint64(8 * (depth + 1 - min(SPLIT, depth)))), len(keys))
+    lo = 0
+    while lo < len(keys):
+        hi = int(first[np.searchsorted(first, min(lo + SLICE, len(keys)))])
+        yield slice(lo, hi)
+        lo = hi
+
+
+def _prefix(keys: np.ndarray, j: int) -> np.ndarray:
+    """Bit prefix (1 to 255) of the last byte before its bit j."""
+    return (keys & np.uint64(255) | np.uint64(256)) >> np.uint64(8 - j)
+
+
+def top_nodes(keys: np.ndarray, counts: np.ndarray, depth: int) -> tuple[np.ndarray, ...]:
+    """Sums per node one level above the part's: node (context and bit prefix), zeros, ones, log Pw below."""
+    top = min(SPLIT, depth)
+    parts = [[np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]]
+    for s in slices(keys, depth) if top else ():
+        level = levels(keys[s], counts[s], depth, top)[-1]
+        for j in range(8):
+            at = level.keys[level.first[j]]
+            parts[0].append(at >> np.uint64(16) << np.uint64(8) | _prefix(at, j))
+            for k, x in enumerate((level.a[j], level.b[j], level.pw[j]), 1):
+                parts[k].append(x)
+    node, a, b, pw = map(np.concatenate, parts)
+    nodes, at = np.unique(node, return_inverse=True)
+    return (nodes, *(np.bincount(at, x, len(nodes)) for x in (a, b, pw)))
+
+
+@dataclass
+class Upper:
+    """The levels above the parts: for the nodes of the lowest of them the probability
+    of a one that is sure there, and the share left to deeper trees."""
+
+    nodes: np.ndarray
+    sure: np.ndarray
+    open: np.ndarray
+
+
+def upper(nodes: np.ndarray, a: np.ndarray, b: np.ndarray, below: np.ndarray, n_levels: int) -> Upper:
+    """From the sums per node of depth ``n_levels`` - 1."""
+    stack = []
+    for k in range(n_levels):
+        order = np.argsort(nodes)
+        nodes, a, b, below = nodes[order], a[order], b[order], below[order]
+        pw, own, kt = _estimate(a.astype(np.int64), b.astype(np.int64), below)
+        up, at = np.unique(nodes >> np.uint64(16) << np.uint64(8) | nodes & np.uint64(255), return_inverse=True)
+        stack.append((nodes, own, kt, at))
+        nodes, a, b, below = up, *(np.bincount(at, x, len(up)) for x in (a, b, pw))
+    sure = opened = None
+    for nodes, own, kt, at in reversed(stack):
+        if sure is None:
+            sure, opened = own * kt, 1 - own
+        else:
+            parent = last_nodes.searchsorted(nodes >> np.uint64(16) << np.uint64(8) | nodes & np.uint64(255))
+            sure, opened = sure[parent] + opened[parent] * own * kt, opened[parent] * (1 - own)
+        last_nodes = nodes
+    return Upper(last_nodes, sure, opened)
+
+
+def values(keys: np.ndarray, counts: np.ndarray, depth: int, above: Upper | None) -> np.ndarray:
+    """log10 of the probability of each string's byte after its context."""
+    out = np.zeros(len(keys))
+    top = min(SPLIT, depth)
+    for s in slices(keys, depth):
+        part = levels(keys[s], counts[s], depth, top)
+        full, total = part[0], np.zeros(s.stop - s.start)
+        for j in range(8):
+            first = full.first[j]
+            p = full.kt[j]
+            at = first
+            for level, deeper in zip(part[1:], part):
+                at = deeper.up[at]
+                node = level.run[j][at]
+                own = level.own[j][node]
+                p = own * level.kt[j][node] + (1 - own) * p
+            # p is the mixture from the highest level of the part down; now the levels above.
+            if above is not None:
+                at = full.keys[first]
+                node = above.nodes.searchsorted(
+                    at >> np.uint64(8 * (depth + 2 - top)) << np.uint64(8) | _prefix(at, j))
+                p = above.sure[node] + above.open[node] * p
+            bit = (full.keys >> np.uint64(7 - j) & np.uint64(1)).astype(bool)
+            total += np.where(bit, np.log10(p)[full.run[j]], np.log10(1 - p)[full.run[j]])
+        out[s] = total
+    return out
+
+
+# -- the job ------------------------------------------------------------------
+
+def _rows_of(t: pa.Table) -> tuple[list[bytes], list[bool]]:
+    return [to_bytes(x.as_py()).lower() for x in t.column("text")], [not h for h in t.column("held").to_pylist()]
 
 
 def ctw_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 6,
-               block_bytes: int = 1 << 23) -> DataFrame:
+               block_bytes: int = 1 << 24) -> DataFrame:
     """One row per input row: id, held_out, n_tokens, n_known, train_tokens,
-    base_score, score, n_bytes, bits_per_byte (of bytes and end)."""
+    base_score, score, n_bytes, bits_per_byte (of bytes and end). ``depth`` is 6 at
+    most: a string and a flag fit 64 bits."""
     spark = docs.sparkSession
     ship_package(spark)
     size = docs.agg(F.sum(F.octet_length(text_of(text_col)))).first()[0] or 0
@@ -242,44 +376,93 @@ def ctw_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(
         F.col(id_col).alias("id"), text_of(text_col).alias("text"), (fold == HELD).alias("held"),
         F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(n_blocks)).cast("int").alias("block"))
+    packed = ("strings", "counts", "words", "word_counts")
 
     def count(t: pa.Table) -> pa.Table:
-        texts = [to_bytes(x.as_py()).lower() for x in t.column("text")]
-        training = [not h for h in t.column("held").to_pylist()]
-        grams, n = count_strings(texts, training, depth)
+        texts, training = _rows_of(t)
+        strings, n = count_strings(texts, training, depth)
         words, numbers, sizes = word_numbers(texts)
-        counts = word_counts(numbers, sizes, training, len(words))
-        key = np.concatenate((grams.view(np.int64), np.fromiter(map(word_hash, words), np.int64, len(words))))
-        return pa.table({
-            "block": pa.array(np.full(len(key), t.column("block")[0].as_py()), pa.int32()),
-            "kind": pa.array(np.repeat([GRAM, WORD], [len(grams), len(words)]), pa.int32()),
-            "key": pa.array(key), "n": pa.array(np.concatenate((n, counts)))})
-
-    seen = stage(rows.groupBy("block").applyInArrow(count, "block int, kind int, key long, n long"), "ctw-counts")
-    totals = stage(seen.groupBy("kind", "key").agg(F.sum("n").alias("c"), F.count(F.lit(1)).alias("blocks")),
-                   "ctw-totals")
-    words = totals.where(F.col("kind") == WORD)
-    n_train, n_distinct = words.where("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    values = stage(tree(totals.where(F.col("kind") == GRAM).select("key", "c"), depth), "ctw-values")
-    back = seen.where(F.col("kind") == GRAM).join(values, "key").select("block", "kind", "key", "value")
-    # A word of one block only has its count there already.
-    common = stage(words.where("blocks > 1").select("key", F.col("c").cast("double").alias("value")), "ctw-words")
-    back = back.union(seen.where(F.col("kind") == WORD).join(common, "key").select("block", "kind", "key", "value"))
+        words, m = summed(words, np.bincount(numbers[np.repeat(np.array(training), sizes)], minlength=len(words)))
+        places = dict(by_part(string_part(strings, depth, n_blocks)))
+        word_places = dict(by_part(part_of(words, n_blocks)))
+        none = np.zeros(0, np.int64)
+        out = {c: [] for c in ("part", *packed)}
+        for p in sorted(places.keys() | word_places.keys()):
+            at, word_at = places.get(p, none), word_places.get(p, none)
+            for c, x in zip(out, (p, pack(strings[at], True), pack(n[at]), pack(words[word_at], True), pack(m[word_at]))):
+                out[c].append(x)
+        return pa.table({"block": pa.array([t.column("block")[0].as_py()] * len(out["part"]), pa.int32()),
+                         "part": pa.array(out["part"], pa.int32()),
+                         **{c: pa.array(out[c], pa.binary()) for c in packed}})
+
+    seen = stage(rows.groupBy("block").applyInArrow(
+        count, "block int, part int, " + ", ".join(f"{c} binary" for c in packed)), "ctw-counts")
+
+    def merged(t: pa.Table, what: str, n: str) -> tuple[np.ndarray, np.ndarray]:
+        return summed(np.concatenate([unpack(x.as_py(), "<u8", True) for x in t.column(what)]),
+                      np.concatenate([unpack(x.as_py(), "<i8") for x in t.column(n)]))
+
+    def sums(t: pa.Table) -> pa.Table:
+        _, m = merged(t, "words", "word_counts")
+        node, a, b, below = top_nodes(*merged(t, "strings", "counts"), depth)
+        kind = pa.list_(pa.struct([("node", pa.int64()), ("a", pa.float64()), ("b", pa.float64()), ("below", pa.float64())]))
+        cells = pa.StructArray.from_arrays([pa.array(node.view(np.int64)), pa.array(a), pa.array(b), pa.array(below)],
+                                           ["node", "a", "b", "below"])
+        return pa.table({"tokens": pa.array([int(m.sum())]), "distinct": pa.array([int((m > 0).sum())]),
+                         "nodes": pa.ListArray.from_arrays(pa.array([0, len(node)], pa.int32()), cells).cast(kind)})
+
+    parts = stage(seen.groupBy("part").applyInArrow(
+        sums, "tokens long, distinct long, nodes array<struct<node:long,a:double,b:double,below:double>>"), "ctw-parts")
+    n_train, n_distinct = parts.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
+    # Nodes of contexts of two bytes: bounded whatever the corpus.
+    nodes = parts.select(F.explode("nodes").alias("n")).select("n.*").groupBy("node").agg(
+        F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("below").alias("below")).toPandas()
+    above = None
+    if min(SPLIT, depth) and len(nodes):
+        above = upper(nodes.node.to_numpy().view(np.uint64), *(nodes[c].to_numpy() for c in ("a", "b", "below")),
+                      min(SPLIT, depth))
+    shared = spark.sparkContext.broadcast(above)
+
+    def value(t: pa.Table) -> pa.Table:
+        strings, n = merged(t, "strings", "counts")
+        words, m = merged(t, "words", "word_counts")
+        v = values(strings, n, depth, shared.value)
+        own, known = [], []
+        for x, w in zip(t.column("strings"), t.column("words")):
+            own.append(pack(shortened(v[np.searchsorted(strings, unpack(x.as_py(), "<u8", True))])))
+            known.append(pack(m[np.searchsorted(words, unpack(w.as_py(), "<u8", True))]))
+        return pa.table({"block": t.column("block"), "part": t.column("part"), "strings": t.column("strings"),
+                         "values": pa.array(own, pa.binary()), "word_counts": pa.array(known, pa.binary())})
+
+    back = stage(seen.groupBy("part").applyInArrow(
+        value, "block int, part int, strings binary, values binary, word_counts binary"), "ctw-values")
+    drop_stage(parts)
+    drop_stage(seen)
     under = math.log10(n_train + n_distinct + 1)
 
     def score(t: pa.Table, model: pa.Table) -> pa.Table:
-        texts = [to_bytes(x.as_py()).lower() for x in t.column("text")]
-        held = t.column("held").to_pylist()
-        kind, key, value = (model.column(c).to_numpy() for c in ("kind", "key", "value"))
-        grams = Table(key[kind == GRAM].view(np.uint64), value[kind == GRAM])
+        texts, _ = _rows_of(t)
+
+        strings, v = (np.concatenate([unpack(x.as_py(), kind, kind == "<u8") for x in model.column(c)])
+                      for c, kind in (("strings", "<u8"), ("values", "<f8")))
+        order = np.argsort(strings)
+        strings, v = strings[order], v[order]
+        words, numbers, n_tokens = word_numbers(texts)
+        order, counts = np.argsort(words), np.zeros(len(words), np.int64)
+        places = dict(by_part(part_of(words[order], n_blocks)))
+        for p, m in zip(model.column("part").to_pylist(), model.column("word_counts")):
+            if p in places:
+                counts[order[places[p]]] = unpack(m.as_py(), "<i8")
         total = np.zeros(len(texts))
         for part in chunks(texts):
-            strings, sizes = symbols([texts[i] for i in part], depth)
-            total[part] = np.add.reduceat(grams.get(strings), np.concatenate(([0], np.cumsum(sizes)[:-1])))
-        shared = dict(zip(key[kind == WORD].tolist(), value[kind == WORD].tolist()))
-        words, numbers, n_tokens = word_numbers(texts)
-        own = word_counts(numbers, n_tokens, [not h for h in held], len(words)).tolist()
-        counts = np.array([shared.get(word_hash(w), n) for w, n in zip(words, own)])
+            key, sizes = symbols([texts[i] for i in part], depth)
+            # A string and the number of its text in the chunk fit 64 bits; sorted, equal strings are one look-up.
+            key = np.sort(key << np.uint64(8) | np.repeat(np.arange(len(part), dtype=np.uint64), sizes))
+            owner = (key & np.uint64(255)).astype(np.int64)
+            key >>= np.uint64(8)
+            first = _runs(key)
+            own = np.repeat(v[np.searchsorted(strings, key[first])], np.diff(np.append(first, len(key))))
+            total[part] = np.bincount(owner, own, len(part))
         first = np.cumsum(n_tokens) - n_tokens
         n_known = np.add.reduceat((counts > 0)[numbers].astype(np.int64), first)
         base = np.add.reduceat((np.log10(counts + 1) - under)[numbers], first)

@@ -211,12 +211,42 @@ def test_text_stats_against_definition():
     assert quality_rules.text_stats(None)[:5] == (0, 0, 0, 0, 0)
 
 
-def test_lookup_table():
-    keys = np.unique(np.random.default_rng(3).integers(0, 1 << 40, 5000, np.uint64))
-    t = ctw.Table(keys, np.arange(len(keys)) + 1.0)
-    assert (t.get(keys) == np.arange(len(keys)) + 1.0).all()
-    assert t.get(np.array([1 << 50], np.uint64)).tolist() == [0.0]
-    assert ctw.Table(keys[:0], np.zeros(0)).get(keys[:3]).tolist() == [0, 0, 0]
+def test_packed_arrays_come_back():
+    r = np.random.default_rng(3)
+    for n in (0, 1, 5000):
+        keys = np.unique(r.integers(0, 1 << 63, n, np.uint64) << np.uint64(1))
+        assert (ctw.unpack(ctw.pack(keys, True), "<u8", True) == keys).all()
+        counts = r.integers(0, 9, n)
+        assert (ctw.unpack(ctw.pack(counts), "<i8") == counts).all()
+
+
+def test_slices_and_parts_do_not_matter(monkeypatch):
+    """A tree cut into parts and slices gives the values of the whole one."""
+    r = random.Random(5)
+    texts = ["".join(r.choice("ab cé") for _ in range(r.randint(0, 60))).encode() for _ in range(20)]
+    keys, counts = ctw.count_strings(texts, [i % 3 > 0 for i in range(20)], 6)
+
+    def tree(n_parts):
+        of = ctw.string_part(keys, 6, n_parts)
+        sums = [ctw.top_nodes(keys[of == p], counts[of == p], 6) for p in range(n_parts)]
+        node, at = np.unique(np.concatenate([x[0] for x in sums]), return_inverse=True)
+        above = ctw.upper(node, *(np.bincount(at, np.concatenate([x[i] for x in sums])) for i in (1, 2, 3)), 3)
+        out = np.zeros(len(keys))
+        for p in range(n_parts):
+            out[of == p] = ctw.values(keys[of == p], counts[of == p], 6, above)
+        return out
+
+    whole = tree(1)
+    monkeypatch.setattr(ctw, "SLICE", 5)
+    assert np.allclose(tree(4), whole, rtol=1e-12)
+
+
+def test_great_counts_follow_stirling():
+    import math
+    k = np.array([0, 1, 65534, 65535, 65536, 10**7, 10**12])
+    for plus, table in ((0.5, ctw.LGAMMA_HALF), (1.0, ctw.LGAMMA_ONE)):
+        want = np.array([math.lgamma(x + plus) for x in k.tolist()])
+        assert np.allclose(ctw._lgamma(k, plus, table), want, rtol=1e-12, atol=1e-12)
 
 
 def test_block_edges_do_not_matter(monkeypatch):
