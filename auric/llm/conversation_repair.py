@@ -194,8 +194,8 @@ class _Piece:
         self.last_turn, self.last_initial = turn, initial
         self.chars += len(role) + len(text)
 
-    def full(self) -> bool:
-        return len(self.rows) >= PIECE_ROWS or self.chars >= PIECE_CHARS
+    def full(self, most_rows: int) -> bool:
+        return len(self.rows) >= most_rows or self.chars >= PIECE_CHARS
 
     def whole(self) -> dict:
         cost, audit = closed(least_weights(self.rows, START))
@@ -235,7 +235,7 @@ def _records(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[di
             yield from b.slice(lo, rows).to_pylist()
 
 
-def _pieces(sorted_rows: DataFrame) -> DataFrame:
+def _pieces(sorted_rows: DataFrame, most_rows: int) -> DataFrame:
     """Conversations that lie inside one task's range as they are, the others in pieces."""
     conv = kind_of(sorted_rows, "conv")
 
@@ -249,7 +249,7 @@ def _pieces(sorted_rows: DataFrame) -> DataFrame:
                 yield piece.cut(number) if at_end else piece.whole()
                 number += 1
                 piece, at_end = _Piece(r["conv"]), False
-            elif piece.full():
+            elif piece.full(most_rows):
                 yield piece.cut(number)
                 number += 1
                 piece, at_end = _Piece(r["conv"]), True
@@ -413,7 +413,7 @@ def _edited(cut: DataFrame, choices: DataFrame) -> DataFrame:
 
 
 def repair_parts(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role",
-                 text_col: str = "text", copies: Column | None = None) -> DataFrame:
+                 text_col: str = "text", copies: Column | None = None, piece_rows: int = PIECE_ROWS) -> DataFrame:
     """The repaired conversations in parts of bounded size: conv, part (null: the
     whole conversation; else parts go in this order), the counts of its rows
     (additive over parts), cost, audit (the edits' initials) and messages (array
@@ -439,7 +439,8 @@ def repair_parts(conversations: DataFrame, conv_col: str = "conv_id", turn_col:
     rows = rows.select("conv", "turn", "role", "text", "copies", first_seen.alias("first_seen"))
     # Equal heads stay in one task, so the ranges agree with the order of whole texts.
     dealt = rows.repartitionByRange("conv", "turn", "role", F.substring("text", 1, 64))
-    pieces = stage(_pieces(dealt.sortWithinPartitions("conv", "turn", "role", "text")), "conversation-pieces")
+    pieces = stage(_pieces(dealt.sortWithinPartitions("conv", "turn", "role", "text"), piece_rows),
+                   "conversation-pieces")
     cut = pieces.where("piece IS NOT NULL")
     choices = stage(_choices(cut), "conversation-choices")
     whole = pieces.where("piece IS NULL").select(
