@@ -17,4 +17,4 @@ def test_contract_needs_no_session_at_import():
             "print(len(load_all()))" % ROOT)
     out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=120)
     assert out.returncode == 0, out.stderr[-2000:]
-    assert int(out.stdout.strip().splitlines()[-1]) == 89
+    assert int(out.stdout.strip().splitlines()[-1]) == 97
