@@ -87,7 +87,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the mixed documents in sequences, with their token ids."""
     return pack_documents(docs, default_path(), end_id=END_ID, window=WINDOW).select(
-        "doc_id", "start", "length", "ids", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+        "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids")
 
 
 STAGES = [("quality", quality), ("exact_dedup", exact), ("simhash_dedup", near), ("mixing", mixing),
