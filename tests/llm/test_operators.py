@@ -427,7 +427,7 @@ def test_suffix_dedup_odd_rows(docs):
 
 
 def test_queries_have_one_entry_per_operator():
-    assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 14))
 
 
 def test_stage_leaves_no_setting_behind(spark):

@@ -69,7 +69,8 @@ def test_stages_against_brute_force(spark):
 
 def test_run_gives_the_packing_of_all_stages(spark):
     got = cp.run(spark, SF)
-    assert got.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    assert got.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
+    assert all(zlib.crc32(np.frombuffer(r.ids, "<u2").astype("<u4").tobytes()) == r.ids_crc32 for r in got.collect())
     assert got.count() > 0 and cp.ORACLE_SQL is None
 
 
