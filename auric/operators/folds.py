@@ -38,34 +38,32 @@ def _sorted_by_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFram
 
 # --------------------------------------------------------------------- K-02
 def _gate_walk_fold(batches):
-    """Walk each key's unsafe rows in order; a safe chunk is one row that adds its sum."""
-    cur_key, bal = None, 0
+    """Walk each key's unsafe requests in order. The state is what the refused sells
+    left in the balance; ``before`` is the balance if none had been refused."""
+    cur_key, left = None, 0
     for b in batches:
         admitted, after = [], []
-        rows = (b.column(c).to_pylist() for c in ("_id", "_kind", "q_units", "start_units"))
-        for k, kind, q, start in zip(*rows):
-            q = int(q)
+        rows = (b.column(c).to_pylist() for c in ("_id", "transaction_type", "q_units", "before"))
+        for k, kind, q, s in zip(*rows):
+            q, bal = int(q), int(s)
             if k != cur_key:
-                cur_key, bal = k, int(start)
-            if kind == "CHUNK":  # admitted whole: its balance at the start, then its sum
-                admitted.append(True)
-                after.append(Decimal(bal))
-                bal += q
-                continue
+                cur_key, left = k, 0
+            bal += left
             ok = kind == "BUY" or (bal > 0 and bal >= q)  # a holding is there and large enough; equal allowed
-            if ok:
-                bal += q if kind == "BUY" else -q
+            if not ok:
+                left += q
             admitted.append(ok)
-            after.append(Decimal(bal))
+            after.append(Decimal(left))
         yield pa.RecordBatch.from_arrays(
             [*b.columns, pa.array(admitted, pa.bool_()), pa.array(after, pa.decimal128(38, 0))],
-            [*b.schema.names, "admitted", "bal_units"])
+            [*b.schema.names, "admitted", "left"])
 
 
 def _gate_parts(tx: DataFrame, key, order, snapshot: DataFrame | None, chunk: str):
-    """Rows with their running sum inside the chunk, and the walk's result: a row
-    per unsafe request and one per safe chunk (kind CHUNK). A key with NULL
-    parts is a key; ``_key`` holds all parts, so it joins without being split."""
+    """Requests with their running sum ``ls`` inside the chunk; a row per (key,
+    chunk) with its sum and ``offset``, the balance before it if no sell were
+    refused; the walked requests of unsafe chunks. A key with NULL parts is a key;
+    ``_key`` holds all parts, so it joins without being split."""
     ev = tx.filter((F.col("status") == "completed") & F.col("transaction_type").isin("BUY", "SELL"))
     cols = list(dict.fromkeys([*key, *order, "transaction_type", "quantity"]))
     units = (F.col("quantity") * F.lit(UNITS)).cast(WIDE)
@@ -82,29 +80,25 @@ def _gate_parts(tx: DataFrame, key, order, snapshot: DataFrame | None, chunk: st
         F.min("q_units").alias("least"))
     if snapshot is not None:
         start = (F.col("balance") * F.lit(UNITS)).cast(WIDE)
-        snap = snapshot.select(F.struct(*key).alias("_key"), start.alias("start_units"))
-        chunks = chunks.join(snap, "_key", "left").withColumn("start_units", F.coalesce("start_units", zero))
+        snap = snapshot.select(F.struct(*key).alias("_key"), start.alias("start"))
+        chunks = chunks.join(snap, "_key", "left").withColumn("start", F.coalesce("start", zero))
     else:
-        chunks = chunks.withColumn("start_units", zero)
+        chunks = chunks.withColumn("start", zero)
     whole = Window.partitionBy("_key")
     before = whole.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    chunks = chunks.withColumn("offset", (F.col("start_units") + F.coalesce(F.sum("csum").over(before), zero)).cast(WIDE))
+    chunks = chunks.withColumn("offset", (F.col("start") + F.coalesce(F.sum("csum").over(before), zero)).cast(WIDE))
     # The clamped balance of the replay that refuses nothing: never above the gate's.
     lowest = F.min((F.col("offset") + F.col("cmin")).cast(WIDE)).over(before)
     bound = F.col("offset") - F.least(zero, F.coalesce(lowest, zero))
     safe = (F.coalesce(F.col("need") <= bound, F.lit(True))) & (F.min("least").over(whole) >= 0)
-    chunks = chunks.select("_key", "_chunk", "csum", "start_units", safe.alias("safe"))
-    given = [c for c in cols if c not in key]
-    walk_in = [*key, "_chunk", *given, "q_units", "_kind", "start_units"]
-    unsafe = (rows.join(chunks.filter(~F.col("safe")), ["_key", "_chunk"])
-              .withColumn("_kind", F.col("transaction_type")).select(*walk_in))
-    kinds = {f.name: f.dataType for f in rows.schema}
-    bridges = chunks.filter("safe").select(
-        *[F.col("_key")[c].alias(c) for c in key], "_chunk", *[F.lit(None).cast(kinds[c]).alias(c) for c in given],
-        F.col("csum").alias("q_units"), F.lit("CHUNK").alias("_kind"), "start_units")
-    walk = unsafe.unionByName(bridges).withColumn("_id", F.to_json(F.struct(*key), {"ignoreNullFields": "false"}))
-    schema = walk.schema.add("admitted", T.BooleanType()).add("bal_units", T.DecimalType(38, 0))
-    return rows, _sorted_by_key(walk, list(key), ["_chunk", *order]).mapInArrow(_gate_walk_fold, schema), cols
+    chunks = chunks.select("_key", "_chunk", "csum", "start", "offset", safe.alias("safe"))
+    unsafe = rows.join(chunks.filter(~F.col("safe")).select("_key", "_chunk", "offset"), ["_key", "_chunk"])
+    walk = unsafe.select(
+        F.to_json(F.struct(*key), {"ignoreNullFields": "false"}).alias("_id"), "_chunk", *cols, "q_units",
+        (F.col("offset") + F.col("ls") - F.col("dq")).cast(WIDE).alias("before"))
+    schema = walk.schema.add("admitted", T.BooleanType()).add("left", T.DecimalType(38, 0))
+    walked = _sorted_by_key(walk, list(key), ["_chunk", *order]).mapInArrow(_gate_walk_fold, schema)
+    return rows, chunks, walked, cols
 
 
 def _units_balance(c: Column) -> Column:
@@ -116,6 +110,10 @@ def _gate_order(key, order):
     return list(order or [c for c in TX_ORDER if c not in key])
 
 
+def _refused() -> Column:
+    return F.when(~F.col("admitted"), F.col("q_units"))
+
+
 def sell_gate(tx: DataFrame, key=("tenant_id", "user_id", "asset_type"), order=None,
               snapshot: DataFrame | None = None, chunk: str = "day") -> DataFrame:
     """Replay completed BUY/SELL requests in total order; a SELL is admitted
@@ -125,33 +123,45 @@ def sell_gate(tx: DataFrame, key=("tenant_id", "user_id", "asset_type"), order=N
     *Bound and walk.* A replay that clamps at zero instead of refusing never
     holds more than the gate (by induction over the rows, for quantities that
     are not negative), and it has a closed form over (key, chunk) summaries. A
-    chunk whose greatest need that bound covers is admitted whole, and only one
-    row of it, its sum, enters the walk; the requests of the other chunks are
-    walked in order. A hot key's rows thus lie in a task per chunk, and its walk
-    sees the chunks that may refuse. A key with a negative quantity is walked whole.
+    chunk whose greatest need that bound covers is admitted whole; only the
+    requests of the other chunks are walked in order. The gate's balance is the
+    running sum of all requests plus what refused sells left in it, so the walk
+    carries that one number, and safe chunks take it from a prefix sum over chunks.
+    A hot key's rows thus lie in a task per chunk, and its walk sees the chunks that
+    may refuse. A key with a negative quantity is walked whole.
 
     ``snapshot`` (key…, balance) starts each key from its stored balance, so
     ``tx`` need only hold the rows after the snapshot. NULL key parts are values."""
     order = _gate_order(key, order)
-    rows, walked, cols = _gate_parts(tx, key, order, snapshot, chunk)
+    rows, chunks, walked, cols = _gate_parts(tx, key, order, snapshot, chunk)
     out = [*cols, "admitted", "balance"]
-    slow = walked.filter(F.col("_kind") != "CHUNK").withColumn("balance", _units_balance(F.col("bal_units"))).select(*out)
-    starts = walked.filter(F.col("_kind") == "CHUNK").select(F.struct(*key).alias("_key"), "_chunk", "bal_units")
-    fast = (rows.join(starts, ["_key", "_chunk"]).withColumn("admitted", F.lit(True))
-            .withColumn("balance", _units_balance(F.col("bal_units") + F.col("ls"))).select(*out))
+    bal = F.col("before") + F.col("left") + F.when(F.col("transaction_type") == "BUY", F.col("q_units")).otherwise(
+        -F.col("q_units"))
+    slow = walked.withColumn("balance", _units_balance(bal)).select(*out)
+    refused = walked.groupBy(F.struct(*key).alias("_key"), "_chunk").agg(F.sum(_refused()).alias("refused"))
+    earlier = Window.partitionBy("_key").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    known = chunks.join(refused, ["_key", "_chunk"], "left").withColumn(
+        "left", F.coalesce(F.sum("refused").over(earlier), F.lit(0)).cast(WIDE))
+    known = known.filter("safe").select("_key", "_chunk", (F.col("offset") + F.col("left")).alias("start_balance"))
+    fast = rows.join(known, ["_key", "_chunk"]).withColumn("admitted", F.lit(True))
+    fast = fast.withColumn("balance", _units_balance(F.col("start_balance") + F.col("ls"))).select(*out)
     return fast.unionByName(slow)
 
 
 def sell_gate_final(tx: DataFrame, key=("tenant_id", "user_id", "asset_type"), order=None,
                     snapshot: DataFrame | None = None, chunk: str = "day") -> DataFrame:
-    """Per key: final balance and number of refused sells, from the walk alone;
-    the rows of safe chunks are never joined back."""
+    """Per key: final balance and number of refused sells: the sum of all requests
+    plus what the refused ones left, from the chunks and the walk alone."""
     order = _gate_order(key, order)
-    _, walked, _ = _gate_parts(tx, key, order, snapshot, chunk)
-    after = F.when(F.col("_kind") == "CHUNK", F.col("bal_units") + F.col("q_units")).otherwise(F.col("bal_units"))
-    o = F.struct("_chunk", *order)
-    g = walked.groupBy(*key).agg(F.max_by(after, o).alias("b"), F.count(F.when(~F.col("admitted"), 1)).alias("n_rejected"))
-    return g.select(*key, _units_balance(F.col("b")).alias("final_balance"), "n_rejected")
+    _, chunks, walked, _ = _gate_parts(tx, key, order, snapshot, chunk)
+    sums = chunks.groupBy("_key").agg((F.max("start") + F.sum("csum")).alias("total"))
+    refused = walked.filter(~F.col("admitted")).groupBy(F.struct(*key).alias("_key")).agg(
+        F.sum("q_units").alias("left"), F.count(F.lit(1)).alias("n"))
+    zero = F.lit(0)
+    g = sums.join(refused, "_key", "left")
+    return g.select(*[F.col("_key")[c].alias(c) for c in key],
+                    _units_balance(F.col("total") + F.coalesce("left", zero)).alias("final_balance"),
+                    F.coalesce("n", zero.cast("long")).alias("n_rejected"))
 
 
 # --------------------------------------------------------------------- W-03
