@@ -67,7 +67,9 @@ def _gate_parts(tx: DataFrame, key, order, snapshot: DataFrame | None, chunk: st
     ev = tx.filter((F.col("status") == "completed") & F.col("transaction_type").isin("BUY", "SELL"))
     cols = list(dict.fromkeys([*key, *order, "transaction_type", "quantity"]))
     units = (F.col("quantity") * F.lit(UNITS)).cast(WIDE)
-    ev = ev.select(F.struct(*key).alias("_key"), chunk_of(chunk).alias("_chunk"), *cols, units.alias("q_units"))
+    # Key parts are read from ``_key``: chunks and rows then need the same columns, and share one exchange.
+    given = [c for c in cols if c not in key]
+    ev = ev.select(F.struct(*key).alias("_key"), chunk_of(chunk).alias("_chunk"), *given, units.alias("q_units"))
     zero, one = F.lit(0).cast(WIDE), F.lit(1).cast(WIDE)
     part = Window.partitionBy("_key", "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     is_buy = F.col("transaction_type") == "BUY"
@@ -94,7 +96,8 @@ def _gate_parts(tx: DataFrame, key, order, snapshot: DataFrame | None, chunk: st
     chunks = chunks.select("_key", "_chunk", "csum", "start", "offset", safe.alias("safe"))
     unsafe = rows.join(chunks.filter(~F.col("safe")).select("_key", "_chunk", "offset"), ["_key", "_chunk"])
     walk = unsafe.select(
-        F.to_json(F.struct(*key), {"ignoreNullFields": "false"}).alias("_id"), "_chunk", *cols, "q_units",
+        F.to_json("_key", {"ignoreNullFields": "false"}).alias("_id"), "_chunk",
+        *[F.col("_key")[c].alias(c) if c in key else c for c in cols], "q_units",
         (F.col("offset") + F.col("ls") - F.col("dq")).cast(WIDE).alias("before"))
     schema = walk.schema.add("admitted", T.BooleanType()).add("left", T.DecimalType(38, 0))
     walked = _sorted_by_key(walk, list(key), ["_chunk", *order]).mapInArrow(_gate_walk_fold, schema)
@@ -143,8 +146,9 @@ def sell_gate(tx: DataFrame, key=("tenant_id", "user_id", "asset_type"), order=N
     known = chunks.join(refused, ["_key", "_chunk"], "left").withColumn(
         "left", F.coalesce(F.sum("refused").over(earlier), F.lit(0)).cast(WIDE))
     known = known.filter("safe").select("_key", "_chunk", (F.col("offset") + F.col("left")).alias("start_balance"))
-    fast = rows.join(known, ["_key", "_chunk"]).withColumn("admitted", F.lit(True))
-    fast = fast.withColumn("balance", _units_balance(F.col("start_balance") + F.col("ls"))).select(*out)
+    fast = rows.join(known, ["_key", "_chunk"]).select(
+        *[F.col("_key")[c].alias(c) if c in key else c for c in cols], F.lit(True).alias("admitted"),
+        _units_balance(F.col("start_balance") + F.col("ls")).alias("balance"))
     return fast.unionByName(slow)
 
 
@@ -154,7 +158,9 @@ def sell_gate_final(tx: DataFrame, key=("tenant_id", "user_id", "asset_type"), o
     plus what the refused ones left, from the chunks and the walk alone."""
     order = _gate_order(key, order)
     _, chunks, walked, _ = _gate_parts(tx, key, order, snapshot, chunk)
-    sums = chunks.groupBy("_key").agg((F.max("start") + F.sum("csum")).alias("total"))
+    # The last chunk as a whole: the plan below is then the walk's own, and is not run again.
+    last = F.max(F.struct("_chunk", "offset", "csum", "safe"))
+    sums = chunks.groupBy("_key").agg(last.alias("c")).select("_key", (F.col("c.offset") + F.col("c.csum")).alias("total"))
     refused = walked.filter(~F.col("admitted")).groupBy(F.struct(*key).alias("_key")).agg(
         F.sum("q_units").alias("left"), F.count(F.lit(1)).alias("n"))
     zero = F.lit(0)
