@@ -66,3 +66,24 @@ def test_iso_text(spark):
 def test_funnel_without_users_has_null_rates(spark):
     web = spark.createDataFrame([], "event_id long, user_id long, step string, ts timestamp_ntz")
     assert [(r.users, r.step_rate, r.overall_rate) for r in Q.conversion_funnel(web).collect()] == [(0, None, None)] * 5
+
+
+def test_filled_rows_are_neither_shuffled_nor_sorted_twice(spark):
+    """Closings are dealt by user before they are filled forward, into many tasks."""
+    df = Q.period_return(Q.portfolio_history(_tx(spark, ROWS), None, "2001-12-31", "week"), "week")
+    text = df._jdf.queryExecution().executedPlan().toString()
+    above = text[:text.index("Generate explode(sequence")]
+    assert "Exchange hashpartitioning" not in above and above.count("Sort [") == 1
+    assert "Exchange hashpartitioning(tenant_id" in text and f", {Q.FILL_TASKS})" in text
+
+
+def test_returns_of_missing_values_and_years(spark):
+    rows = [(1, None, dt.date(2000, 11, 1), 10), (1, None, dt.date(2000, 12, 1), 20), (1, None, dt.date(2001, 1, 1), None),
+            (1, None, dt.date(2001, 2, 1), 30), (1, 2, dt.date(2001, 3, 1), 4), (1, 2, dt.date(2001, 4, 1), 6),
+            (1, 2, dt.date(2002, 4, 1), 3)]
+    df = spark.createDataFrame([(*r[:3], None if r[3] is None else Decimal(r[3])) for r in rows],
+                               "tenant_id long, user_id long, month date, portfolio_value decimal(18,2)")
+    got = {(r.user_id, r.month): (r.change, r.change_pct, r.ytd_pct) for r in Q.period_return(df).collect()}
+    assert got == {(None, rows[0][2]): (None, None, 0.0), (None, rows[1][2]): (10, 100.0, 100.0),
+                   (None, rows[2][2]): (None, None, None), (None, rows[3][2]): (None, None, None),
+                   (2, rows[4][2]): (None, None, 0.0), (2, rows[5][2]): (2, 50.0, 50.0), (2, rows[6][2]): (-3, -50.0, 0.0)}
