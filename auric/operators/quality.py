@@ -61,12 +61,26 @@ def check_length(df: DataFrame, table: str, key_cols, limits: dict) -> DataFrame
 
 
 # --------------------------------------------------------------------- V-04
+#: Tasks among which keys are dealt, at least (``spark.sql.shuffle.partitions`` where that is
+#: more). Up to 200 Spark writes each part straight to its file and buffers no rows.
+KEY_TASKS = 200
+
+
+def _dealt(df: DataFrame, *cols: str) -> DataFrame:
+    """Rows dealt by key to a given number of tasks. AQE would join small parts of
+    well packed keys into tasks whose unpacked keys are many times their size."""
+    return df.repartition(max(KEY_TASKS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *cols)
+
+
 def check_unique(df: DataFrame, cols) -> DataFrame:
     """Duplicate keys with their multiplicity; NULL keys never collide.
-    (Partial aggregation keeps a hot key cheap.)"""
+
+    Nearly all keys are unique, so a partial aggregate before the shuffle would hold
+    a row of a scan's task each and save nothing: the bare keys are dealt first and
+    counted where they lie. A key that many rows have is one counter in its task."""
     cols = list(cols)
-    return (df.dropna(subset=cols).groupBy(*cols).agg(F.count(F.lit(1)).alias("n"))
-              .filter(F.col("n") > 1))
+    keys = _dealt(df.dropna(subset=cols).select(*cols), *cols)
+    return keys.groupBy(*cols).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
 
 
 # --------------------------------------------------------------------- V-05

@@ -6,6 +6,7 @@ from decimal import Decimal
 from auric.operators import orders as K
 from auric.operators import quality as V
 from auric.operators import reports as A
+from auric.sources.schemas import TABLES
 
 
 def test_domain_rules_flag_values_and_let_null_pass(spark):
@@ -127,3 +128,12 @@ def test_fixtures_cover_every_unique_key_and_all_references_they_have(fx_small):
     assert all(set(k) <= set(tables[n].columns) for n, t in TABLES.items() for k in t.unique)
     missing = {(n, c) for n, t in TABLES.items() for c in t.references if c not in tables[n].columns}
     assert missing == {("aml_alerts", "tenant_id"), ("aml_alerts", "transaction_id"), ("user_notifications", "tenant_id")}
+
+
+def test_unique_keys_are_dealt_before_they_are_counted(spark):
+    df = spark.range(1000).selectExpr("id % 900 AS a", "CAST(NULL AS STRING) AS b", "id % 7 AS c")
+    plan = V.check_unique(df, ["a"])._jdf.queryExecution().executedPlan().toString()
+    dealt = plan.index("Exchange hashpartitioning(a")
+    assert "HashAggregate" not in plan[dealt:] and f", {V.KEY_TASKS})" in plan[dealt:]
+    assert {tuple(r) for r in V.check_unique(df, ["a"]).collect()} == {(k, 2) for k in range(100)}
+    assert V.check_unique(df, ["a", "b"]).count() == 0
