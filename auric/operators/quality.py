@@ -175,34 +175,40 @@ def _references(tables: dict[str, DataFrame]) -> list[tuple[str, str, str, str]]
             if c in df.columns and parent in tables and key in tables[parent].columns]
 
 
+#: References to one parent that are counted side by side in a row of the grouping.
+LANE = 3
+
+
 def reference_keys(tables: dict[str, DataFrame]) -> tuple[DataFrame, list[tuple[int, str, str]]]:
     """V-05 in one pass: every referenced key with the rows of each reference that
     hold it, and whether the parent has it. Columns rule_no, key, n, found.
 
     Each table is scanned once. A row becomes a tagged key for each of its
     references, a parent's row one for its own key; grouped by (parent, key), a
-    count per tag and a flag decide all references to that parent at once. The
+    count per tag and a flag decide LANE references to that parent at once. The
     grouping is the only shuffle and is aggregated before it, so a key that a third
     of the rows hold is one row per task. A NULL key references nothing."""
     refs = _references(tables)
     rules = [(i, child, f"{c} -> {parent}.{key}") for i, (child, c, parent, key) in enumerate(refs)]
-    parents = sorted({(parent, key) for _, _, parent, key in refs})
-    tags = {p: [i for i, r in enumerate(refs) if r[2:] == p] for p in parents}
-    slots = max(map(len, tags.values()))
+    # A parent with many references is several groups of LANE, which keeps the rows of the grouping narrow.
+    lanes = []
+    for p in sorted({(parent, key) for _, _, parent, key in refs}):
+        own = [i for i, r in enumerate(refs) if r[2:] == p]
+        lanes += [(*p, own[at:at + LANE]) for at in range(0, len(own), LANE)]
+    slots = max(len(own) for _, _, own in lanes)
     parts = []
     for name, df in tables.items():
-        held = [(parents.index((parent, key)), tags[parent, key].index(i), c)
-                for i, (child, c, parent, key) in enumerate(refs) if child == name]
-        held += [(n, -1, key) for n, (parent, key) in enumerate(parents) if parent == name]
+        held = [(n, s, refs[i][1]) for n, (_, _, own) in enumerate(lanes) for s, i in enumerate(own) if refs[i][0] == name]
+        held += [(n, -1, key) for n, (parent, key, _) in enumerate(lanes) if parent == name]
         if held:
             x = F.array(*[F.struct(F.lit(p).alias("parent"), F.lit(s).alias("slot"), F.col(c).cast("string").alias("key"))
                           for p, s, c in held])
             parts.append(df.select(F.explode(x).alias("x")).select("x.*").filter(F.col("key").isNotNull()))
     keys = _union_all(parts).groupBy("parent", "key").agg(
         F.max(F.col("slot") == -1).alias("found"), *[F.count_if(F.col("slot") == s).alias(f"n{s}") for s in range(slots)])
-    numbers = F.lit(None).cast("array<int>")  # of a parent: its rules by slot
-    for n, p in enumerate(parents):
-        numbers = F.when(F.col("parent") == n, F.array(*[F.lit(i) for i in tags[p]])).otherwise(numbers)
+    numbers = F.lit(None).cast("array<int>")  # of a group: its rules by slot
+    for n, (_, _, own) in enumerate(lanes):
+        numbers = F.when(F.col("parent") == n, F.array(*[F.lit(i) for i in own])).otherwise(numbers)
     per_slot = F.transform(numbers, lambda rule, s: F.struct(
         rule.alias("rule_no"), F.get(F.array(*[F.col(f"n{i}") for i in range(slots)]), s).alias("n")))
     rows = keys.select("key", "found", F.explode(F.filter(per_slot, lambda r: r["n"] > 0)).alias("r"))

@@ -137,3 +137,16 @@ def test_unique_keys_are_dealt_before_they_are_counted(spark):
     assert "HashAggregate" not in plan[dealt:] and f", {V.KEY_TASKS})" in plan[dealt:]
     assert {tuple(r) for r in V.check_unique(df, ["a"]).collect()} == {(k, 2) for k in range(100)}
     assert V.check_unique(df, ["a", "b"]).count() == 0
+
+
+def test_a_parent_with_many_references_has_narrow_rows(spark):
+    children = [n for n, t in TABLES.items() if t.references.get("tenant_id", ("",))[0] == "tenants"]
+    assert len(children) > 2 * V.LANE
+    tables = {n: spark.createDataFrame([(1,), (1,), (90 + i,), (None,)], "tenant_id long") for i, n in enumerate(children)}
+    tables["tenants"] = spark.createDataFrame([(1,), (2,)], "id long")
+    keys, _ = V.reference_keys(tables)
+    assert keys._jdf.queryExecution().executedPlan().toString().count("partial_count(") == V.LANE
+    got = {r.table_name: (r.checked, r.violations) for r in V.reference_counts(tables).collect()}
+    assert got == {n: (3, 1) for n in children}
+    assert {(r.table_name, r.row_key, r["rows"]) for r in V.orphan_keys(tables).collect()} == {
+        (n, str(90 + i), 1) for i, n in enumerate(children)}
