@@ -57,7 +57,8 @@ def encode_units(docs: DataFrame, tokenizer_path: str, end_id: int, window: int,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer_path)
         df = np.zeros(enc.size, np.int64)
-        held = np.zeros(enc.size, bool)
+        last = np.zeros(enc.size, np.int64)
+        place = np.arange(window)
         units = size = 0
         none = None
         for b in batches:
@@ -68,10 +69,10 @@ def encode_units(docs: DataFrame, tokenizer_path: str, end_id: int, window: int,
                 unit = ids[len(ids) - len(ids) % window:]
                 routes.append(_route(unit if len(unit) else ids[-window:]))
                 if len(unit):
-                    held[unit] = True
-                    terms = np.flatnonzero(held)
-                    df[terms] += 1
-                    held[terms] = False
+                    # One place of each distinct id of the unit: the one written last.
+                    at = place[:len(unit)]
+                    last[unit] = at
+                    df[unit[last[unit] == at]] += 1
                     units += 1
                     size += len(unit)
             n = len(data)

@@ -52,6 +52,15 @@ class _Pieces(dict):
         return got
 
 
+def strings(pieces: pa.Array) -> list[str]:
+    """The strings of an array in which none has a space: joined by spaces and split
+    again, which costs a ninth of making them one by one."""
+    if not len(pieces):
+        return []
+    row = pa.ListArray.from_arrays(pa.array([0, len(pieces)], pa.int32()), pieces.cast(pa.large_string()))
+    return pc.binary_join(row, pa.scalar(" ", pa.large_string()))[0].as_py().split(" ")
+
+
 class Encoder:
     def __init__(self, path: str, table_rows: int = 1_200_000):
         self.tokenizer = Tokenizer.from_file(path)
@@ -118,7 +127,7 @@ class Encoder:
         at = parts.offsets.to_numpy().astype(np.int64)
         coded = parts.values.dictionary_encode()
         index = coded.indices.to_numpy().astype(np.int64)
-        words = coded.dictionary.to_pylist()
+        words = strings(coded.dictionary)
         entries = [self.pieces[w] for w in words]
         unsafe = np.array([e is None for e in entries], bool)
         slow = np.add.reduceat(unsafe[index], at[:-1]) > 0 if len(index) else np.zeros(0, bool)

@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 
 from auric.llm import ctw, mixing, quality_rules, secret_scan, simhash, suffix_dedup
 from auric.llm.token_count import Automaton
-from auric.llm.tokens import Encoder, default_path
+from auric.llm.tokens import Encoder, default_path, strings
 
 
 def greedy(starts, parts, word):
@@ -266,3 +266,9 @@ def test_block_edges_do_not_matter(monkeypatch):
 def test_cut_merges_touching_spans():
     runs, kept = suffix_dedup.cut(b"0123456789", [(2, 4), (4, 6), (8, 9), (3, 5)])
     assert runs == [(2, 6), (8, 9)] and kept == b"01679"
+
+
+@pytest.mark.parametrize("words", [[], [""], ["", "a", "", "a\n", "日本", "𝄞x", "a\tb"]])
+def test_strings_of_an_array(words):
+    assert strings(pa.array(words, pa.string())) == words
+    assert strings(pa.array(["cut", *words], pa.string()).slice(1)) == words

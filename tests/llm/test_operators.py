@@ -13,7 +13,7 @@ from auric.llm.common import documents, shared_path, stage
 from auric.llm.components import components
 from auric.llm.exact_dedup import exact_dedup
 from auric.llm.mixing import mix, targets
-from auric.llm.packing import pack_documents
+from auric.llm.packing import encode_units, frequencies, pack_documents
 from auric.llm.quality_rules import quality_rules
 from auric.llm.queries import QUERIES
 from auric.llm.secret_scan import secret_spans
@@ -218,6 +218,15 @@ def test_packing(spark, enc, texts):
     assert max(sizes) == 1024 and sum(s < 1024 for s in sizes) <= 8  # one for each task at most
 
 
+def test_packing_counts_the_units_that_hold_a_token(docs, enc):
+    rows = [(i, " ".join(f"w{j % (i + 2)} the" for j in range(40 * i))) for i in range(30)] + [(99, None)]
+    got, n, size = frequencies(encode_units(docs(rows), default_path(), 0, 256, "doc_id", "text"))
+    units = [x[len(x) - len(x) % 256:] for x in (ids_of(enc, t, 0) for _, t in rows)]
+    units = [u for u in units if len(u)]
+    assert got == Counter(k for u in units for k in np.unique(u).tolist())
+    assert (n, size) == (len(units), sum(map(len, units)))
+
+
 def test_packing_joins_similar_documents(docs):
     a, b = "red green blue " * 40, "one two three " * 40
     rows = [(i, a if i % 2 else b) for i in range(12)]
