@@ -4,8 +4,9 @@
 five-word windows of each whole text. *Method*: a vector of transformed
 statistics per document, and for each (language, source) a minimum covariance
 determinant (MCD) estimate: mean and covariance of the ``coverage`` share of
-vectors that lie closest, found by concentration steps from a median/MAD start.
-A document is rejected where its squared Mahalanobis distance passes ``cut``
+vectors that lie closest, found by concentration steps from a median/MAD start
+that go on until the covariance's determinant falls no more (each group by
+itself; a step never raises it, so this ends). A document is rejected where its squared Mahalanobis distance passes ``cut``
 times the group's median distance. Estimate and median are over the distinct
 vectors of the group, and the median is ``LEAST_MEDIAN`` at least, so that
 copies and near copies of one text, however many, neither shrink the scale nor
@@ -19,9 +20,11 @@ per logarithmic bin, 64 to an octave, again exact and mergeable.
 
 A covariance that is singular (a statistic that is constant in the group, say
 no symbols at all) is widened by ``floor`` on its diagonal, the least spread
-that counts as a difference in that statistic. Groups of fewer than
-``min_rows`` distinct vectors use the estimate of their language, then that of
-all rows; with fewer than that in all, no row is rejected by distance.
+that counts as a difference in that statistic. Every group has its own estimate,
+however small. One of n < ``fill_rows`` distinct vectors is filled up to so many
+with its language's estimate, that with the estimate of all rows: mean,
+covariance and logarithm of the median are averaged with weights n and
+``fill_rows`` - n. So no verdict flips when a group passes some size.
 
 Defined results: null text is empty (no words: base_failed); null language and
 null source are groups of their own; repeated rows count as rows; an empty
@@ -139,30 +142,65 @@ def _quantile_bins(rows: DataFrame, shares: dict[str, float]) -> DataFrame:
         for name, s in shares.items()])
 
 
+P = len(STATS)
+WIDENING = np.diag([FLOOR[s] ** 2 for s in STATS])
+DOUBLES = pa.list_(pa.float64())
+
+
 def _estimates(sums: DataFrame) -> DataFrame:
-    """Group sums -> mean and precision matrix (inverse of the widened covariance)."""
-    p = len(STATS)
-    floor = np.array([FLOOR[s] for s in STATS]) ** 2
+    """Group sums -> mean, covariance, precision matrix (inverse of the widened
+    covariance) and the logarithm of the widened covariance's determinant."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            mean, cov, prec, det = [], [], [], []
+            for r in b.to_pylist():
+                m = np.array([r[f"s{i}"] for i in range(P)], float) / r["n"] / SCALE
+                c = np.array([[float(r[f"s{min(i, j)}_{max(i, j)}"]) for j in range(P)] for i in range(P)])
+                c = c / r["n"] / SCALE / SCALE - np.outer(m, m)
+                mean.append(m.tolist())
+                cov.append(c.ravel().tolist())
+                prec.append(np.linalg.inv(c + WIDENING).ravel().tolist())
+                det.append(float(np.linalg.slogdet(c + WIDENING)[1]))
+            yield pa.RecordBatch.from_arrays(
+                [b.column("key"), pa.array(mean, DOUBLES), pa.array(cov, DOUBLES), pa.array(prec, DOUBLES),
+                 pa.array(det, pa.float64())], ["key", "mean", "cov", "prec", "det"])
+
+    return map_batches(sums, run, "key string, mean array<double>, cov array<double>, prec array<double>, det double")
+
+
+def _filled(fits: DataFrame, lineage: DataFrame, fill_rows: int) -> DataFrame:
+    """key, mean, prec of every group, filled up with the estimates above it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = b.to_pylist()
             mean, prec = [], []
-            for r in rows:
-                m = np.array([r[f"s{i}"] for i in range(p)], float) / r["n"] / SCALE
-                c = np.array([[float(r[f"s{min(i, j)}_{max(i, j)}"]) for j in range(p)] for i in range(p)])
-                c = c / r["n"] / SCALE / SCALE - np.outer(m, m) + np.diag(floor)
+            for r in b.to_pylist():
+                top, *below = [f for f in (r["top_fit"], r["up_fit"], r["fit"]) if f is not None]
+                m, c = np.array(top["mean"]), np.array(top["cov"])
+                for f in below:
+                    w = min(1.0, f["n"] / fill_rows)
+                    m = w * np.array(f["mean"]) + (1 - w) * m
+                    c = w * np.array(f["cov"]) + (1 - w) * c
                 mean.append(m.tolist())
-                prec.append(np.linalg.inv(c).ravel().tolist())
-            kind = pa.list_(pa.float64())
+                prec.append(np.linalg.inv(c.reshape(P, P) + WIDENING).ravel().tolist())
             yield pa.RecordBatch.from_arrays(
-                [b.column("key"), pa.array(mean, kind), pa.array(prec, kind)], ["key", "mean", "prec"])
+                [b.column("key"), pa.array(mean, DOUBLES), pa.array(prec, DOUBLES)], ["key", "mean", "prec"])
+
+    return map_batches(_above(lineage, fits, F.struct("n", "mean", "cov"), "fit"), run,
+                       "key string, mean array<double>, prec array<double>")
 
-    return map_batches(sums, run, "key string, mean array<double>, prec array<double>")
+
+def _above(lineage: DataFrame, table: DataFrame, value: Column, name: str) -> DataFrame:
+    """key and the values of its own row, of the one above it and of the topmost (null: none)."""
+    out = lineage.join(table.select("key", value.alias(name)), "key")
+    for level in ("up", "top"):
+        out = out.join(table.select(F.col("key").alias(level), value.alias(f"{level}_{name}")), level, "left")
+    return out.select("key", name, f"up_{name}", f"top_{name}")
 
 
 def _sums() -> list[Column]:
-    p = range(len(STATS))
+    p = range(P)
     x = [F.col(f"x{i}") for i in p]
     # Decimal products: exact for any number of rows.
     wide = [F.sum((x[i] * x[j]).cast("decimal(28,0)")).alias(f"s{i}_{j}") for i in p for j in p if i <= j]
@@ -177,58 +215,73 @@ def _distance() -> Column:
     return sum((d[i] * rows[i] for i in p), F.lit(0.0))
 
 
-def mcd_estimates(rows: DataFrame, coverage: float, steps: int) -> DataFrame:
-    """key, mean, prec and the bin of the median distance, for rows (key, x0...)."""
-    p = range(len(STATS))
+def mcd_estimates(rows: DataFrame, coverage: float) -> DataFrame:
+    """key, n (its rows), mean, cov and what the steps need, for rows (key, x0...)."""
+    p = range(P)
     # Start: medians and MADs per statistic, from exact counts per value (a statistic is a
     # logarithm in thousandths, so it has some ten thousand values whatever the rows).
     start = rows.groupBy("key").agg(
-        *[F.percentile(f"x{i}", F.lit(0.5)).alias(f"m{i}") for i in p])
+        F.count(F.lit(1)).alias("n"), *[F.percentile(f"x{i}", F.lit(0.5)).alias(f"m{i}") for i in p])
     start = stage(start, "mcd-medians")
     joined = rows.join(start, "key")
     spread = stage(joined.groupBy("key").agg(
         *[F.percentile(F.abs(F.col(f"x{i}") - F.col(f"m{i}")), F.lit(0.5)).alias(f"a{i}") for i in p]),
         "mcd-spreads")
-    eye = [F.lit(0.0)] * (len(STATS) ** 2)
+    eye = [F.lit(0.0)] * (P * P)
     for i in p:
         sd = F.greatest(F.lit(FLOOR[STATS[i]]), 1.4826 * F.col(f"a{i}") / SCALE)
-        eye[i * len(STATS) + i] = 1 / (sd * sd)
+        eye[i * P + i] = 1 / (sd * sd)
+    found = ("mean", "cov", "prec", "det")
     now = stage(start.join(spread, "key").select(
-        "key", F.array(*[F.col(f"m{i}") / SCALE for i in p]).alias("mean"), F.array(*eye).alias("prec")),
-        "mcd-start")
-    for _ in range(steps):
-        placed = rows.join(now, "key").withColumn("bin", _bin(_distance()))
+        "key", "n", F.array(*[F.col(f"m{i}") / SCALE for i in p]).alias("mean"),
+        F.array(*[F.lit(0.0)] * (P * P)).alias("cov"), F.array(*eye).alias("prec"),
+        F.lit(float("inf")).alias("det"), F.lit(True).alias("moves")), "mcd-start")
+    moving = True
+    while moving:
+        placed = rows.join(now.where("moves").select("key", "mean", "prec"), "key").withColumn("bin", _bin(_distance()))
         h = stage(_quantile_bins(placed, {"h": coverage}), "mcd-h")
-        now = stage(_estimates(placed.join(h, "key").where("bin <= h").groupBy("key").agg(*_sums())), "mcd-step")
-    placed = rows.join(now, "key").withColumn("bin", _bin(_distance()))
-    median = stage(_quantile_bins(placed, {"median": 0.5}), "mcd-median")
-    return stage(now.join(median, "key"), "mcd")
+        next_ = _estimates(placed.join(h, "key").where("bin <= h").groupBy("key").agg(*_sums()))
+        next_ = next_.select("key", F.struct(*found).alias("next"))
+        lower = F.coalesce(F.col("next.det") < F.col("det"), F.lit(False))
+        now = stage(now.join(next_, "key", "left").select(
+            "key", "n", *[F.when(lower, F.col(f"next.{c}")).otherwise(F.col(c)).alias(c) for c in found],
+            lower.alias("moves")), "mcd-step")
+        moving = not now.where("moves").isEmpty()
+    return now
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-                  source_col: str = "source", coverage: float = 0.75, steps: int = 3,
-                  min_rows: int = 100, cut: float = 64.0) -> DataFrame:
+                  source_col: str = "source", coverage: float = 0.75, fill_rows: int = 100,
+                  cut: float = 64.0) -> DataFrame:
     """Base statistics, base_failed, distance (squared, over the group's median
     or LEAST_MEDIAN) and kept, one row per input row."""
     stats = stage(document_stats(docs, id_col, text_col, lang_col, source_col), "quality-stats")
     good = stats.where("NOT base_failed")
     everything = F.lit("all")
     xs = [f"x{i}" for i in range(len(STATS))]
-    # A vector feeds every estimate that some group uses, once however many rows
-    # have it: its group's, its language's, that of all.
-    levels = F.array("grp", "lang", everything)
-    feed = good.select("grp", "lang", *xs).distinct().select(F.explode(levels).alias("key"), *xs).distinct()
+    # A vector feeds every estimate above it, once however many rows have it: its
+    # group's, its language's, that of all.
+    feed = good.select("grp", "lang", *xs).distinct().select(
+        F.explode(F.array("grp", "lang", everything)).alias("key"), *xs).distinct()
     feed = stage(feed, "quality-rows")
-    enough = feed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_rows)
-    groups = good.select("grp", "lang").distinct().select("grp", F.posexplode(levels).alias("level", "key"))
-    keys = stage(groups.join(enough, "key").groupBy("grp").agg(F.min_by("key", "level").alias("use")),
-                 "quality-keys")
-    used = keys.select(F.col("use").alias("key")).distinct()
-    fits = mcd_estimates(stage(feed.join(used, "key"), "quality-feed"), coverage, steps)
-    per_group = stage(keys.join(fits, keys.use == fits.key).drop("use", "key"), "quality-groups")
-    median = F.pow(F.lit(2.0), (F.col("median") + 0.5) / BINS_PER_OCTAVE)
-    d2 = _distance() / F.greatest(median, F.lit(LEAST_MEDIAN))
-    out = good.join(per_group, "grp", "left").withColumn("distance", d2)
+    groups = good.select("grp", "lang").distinct()
+    none = F.lit(None).cast("string")
+    lineage = stage(groups.select(F.col("grp").alias("key"), F.col("lang").alias("up"), everything.alias("top")).union(
+        groups.select("lang", everything, none).distinct()).union(
+        groups.select(everything, none, none).distinct()), "quality-keys")
+    own = mcd_estimates(feed, coverage)
+    fits = stage(_filled(own, lineage, fill_rows), "quality-fits")
+    placed = feed.join(fits, "key").withColumn("bin", _bin(_distance()))
+    medians = stage(_quantile_bins(placed, {"median": 0.5}).join(own.select("key", "n"), "key"), "quality-medians")
+    scales = _above(lineage, medians, F.struct("n", "median"), "of")
+    scale = F.lit(None).cast("double")
+    for c in ("top_of", "up_of", "of"):
+        w, median = F.least(F.lit(1.0), F.col(f"{c}.n") / fill_rows), F.col(f"{c}.median")
+        scale = F.coalesce(w * median + (1 - w) * scale, median, scale)
+    scales = scales.select("key", F.pow(F.lit(2.0), (scale + 0.5) / BINS_PER_OCTAVE).alias("scale"))
+    per_group = stage(fits.join(scales, "key").withColumnRenamed("key", "grp"), "quality-groups")
+    d2 = _distance() / F.greatest(F.col("scale"), F.lit(LEAST_MEDIAN))
+    out = good.join(per_group, "grp").withColumn("distance", d2)
     out = out.unionByName(stats.where("base_failed"), allowMissingColumns=True)
     return out.select(
         F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",

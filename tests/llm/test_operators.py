@@ -14,7 +14,7 @@ from auric.llm.components import components
 from auric.llm.exact_dedup import exact_dedup
 from auric.llm.mixing import mix, targets
 from auric.llm.packing import encode_units, frequencies, pack_documents
-from auric.llm.quality_rules import quality_rules
+from auric.llm.quality_rules import BINS_PER_OCTAVE, FLOOR, mcd_estimates, quality_rules
 from auric.llm.queries import QUERIES
 from auric.llm.secret_scan import secret_spans
 from auric.llm.simhash import fingerprint, links, simhash_classes
@@ -141,6 +141,56 @@ def test_quality_rules_null_source_is_a_group_of_its_own(docs):
     assert verdict(rows + other) == verdict(rows)
 
 
+def brute_mcd(x, coverage):
+    """Concentration steps from medians and MADs while the determinant falls: mean, determinant, steps."""
+    floor = np.array(list(FLOOR.values()))
+    m = np.median(x, axis=0)
+    sd = np.maximum(floor, 1.4826 * np.median(abs(x - m), axis=0))
+    prec, best, steps = np.diag(1 / sd ** 2), (None, np.inf), 0
+    while True:
+        d2 = np.einsum("ni,ij,nj->n", x - m, prec, x - m)
+        bins = np.floor(np.log2(np.maximum(d2, 1e-9)) * BINS_PER_OCTAVE)
+        near = x[bins <= np.sort(bins)[int(np.ceil(coverage * len(x))) - 1]]
+        m, c = near.mean(axis=0), np.cov(near.T, bias=True) + np.diag(floor ** 2)
+        prec, det, steps = np.linalg.inv(c), np.linalg.slogdet(c)[1], steps + 1
+        if det >= best[1] - 1e-9:
+            return *best, steps
+        best = m, det
+
+
+def test_mcd_steps_go_on_until_the_determinant_falls_no_more(spark):
+    r = np.random.default_rng(0)
+    mixed = np.vstack([r.normal(0, 1, (n, 7)) @ r.normal(0, 3, (7, 7)) + at for n, at in ((700, 0), (500, 6))])
+    groups = {"mixed": mixed, "narrow": r.normal(0, 1, (200, 7)), "single": np.ones((1, 7))}
+    groups = {k: np.round(v * 1000) for k, v in groups.items()}
+    rows = [(k, *map(int, x)) for k, v in groups.items() for x in v]
+    df = spark.createDataFrame(rows, "key string, " + ", ".join(f"x{i} long" for i in range(7)))
+    got = {x.key: x for x in mcd_estimates(df, 0.75).collect()}
+    want = {k: brute_mcd(v / 1000, 0.75) for k, v in groups.items() if len(v) > 1}
+    assert want["mixed"][2] > 5
+    for k, (mean, det, _) in want.items():
+        assert np.allclose(got[k].mean, mean) and np.isclose(got[k].det, det) and got[k].n == len(groups[k])
+    assert np.allclose(got["single"].mean, 1)
+
+
+def test_quality_rules_every_group_has_its_own_estimate(docs):
+    r = np.random.default_rng(9)
+    words = ["".join(r.choice(list("etaoinsh"), int(r.integers(2, 8)))) for _ in range(400)]
+
+    def text():
+        return " ".join(r.choice(words, int(r.integers(60, 200))))
+
+    sizes = [1, 5, 20, 60, 99, 101, 300]
+    clean = [(1000 * i + k, text(), "en", f"s{i}") for i, n in enumerate(sizes) for k in range(n)]
+    loud = [(20_000 + k, text().upper(), "en", "loud") for k in range(90)]  # ordinary in its own group
+    junk = [(30_000 + i, " ".join(w + "###" for w in r.choice(words, 100)), "en", s)
+            for i, s in enumerate([*(f"s{i}" for i in range(len(sizes))), "loud", "junk", "junk"])]
+    got = {x.doc_id: x.kept for x in quality_rules(docs(clean + loud + junk)).collect()}
+    assert sum(not got[x[0]] for x in clean) <= 2
+    assert all(got[x[0]] for x in loud)
+    assert not any(got[x[0]] for x in junk)
+
+
 @pytest.mark.parametrize("near", [False, True])
 def test_quality_rules_copies_do_not_reject_the_rest(docs, near):
     r = np.random.default_rng(7)
