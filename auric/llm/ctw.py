@@ -19,8 +19,9 @@ How it scales:
 * A string is a byte and its ``depth`` context bytes, as an integer with the
   nearest byte on top, so all strings below a node lie together when sorted.
 * Documents go to blocks of about ``block_bytes`` by hash. A block counts its
-  distinct strings and words; they go, packed in compressed arrays, to parts by a
-  hash of the ``SPLIT`` nearest context bytes (of the word).
+  distinct strings and words, ``CHUNK`` bytes of text at a time (longer texts are cut);
+  they go, packed in compressed arrays, to parts by a hash of the ``SPLIT`` nearest
+  context bytes (of the word).
 * A part has the whole tree below its contexts. It sums the blocks' counts and
   passes over them a slice at a time (slices end between contexts): bottom-up for
   Pw, which leaves sums per node of depth SPLIT - 1. These are bounded by the
@@ -43,7 +44,7 @@ own; an empty table gives an empty result; other columns are not read.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -56,9 +57,10 @@ from ..session import ship_package
 from .common import drop_stage, kind_of, stage, text_of, to_bytes
 
 FOLDS, HELD = 7, 2  # fixed values of the split
-CHUNK, CHUNK_TEXTS = 1 << 20, 256  # bytes and texts handled at a time
-HELD_KEYS = 1 << 21  # counted keys that are held before they are summed
-SLICE = 1 << 18  # strings of a part handled at a time
+CHUNK, CHUNK_TEXTS = 1 << 19, 256  # bytes and texts handled at a time
+HELD_KEYS = 1 << 18  # counted keys that are held before they are summed
+SLICE = 1 << 16  # strings of a part handled at a time
+ROWS_OUT = 16  # blocks that a part answers at a time
 SPLIT = 3
 END = 0
 LOG2, LOG_PI = math.log(2), math.log(math.pi)
@@ -66,38 +68,47 @@ LOG2, LOG_PI = math.log(2), math.log(math.pi)
 
 # -- a block ------------------------------------------------------------------
 
-def symbols(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Strings at every byte and end of the texts: context bytes, nearest on top,
-    then the byte; and the number of them in each text."""
-    pad = bytes(depth)
-    data = np.frombuffer(b"".join(pad + t + bytes([END]) for t in texts), np.uint8)
-    sizes = np.array([len(t) + 1 for t in texts], np.int64)
+def pieces(texts: Iterable[bytes], depth: int) -> Iterator[tuple[int, bytes]]:
+    """Numbers of the texts and their bytes and end, cut to CHUNK of them, after the
+    ``depth`` bytes before."""
+    for i, t in enumerate(texts):
+        t = bytes(depth) + t + bytes([END])
+        for lo in range(0, len(t) - depth, CHUNK):
+            yield i, t[lo:lo + CHUNK + depth]
+
+
+def chunks(numbered: Iterable[tuple[int, bytes]]) -> Iterator[tuple[list[int], list[bytes]]]:
+    """Runs of texts or pieces of about CHUNK bytes, at most CHUNK_TEXTS, and their numbers."""
+    numbers, now, size = [], [], 0
+    for i, t in numbered:
+        numbers.append(i)
+        now.append(t)
+        size += len(t)
+        if size >= CHUNK or len(now) == CHUNK_TEXTS:
+            yield numbers, now
+            numbers, now, size = [], [], 0
+    if now:
+        yield numbers, now
+
+
+def symbols(parts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Strings at every byte and end of the pieces: context bytes, nearest on top,
+    then the byte; and the number of them in each piece."""
+    data = np.frombuffer(b"".join(parts), np.uint8)
+    sizes = np.array([len(t) - depth for t in parts], np.int64)
     n = len(data) - depth
     key = data[depth:].astype(np.uint64)
     for d in range(1, depth + 1):
         before = data[depth - d:n + depth - d].astype(np.uint64)
         before <<= np.uint64(8 * (depth + 1 - d))
         key |= before
-    # Positions that belong to a text, not to the next one's padding.
+    # Positions that belong to a piece, not to the next one's context.
     inside = np.ones(n, bool)
     ends = np.cumsum(sizes + depth)[:-1]
     inside[(ends[:, None] - depth + np.arange(depth)).ravel()] = False
     return key[inside], sizes
 
 
-def chunks(texts: list[bytes]) -> Iterator[list[int]]:
-    """Runs of text numbers of about CHUNK bytes, at most CHUNK_TEXTS."""
-    now, size = [], 0
-    for i, t in enumerate(texts):
-        now.append(i)
-        size += len(t)
-        if size >= CHUNK or len(now) == CHUNK_TEXTS:
-            yield now
-            now, size = [], 0
-    if now:
-        yield now
-
-
 def _runs(sorted_keys: np.ndarray) -> np.ndarray:
     """Where runs of equal keys begin."""
     return np.flatnonzero(np.append(True, sorted_keys[1:] != sorted_keys[:-1])) if len(sorted_keys) else np.zeros(0, np.int64)
@@ -111,24 +122,49 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[first], np.add.reduceat(counts[order], first) if len(first) else counts[:0]
 
 
-def count_strings(texts: list[bytes], training: list[bool], depth: int) -> tuple[np.ndarray, np.ndarray]:
+class Tally:
+    """Sums the counts of keys that come in any order; holds the distinct ones and up to
+    a quarter as many (HELD_KEYS at least) still to be added."""
+
+    def __init__(self):
+        self.keys, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.new, self.n_new = [], 0
+
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        self.new.append((keys, counts))
+        self.n_new += len(keys)
+        if self.n_new >= max(HELD_KEYS, len(self.keys) // 4):
+            self.total()
+
+    def total(self) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct keys in order and the sums of their counts."""
+        if self.new:
+            keys, counts = summed(*map(np.concatenate, zip(*self.new)))
+            self.new, self.n_new = [], 0
+            at = np.searchsorted(self.keys, keys)
+            known = at < len(self.keys)
+            known[known] = self.keys[at[known]] == keys[known]
+            self.counts[at[known]] += counts[known]
+            at = at[~known]
+            self.keys = np.insert(self.keys, at, keys[~known])
+            self.counts = np.insert(self.counts, at, counts[~known])
+        return self.keys, self.counts
+
+
+def count_strings(texts: Iterable[bytes], training: list[bool], depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct strings, sorted, and how often training texts have them."""
-    keys, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-    for part in chunks(texts):
-        key, sizes = symbols([texts[i] for i in part], depth)
-        flag = np.repeat(np.array([training[i] for i in part], np.uint64), sizes)
+    tally = Tally()
+    for own, part in chunks(pieces(texts, depth)):
+        key, sizes = symbols(part, depth)
+        flag = np.repeat(np.array([training[i] for i in own], np.uint64), sizes)
         key <<= np.uint64(1)
         key |= flag
         key.sort()
         first = _runs(key)
         n = np.diff(np.append(first, len(key)))
         key = key[first]
-        keys.append(key >> np.uint64(1))
-        counts.append(np.where(key & np.uint64(1), n, 0))
-        if sum(map(len, keys[1:])) >= HELD_KEYS:
-            key, n = summed(np.concatenate(keys), np.concatenate(counts))
-            keys, counts = [key], [n]
-    return summed(np.concatenate(keys), np.concatenate(counts))
+        tally.add(key >> np.uint64(1), np.where(key & np.uint64(1), n, 0))
+    return tally.total()
 
 
 def word_hash(word: bytes) -> int:
@@ -152,10 +188,20 @@ def word_numbers(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray
         words = t.split()
         words.append(b"")
         sizes[i] = len(words)
-        parts.append(np.fromiter(map(index.__getitem__, words), np.int64, len(words)))
+        parts.append(np.fromiter(map(index.__getitem__, words), np.int32, len(words)))
     return np.fromiter(map(word_hash, index), np.uint64, len(index)), np.concatenate(parts), sizes
 
 
+def count_words(texts: Iterable[bytes], training: list[bool]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the distinct words and the end, sorted, and how often training texts have them."""
+    tally = Tally()
+    for own, part in chunks(enumerate(texts)):
+        words, numbers, sizes = word_numbers(part)
+        flag = np.repeat(np.array([training[i] for i in own]), sizes)
+        tally.add(words, np.bincount(numbers[flag], minlength=len(words)))
+    return tally.total()
+
+
 def part_of(keys: np.ndarray, n_parts: int) -> np.ndarray:
     x = (keys + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
     return ((x ^ x >> np.uint64(32)) % np.uint64(n_parts)).astype(np.int64)
@@ -359,8 +405,13 @@ def values(keys: np.ndarray, counts: np.ndarray, depth: int, above: Upper | None
 
 # -- the job ------------------------------------------------------------------
 
-def _rows_of(t: pa.Table) -> tuple[list[bytes], list[bool]]:
-    return [to_bytes(x.as_py()).lower() for x in t.column("text")], [not h for h in t.column("held").to_pylist()]
+def _texts_of(t: pa.Table) -> Iterator[bytes]:
+    """The texts one after the other, so that no second copy of a block is held."""
+    return (to_bytes(x.as_py()).lower() for x in t.column("text"))
+
+
+def _training(t: pa.Table) -> list[bool]:
+    return [not h for h in t.column("held").to_pylist()]
 
 
 def ctw_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 6,
@@ -379,10 +430,8 @@ def ctw_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     packed = ("strings", "counts", "words", "word_counts")
 
     def count(t: pa.Table) -> pa.Table:
-        texts, training = _rows_of(t)
-        strings, n = count_strings(texts, training, depth)
-        words, numbers, sizes = word_numbers(texts)
-        words, m = summed(words, np.bincount(numbers[np.repeat(np.array(training), sizes)], minlength=len(words)))
+        strings, n = count_strings(_texts_of(t), _training(t), depth)
+        words, m = count_words(_texts_of(t), _training(t))
         places = dict(by_part(string_part(strings, depth, n_blocks)))
         word_places = dict(by_part(part_of(words, n_blocks)))
         none = np.zeros(0, np.int64)
@@ -399,8 +448,10 @@ def ctw_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         count, "block int, part int, " + ", ".join(f"{c} binary" for c in packed)), "ctw-counts")
 
     def merged(t: pa.Table, what: str, n: str) -> tuple[np.ndarray, np.ndarray]:
-        return summed(np.concatenate([unpack(x.as_py(), "<u8", True) for x in t.column(what)]),
-                      np.concatenate([unpack(x.as_py(), "<i8") for x in t.column(n)]))
+        tally = Tally()
+        for x, y in zip(t.column(what), t.column(n)):
+            tally.add(unpack(x.as_py(), "<u8", True), unpack(y.as_py(), "<i8"))
+        return tally.total()
 
     def sums(t: pa.Table) -> pa.Table:
         _, m = merged(t, "words", "word_counts")
@@ -423,16 +474,19 @@ def ctw_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                       min(SPLIT, depth))
     shared = spark.sparkContext.broadcast(above)
 
-    def value(t: pa.Table) -> pa.Table:
+    def value(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(batches)
         strings, n = merged(t, "strings", "counts")
         words, m = merged(t, "words", "word_counts")
-        v = values(strings, n, depth, shared.value)
-        own, known = [], []
-        for x, w in zip(t.column("strings"), t.column("words")):
-            own.append(pack(shortened(v[np.searchsorted(strings, unpack(x.as_py(), "<u8", True))])))
-            known.append(pack(m[np.searchsorted(words, unpack(w.as_py(), "<u8", True))]))
-        return pa.table({"block": t.column("block"), "part": t.column("part"), "strings": t.column("strings"),
-                         "values": pa.array(own, pa.binary()), "word_counts": pa.array(known, pa.binary())})
+        v = shortened(values(strings, n, depth, shared.value))
+        for r in t.select(["block", "part", "strings", "words"]).to_batches(max_chunksize=ROWS_OUT):
+            own, known = [], []
+            for x, w in zip(r.column("strings"), r.column("words")):
+                own.append(pack(v[np.searchsorted(strings, unpack(x.as_py(), "<u8", True))]))
+                known.append(pack(m[np.searchsorted(words, unpack(w.as_py(), "<u8", True))]))
+            yield pa.RecordBatch.from_arrays(
+                [r.column("block"), r.column("part"), r.column("strings"), pa.array(own, pa.binary()), pa.array(known, pa.binary())],
+                ["block", "part", "strings", "values", "word_counts"])
 
     back = stage(seen.groupBy("part").applyInArrow(
         value, "block int, part int, strings binary, values binary, word_counts binary"), "ctw-values")
@@ -441,35 +495,44 @@ def ctw_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     under = math.log10(n_train + n_distinct + 1)
 
     def score(t: pa.Table, model: pa.Table) -> pa.Table:
-        texts, _ = _rows_of(t)
-
         strings, v = (np.concatenate([unpack(x.as_py(), kind, kind == "<u8") for x in model.column(c)])
                       for c, kind in (("strings", "<u8"), ("values", "<f8")))
         order = np.argsort(strings)
         strings, v = strings[order], v[order]
-        words, numbers, n_tokens = word_numbers(texts)
-        order, counts = np.argsort(words), np.zeros(len(words), np.int64)
-        places = dict(by_part(part_of(words[order], n_blocks)))
-        for p, m in zip(model.column("part").to_pylist(), model.column("word_counts")):
-            if p in places:
-                counts[order[places[p]]] = unpack(m.as_py(), "<i8")
-        total = np.zeros(len(texts))
-        for part in chunks(texts):
-            key, sizes = symbols([texts[i] for i in part], depth)
-            # A string and the number of its text in the chunk fit 64 bits; sorted, equal strings are one look-up.
-            key = np.sort(key << np.uint64(8) | np.repeat(np.arange(len(part), dtype=np.uint64), sizes))
+        del order
+        total, n_bytes = np.zeros(t.num_rows), np.full(t.num_rows, -1)
+        for own, part in chunks(pieces(_texts_of(t), depth)):
+            key, sizes = symbols(part, depth)
+            at, own = slice(own[0], own[-1] + 1), np.array(own) - own[0]
+            n_bytes[at] += np.bincount(own, sizes).astype(np.int64)
+            # A string and the number of its piece in the chunk fit 64 bits; sorted, equal strings are one look-up.
+            key <<= np.uint64(8)
+            key |= np.repeat(np.arange(len(part), dtype=np.uint64), sizes)
+            key.sort()
             owner = (key & np.uint64(255)).astype(np.int64)
             key >>= np.uint64(8)
             first = _runs(key)
-            own = np.repeat(v[np.searchsorted(strings, key[first])], np.diff(np.append(first, len(key))))
-            total[part] = np.bincount(owner, own, len(part))
-        first = np.cumsum(n_tokens) - n_tokens
-        n_known = np.add.reduceat((counts > 0)[numbers].astype(np.int64), first)
-        base = np.add.reduceat((np.log10(counts + 1) - under)[numbers], first)
-        n_bytes = np.array([len(x) for x in texts], np.int64)
+            found = np.repeat(v[np.searchsorted(strings, key[first])], np.diff(np.append(first, len(key))))
+            total[at] += np.bincount(own[owner], found)
+        del strings, v
+
+        tokens = [word_numbers(part) for _, part in chunks(enumerate(_texts_of(t)))]
+        words = np.unique(np.concatenate([x for x, _, _ in tokens]))
+        counts, places = np.zeros(len(words), np.int64), dict(by_part(part_of(words, n_blocks)))
+        for p, m in zip(model.column("part").to_pylist(), model.column("word_counts")):
+            if p in places:
+                counts[places[p]] = unpack(m.as_py(), "<i8")
+        n_tokens, n_known, base = [], [], []
+        for x, numbers, sizes in tokens:
+            own = counts[np.searchsorted(words, x)]
+            first = np.cumsum(sizes) - sizes
+            n_tokens.append(sizes)
+            n_known.append(np.add.reduceat((own > 0)[numbers], first, dtype=np.int64))
+            base.append(np.add.reduceat((np.log10(own + 1) - under)[numbers], first))
+        n_tokens, n_known, base = map(np.concatenate, (n_tokens, n_known, base))
         return pa.table({
             "id": t.column("id"), "held_out": t.column("held"), "n_tokens": pa.array(n_tokens),
-            "n_known": pa.array(n_known), "train_tokens": pa.array(np.full(len(texts), n_train), pa.int64()),
+            "n_known": pa.array(n_known), "train_tokens": pa.array(np.full(t.num_rows, n_train), pa.int64()),
             "base_score": pa.array(base), "score": pa.array(total), "n_bytes": pa.array(n_bytes),
             "bits_per_byte": pa.array(-total * math.log2(10) / (n_bytes + 1))})
 

@@ -241,6 +241,42 @@ def test_slices_and_parts_do_not_matter(monkeypatch):
     assert np.allclose(tree(4), whole, rtol=1e-12)
 
 
+def test_counting_strings_holds_little_more_than_the_distinct_ones():
+    """Before, keys of several megabytes of text were held, concatenated and sorted at once."""
+    import tracemalloc
+    r = np.random.default_rng(7)
+    texts = [r.integers(97, 105, 20_000, np.uint8).tobytes() for _ in range(400)]
+    tracemalloc.start()
+    try:
+        keys, counts = ctw.count_strings(texts, [True] * 400, 6)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert counts.sum() == 400 * 20_001 and 1_900_000 < len(keys) < 2_200_000
+    assert peak < 130 << 20
+
+
+def test_long_texts_are_cut_without_losing_strings(monkeypatch):
+    r = random.Random(6)
+    texts = ["".join(r.choice("ab cé") for _ in range(r.choice((0, 3, 90)))).encode() for _ in range(30)]
+    training = [i % 3 > 0 for i in range(30)]
+    want = Counter()
+    for t, used in zip(texts, training):
+        data = bytes(4) + t + b"\0"
+        for i in range(4, len(data)):
+            want[sum(data[i - d] << 8 * (5 - d) for d in range(1, 5)) + data[i]] += used
+    monkeypatch.setattr(ctw, "CHUNK", 16)
+    monkeypatch.setattr(ctw, "HELD_KEYS", 8)
+    keys, counts = ctw.count_strings(texts, training, 4)
+    assert dict(zip(keys.tolist(), counts.tolist())) == dict(want) and (keys[1:] > keys[:-1]).all()
+    words = Counter()
+    for t, used in zip(texts, training):
+        for w in [*t.split(), b""]:
+            words[ctw.word_hash(w)] += used
+    keys, counts = ctw.count_words(texts, training)
+    assert dict(zip(keys.tolist(), counts.tolist())) == dict(words)
+
+
 def test_great_counts_follow_stirling():
     import math
     k = np.array([0, 1, 65534, 65535, 65536, 10**7, 10**12])

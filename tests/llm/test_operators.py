@@ -2,6 +2,7 @@
 odd rows: nulls, empty and long texts, repeats, empty tables, clashing columns."""
 import hashlib
 import math
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -443,6 +444,25 @@ def test_context_tree_learns_six_bytes(docs):
     assert len(got) == 8 and all(abs(r.score - want(rows[0][1].encode())) < 1e-6 for r in got)
 
 
+def test_context_tree_scores_long_texts(docs):
+    """Texts beyond a chunk are cut; their scores are those of the whole tree in one piece."""
+    r = random.Random(8)
+    long = "".join(r.choices("abc ", k=ctw.CHUNK + 5000))
+    rows = [(i, t) for i, t in enumerate(["ab c", long, None, long[::-1], "zz top", long[:700] + " é"])]
+    texts = [(t or "").encode() for _, t in rows]
+    training = [not held(i) for i, _ in rows]
+    keys, counts = ctw.count_strings(texts, training, 6)
+    above = ctw.upper(*ctw.top_nodes(keys, counts, 6), 3)
+    value = ctw.values(keys, counts, 6, above)
+    got = {x.doc_id: x for x in ctw.ctw_scores(docs(rows)).collect()}
+    assert len(got) == len(rows)
+    for i, t in enumerate(texts):
+        data = np.frombuffer(bytes(6) + t + b"\0", np.uint8).astype(np.uint64)
+        key = sum((data[6 - d:len(data) - d] << np.uint64(8 * (7 - d)) for d in range(1, 7)), data[6:])
+        assert got[i].score == pytest.approx(value[np.searchsorted(keys, key)].sum(), rel=1e-9)
+        assert got[i].n_bytes == len(t) and got[i].n_tokens == len(t.split()) + 1
+
+
 def brute_removed(rows, threshold):
     seen, out = set(), {}
     for k, t in sorted(rows):
