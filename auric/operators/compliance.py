@@ -100,13 +100,24 @@ def _velocity_hits(timed: DataFrame, n: int, span_seconds: int) -> DataFrame:
 
 
 # --------------------------------------------------------- M-01, M-02, M-04
-def trade_alerts(tx: DataFrame, users: DataFrame, caps: DataFrame, threshold, n: int, span_seconds: int) -> DataFrame:
+def trade_alerts(tx: DataFrame, users: DataFrame, caps: DataFrame, threshold, n: int, span_seconds: int,
+                 since=None, until=None) -> DataFrame:
     """The three rules on single trades (M-01, M-02, M-04): each trade gets its cap
     and whether its second fired, and explodes into the rules that did. Equal to the
-    union of the three operators; beside the narrow counts the ledger is read once."""
-    t = _with_seconds(tx)
-    hits = _velocity_hits(t, n, span_seconds).withColumn("_fired", F.lit(True))
-    t = _with_cap(join_nullsafe(t, hits, VELOCITY_KEY, "left"), users, caps)
+    union of the three operators; beside the narrow counts the ledger is read once.
+
+    ``since`` and ``until`` (dates, the first inclusive) ask for the alerts raised
+    between them only. These depend on no trade after them nor on one more than a span
+    before, so no other trades are counted."""
+    at, counted = F.col("created_at"), tx
+    if since is not None:
+        since = F.lit(since).cast("date").cast("timestamp_ntz")
+        tx, counted = tx.filter(at >= since), counted.filter(at >= since - F.make_dt_interval(secs=F.lit(span_seconds)))
+    if until is not None:
+        until = F.lit(until).cast("date").cast("timestamp_ntz")
+        tx, counted = tx.filter(at < until), counted.filter(at < until)
+    hits = _velocity_hits(_with_seconds(counted), n, span_seconds).withColumn("_fired", F.lit(True))
+    t = _with_cap(join_nullsafe(_with_seconds(tx), hits, VELOCITY_KEY, "left"), users, caps)
     v = F.col("total_value")
     fired = F.array(F.when(v >= F.lit(threshold).cast(MONEY), "HIGH_AMOUNT"),
                     F.when(v > F.col("cap"), "KYC_LIMIT"),
